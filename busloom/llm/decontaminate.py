@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ from .common import WORD_BYTES, map_texts
 
 MAX_BROADCAST_BYTES = 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SEEN_BITS = 22
 _COLUMNS = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<first:int,last:int>>"
 _NONE = hashlib.sha256(b"").hexdigest()
 
@@ -50,38 +52,46 @@ class Windows:
         for k, windows in by_size.items():
             h = np.array([hash(w) for win in windows for w in win], dtype=np.int64).view(np.uint64)
             h = np.unique(rolling(h, k)[::k])
-            seen = np.zeros(1 << 16, dtype=bool)
-            seen[h >> np.uint64(48)] = True
+            seen = np.zeros(1 << _SEEN_BITS, dtype=bool)
+            seen[h >> np.uint64(64 - _SEEN_BITS)] = True
             self.hashes[k] = (seen, h)
 
-    def scan(self, words: list[bytes]) -> list[tuple[int, int, set]]:
-        """First word, end and items of each window that occurs."""
-        out = []
-        if not self.hashes or not words:
+    def scan(self, texts: list[list[bytes]]) -> list[list[tuple[int, int, set]]]:
+        """For each text (its words): first word, end and items of each window that occurs. One pass over all texts at once."""
+        out: list[list[tuple[int, int, set]]] = [[] for _ in texts]
+        ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        if not self.hashes or not total:
             return out
-        h = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
+        h = np.fromiter(map(hash, chain.from_iterable(texts)), dtype=np.int64, count=total).view(np.uint64)
         for k, (seen, wanted) in self.hashes.items():
-            if len(words) < k:
+            if total < k:
                 continue
             r = rolling(h, k)
-            at = np.flatnonzero(seen[r >> np.uint64(48)])
+            at = np.flatnonzero(seen[r >> np.uint64(64 - _SEEN_BITS)])
             if len(at):
-                at = at[np.isin(r[at], wanted)]
-            for i in at.tolist():
-                if found := self.items.get(tuple(words[i : i + k])):
-                    out.append((i, i + k, found))
+                at = at[wanted[np.minimum(np.searchsorted(wanted, r[at]), len(wanted) - 1)] == r[at]]
+            for i, doc in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist(), strict=True):
+                words = texts[doc]
+                i -= int(ends[doc]) - len(words)
+                if found := self.items.get(tuple(words[i : i + k])):  # verified; a window over the end of a text is shorter
+                    out[doc].append((i, i + k, found))
         return out
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """A polynomial hash of each k consecutive word hashes."""
-    n = len(h) - k + 1
-    out = h[:n].copy()
+    """A polynomial hash of each k consecutive word hashes, put together from those of 1, 2, 4 ... words."""
+    power, out, size = h, None, 0
+    factor, width = int(_BASE), 1
     with np.errstate(over="ignore"):
-        for j in range(1, k):
-            out *= _BASE
-            out += h[j : j + n]
-    return out
+        while True:
+            if k & width:
+                out = power if out is None else out[: len(out) - width] * np.uint64(factor) + power[size : size + len(out) - width]
+                size += width
+            if size == k:
+                return out.copy() if out is h else out
+            power = power[:-width] * np.uint64(factor) + power[width:]
+            factor, width = factor * factor & 0xFFFFFFFFFFFFFFFF, 2 * width
 
 
 def _merged(found: list[tuple[int, int, set]]) -> list[dict]:
@@ -112,9 +122,8 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
             def apply(texts: list) -> list:
                 cols: list[list] = [[], [], [], [], []]
-                for t in texts:
-                    words = words_of(t)
-                    found = windows.scan(words)
+                split = [words_of(t) for t in texts]
+                for words, found in zip(split, windows.scan(split), strict=True):
                     spans = _merged(found)
                     ids = set().union(*(x[2] for x in found)) - {None} if found else set()
                     for c, v in zip(cols, (len(words), sum(s["last"] - s["first"] + 1 for s in spans), len(ids), digest(ids), spans), strict=True):
@@ -191,7 +200,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
         windows = Windows(shared.value, size)
         for b in batches:
             texts = b.column(at).to_pylist()
-            found = [windows.scan(words_of(t)) for t in texts]
+            found = windows.scan([words_of(t) for t in texts])
             if remove == "documents":
                 yield b.filter(pa.array([not f for f in found]))
             else:
