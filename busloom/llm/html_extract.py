@@ -222,6 +222,13 @@ def _emit(node: _Node, out: list[str]) -> None:
             stack.extend(reversed(x.kids))
 
 
+def _sentences(node: _Node) -> bool:
+    """Whether each of a container's blocks is a paragraph that ends like a sentence."""
+    kids = [k for k in node.kids if isinstance(k, tuple) or not k.drop]
+    ends = (".", "!", "?", "\u3002", "\u2026", "\u201d", '"')
+    return bool(kids) and all(isinstance(k, _Node) and k.tag == "p" and k.kids and isinstance(k.kids[-1], tuple) and k.kids[-1][0].endswith(ends) for k in kids)
+
+
 def extract(page: str | None) -> str:
     """The blocks of the main text, joined by newlines."""
     if not page:
@@ -249,7 +256,8 @@ def extract(page: str | None) -> str:
         elif isinstance(kid, _Node) and not kid.drop and kid.size:
             share = kid.linked / kid.size
             reads = kid.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and share < 0.25 and best.tag not in ("article", "main")
-            if reads or kid.tag == best.tag and kid.score + BONUS.get(kid.tag, 0.0) >= least and share < 0.25 and kid.commas > 2:
+            told = kid.tag in ("div", "section") and best.parent.tag not in ("body", "html", "#") and not kid.linked and _sentences(kid)
+            if reads or told or kid.tag == best.tag and kid.score + BONUS.get(kid.tag, 0.0) >= least and share < 0.25 and kid.commas > 2:
                 _emit(kid, out)
     return "\n".join(out)
 

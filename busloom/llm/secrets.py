@@ -30,7 +30,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("passw", "secret", "token", "api")
-_IDENTIFIER = re.compile(r"""\b(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?|key_?id|tenant(?:_?id)?)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9@._-]{3,128})""", re.A | re.I)
+_IDENTIFIER = re.compile(r"""\b(?:user(?:_?(?:name|id))?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?|key_?id|tenant(?:_?id)?)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9@._-]{3,128})""", re.A | re.I)
 _ID_WORDS = ("user", "login", "account", "client", "access", "key", "tenant")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 _ENDPOINT = re.compile(r"""(?:https?|ftp|sftp|ssh|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:host|endpoint|server|url)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?)""", re.A | re.I)
