@@ -83,20 +83,18 @@ def dropped(f: Filters, include_types: bool = True) -> Column:
     return excluded | _or([~c for c in included])
 
 
-def apply_filters(df: DataFrame, filters: Filters, order: tuple[str, ...] = ("seq",), by: tuple[str, ...] = ("file_index",)) -> DataFrame:
+def apply_filters(df: DataFrame, filters: Filters) -> DataFrame:
     """Records that the filters leave. A continuation right behind its parent goes with it, or for its own type alone.
 
-    order and by tell what 'right behind' is: arrival in a file, or the order of a merge (by=()). In the order of a merge the
-    record before is looked up without a window over all rows, see below.
+    'Right behind' is meant in the order of arrival in a file. That holds for merged records too: a continuation has its
+    parent's time, so nothing comes between them in the order of a merge either, and no window over all rows is needed.
     """
     if not filters.active:
         return df
     parent = (F.col("error") & (F.col("message_type") != SPURIOUS_TYPE)).alias("parent")
     state = F.struct(parent, dropped(filters, include_types=False).alias("gone"))
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(0)).orderBy(*order)
-    behind = F.lag(state).over(w)
+    behind = F.lag(state).over(Window.partitionBy("file_index").orderBy("seq"))
     own_type = _or(_any(filters, "exclude", ("types",))) | _or([~c for c in _any(filters, "include", ("types",))])
-    # only spurious records look back
     df = df.withColumn("__behind", behind)
     follows = is_continuation() & F.coalesce(F.col("__behind.parent"), F.lit(False))
     verdict = F.when(follows, F.col("__behind.gone") | own_type).otherwise(dropped(filters))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_GROUP = 65_536
+#: Microseconds (or ticks) of a bucket of times.
+BUCKET = 1_000_000
 
 
 def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, ...] = ("seq",), by: tuple[str, ...] = (), monotone: bool = False) -> DataFrame:
@@ -17,7 +19,7 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
     a full segment stays in arrival order, and max_group=1 turns sorting off.
 
     With monotone=True (time never steps back along position) a run is a time, and all windows are by time; what closes a
-    run then comes from one row for each time. Else runs are counted by a window over all rows (by by, if given).
+    run then comes from one row for each time, and one for each second. Else runs are counted by a window over all rows (by by, if given).
     """
     if not 1 <= max_group <= 1 << 20:
         raise ValueError("max_group: 1 to 1048576")
@@ -29,8 +31,14 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
     if monotone:
         run = [*by, "__ts"]
         firsts = d.groupBy(*run).agg(F.min_by(F.col("__k").isNull(), where).alias("__opens_free"), F.min(where).alias("__first"))
-        along = Window.partitionBy(*by).orderBy("__first") if by else Window.partitionBy(F.lit(0)).orderBy("__first")
-        closes = firsts.withColumn("__next_free", F.coalesce(F.lead("__opens_free").over(along), F.lit(False))).withColumn("order_run", F.col("__first"))
+        # what opens the next time is looked up among the times of one bucket, and beyond it among the buckets
+        firsts = firsts.withColumn("__bucket", F.coalesce(F.floor(F.col("__ts.time_us") / BUCKET), *([F.floor(F.col("__ts.ticks") / BUCKET)] if "ticks" in df.columns else []), F.lit(0)))
+        inside = Window.partitionBy(*by, "__bucket").orderBy("__first")
+        firsts = firsts.withColumn("__next_free", F.lead("__opens_free").over(inside))
+        heads = firsts.groupBy(*by, "__bucket").agg(F.min_by("__opens_free", "__first").alias("__opens_free"), F.min("__first").alias("__first"))
+        along = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__first")
+        heads = heads.withColumn("__after", F.coalesce(F.lead("__opens_free").over(along), F.lit(False))).select(*by, "__bucket", "__after")
+        closes = firsts.join(heads, [*by, "__bucket"]).withColumn("__next_free", F.coalesce("__next_free", "__after")).withColumn("order_run", F.col("__first"))
         on = [F.col(f"d.{c}").eqNullSafe(F.col(f"x.{c}")) for c in run]
         cond = on[0]
         for c in on[1:]:

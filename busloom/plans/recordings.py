@@ -104,7 +104,7 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
     if c.strict and (bad := [e for e in check(rows, outcome.statuses, c) if isinstance(e, (PayloadError, UnknownErrorCode))]):
         raise bad[0]
     recs = records(rows, c)
-    position, by = ("file_index", "seq"), ("file_index",)
+    position = ("file_index", "seq")
     if len(paths) > 1:
         usable = merge.incompatible(recs)
         if c.allow_partial:
@@ -115,9 +115,9 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
                 recs = recs.filter(~F.col("file_index").isin(wrong))
                 outcome.left_out += [paths[i] for i in wrong]
         recs = merge_recordings(recs, c)
-        position, by = merge.ORDER, ()
+        position = merge.ORDER
     monotone = merge.check_monotone(recs, False)
-    kept = filters.apply_filters(recs, c.filters, position, by)
+    kept = filters.apply_filters(recs, c.filters)
     ordered = order.order_rows(kept, c.max_sort_group, position, () if len(paths) > 1 else ("file_index",), monotone)
     if failed or outcome.left_out or any(s["sync_losses"] for s in outcome.statuses):
         outcome.exit_code = SYNC_LOSS if any(s["state"] == "UnrecoverableSyncLoss" for s in failed) or outcome.left_out else SUCCESS

@@ -207,7 +207,7 @@ def test_order(spark, monotone):
     cases = []
     for _ in range(150):
         times = [r.randrange(5) for _ in range(r.randrange(1, 14))]
-        cases.append([[(t, r.choice([None, 1, 2, 3]), 0) for t in (sorted(times) if monotone else times)]])
+        cases.append([[(400_000 * t, r.choice([None, 1, 2, 3]), 0) for t in (sorted(times) if monotone else times)]])
     df = _frame(spark, cases)
     for cap in (1, 2, 3, 100):
         o = order.order_rows(df, cap, ("seq",), ("case",), monotone)
