@@ -6,6 +6,8 @@ in training order: a bijection of [0, n) that needs no shuffle buffer and can be
 slot and written as shards of RECORDS records of equal size, so that slot s stands in shard s // RECORDS at byte
 (s % RECORDS) * stride and a reader can resume anywhere.
 
+Numbers follow the input's partitions, so the order of records is the same again for the same files, split alike, and key.
+
 A record is a little-endian uint32 count of tokens, then LENGTH ids as uint16 (uint32 for vocabularies over 65,535). A null or
 empty text makes one sequence with the end token alone. Special strings in a text are ordinary text. Repeated rows make
 sequences of their own; which of them comes first is of no effect, as they are equal. An empty table makes no record. Columns
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed, map_texts, numbered
+from .common import bound_batches, checkpointed, map_texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE of this kind cuts a text into words.
@@ -82,7 +84,7 @@ def vocabulary(path: str) -> dict[bytes, int]:
 
 
 def sequences(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """key, hash, ids (all tokens of a document, binary) and n_seqs of each row."""
+    """key, ids (all tokens of a document, binary) and n_seqs of each row."""
     ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(path))  # at most MAX_VOCABULARY bytes
     kind = "<u2" if end < 1 << 16 else "<u4"
 
@@ -97,25 +99,32 @@ def sequences(documents: DataFrame, key: str = "doc_id", text: str = "text", len
 
         return apply
 
-    marked = documents.select(F.col(f"`{key}`").alias("__key"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("__text"))
-    return map_texts(marked, ["__key", "hash"], "__text", make, "ids binary, n_seqs bigint")
+    marked = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
+    return map_texts(marked, ["__key"], "__text", make, "ids binary, n_seqs bigint")
 
 
 def records(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = RECORDS, end: int = END, seed: int = 7, path: str = VOCABULARY) -> DataFrame:
     """slot, shard, position (byte in the shard), key, part, number, n_tokens and record, range-partitioned and sorted by slot."""
     spark = documents.sparkSession
-    done = checkpointed(sequences(documents, key, text, length, end, path))  # tokenised once
-    total = done.agg(F.sum("n_seqs")).first()[0] or 0
-    placed = numbered(done.withColumn("__all", F.lit(0)), ["__all"], [F.col("__key")], F.col("hash"), 20_000, F.col("n_seqs"), nullable=False)
+    done = checkpointed(sequences(documents, key, text, length, end, path).withColumn("chunk", F.spark_partition_id()))  # tokenised once
+    chunks = sorted((r.chunk, r.n) for r in done.groupBy("chunk").agg(F.sum("n_seqs").alias("n")).collect())  # one number for each input partition
+    starts, total = {}, 0
+    for chunk, n in chunks:
+        starts[chunk] = total
+        total += n
     bound_batches(spark)
     width = 2 if end < 1 << 16 else 4
     stride = 4 + width * length
     order = Permutation(total, seed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sequences are numbered by partition and then as they stand in it: what was written to the checkpoint stays so."""
+        following = dict(starts)
         for b in batches:
             which, part, number, n, rows = [], [], [], [], []
-            for i, (ids, start) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            for i, (ids, chunk) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                start = following[chunk]
+                following[chunk] += -(-len(ids) // (width * length))
                 for p, at in enumerate(range(0, len(ids), width * length)):
                     own = ids[at : at + width * length]
                     which.append(i)
@@ -128,8 +137,8 @@ def records(documents: DataFrame, key: str = "doc_id", text: str = "text", lengt
             cols = [pa.array(slot, pa.int64()), pa.array(slot // per_shard, pa.int64()), pa.array(slot % per_shard * stride, pa.int64()), b.column(0).take(pa.array(which, pa.int64())), pa.array(part, pa.int32()), pa.array(number, pa.int64()), pa.array(n, pa.int32()), pa.array(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "position", key, "part", "number", "n_tokens", "record"])
 
-    kind = placed.schema["__key"].dataType.simpleString()
-    out = placed.select("__key", "ids", "start").mapInArrow(cut, f"slot bigint, shard bigint, position bigint, `{key}` {kind}, part int, number bigint, n_tokens int, record binary")
+    kind = done.schema["__key"].dataType.simpleString()
+    out = done.select("__key", "ids", "chunk").mapInArrow(cut, f"slot bigint, shard bigint, position bigint, `{key}` {kind}, part int, number bigint, n_tokens int, record binary")
     # slots are dense, so equal ranges of shards are equal shares: no sample has to be taken, and no shard is cut
     shards = max(1, -(-total // per_shard))
     parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
