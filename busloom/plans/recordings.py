@@ -64,9 +64,6 @@ def check(raw_rows: DataFrame, found: list[dict], config: Config) -> list[Record
         for r in decoding.first_rejects(decoded).orderBy("file_index").collect():
             kind = UnknownErrorCode if r.reason == "unknown-error-code" else PayloadError
             out.append(kind(f"input {r.file_index}: {r.reason} at 0x{r.file_offset:X}"))
-    for s in found:
-        for w in s["warnings"]:
-            log.warning("%s: %s", s["path"], w)
     return out
 
 
@@ -89,6 +86,9 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
     if len(paths) > 1 and c.mux_value is not None:
         raise UsageError("a fixed mux value is for one input")
     outcome = Outcome(statuses=statuses(spark, paths, c))
+    for s in outcome.statuses:
+        for w in s["warnings"]:
+            log.warning("%s: %s", s["path"], w)
     failed = [s for s in outcome.statuses if s["state"] not in FINE]
     if failed and (len(paths) == 1 or not c.allow_partial):
         s = failed[0]

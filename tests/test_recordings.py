@@ -285,3 +285,36 @@ def test_dump(tmp_path):
     assert len(lines) == 2 and lines[1].startswith("00000010") and list(dump.hex_lines(p, 10_000, 5)) == []
     text = list(dump.record_lines(p))
     assert "BC_TO_RT" in text[0] and "terminator" in text[-1] and len(list(dump.record_lines(p, records=1))) < len(text)
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from busloom import cli
+
+    a = put(tmp_path, "a.rec", R.random_recording(1, 50, start=10_000_000))
+    put(tmp_path, "b.rec", R.random_recording(2, 50, start=10_001_000))
+    out = io.StringIO()
+    assert cli.run(["count", a], spark, out) == 0 and int(out.getvalue()) == plans.count(spark, a)
+    o = str(tmp_path / "o.csv")
+    assert cli.run(["decode", "--glob", str(tmp_path / "?.rec"), "-o", o, "--exclude-types", "rt_to_bc,0x20", "--delta-scope", "global", "--collapse-duplicates"], spark) == 0
+    assert ",SPURIOUS," not in open(o).read() and len(open(o).read().split("\n")) > 10
+    assert cli.run(["dump", a, "--records", "2"], out=out) == 0
+    assert cli.run(["decode", a], spark) == errors.USAGE
+    assert cli.run(["decode", a, "-o", o, "--year", "0"], spark) == errors.CONFIG
+    assert cli.run(["count", str(tmp_path / "none")], spark) == errors.RUNTIME
+    assert cli.run(["count", put(tmp_path, "t", b"no recording " * 9)], spark) == errors.NO_RECORDS
+
+
+def test_partial_merge(spark, tmp_path):
+    a = put(tmp_path, "a.rec", R.random_recording(1, 50, start=10_000_000))
+    bad = put(tmp_path, "bad.rec", b"no recording " * 9)
+    o = str(tmp_path / "o.csv")
+    with pytest.raises(errors.NoValidRecords):
+        plans.decode_to_csv(spark, [a, bad], o)
+    done = plans.decode_to_csv(spark, [a, bad], o, Config(allow_partial=True))
+    assert done.left_out == [bad] and done.exit_code == errors.SYNC_LOSS and [f.path for f in done.files] == [o + ".partial"] and not os.path.exists(o)
+    lost = put(tmp_path, "lost.rec", R.random_recording(1, 20)[:-2] + b"\xff\x7f" * 40_000)
+    with pytest.raises(errors.UnrecoverableSyncLoss):
+        plans.decode_to_csv(spark, [lost], o)
+    assert plans.decode_to_csv(spark, [lost], o, Config(allow_partial=True)).exit_code == errors.SYNC_LOSS
