@@ -37,16 +37,19 @@ def query(sql: str | None = None):
     return register
 
 
-w, v, x = F.col("w"), F.col("v"), F.col("x")
+def _wvx():
+    return F.col("w"), F.col("v"), F.col("x")
 
 
 @query(f"with {_WORDS} select event_id, cast(w & 127 as integer) code, cast((w >> 7) & 1 as integer) bus, cast((w >> 8) & 63 as integer) n_words, ((w >> 14) & 1) = 1 error, ((w >> 15) & 1) = 1 reserved from u")
 def type_word_fields(spark, sf_dir):
+    w, v, x = _wvx()
     return _words(spark, sf_dir).select("event_id", words.type_code(w).alias("code"), words.type_bus(w).alias("bus"), words.type_word_count(w).alias("n_words"), words.type_error(w).alias("error"), words.type_reserved(w).alias("reserved"))
 
 
 @query(f"with {_WORDS} select event_id, cast((w >> 11) & 31 as integer) rt, cast((w >> 10) & 1 as integer) direction, cast((w >> 5) & 31 as integer) subaddress, cast(case when w & 31 = 0 then 32 else w & 31 end as integer) n_data, (w >> 11) & 31 = 31 broadcast, ((w >> 5) & 31) in (0, 31) mode_code from u")
 def command_word_fields(spark, sf_dir):
+    w, v, x = _wvx()
     rt, sa = words.command_rt(w), words.command_subaddress(w)
     return _words(spark, sf_dir).select("event_id", rt.alias("rt"), words.command_direction(w).alias("direction"), sa.alias("subaddress"), words.command_count(w).alias("n_data"), words.is_broadcast(rt).alias("broadcast"), words.is_mode_code(sa).alias("mode_code"))
 
@@ -55,29 +58,34 @@ def command_word_fields(spark, sf_dir):
   cast(w & 31 as bigint) * 3600000000 + cast((v >> 10) & 63 as bigint) * 60000000 + cast((v >> 4) & 63 as bigint) * 1000000 + ((v & 15) << 16) + x of_day,
   cast((w >> 5) & 511 as bigint) * 86400000000 + cast(w & 31 as bigint) * 3600000000 + cast((v >> 10) & 63 as bigint) * 60000000 + cast((v >> 4) & 63 as bigint) * 1000000 + ((v & 15) << 16) + x total from u""")
 def irig_unpack(spark, sf_dir):
+    w, v, x = _wvx()
     tod = words.time_of_day_us(words.irig_hour(w), words.irig_minute(v), words.irig_second(v), words.irig_micros(v, x))
     return _words(spark, sf_dir).select("event_id", words.irig_day(w).alias("day"), words.irig_freerun(w).alias("freerun"), tod.alias("of_day"), words.total_us(words.irig_day(w), tod).alias("total"))
 
 
 @query(f"with {_WORDS} select event_id, cast(w as bigint) * 65536 + v ticks, printf('0x%08X', cast(w as bigint) * 65536 + v) as rendered from u")
 def standard_unpack(spark, sf_dir):
+    w, v, x = _wvx()
     t = words.standard_ticks(w, v)
     return _words(spark, sf_dir).select("event_id", t.alias("ticks"), render.counter(t).alias("rendered"))
 
 
 @query(f"with {_WORDS} select event_id, cast(round((cast(w as double) * 65536 + v) * 1e6 / 1234567.0::double) as bigint) us from u")
 def ticks_to_us(spark, sf_dir):
+    w, v, x = _wvx()
     return _words(spark, sf_dir).select("event_id", words.ticks_to_us(words.standard_ticks(w, v), 1234567.0).alias("us"))
 
 
 @query(f"""with {_WORDS}, f as (select event_id, cast(w % 140 as integer) code, cast(v % 2 as integer) bus, cast(x % 70 as integer) n, cast(w % 2 as integer) err from u)
   select event_id, case when code <= 127 and n <= 63 then cast(code + bus * 128 + n * 256 + err * 16384 as integer) end packed from f""")
 def pack_roundtrip(spark, sf_dir):
+    w, v, x = _wvx()
     return _words(spark, sf_dir).select("event_id", words.pack_type_word(w % 140, v % 2, x % 70, w % 2).alias("packed"))
 
 
 @query(f"with {_WORDS} select event_id, cast((w >> 11) & 31 as integer) status_rt, ((w >> 11) & 31) <> ((v >> 11) & 31) mismatch from u")
 def status_rt_anomaly(spark, sf_dir):
+    w, v, x = _wvx()
     return _words(spark, sf_dir).select("event_id", words.status_rt(w).alias("status_rt"), (words.status_rt(w) != words.command_rt(v)).alias("mismatch"))
 
 
@@ -89,6 +97,7 @@ _SHAPES = _WORDS + """, s as (select event_id, cast([1, 2, 4, 8, 16, 24, 32][cas
 
 
 def _shapes(spark, sf_dir):
+    w, v, x = _wvx()
     d = _words(spark, sf_dir)
     code = F.element_at(F.array(*(F.lit(c) for c in (1, 2, 4, 8, 16, 24, 32))), (F.col("event_id") % 7 + 1).cast("int"))
     d = d.select("event_id", code.alias("code"), w, v, (4 + x % 60).alias("n_words"), (2 + F.col("event_id") % 2).cast("int").alias("ts_words"))
@@ -133,6 +142,7 @@ def status_anomalies(spark, sf_dir):
 
 @query(f"with {_WORDS} select event_id, lpad(upper(to_hex(w)), 4, '0') h from u")
 def hex_words(spark, sf_dir):
+    w, v, x = _wvx()
     return _words(spark, sf_dir).select("event_id", words.hex_word(w).alias("h"))
 
 
@@ -157,6 +167,7 @@ def render_dom(spark, sf_dir):
 @query(f"""with {_WORDS}, y as (select event_id, cast(1896 + w % 210 as integer) yr, cast(v % 370 as integer) doy from u)
   select event_id, case when doy >= 1 and doy <= case when yr % 4 = 0 and (yr % 100 <> 0 or yr % 400 = 0) then 366 else 365 end then cast(make_date(yr, 1, 1) + (doy - 1) as varchar) end "date" from y""")
 def doy_calendar(spark, sf_dir):
+    w, v, x = _wvx()
     return _words(spark, sf_dir).select("event_id", words.date_of(1896 + w % 210, v % 370).cast("string").alias("date"))
 
 
@@ -168,6 +179,7 @@ def datetime_from_doy(spark, sf_dir):
 
 @query(f"with {_WORDS}, y as (select event_id, cast(w % 4000 + 1 as integer) yr from u) select event_id, yr % 4 = 0 and (yr % 100 <> 0 or yr % 400 = 0) leap from y")
 def leap_guard(spark, sf_dir):
+    w, v, x = _wvx()
     return _words(spark, sf_dir).select("event_id", words.leap_year(w % 4000 + 1).alias("leap"))
 
 
