@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Slopes of the schedules, in turn: a source comes rather late, evenly or rather early.
 SLOPES = (0.5, 0.0, -0.5)
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def words(text: str) -> Column:

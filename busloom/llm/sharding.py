@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import numbered
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 #: Bytes that a row costs beside its text.
 ROW_BYTES = 16
 
