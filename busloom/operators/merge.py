@@ -40,7 +40,8 @@ def check_mergeable(df: DataFrame) -> None:
 def backward_files(df: DataFrame) -> DataFrame:
     """Steps back in time within a file: how many, and the first."""
     w = Window.partitionBy("file_index").orderBy("seq")
-    back = df.withColumn("__prev", F.lag("time_us").over(w)).filter(F.col("time_us") < F.col("__prev"))
+    now = F.coalesce("ticks", "time_us") if "ticks" in df.columns else F.col("time_us")
+    back = df.withColumn("__now", now).withColumn("__prev", F.lag("__now").over(w)).filter(F.col("__now") < F.col("__prev"))
     return back.groupBy("file_index").agg(F.count("*").alias("steps"), F.min("seq").alias("first_seq"))
 
 

@@ -318,3 +318,18 @@ def test_partial_merge(spark, tmp_path):
     with pytest.raises(errors.UnrecoverableSyncLoss):
         plans.decode_to_csv(spark, [lost], o)
     assert plans.decode_to_csv(spark, [lost], o, Config(allow_partial=True)).exit_code == errors.SYNC_LOSS
+
+
+def test_counter_times(spark, tmp_path):
+    """A counter that wraps isn't in order: equal times apart are runs of their own."""
+    ticks = [10, 10, 20, 10, 10]
+    rts = [5, 3, 1, 5, 2]
+    raw = b"".join(R.record("receive", R.standard(t), rt=rt, n=4) for t, rt in zip(ticks, rts, strict=True))
+    p = put(tmp_path, "s.rec", raw + R.END)
+    df = plans.table(spark, [p], ["rt", "ticks", "time_us", "timestamp", "delta"], Config(input_time_format="standard"))
+    assert [(r.rt, r.ticks) for r in df.collect()] == [(3, 10), (5, 10), (1, 20), (2, 10), (5, 10)]
+    assert {(r.time_us, r.delta) for r in df.collect()} == {(None, None)} and df.first().timestamp == "0x0000000A"
+    rated = plans.table(spark, [p], ["rt", "time_us", "delta"], Config(input_time_format="standard", standard_tick_rate_hz=2e6)).collect()
+    assert [r.time_us for r in rated] == [5, 5, 10, 5, 5] and [r.delta for r in rated if r.rt == 5] == [0.0, 0.0]
+    with pytest.raises(errors.MergeIncompatible):
+        plans.decode_to_csv(spark, [p, p], str(tmp_path / "o.csv"), Config(input_time_format="standard"))
