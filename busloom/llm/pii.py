@@ -7,7 +7,8 @@ document with the entity is sanitised there if that ratio reaches DISCLOSURE: it
 number), or removed if it reveals the entity wholly (REMOVAL).
 
 Chance is kept out: an entity must stand in at least SUPPORT different texts, and a term with it in as many, in at least
-COVER of the entity's documents. Counts are of documents, copies included; support is of different texts.
+COVER of the entity's documents. Counts are of documents, copies included; support is of different texts, and near copies
+count as one: texts are told apart by the smallest hash of their terms, which near copies mostly share.
 
 A null or empty text has no spans. Positions are code points, the end exclusive. Terms are runs of 0-9, a-z and non-ASCII,
 lower-cased in A-Z, outside base spans. Patterns run in linear time: possessive quantifiers, and no start inside a run that
@@ -106,7 +107,8 @@ def _blanked(text: Column) -> Column:
     """The text in lower case with what looks like base spans turned to spaces (as a source of terms, not of positions)."""
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for kind in KINDS:
-        out = F.regexp_replace(out, PATTERNS[kind], " ")
+        long = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # a shorter number is a term like any other
+        out = F.regexp_replace(out, long if kind == "card" else PATTERNS[kind], " ")
     return out
 
 
@@ -115,18 +117,16 @@ def _terms(text: Column) -> Column:
 
 
 def disclosures(rows: DataFrame, documents: DataFrame, text: str, disclosure: float = DISCLOSURE, support: int = SUPPORT, cover: float = COVER, max_broadcast_terms: int = 200_000) -> DataFrame:
-    """entity, term and ratio of what is disclosed, from counts over all documents. rows: what base() gives, with spans only."""
-    held = rows.select(F.md5("__text").alias("digest"), "__text", F.array_distinct(F.transform("base", lambda s: F.lower(s["value"]))).alias("entities"))
-    pairs = held.select("digest", F.explode("entities").alias("entity"))
-    known = pairs.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("digest").alias("texts")).filter(F.col("texts") >= support)
+    """entity, term and ratio of what is disclosed, from counts over all documents. rows: base, __digest and __terms of those with spans."""
+    held = rows.select("__digest", "__terms", F.array_min(F.transform("__terms", lambda t: F.xxhash64(t))).alias("sketch"), F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+    known = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("sketch").alias("texts")).filter(F.col("texts") >= support)
     known = checkpointed(known.drop("texts"))
     empty = documents.sparkSession.createDataFrame([], "entity string, term string, ratio double")
     if known.isEmpty():
         return empty
-    named = held.select("digest", "__text", F.explode("entities").alias("entity")).join(known, "entity")
-    per_text = named.groupBy("entity", "digest").agg(F.count("*").alias("copies"), F.first("__text").alias("t"), F.first("n_e").alias("n_e"))
-    termed = per_text.select("entity", "n_e", "copies", F.explode(_terms(_blanked(F.col("t")))).alias("term"))
-    together = termed.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("copies").alias("n_et"), F.count("*").alias("texts"))
+    per_text = held.join(known, "entity").groupBy("entity", "__digest").agg(F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("__terms").alias("terms"), F.first("n_e").alias("n_e"))
+    termed = per_text.select("entity", "n_e", "copies", "sketch", F.explode("terms").alias("term"))
+    together = termed.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("copies").alias("n_et"), F.count_distinct("sketch").alias("texts"))
     together = checkpointed(together.filter((F.col("texts") >= support) & (F.col("n_et") >= cover * F.col("n_e"))).drop("texts"))
     wanted = together.select("term").distinct()
     few = wanted.count()
@@ -145,7 +145,7 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", disclosu
     # one pass over the texts; those without spans aren't kept
     found = checkpointed(base(documents, key, text).select("__key", "base", F.when(F.size("base") > 0, F.col("__text")).alias("__text")))
     rows = found.filter(F.size("base") > 0).withColumn("__digest", F.md5("__text"))
-    told = disclosures(rows, documents, text, disclosure, support, cover)
+    told = disclosures(rows.withColumn("__terms", _terms(_blanked(F.col("__text")))), documents, text, disclosure, support, cover)
     per_doc = rows.select("__digest", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).distinct().join(told, "entity")
     per_doc = per_doc.groupBy("__digest", "term").agg(F.max("ratio").alias("ratio")).groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("told"))
     marked = rows.join(per_doc, "__digest", "left")

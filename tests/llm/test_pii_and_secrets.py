@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from busloom.llm import pii, secrets
@@ -62,18 +63,21 @@ def test_long_texts_run_in_linear_time(spark):
 
 def test_disclosing_terms(spark):
     """A codename that only stands beside an address is told by it; words that stand everywhere are not."""
-    rows = [(i, f"report {i} about zanzibar wrote anna@corp.example.com on topic t{i} with common words") for i in range(6)]
-    rows += [(100 + i, f"common words and other topic u{i} report about nothing on with wrote bob{i}@x.example.org") for i in range(40)]
-    rows += [(i, rows[0][1]) for i in (500, 501)] + [(700, "zanzibar alone")] * 0
+    own = lambda i: " ".join(f"{w}{random.Random(f'{i}{k}').randrange(500)}" if k % 2 else w for k, w in enumerate(cases.prose(i, 60).split()))
+    rows = [(i, f"{own(i)} zanzibar wrote anna@corp.example.com {own(50 + i)}") for i in range(14)]
+    rows += [(100 + i, f"{own(100 + i)} wrote bob{i}@x.example.org") for i in range(60)]
+    near = own(900)  # near copies of one text are no proof that its words tell anything
+    rows += [(200 + i, f"{near} quux{i} liliput 10.0.0.7") for i in range(6)]
+    rows += [(i, rows[0][1]) for i in (500, 501)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.report(df).collect()}
-    for i in (*range(6), 500, 501):
+    for i in (*range(14), 500, 501):
         text = dict(rows)[i]
         at = text.index("zanzibar")
         assert f"term:{at}:{at + 8}" in got[i].spans and got[i].n_terms == 1, got[i]
-    assert all(got[100 + i].n_terms == 0 for i in range(40))
+    assert all(got[100 + i].n_terms == 0 for i in range(60)) and all(got[200 + i].n_terms == 0 for i in range(6))
     clean = {r.doc_id: r.sanitized for r in pii.sanitize(df).collect()}
-    assert "zanzibar" not in clean[0] and "anna@" not in clean[0] and "[EMAIL]" in clean[0] and clean[100].startswith("common words")
+    assert "zanzibar" not in clean[0] and "anna@" not in clean[0] and "[EMAIL]" in clean[0] and clean[100].startswith(own(100))
 
 
 def test_linked_parts():
