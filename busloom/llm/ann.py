@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, smallest
 
 SAMPLE = 4096
 CURVES = 4
@@ -140,8 +140,8 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     if not d:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = checkpointed(rows)
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()])  # SAMPLE rows at most
     n = rows.count()
+    sample = np.array([r.v for r in smallest(rows, "id", SAMPLE, n).select("v").collect()])  # SAMPLE rows at most
     fitted = spark.sparkContext.broadcast(Curves(sample, curves, seed))  # a few rotations
     edges = np.unique(np.sort(fitted.value.keys(sample, 0))[:: max(1, len(sample) * PART // max(n, 1))])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")

@@ -49,6 +49,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def smallest(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The n rows with the smallest hash of a key, of total rows.
+
+    A threshold on the hash lets through about 2 n rows before they are sorted: else each task would send n rows.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(key))
+    if total > 3 * n >= 1000:
+        hashed = hashed.filter(F.col("__h") < int(-(1 << 63) + (1 << 64) * 2 * n / total))
+    return hashed.orderBy("__h", key).limit(n).drop("__h")
+
+
 def map_texts(df: DataFrame, keys: Sequence[str], text: str, make: Callable[[], Callable[[list], list]], columns: str) -> DataFrame:
     """Apply a per-batch text function on the executors, in Arrow batches.
 
@@ -87,10 +98,10 @@ def _named(run: Callable, columns: str, n: int) -> Callable:
     return renamed
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], spread: Column, rows_per_bucket: int, amount: Column | None = None, nullable: bool = True) -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], spread: Column, rows_per_bucket: int, amount: Column | None = None, nullable: bool = True, width: int = 64) -> DataFrame:
     """Add start: the running total of amount (1 if none) within a group, before the row, in the order (spread, order).
 
-    spread is an even 64-bit hash. A group is cut into ranges of it, each small enough for one task, so no group is ever
+    spread is an even hash of width bits (signed if 64). A group is cut into ranges of it, each small enough for one task, so no group is ever
     sorted in a single task: totals by range come first (pre-aggregated), their running totals second, and the rows of a
     range last. The number of ranges follows the number of rows.
     With nullable=False the group has no nulls, and its join needs no further shuffle.
@@ -98,7 +109,7 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], sprea
     amount = F.lit(1).cast("long") if amount is None else amount
     rows = df.count()
     bits = max(0, min(30, (max(rows, 1) // rows_per_bucket).bit_length()))
-    cut = df.withColumns({"__spread": spread, "__amount": amount}).withColumn("__range", F.expr(f"shiftright(__spread, {64 - bits})") if bits else F.lit(0).cast("long"))
+    cut = df.withColumns({"__spread": spread, "__amount": amount}).withColumn("__range", F.expr(f"shiftright(__spread, {width - bits})") if bits else F.lit(0).cast("long"))
     by = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy(*group, "__range").agg(F.sum("__amount").alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(by), F.lit(0))).drop("__sum")
     starts = starts.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__range").alias("__r"), "__base")

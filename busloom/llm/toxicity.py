@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, map_texts
+from .common import WORD_BYTES, checkpointed, map_texts, smallest
 
 MAX_PER_CLASS = 3000
 THRESHOLD = 0.7
@@ -140,8 +140,9 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 300, decay: float = 0.
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> Model:
     ids = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).filter("k is not null and y is not null").groupBy("k").agg((F.avg("y") >= 0.5).cast("int").alias("y")).filter(~held_out("k"))
-    order = [F.xxhash64("k"), F.col("k")]
-    picked = ids.filter("y = 1").orderBy(*order).limit(max_per_class).unionAll(ids.filter("y = 0").orderBy(*order).limit(max_per_class))
+    ids = checkpointed(ids)
+    n = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
+    picked = smallest(ids.filter("y = 1"), "k", max_per_class, n.get(1, 0)).unionAll(smallest(ids.filter("y = 0"), "k", max_per_class, n.get(0, 0)))
     texts = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k")  # 2 * max_per_class rows at most
     return fit([(r.t, r.y) for r in texts.groupBy("k", "y").agg(F.min("t").alias("t")).collect()])
 

@@ -60,3 +60,13 @@ def test_windows_recall_clusters(spark):
     g[np.arange(90), np.arange(0, 1800, 20)] = -9
     want = np.argsort(-g, axis=1)[:, :20]
     assert np.mean([len(got[20 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)]) >= 0.9
+
+
+def test_smallest_hashes(spark):
+    from busloom.llm.common import smallest
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000)
+    want = [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(400).collect()]
+    assert [r.id for r in smallest(df, "id", 400, 20_000).collect()] == want
+    assert smallest(df.limit(5), "id", 400, 5).count() == 5
