@@ -68,11 +68,16 @@ def _due(demand: Column, target: Column, slope: Column) -> Column:
 MAX_BROADCAST_SOURCES = 10_000
 
 
+def _hash(key: str, text: str, seed: int) -> Column:
+    """60 even bits that order the documents of a source."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def _planned(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows (source, size, hash and more) with source_size, target, slope, sums, start (words of the source before it) and quota."""
     sizes = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    ordered = numbered(rows.withColumn("__named", named), ["__named"], [F.col(c) for c in order], F.col("hash"), ROWS_PER_BUCKET, F.col("size"), nullable=False)
+    ordered = numbered(rows.withColumn("__named", named), ["__named"], [F.col(c) for c in order], F.col("hash"), ROWS_PER_BUCKET, F.col("size"), nullable=False, width=60)
     own = checkpointed(sizes.withColumn("__own", named).drop("source"))
     own = F.broadcast(own) if own.count() <= MAX_BROADCAST_SOURCES else own
     return ordered.join(own, F.col("__named") == F.col("__own")).drop("__named", "__own").withColumn("quota", F.round("target").cast("long"))
@@ -80,7 +85,7 @@ def _planned(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 8) -> DataFrame:
     """key, source, size, source_size, target, slope, sums, start (words of the source before it), quota and taken, for each row."""
-    rows = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{source}`").cast("string").alias("source"), words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`")).alias("hash"))
+    rows = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{source}`").cast("string").alias("source"), words(text).alias("size"), _hash(key, text, seed).alias("hash"))
     rows = checkpointed(rows)  # a narrow table, read several times; the texts are read once
     planned = _planned(rows, ["__key", "size"]).drop("hash")
     taken = sum((F.least(F.greatest(F.col("quota") - F.col("start") - F.col("source_size") * p, F.lit(0)), F.col("size")) for p in range(REPEATS)), F.lit(0).cast("long"))
@@ -111,5 +116,5 @@ def apply(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     A last pass that takes less than half of a document is left out; one of size 0 is never taken.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__row")
-    rows = documents.select(whole, F.col(f"`{key}`").alias("__key"), F.col(f"`{source}`").cast("string").alias("source"), words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`")).alias("hash"))
+    rows = documents.select(whole, F.col(f"`{key}`").alias("__key"), F.col(f"`{source}`").cast("string").alias("source"), words(text).alias("size"), _hash(key, text, seed).alias("hash"))
     return schedule(_planned(rows, ["__key", "size"]).drop("hash"), 0.5).select("__row.*")

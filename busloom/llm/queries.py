@@ -61,4 +61,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_html_extraction, op2_benchmark_decontamination, op3_pii, op4_secret_scan, op5_toxicity, op6_simhash_dedup, op7_token_shards, op8_mixing, op9_sharding, op10_nearest_neighbours)
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "coalesce(regexp_extract_all(" + _LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+
+SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": f"""
+with d as (select row_number() over () rid, doc_id, {_WORDS.format('text')} w from documents),
+b as (select item_id, {_WORDS.format('text')} w from benchmark),
+win as (select distinct item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') g from (select item_id, w, least(10, len(w)) n, unnest(range(1, len(w) - least(10, len(w)) + 2)) p from b where len(w) > 0)),
+lens as (select distinct n from win),
+dw as (select rid, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') g from (select rid, w, n, unnest(range(1, len(w) - n + 2)) p from d, lens where len(w) >= n)),
+hit as (select rid, item_id, p, win.n from dw join win using (n, g)),
+hw as (select rid, count(distinct q) n_hit from (select rid, unnest(range(p, p + n)) q from hit) group by rid),
+hi as (select rid, count(*) n_items, string_agg(i, ',' order by i) ids from (select distinct rid, cast(item_id as varchar) i from hit where item_id is not null) group by rid)
+select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join hw using (rid) left join hi using (rid)""",
+    "op8_mixing": """
+with s as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size, ('0x' || substr(md5(concat_ws('|', '8', cast(doc_id as varchar), text)), 1, 15))::bigint hash from documents),
+z as (select source, sum(size)::bigint source_size from s group by source),
+t1 as (select *, (row_number() over (order by source nulls last) - 1) % 3 turn, (sum(source_size) over ())::double total, source_size * 3::double cap from z),
+t2 as (select *, (case turn when 0 then 5 when 1 then 2 else 1 end)::double w, (case turn when 0 then 0.5 when 1 then 0.0 else -0.5 end)::double slope from t1),
+t3 as (select *, (total - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0::double)) / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) own from t2),
+t4 as (select *, max(case when own <= cap / w then own end) over () lev from t3),
+t5 as (select source src, source_size, coalesce(least(cap, lev * w), cap) target, slope from t4),
+o as (select doc_id, source, size, source_size, target, slope, round(target)::bigint quota, coalesce(sum(size) over (partition by source order by hash, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint start from s join t5 on s.source is not distinct from t5.src),
+k as (select *, (least(greatest(quota - start, 0), size) + least(greatest(quota - start - source_size, 0), size) + least(greatest(quota - start - 2 * source_size, 0), size))::bigint taken, least(coalesce(start::double / nullif(target, 0::double), 0::double), 1::double) y from o)
+select doc_id, size, source_size, target, taken, source, case when taken > 0 then coalesce((slope - 1 + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * y, 0::double))) / (2 * nullif(slope, 0::double)), y) end first_due from k""",
+    "op10_nearest_neighbours": """
+with e as (select distinct vec_id, cast(embedding as double[]) v from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n as (select len(v) d from e group by 1 order by count(*) desc, 1 limit 1), f as (select vec_id, v from e, n where len(v) = d),
+p as (select a.vec_id query_id, b.vec_id, list_dot_product(a.v, b.v) score from f a, f b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from p)
+select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""",
+}
