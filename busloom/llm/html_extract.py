@@ -157,6 +157,9 @@ def _tree(page: str) -> _Node:
             while node.tag == "p":
                 open_tags["p"] -= 1
                 node = node.parent
+        if node.tag == "head":  # its end tag may be left out
+            open_tags["head"] -= 1
+            node = node.parent
         if tag == node.tag == "li":
             open_tags["li"] -= 1
             node = node.parent

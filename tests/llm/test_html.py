@@ -28,6 +28,7 @@ def test_broken_pages():
     assert extract("<ARTICLE><P>up &AMP; down</P></ARTICLE>") == "up & down"
     assert extract("<article><p>" + "word, " * 50_000 + "</p></article>").count("word") == 50_000
     assert extract("<div>" * 20_000 + "deep" + "</section>" * 20_000 + "</div>" * 20_000) == "deep"
+    assert extract("<html><head><title>t</title><body><p>No end of the head, yes.</p>") == "No end of the head, yes."
     assert extract("a < b and c <3 d") == "a < b and c <3 d"
 
 
