@@ -5,8 +5,8 @@ range-partitions and sorts the vectors by it. A query meets the vectors in the b
 curve; what the windows of all curves offer is merged and reranked by the exact inner product.
 
 On data that spread evenly in many dimensions no window of keys holds all near vectors, so an exact check follows: vectors
-are dealt into parts along the first curve, each bounded by its centre and radius. A part is skipped by a query if no vector
-in it can beat the query's last neighbour so far, q.c + |q|r < score; the others are scanned in blocks. The result is exact.
+are dealt into parts along the first curve, each bounded by its centre and radius. A query is not sent to a part in which no
+vector can beat its last neighbour so far, q.c + |q|r < score; the others are scanned in blocks. The result is exact.
 
 Rotations are scaled by a sample of SAMPLE vectors, those with the smallest hash of their id; every vector is indexed. Null,
 zero and non-finite vectors take no part, nor do those with null components or ids, or whose length isn't the commonest. Rows
@@ -144,7 +144,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     sample = np.array([r.v for r in smallest(rows, "id", SAMPLE, n).select("v").collect()])  # SAMPLE rows at most
     fitted = spark.sparkContext.broadcast(Curves(sample, curves, seed))  # a few rotations
     edges = np.unique(np.sort(fitted.value.keys(sample, 0))[:: max(1, len(sample) * PART // max(n, 1))])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,22 +184,43 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
     groups = max(1, -(-(n // every + 1) // QUERIES))
 
+    part_of = np.searchsorted(edges, fitted.value.keys(sample, 0), "right")
+    centres = np.array([sample[part_of == p].mean(0) if (part_of == p).any() else sample.mean(0) for p in range(len(edges) + 1)])
+    middle = spark.sparkContext.broadcast(centres)  # at most SAMPLE + 1 vectors
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The part of each vector and its distance from the middle of it."""
         for b in batches:
-            part = np.searchsorted(edges, fitted.value.keys(_matrix(b.column(1), d), 0), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *b.columns], ["part", "id", "v"])
+            x = _matrix(b.column(1), d)
+            part = np.searchsorted(edges, fitted.value.keys(x, 0), "right")
+            away = np.sqrt(((x - middle.value[part]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *b.columns, pa.array(away)], ["part", "id", "v", "away"])
 
-    in_parts = checkpointed(rows.mapInArrow(dealt, "part int, id bigint, v array<double>"))
-    sizes = sorted((r.part, -(-r["count"] // PART)) for r in in_parts.groupBy("part").count().collect())  # at most SAMPLE + 1 parts
+    in_parts = checkpointed(rows.mapInArrow(dealt, "part int, id bigint, v array<double>, away double"))
+    found_parts = sorted(tuple(r) for r in in_parts.groupBy("part").agg(F.count("*"), F.max("away")).collect())  # at most SAMPLE + 1 parts
     bases, total = {}, 0
-    for p, m in sizes:
-        bases[p] = (total, m)
-        total += m
+    for p, count, _ in found_parts:
+        bases[p] = (total, -(-count // PART))
+        total += bases[p][1]
     table = F.create_map(*(x for p, (first, m) in bases.items() for x in (F.lit(p), F.struct(F.lit(first).alias("first"), F.lit(m).alias("n")))))
     ours = in_parts.withColumn("to", F.element_at(table, F.col("part"))).withColumn("piece", (F.col("to.first") + F.pmod(F.xxhash64("id"), F.col("to.n"))).cast("int"))
     ours = ours.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("g", "piece", F.lit(1).alias("role"), "id", "v", F.lit(None).cast("double").alias("least"))
-    asked = rows.filter(F.col("id") % every == 0).join(least, F.col("id") == F.col("query_id"), "left").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    asked = asked.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0))))).select("g", "piece", F.lit(0).alias("role"), "id", "v", "least")
+    reach = spark.sparkContext.broadcast((np.array([p for p, _, _ in found_parts]), np.array([r for _, _, r in found_parts]), [np.arange(a, a + m) for a, m in bases.values()]))
+
+    def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pieces in which each query may have nearer vectors than those it has: only these get it."""
+        parts, radius, own = reach.value
+        c = middle.value[parts]
+        for b in batches:
+            q, low = _matrix(b.column(1), d), np.nan_to_num(b.column(2).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+            most = q @ c.T + np.sqrt((q * q).sum(1))[:, None] * radius[None, :]
+            may = ~(most < (low - 1e-9 * (1 + np.abs(low)))[:, None])
+            to = [np.concatenate([own[i] for i in np.flatnonzero(m)]).tolist() if m.any() else [] for m in may]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.list_(pa.int32()))], ["id", "v", "least", "to"])
+
+    asked = rows.filter(F.col("id") % every == 0).join(least, F.col("id") == F.col("query_id"), "left").select("id", "v", "least")
+    asked = asked.mapInArrow(aimed, "id bigint, v array<double>, least double, to array<int>").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    asked = asked.withColumn("piece", F.explode("to")).select("g", "piece", F.lit(0).alias("role"), "id", "v", "least")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups of (g, piece), each sorted by role: queries first, then the vectors of the piece."""
