@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 KEY = ("rt", "subaddress", "direction")
 
 
@@ -16,14 +18,15 @@ def with_delta(df: DataFrame, scope: str = "per-file", order: tuple[str, ...] =
     """
     if scope not in ("per-file", "global"):
         raise ValueError(f"delta scope: {scope!r}")
-    by = KEY if scope == "global" else ("file_index", *KEY)
-    # records without a key spread over their own order; they'd be one hot group else
-    spread = F.when(F.col("rt").isNull(), F.xxhash64(*order))
-    w = Window.partitionBy(*by, spread).orderBy(*order)
-    before = F.last("time_us", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    if order[0] == "merge_us" and scope == "global":
+        df = blocks.last_known(df, "time_us", "__prev", [*KEY], list(order))
+    else:
+        by = KEY if scope == "global" else ("file_index", *KEY)
+        # records without a key spread over their own order; they'd be one hot group else
+        w = Window.partitionBy(*by, F.when(F.col("rt").isNull(), F.xxhash64(*order))).orderBy(*order)
+        df = df.withColumn("__prev", F.last("time_us", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     now = F.col("time_us")
     known = F.col("rt").isNotNull() & now.isNotNull()
-    df = df.withColumn("__prev", before)
     prev = F.col("__prev")
     us = F.when(known & prev.isNull(), F.lit(0).cast("long")).when(known & (now >= prev), now - prev)
     df = df.withColumn("delta_us", us).withColumn("delta", F.col("delta_us") / 1e6)

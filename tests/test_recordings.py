@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from busloom import errors
 from busloom.config import Config
-from busloom.operators import collapse, decode, delta, dump, filters, merge, order, pairing
+from busloom.operators import blocks, collapse, decode, delta, dump, filters, merge, order, pairing
 from busloom.plans import recordings as plans
 from busloom.sources import inputs
 from busloom.sources.framing import Framer, Options, Records
@@ -333,3 +333,18 @@ def test_counter_times(spark, tmp_path):
     assert [r.time_us for r in rated] == [5, 5, 10, 5, 5] and [r.delta for r in rated if r.rt == 5] == [0.0, 0.0]
     with pytest.raises(errors.MergeIncompatible):
         plans.decode_to_csv(spark, [p, p], str(tmp_path / "o.csv"), Config(input_time_format="standard"))
+
+
+@pytest.mark.parametrize("span", [60_000_000, 3])
+def test_global_gaps(spark, monkeypatch, span):
+    """Also with blocks of a few microseconds, whose edges then cut gaps."""
+    monkeypatch.setattr(blocks, "SPAN_US", span)
+    r = random.Random(span)
+    for _ in range(3):
+        files = [[(t, r.choice([None, 1, 2]), 0) for t in [r.randrange(20) for _ in range(15)]] for _ in range(2)]
+        last, want = {}, {}
+        for f, s, us, rt, _ in _merge_model(files):
+            want[f, s] = None if rt is None else 0 if rt not in last else us - last[rt] if us >= last[rt] else None
+            last[rt] = us
+        df = delta.with_delta(merge.merged(_frame(spark, [files]).drop("case")), "global", merge.ORDER)
+        assert {(x.file_index, x.seq): x.delta_us for x in df.collect()} == want
