@@ -47,25 +47,34 @@ def slots(text: str) -> int:
 
 class Model:
     def __init__(self, bias: float, weights: dict[str, float]) -> None:
-        self.bias, self.weights, self.known = bias, weights, {}
-
-    def _evidence(self, word: bytes) -> tuple[str, ...]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > _CACHE:
-                self.known.clear()
-            got = self.known[word] = tuple(f for f in features(word) if f in self.weights)
-        return got
+        self.bias, self.weights = bias, weights
+        self.seen: set[bytes] = set()  # words met lately, and what tells of those that tell anything
+        self.telling: dict[bytes, tuple[str, ...]] = {}
+        self.heads = {f.removeprefix("=")[:3] for f in weights}  # a word that starts otherwise tells nothing
+
+    def _meet(self, words: set[bytes]) -> bool:
+        """Whether any of the words tells something; new words are looked at once."""
+        new = words - self.seen
+        if len(self.seen) + len(new) > _CACHE:
+            self.seen.clear()
+            self.telling.clear()
+            new = words
+        heads = self.heads
+        for w in new:
+            if w.decode("utf-8", "replace")[:3] in heads and (got := tuple(f for f in features(w) if f in self.weights)):
+                self.telling[w] = got
+        self.seen |= new
+        return not words.isdisjoint(self.telling)
 
     def score(self, text: str | None, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
         """P of a text, and its sentences with p of at least least: start, end (code points) and p."""
         text = text or ""
         silent = slots(text)
         log_none, found = 0.0, []
-        known, evidence = self.known, self._evidence
-        if any((known.get(w) if w in known else evidence(w)) for w in set(text.encode("utf-8", "replace").translate(WORD_BYTES).split())):
+        if self._meet(set(text.encode("utf-8", "replace").translate(WORD_BYTES).split())):
+            telling = self.telling
             for m in _SENTENCE.finditer(text):
-                got = {f for w in m[0].encode("utf-8", "replace").translate(WORD_BYTES).split() for f in evidence(w)}
+                got = {f for w in m[0].encode("utf-8", "replace").translate(WORD_BYTES).split() if w in telling for f in telling[w]}
                 if got:
                     z = self.bias + sum(self.weights[f] for f in got)
                     log_none -= max(z, 0) + math.log1p(math.exp(-abs(z)))
