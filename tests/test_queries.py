@@ -30,3 +30,19 @@ def test_query(spark, duck, name):
 def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; assert len(e.queries()) >= 50 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Functions are shipped whole: the driver alone has the package on its path."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+import __spark_entry__ as e
+for q in ('collapse_window', 'op2_benchmark_decontamination', 'op5_toxicity', 'op9_sharding', 'op10_nearest_neighbours'):
+    if q in e.queries():
+        assert e.queries()[q](spark, {SF!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
