@@ -62,24 +62,24 @@ def hilbert(axes: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-class Curves:
-    """Rotations, scales and shifts, fitted on a sample."""
-
-    def __init__(self, sample: np.ndarray, curves: int, seed: int) -> None:
-        r = np.random.default_rng(seed)
-        d = sample.shape[1]
-        self.mean = sample.mean(0)
-        self.turns = []
-        for _ in range(curves):
-            turn = np.linalg.qr(r.standard_normal((d, d)))[0][:, : min(DIMS, d)]
-            got = (sample - self.mean) @ turn
-            spread = np.maximum(got.std(0), 1e-12)
-            self.turns.append((turn / spread / 6, r.random(turn.shape[1]) * 0.25))
-
-    def keys(self, vectors: np.ndarray, curve: int) -> np.ndarray:
-        turn, shift = self.turns[curve]
-        cells = ((vectors - self.mean) @ turn + 0.375 + shift) * (1 << BITS)
-        return hilbert(np.clip(np.nan_to_num(cells), 0, (1 << BITS) - 1), BITS)
+def fit(sample: np.ndarray, curves: int, seed: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The middle of a sample, and for each curve a rotation, scaled by the sample, with a shift."""
+    r = np.random.default_rng(seed)
+    d = sample.shape[1]
+    mean, turns = sample.mean(0), []
+    for _ in range(curves):
+        turn = np.linalg.qr(r.standard_normal((d, d)))[0][:, : min(DIMS, d)]
+        spread = np.maximum(((sample - mean) @ turn).std(0), 1e-12)
+        turns.append((turn / spread / 6, r.random(turn.shape[1]) * 0.25))
+    return mean, turns
+
+
+def keys_of(fitted: tuple, vectors: np.ndarray, curve: int) -> np.ndarray:
+    """The place of each vector along a curve."""
+    mean, turns = fitted
+    turn, shift = turns[curve]
+    cells = ((vectors - mean) @ turn + 0.375 + shift) * (1 << BITS)
+    return hilbert(np.clip(np.nan_to_num(cells), 0, (1 << BITS) - 1), BITS)
 
 
 def dots(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -142,15 +142,15 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     rows = checkpointed(rows)
     n = rows.count()
     sample = np.array([r.v for r in smallest(rows, "id", SAMPLE, n).select("v").collect()])  # SAMPLE rows at most
-    fitted = spark.sparkContext.broadcast(Curves(sample, curves, seed))  # a few rotations
-    edges = np.unique(np.sort(fitted.value.keys(sample, 0))[:: max(1, len(sample) * PART // max(n, 1))])
+    fitted = spark.sparkContext.broadcast(fit(sample, curves, seed))  # a few rotations
+    edges = np.unique(np.sort(keys_of(fitted.value, sample, 0))[:: max(1, len(sample) * PART // max(n, 1))])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1), d)
             for c in range(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c), pa.int32()), pa.array(fitted.value.keys(x, c), pa.int64()), *b.columns], ["curve", "key", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c), pa.int32()), pa.array(keys_of(fitted.value, x, c), pa.int64()), *b.columns], ["curve", "key", "id", "v"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted along a curve. Queries of a block meet the block before, their own and the next."""
@@ -184,7 +184,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
     groups = max(1, -(-(n // every + 1) // QUERIES))
 
-    part_of = np.searchsorted(edges, fitted.value.keys(sample, 0), "right")
+    part_of = np.searchsorted(edges, keys_of(fitted.value, sample, 0), "right")
     centres = np.array([sample[part_of == p].mean(0) if (part_of == p).any() else sample.mean(0) for p in range(len(edges) + 1)])
     middle = spark.sparkContext.broadcast(centres)  # at most SAMPLE + 1 vectors
 
@@ -192,7 +192,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
         """The part of each vector and its distance from the middle of it."""
         for b in batches:
             x = _matrix(b.column(1), d)
-            part = np.searchsorted(edges, fitted.value.keys(x, 0), "right")
+            part = np.searchsorted(edges, keys_of(fitted.value, x, 0), "right")
             away = np.sqrt(((x - middle.value[part]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *b.columns, pa.array(away)], ["part", "id", "v", "away"])
 
