@@ -24,6 +24,7 @@ from .common import checkpointed
 
 DISCLOSURE, REMOVAL = 0.9, 0.995
 SUPPORT, COVER = 4, 0.5
+MAX_BROADCAST_TEXTS = 100_000
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns as given, rewritten so that no run of characters is scanned twice. \G starts where the last match ended.
 PATTERNS = {
@@ -103,9 +104,13 @@ def base(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return df.select("__key", "__text", F.array_sort(F.concat(*lists)).alias("base"))
 
 
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _blanked(text: Column) -> Column:
     """The text in lower case with what looks like base spans turned to spaces (as a source of terms, not of positions)."""
-    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = _lower(text)
     for kind in KINDS:
         long = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # a shorter number is a term like any other
         out = F.regexp_replace(out, long if kind == "card" else PATTERNS[kind], " ")
@@ -116,28 +121,35 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
-def disclosures(rows: DataFrame, documents: DataFrame, text: str, disclosure: float = DISCLOSURE, support: int = SUPPORT, cover: float = COVER, max_broadcast_terms: int = 200_000) -> DataFrame:
-    """entity, term and ratio of what is disclosed, from counts over all documents. rows: base, __digest and __terms of those with spans."""
-    held = rows.select("__digest", "__terms", F.array_min(F.transform("__terms", lambda t: F.xxhash64(t))).alias("sketch"), F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+def term_counts(documents: DataFrame, text: str = "text") -> DataFrame:
+    """h, n_t: the documents that hold each term of the corpus, by the term's 64-bit hash. Pre-aggregated before its shuffle."""
+    words = _terms(_lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    return documents.select(F.explode(words).alias("term")).select(F.xxhash64("term").alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
+
+
+def disclosures(rows: DataFrame, documents: DataFrame, text: str, disclosure: float = DISCLOSURE, support: int = SUPPORT, cover: float = COVER) -> DataFrame:
+    """entity, term and ratio of what is disclosed, from counts over all documents. rows: base, __text and __digest of those with spans."""
+    sketch = F.array_min(F.transform(_terms(_blanked(F.col("__text"))), lambda t: F.xxhash64(t))).alias("sketch")
+    entities = F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")
+    held = checkpointed(rows.select("__digest", sketch, "base").select("__digest", "sketch", entities))
     known = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("sketch").alias("texts")).filter(F.col("texts") >= support)
     known = checkpointed(known.drop("texts"))
+    counts = checkpointed(term_counts(documents, text))  # a statistic of the whole corpus, gathered whatever the entities are
     empty = documents.sparkSession.createDataFrame([], "entity string, term string, ratio double")
     if known.isEmpty():
         return empty
-    per_text = held.join(known, "entity").groupBy("entity", "__digest").agg(F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("__terms").alias("terms"), F.first("n_e").alias("n_e"))
-    termed = per_text.select("entity", "n_e", "copies", "sketch", F.explode("terms").alias("term"))
+    per_text = checkpointed(held.join(known, "entity").groupBy("entity", "__digest").agg(F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("n_e").alias("n_e")))
+    # the terms of texts without such an entity aren't moved; beyond MAX_BROADCAST_TEXTS digests of 32 bytes the join is shuffled
+    wanted = checkpointed(per_text.select("__digest").distinct())
+    texts = rows.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_TEXTS else wanted, "__digest", "left_semi")
+    texts = texts.dropDuplicates(["__digest"]).select("__digest", F.explode(_terms(_blanked(F.col("__text")))).alias("term"))
+    termed = per_text.join(texts, "__digest")
     together = termed.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("copies").alias("n_et"), F.count_distinct("sketch").alias("texts"))
     together = checkpointed(together.filter((F.col("texts") >= support) & (F.col("n_et") >= cover * F.col("n_e"))).drop("texts"))
-    wanted = together.select("term").distinct()
-    few = wanted.count()
-    if not few:
-        return empty
-    all_terms = documents.select(F.explode(_terms(_blanked(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))).alias("term"))
-    # at most max_broadcast_terms words are sent to all tasks, so that only candidates are counted; beyond it all words are shuffled
-    counted = all_terms.join(F.broadcast(wanted) if few <= max_broadcast_terms else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     n = documents.count()
     ratio = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.nullif(F.log(F.lit(float(n)) / F.col("n_e")), F.lit(0.0))
-    return checkpointed(together.join(counted, "term").select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure))
+    counted = together.join(counts, F.xxhash64("term") == F.col("h"))
+    return checkpointed(counted.select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure))
 
 
 def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, removal: float = REMOVAL, support: int = SUPPORT, cover: float = COVER) -> DataFrame:
@@ -145,12 +157,12 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", disclosu
     # one pass over the texts; those without spans aren't kept
     found = checkpointed(base(documents, key, text).select("__key", "base", F.when(F.size("base") > 0, F.col("__text")).alias("__text")))
     rows = found.filter(F.size("base") > 0).withColumn("__digest", F.md5("__text"))
-    told = disclosures(rows.withColumn("__terms", _terms(_blanked(F.col("__text")))), documents, text, disclosure, support, cover)
+    told = disclosures(rows, documents, text, disclosure, support, cover)
     per_doc = rows.select("__digest", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).distinct().join(told, "entity")
     per_doc = per_doc.groupBy("__digest", "term").agg(F.max("ratio").alias("ratio")).groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("told"))
     marked = rows.join(per_doc, "__digest", "left")
     # what a row is made of comes from its own text, so positions are found again only where terms are told
-    lower = F.translate("__text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = _lower(F.col("__text"))
     marked = _spans(marked.withColumn("__l", lower), "__l", WORD, 4, "__words", F.col("told").isNotNull())
     chosen = F.filter("__words", lambda w: F.map_contains_key(F.col("told"), w["value"]) & ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     chosen = F.transform(chosen, lambda w: F.struct(w["start"].alias("start"), F.when(F.element_at(F.col("told"), w["value"]) >= removal, 5).otherwise(4).alias("rank"), w["end"].alias("end"), w["value"].alias("value")))
