@@ -11,10 +11,14 @@ from ..errors import ConfigError
 from .words import date_of
 
 
+def _digits(n: Column, width: int) -> Column:
+    return F.lpad(n.cast("long").cast("string"), width, "0")
+
+
 def clock(of_day_us: Column) -> Column:
     """HH:MM:SS.uuuuuu"""
     s = F.floor(of_day_us / 1_000_000)
-    return F.when(of_day_us.isNotNull(), F.format_string("%02d:%02d:%02d.%06d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60, of_day_us % 1_000_000))
+    return F.concat(_digits(F.floor(s / 3600), 2), F.lit(":"), _digits(F.floor(s / 60) % 60, 2), F.lit(":"), _digits(s % 60, 2), F.lit("."), _digits(of_day_us % 1_000_000, 6))
 
 
 def doy(day: Column, of_day_us: Column) -> Column:
@@ -31,7 +35,7 @@ def dom(year: Column, day: Column, of_day_us: Column) -> Column:
 
 
 def counter(ticks: Column) -> Column:
-    return F.when(ticks.isNotNull(), F.format_string("0x%08X", ticks.cast("long")))
+    return F.concat(F.lit("0x"), F.lpad(F.hex(ticks.cast("long")), 8, "0"))
 
 
 def zone_of(minutes: int) -> str:
@@ -50,7 +54,7 @@ def parse_offset(text: str) -> int:
 
 def seconds6(us: Column) -> Column:
     """A count of microseconds as seconds with six decimals, by integers alone."""
-    return F.when(us.isNotNull(), F.format_string("%s%d.%06d", F.when(us < 0, "-").otherwise(""), F.floor(F.abs(us) / 1_000_000), F.abs(us) % 1_000_000))
+    return F.concat(F.when(us < 0, "-").otherwise(""), F.floor(F.abs(us) / 1_000_000).cast("string"), F.lit("."), _digits(F.abs(us) % 1_000_000, 6))
 
 
 def printable(text: str) -> str:

@@ -52,15 +52,18 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
         run = [*by, "order_run"]
         ends = F.coalesce(F.col("__n.free") & (F.col("__n.run") != F.col("order_run")), F.lit(False))
         d = d.withColumn("__next_free", F.max(ends).over(Window.partitionBy(*run)))
+    # two windows: the place in the run, which gives segments by arithmetic, and what a segment holds up to a row and in all
     inside = Window.partitionBy(*run).orderBy(*position)
-    d = d.withColumn("order_segment", F.floor((F.row_number().over(inside) - 1) / max_group))
-    seg = Window.partitionBy(*run, "order_segment")
-    d = d.withColumn("__size", F.count("*").over(seg)).withColumn("__chunk", F.sum(F.col("__k").isNotNull().cast("long")).over(seg.orderBy(*position).rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("__last_seg", F.max("order_segment").over(Window.partitionBy(*run)))
-    d = d.withColumn("__anchor", F.first("__k", ignorenulls=True).over(Window.partitionBy(*run, "order_segment", "__chunk")))
-    d = d.withColumn("__anchor", F.when(F.col("__chunk") > 0, F.col("__anchor")))
-    d = d.withColumn("__last_chunk", F.max("__chunk").over(seg)).withColumn("__most", F.max("__anchor").over(seg))
-    d = d.withColumn("__last_key", F.max(F.when(F.col("__chunk") == F.col("__last_chunk"), F.col("__anchor"))).over(seg))
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns({"__at": F.row_number().over(inside) - 1, "__run_size": F.count("*").over(whole)})
+    d = d.withColumns({"order_segment": F.floor(F.col("__at") / max_group), "__last_seg": F.floor((F.col("__run_size") - 1) / max_group)})
+    d = d.withColumn("__size", F.least(F.lit(max_group).cast("long"), F.col("__run_size") - F.col("order_segment") * max_group))
+    seg = Window.partitionBy(*run, "order_segment").orderBy(*position)
+    so_far, in_all = seg.rowsBetween(Window.unboundedPreceding, 0), seg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns({
+        "__chunk": F.sum(F.col("__k").isNotNull().cast("long")).over(so_far), "__anchor": F.last("__k", ignorenulls=True).over(so_far),
+        "__most": F.max("__k").over(in_all), "__last_key": F.last("__k", ignorenulls=True).over(in_all),
+    })
     moved = F.coalesce(F.col("__most"), F.lit(-1)) != F.coalesce(F.col("__last_key"), F.lit(-1))
     arrival = (F.col("__size") == max_group) | (F.col("__next_free") & (F.col("order_segment") == F.col("__last_seg")) & moved)
     d = d.withColumn("order_key", F.when(~arrival, F.col("__anchor"))).withColumn("order_chunk", F.when(arrival, F.lit(0).cast("long")).otherwise(F.col("__chunk")))

@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from ..schema import CONTINUATION, SPURIOUS_TYPE, STANDALONE
 
-#: Fields that a continuation takes over from its parent.
-TIMES = ("time_us", "timestamp", "datetime", "ticks", "freerun", "day_of_year", "time_of_day_us")
+#: Fields that a continuation takes over from its parent; its texts of time are made of these afterwards.
+TIMES = ("time_us", "ticks", "freerun", "day_of_year", "time_of_day_us")
 
 
 def pair(decoded: DataFrame) -> DataFrame:
     """Records with the error word of spurious ones, and a continuation's time taken from its parent.
 
     Skipped records and resyncs stand between records here and break pairs; they leave afterwards. The window is by file,
-    whose order of arrival is its meaning.
+    whose order of arrival is its meaning, or by block of a file if the rows were spread.
     """
-    w = Window.partitionBy("file_index").orderBy("seq")
+    blocks = "block" in decoded.columns
+    w = Window.partitionBy("file_index", *(["block"] if blocks else [])).orderBy("seq")
     spurious = F.col("message_type") == SPURIOUS_TYPE
     opens = (F.col("kind") == "rec") & F.col("error") & ~spurious
     before = F.lag(F.struct(opens.alias("opens"), *TIMES)).over(w)
     df = decoded.withColumn("__before", before)
     follows = spurious & F.coalesce(F.col("__before.opens"), F.lit(False))
+    if blocks:
+        df = df.filter("not ghost").drop("ghost", "block")
     df = df.filter("kind = 'rec'").withColumn("__follows", follows)
-    times = {c: F.when(F.col("__follows"), F.col(f"__before.{c}")).otherwise(F.col(c)) for c in TIMES if c in decoded.columns}
+    times = {c: F.when(F.col("__follows"), F.col(f"__before.{c}")).otherwise(F.col(c)) for c in TIMES if c in df.columns}
     code = F.when(spurious, F.when(F.col("__follows"), CONTINUATION).otherwise(STANDALONE)).otherwise(F.col("error_word"))
     return df.withColumns(times | {"error_word": code}).drop("__before", "__follows")
 

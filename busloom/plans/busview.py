@@ -53,7 +53,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """Decoded and paired records of the view, with their per-file DELTA."""
-    return delta.with_delta(pairing.pair(decoding.decode(raw(spark, sf_dir), **options)))
+    return decoding.with_times(delta.with_delta(pairing.pair(decoding.decode(raw(spark, sf_dir)))), **options)
 
 
 #: The same in DuckDB's SQL: p has plain columns, b the records before pairing, r those after it, d those with DELTA.

@@ -6,6 +6,7 @@ import json
 import logging
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,12 @@ def statuses(spark: SparkSession, paths: list[str], config: Config | None = None
 def records(raw_rows: DataFrame, config: Config | None = None) -> DataFrame:
     """Decoded, paired records with their per-file DELTA. In strict mode a file ends before its first bad record."""
     c = config or Config()
-    decoded = decoding.decode(raw_rows, tick_rate_hz=c.standard_tick_rate_hz, year=c.year, utc_offset=c.utc_offset, time_format=c.output_time_format)
+    decoded = decoding.decode(decoding.spread(raw_rows), tick_rate_hz=c.standard_tick_rate_hz)
     if c.strict:
         stops = F.broadcast(decoding.first_rejects(decoded).select(F.col("file_index").alias("__f"), F.col("seq").alias("__stop")))  # a row for each file at most
         decoded = decoded.join(stops, F.col("file_index") == F.col("__f"), "left").filter("__stop is null or seq < __stop").drop("__f", "__stop")
-    return delta.with_delta(pairing.pair(decoded))
+    # texts of time last: where they aren't asked for, they are never made
+    return decoding.with_times(delta.with_delta(pairing.pair(decoded)), year=c.year, utc_offset=c.utc_offset, time_format=c.output_time_format)
 
 
 def check(raw_rows: DataFrame, found: list[dict], config: Config) -> list[RecordingError]:
@@ -80,8 +82,12 @@ def merge_recordings(recs: DataFrame, config: Config | None = None) -> DataFrame
     return out
 
 
-def analysis(spark: SparkSession, paths: list[str], config: Config | None = None) -> tuple[DataFrame, list, Outcome]:
-    """Records of one or more files, filtered; the columns that give their canonical order; and how the files ended."""
+def analysis(spark: SparkSession, paths: list[str], config: Config | None = None, held: list[DataFrame] | None = None) -> tuple[DataFrame, list, Outcome]:
+    """Records of one or more files, filtered; the columns that give their canonical order; and how the files ended.
+
+    With a list held, decoded records are persisted and put into it, so that several passes over them read the files once;
+    whoever gave the list unpersists them.
+    """
     c = config or Config()
     if len(paths) > 1 and c.mux_value is not None:
         raise UsageError("a fixed mux value is for one input")
@@ -104,6 +110,9 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
     if c.strict and (bad := [e for e in check(rows, outcome.statuses, c) if isinstance(e, (PayloadError, UnknownErrorCode))]):
         raise bad[0]
     recs = records(rows, c)
+    if held is not None:
+        recs = recs.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(recs)
     position = ("file_index", "seq")
     if len(paths) > 1:
         usable = merge.incompatible(recs)
@@ -132,14 +141,19 @@ def decode_to_csv(spark: SparkSession, paths: list[str], path: str, config: Conf
     split = c.error_mode == "separate"
     for p in (path, sink.errors_path(path)) if split else (path,):
         sink.CsvFile(p, c.no_clobber)
-    df, by, outcome = analysis(spark, paths, c)
-    sink.check_calendar(df, c.output_time_format, c.year)
-    partial = outcome.exit_code == SYNC_LOSS
-    main, errors = sink.split_rows(df) if split else (df, None)
-    outcome.files.append(sink.CsvFile(path, c.no_clobber, partial).write(main, by))
-    if errors is not None and not errors.isEmpty():
-        outcome.files.append(sink.CsvFile(sink.errors_path(path), c.no_clobber, partial).write(errors, by))
-    return outcome
+    held: list[DataFrame] = []
+    try:
+        df, by, outcome = analysis(spark, paths, c, held)
+        sink.check_calendar(df, c.output_time_format, c.year)
+        partial = outcome.exit_code == SYNC_LOSS
+        main, errors = sink.split_rows(df) if split else (df, None)
+        outcome.files.append(sink.CsvFile(path, c.no_clobber, partial).write(main, by))
+        if errors is not None and not errors.isEmpty():
+            outcome.files.append(sink.CsvFile(sink.errors_path(path), c.no_clobber, partial).write(errors, by))
+        return outcome
+    finally:
+        for x in held:
+            x.unpersist()
 
 
 def count(spark: SparkSession, path: str, config: Config | None = None) -> int:

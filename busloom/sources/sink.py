@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +93,9 @@ class CsvFile:
         try:
             with open(self.temporary, "w", newline="", encoding="utf-8") as f:
                 f.write(",".join(CSV_COLUMNS) + "\n")
-                joined = lines.select(F.concat_ws(",", *(cell(F.col(c)) for c in CSV_COLUMNS)).alias("line"))
-                for row in joined.toLocalIterator(prefetchPartitions=True):
-                    f.write(row.line + "\n")
-                    n += 1
+                for row in _chunks(lines).toLocalIterator(prefetchPartitions=True):
+                    f.write(row.text)
+                    n += row.n
                 f.flush()
                 os.fsync(f.fileno())
             self.commit()
@@ -115,6 +116,25 @@ class CsvFile:
             os.replace(self.temporary, self.path)
 
 
+#: Columns whose text comes from outside; the others are made of digits, letters and marks that need no quotes.
+FREE_TEXT = ("MUX",)
+CHUNK = 4096
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """Lines of the table, many to a row, in the order of rows."""
+    line = F.concat_ws(",", *(cell(F.col(c)) if c in FREE_TEXT else F.col(c) for c in CSV_COLUMNS)).alias("line")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            cuts = range(0, len(lines), CHUNK)
+            texts = ["\n".join(lines[i : i + CHUNK]) + "\n" for i in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([len(lines[i : i + CHUNK]) for i in cuts], pa.int64())], ["text", "n"])
+
+    return rows.select(line).mapInArrow(join, "text string, n bigint")
+
+
 def cell(c: Column) -> Column:
     """A value in quotes where it holds a quote, a comma or a line end."""
     return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)

@@ -27,12 +27,14 @@ def put(folder, name, raw):
 def rows_of(spark, raws, **options):
     frame = spark.createDataFrame([(i, f"f{i}", bytearray(r)) for i, r in enumerate(raws)], "file_index int, name string, content binary")
     raw = read_bytes(frame, **options)
-    recs = delta.with_delta(pairing.pair(decode.decode(raw.filter("kind <> 'status'"))))
+    recs = delta.with_delta(pairing.pair(decode.decode(decode.spread(raw))))
     return raw, recs
 
 
-@pytest.mark.parametrize("damage", [0, 1, 6])
-def test_against_model(spark, damage):
+@pytest.mark.parametrize(("damage", "block"), [(0, 1 << 16), (1, 4), (6, 1 << 16), (6, 1)])
+def test_against_model(spark, monkeypatch, damage, block):
+    """Also with blocks of a few rows, whose edges then cut pairs."""
+    monkeypatch.setattr(decode, "BLOCK", block)
     raws = [R.random_recording(100 * damage + s, 80, damage) for s in range(40)]
     _, recs = rows_of(spark, raws, input_time_format="irig")
     got = {}
