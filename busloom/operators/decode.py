@@ -100,7 +100,7 @@ def decode(raw: DataFrame, *, tick_rate_hz: float | None = None) -> DataFrame:
 
 
 #: Records of a file that are decoded together, once they have been framed.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 
 
 def spread(raw: DataFrame) -> DataFrame:
@@ -111,7 +111,8 @@ def spread(raw: DataFrame) -> DataFrame:
     last = F.col("seq") % BLOCK == BLOCK - 1
     here = F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     out = raw.filter("kind <> 'status'").withColumn("ghost", F.explode(here)).withColumn("block", F.floor(F.col("seq") / BLOCK) + F.col("ghost"))
-    return out.withColumn("ghost", F.col("ghost") == 1).repartition("file_index", "block")
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as decoding makes more of a row than its bytes tell
+    return out.withColumn("ghost", F.col("ghost") == 1).repartition(parts, "file_index", "block")
 
 
 def with_times(df: DataFrame, *, year: int | None = None, utc_offset: int = 0, time_format: str = "doy") -> DataFrame:

@@ -31,7 +31,7 @@ def rows_of(spark, raws, **options):
     return raw, recs
 
 
-@pytest.mark.parametrize(("damage", "block"), [(0, 1 << 16), (1, 4), (6, 1 << 16), (6, 1)])
+@pytest.mark.parametrize(("damage", "block"), [(0, 1 << 14), (1, 4), (6, 1 << 14), (6, 1)])
 def test_against_model(spark, monkeypatch, damage, block):
     """Also with blocks of a few rows, whose edges then cut pairs."""
     monkeypatch.setattr(decode, "BLOCK", block)
