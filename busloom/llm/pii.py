@@ -8,7 +8,8 @@ number), or removed if it reveals the entity wholly (REMOVAL).
 
 Chance is kept out: an entity must stand in at least SUPPORT different texts, and a term with it in as many, in at least
 COVER of the entity's documents. Counts are of documents, copies included; support is of different texts, and near copies
-count as one: texts are told apart by the smallest hash of their terms, which near copies mostly share.
+count as one: a text counts as the first, by digest, of the entity's texts whose terms are like its own (a Jaccard
+similarity of NEAR, estimated from the smallest hash in each of 128 bins). Texts that merely share common words stay apart.
 
 A null or empty text has no spans. Positions are code points, the end exclusive. Terms are runs of 0-9, a-z and non-ASCII,
 lower-cased in A-Z, outside base spans. Patterns run in linear time: possessive quantifiers, and no start inside a run that
@@ -25,6 +26,8 @@ from .common import checkpointed
 DISCLOSURE, REMOVAL = 0.9, 0.995
 SUPPORT, COVER = 4, 0.5
 MAX_BROADCAST_TEXTS = 100_000
+#: Near copies: the similarity, and how many bits of a hash name its bin and its band of bins.
+NEAR, BIN_BITS, BAND_BITS = 0.8, 7, 4
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns as given, rewritten so that no run of characters is scanned twice. \G starts where the last match ended.
 PATTERNS = {
@@ -127,24 +130,52 @@ def term_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(F.explode(words).alias("term")).select(F.xxhash64("term").alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
 
 
+def _bin(h: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits)
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """__digest, mins (the smallest hash of the terms in each bin) and keys (a hash of each band of bins that isn't empty) of __digest, __text."""
+    hashes = F.array_sort(F.transform(_terms(_blanked(F.col("__text"))), lambda t: F.xxhash64(t)))
+    first = lambda h, i: (i == 0) | (_bin(h, BIN_BITS) != _bin(F.get("h", i - 1), BIN_BITS))
+    mins = texts.select("__digest", hashes.alias("h")).select("__digest", F.filter("h", first).alias("mins"))
+    bands = [F.filter("mins", lambda h, b=b: _bin(h, BAND_BITS) == b) for b in range(1 << BAND_BITS)]
+    keys = F.array_compact(F.array(*(F.when(F.size(x) > 0, F.xxhash64(F.lit(b), x)) for b, x in enumerate(bands))))
+    return mins.select("__digest", "mins", keys.alias("keys"))
+
+
+def different(per_text: DataFrame, texts: DataFrame) -> DataFrame:
+    """per_text (entity, __digest and more) with group: the digest of the text that a near copy counts as, within an entity.
+
+    Texts that agree on a band of bins are compared with the first of them only, so that n near copies make no n * n pairs.
+    """
+    own = checkpointed(signatures(texts))
+    keys = checkpointed(per_text.select("entity", "__digest").join(own.select("__digest", F.explode("keys").alias("key")), "__digest"))
+    firsts = keys.groupBy("entity", "key").agg(F.min("__digest").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = keys.join(firsts, ["entity", "key"]).filter("__digest != first").select("entity", "__digest", "first").distinct()
+    pairs = pairs.join(own.select("__digest", F.col("mins").alias("a")), "__digest").join(own.select(F.col("__digest").alias("first"), F.col("mins").alias("b")), "first")
+    bins = F.size(F.array_distinct(F.transform(F.array_union("a", "b"), lambda h: _bin(h, BIN_BITS))))
+    near = pairs.filter(F.size(F.array_intersect("a", "b")) >= NEAR * bins).groupBy("entity", "__digest").agg(F.min("first").alias("first"))
+    return per_text.join(near, ["entity", "__digest"], "left").withColumn("group", F.coalesce("first", "__digest")).drop("first")
+
+
 def disclosures(rows: DataFrame, documents: DataFrame, text: str, disclosure: float = DISCLOSURE, support: int = SUPPORT, cover: float = COVER) -> DataFrame:
     """entity, term and ratio of what is disclosed, from counts over all documents. rows: base, __text and __digest of those with spans."""
-    sketch = F.array_min(F.transform(_terms(_blanked(F.col("__text"))), lambda t: F.xxhash64(t))).alias("sketch")
     entities = F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")
-    held = checkpointed(rows.select("__digest", sketch, "base").select("__digest", "sketch", entities))
-    known = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("sketch").alias("texts")).filter(F.col("texts") >= support)
-    known = checkpointed(known.drop("texts"))
+    held = checkpointed(rows.select("__digest", entities).groupBy("entity", "__digest").agg(F.count("*").alias("copies")))
+    # digests are no fewer than different texts
+    known = checkpointed(held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).drop("texts"))
     counts = checkpointed(term_counts(documents, text))  # a statistic of the whole corpus, gathered whatever the entities are
     empty = documents.sparkSession.createDataFrame([], "entity string, term string, ratio double")
     if known.isEmpty():
         return empty
-    per_text = checkpointed(held.join(known, "entity").groupBy("entity", "__digest").agg(F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("n_e").alias("n_e")))
-    # the terms of texts without such an entity aren't moved; beyond MAX_BROADCAST_TEXTS digests of 32 bytes the join is shuffled
-    wanted = checkpointed(per_text.select("__digest").distinct())
-    texts = rows.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_TEXTS else wanted, "__digest", "left_semi")
-    texts = texts.dropDuplicates(["__digest"]).select("__digest", F.explode(_terms(_blanked(F.col("__text")))).alias("term"))
+    per_text = checkpointed(held.join(known, "entity"))
+    per_text = checkpointed(different(per_text, _wanted(rows, per_text)))
+    known = per_text.groupBy("entity").agg(F.count_distinct("group").alias("texts")).filter(F.col("texts") >= support).select("entity")
+    per_text = checkpointed(per_text.join(known, "entity"))
+    texts = _wanted(rows, per_text).select("__digest", F.explode(_terms(_blanked(F.col("__text")))).alias("term"))
     termed = per_text.join(texts, "__digest")
-    together = termed.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("copies").alias("n_et"), F.count_distinct("sketch").alias("texts"))
+    together = termed.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("copies").alias("n_et"), F.count_distinct("group").alias("texts"))
     together = checkpointed(together.filter((F.col("texts") >= support) & (F.col("n_et") >= cover * F.col("n_e"))).drop("texts"))
     n = documents.count()
     ratio = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.nullif(F.log(F.lit(float(n)) / F.col("n_e")), F.lit(0.0))
@@ -152,6 +183,13 @@ def disclosures(rows: DataFrame, documents: DataFrame, text: str, disclosure: fl
     return checkpointed(counted.select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure))
 
 
+def _wanted(rows: DataFrame, per_text: DataFrame) -> DataFrame:
+    """__digest and __text of the texts of per_text, once each. Beyond MAX_BROADCAST_TEXTS digests of 32 bytes the join is shuffled."""
+    wanted = checkpointed(per_text.select("__digest").distinct())
+    few = wanted.count() <= MAX_BROADCAST_TEXTS
+    return rows.join(F.broadcast(wanted) if few else wanted, "__digest", "left_semi").dropDuplicates(["__digest"]).select("__digest", "__text")
+
+
 def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, removal: float = REMOVAL, support: int = SUPPORT, cover: float = COVER) -> DataFrame:
     """key, base, terms (start, rank, end, value; rank 4: generalised, 5: removed), all spans, and the text where there are any."""
     # one pass over the texts; those without spans aren't kept

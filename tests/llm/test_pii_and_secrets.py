@@ -80,6 +80,26 @@ def test_disclosing_terms(spark):
     assert "zanzibar" not in clean[0] and "anna@" not in clean[0] and "[EMAIL]" in clean[0] and clean[100].startswith(own(100))
 
 
+def shared_words(i, common=120, own=40):
+    """Texts of many common words and some of their own: a Jaccard similarity of 0.6."""
+    words = [f"common{k}" for k in range(common)] + [f"own{i}x{k}" for k in range(own)]
+    random.Random(i).shuffle(words)
+    return " ".join(words)
+
+
+def test_long_texts_with_common_words_are_different(spark):
+    rows = [(i, f"{shared_words(i)} zanzibar anna@corp.example.com") for i in range(5)]
+    rows += [(100 + i, shared_words(100 + i)) for i in range(200)]
+    near = shared_words(900)
+    rows += [(400 + i, f"{near} quux{i} liliput 10.0.0.7") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    for i in range(5):
+        at = rows[i][1].index("zanzibar")
+        assert got[i].n_terms == 1 and f"term:{at}:{at + 8}" in got[i].spans, got[i]
+    assert all(r.n_terms == 0 for k, r in got.items() if k >= 10)
+
+
 def test_linked_parts():
     key = "Zx9Kq2Lm7Rt4Vb8Nw3Ps6Yd1"
     text = f"user_id: deploy-bot key {key} host = db.internal.example"
