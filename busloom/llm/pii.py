@@ -91,18 +91,20 @@ def _spans(df: DataFrame, text: str, pattern: str, rank: int, out: str, needs: C
     return df.withColumn(out, F.when(F.size("__m") > 0, F.expr(_placed(str(rank), pattern, text, "__m", "__p"))).otherwise(F.expr(empty))).drop("__m", "__p")
 
 
+def _needs(kind: str, text: Column) -> Column:
+    if kind == "card":
+        return text.rlike(r"[0-9](?:[\x20-]?+[0-9]){11}")
+    if kind == "ip":
+        return text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
+    return F.contains(text, F.lit(NEEDS[kind]))
+
+
 def base(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text and base: array of (start, rank of the kind, end, value), by start and kind."""
     df = documents.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     lists = []
     for rank, kind in enumerate(KINDS):
-        if kind == "card":
-            needs = F.col("__text").rlike(r"[0-9](?:[\x20-]?+[0-9]){11}")
-        elif kind == "ip":
-            needs = F.col("__text").rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
-        else:
-            needs = F.contains(F.col("__text"), F.lit(NEEDS[kind]))
-        df = _spans(df, "__text", PATTERNS[kind], rank, f"__{kind}", needs)
+        df = _spans(df, "__text", PATTERNS[kind], rank, f"__{kind}", _needs(kind, F.col("__text")))
         lists.append(F.filter(f"__{kind}", _checked(kind)))
     return df.select("__key", "__text", F.array_sort(F.concat(*lists)).alias("base"))
 
@@ -112,12 +114,16 @@ def _lower(text: Column) -> Column:
 
 
 def _blanked(text: Column) -> Column:
-    """The text in lower case with what looks like base spans turned to spaces (as a source of terms, not of positions)."""
+    """The text in lower case with what looks like base spans turned to spaces (as a source of terms, not of positions).
+
+    Most texts hold nothing that a pattern needs, and are only lower-cased.
+    """
     out = _lower(text)
     for kind in KINDS:
         long = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # a shorter number is a term like any other
         out = F.regexp_replace(out, long if kind == "card" else PATTERNS[kind], " ")
-    return out
+    some = _needs("email", text) | _needs("phone", text) | _needs("ip", text) | _needs("card", text)
+    return F.when(some, out).otherwise(_lower(text))
 
 
 def _terms(text: Column) -> Column:
@@ -125,8 +131,8 @@ def _terms(text: Column) -> Column:
 
 
 def term_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """h, n_t: the documents that hold each term of the corpus, by the term's 64-bit hash. Pre-aggregated before its shuffle."""
-    words = _terms(_lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    """h, n_t: the documents that hold each term of the corpus outside what looks like base spans, by the term's 64-bit hash. Pre-aggregated before its shuffle."""
+    words = _terms(_blanked(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
     return documents.select(F.explode(words).alias("term")).select(F.xxhash64("term").alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
 
 

@@ -100,6 +100,20 @@ def test_long_texts_with_common_words_are_different(spark):
     assert all(r.n_terms == 0 for k, r in got.items() if k >= 10)
 
 
+def test_words_inside_spans_are_no_terms(spark):
+    """A name that stands outside addresses only beside its own is told by it, whoever else has it in an address."""
+    rows = [(i, f"{shared_words(i)} anna wrote anna@corp.example.com") for i in range(8)]
+    rows += [(100 + i, f"{shared_words(100 + i)} wrote anna@other{i}.example.org or 10.0.0.{i} or +49 30 1234{i:04} or 4111111111111111") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {r.h: r.n_t for r in pii.term_counts(df).collect()}
+    hashes = spark.range(1).selectExpr("xxhash64('anna') a", "xxhash64('corp') c", "xxhash64('wrote') w").first()
+    assert counts[hashes.a] == 8 and hashes.c not in counts and counts[hashes.w] == 68
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    for i in range(8):
+        at = rows[i][1].index("anna")
+        assert got[i].n_terms == 1 and f"term:{at}:{at + 4}" in got[i].spans, got[i]
+
+
 def test_linked_parts():
     key = "Zx9Kq2Lm7Rt4Vb8Nw3Ps6Yd1"
     text = f"user_id: deploy-bot key {key} host = db.internal.example"
