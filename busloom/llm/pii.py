@@ -6,10 +6,12 @@ information log(N * n(entity, term) / (n(entity) * n(term))) against the entity'
 document with the entity is sanitised there if that ratio reaches DISCLOSURE: it is generalised to its class (a word, a
 number), or removed if it reveals the entity wholly (REMOVAL).
 
-Chance is kept out: an entity must stand in at least SUPPORT different texts, and a term with it in as many, in at least
-COVER of the entity's documents. Counts are of documents, copies included; support is of different texts, and near copies
-count as one: a text counts as the first, by digest, of the entity's texts whose terms are like its own (a Jaccard
-similarity of NEAR, estimated from the smallest hash in each of 128 bins). Texts that merely share common words stay apart.
+Chance is kept out by a test, not by a least count: if the documents that hold a term held the entity no more often than any
+document does, would a of the term's n documents hold it? The binomial probability of that, by Chernoff's bound, times the
+number of terms of the corpus must be below CHANCE. For the test, the entity's documents are counted as different texts, of
+which near copies are one: a text counts as the first, by digest, of the entity's texts whose terms are like its own (a
+Jaccard similarity of NEAR, estimated from the smallest hash in each of 128 bins). The term's other documents count as they
+are. A single text proves nothing by this test, unless the corpus has far fewer terms than documents. The ratio is of documents, copies included.
 
 A null or empty text has no spans. Positions are code points, the end exclusive. Terms are runs of 0-9, a-z and non-ASCII,
 lower-cased in A-Z, outside base spans. Patterns run in linear time: possessive quantifiers, and no start inside a run that
@@ -18,13 +20,16 @@ has failed already. Repeated rows give repeated results. Columns other than key
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 DISCLOSURE, REMOVAL = 0.9, 0.995
-SUPPORT, COVER = 4, 0.5
+#: How many terms an entity may have by chance.
+CHANCE = 0.01
 MAX_BROADCAST_TEXTS = 100_000
 #: Near copies: the similarity, and how many bits of a hash name its bin and its band of bins.
 NEAR, BIN_BITS, BAND_BITS = 0.8, 7, 4
@@ -165,28 +170,40 @@ def different(per_text: DataFrame, texts: DataFrame) -> DataFrame:
     return per_text.join(near, ["entity", "__digest"], "left").withColumn("group", F.coalesce("first", "__digest")).drop("first")
 
 
-def disclosures(rows: DataFrame, documents: DataFrame, text: str, disclosure: float = DISCLOSURE, support: int = SUPPORT, cover: float = COVER) -> DataFrame:
+def _surprise(a: Column, n: Column, rate: Column) -> Column:
+    """The least -log of the probability that a or more of n hit, at a rate each (Chernoff's bound; exact if all hit)."""
+    missed = F.when(n > a, (n - a) * F.log((n - a) / (n * (1 - rate)))).otherwise(0.0)
+    return F.when(a > n * rate, a * F.log(a / (n * rate)) + missed).otherwise(0.0)
+
+
+def disclosures(rows: DataFrame, documents: DataFrame, text: str, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """entity, term and ratio of what is disclosed, from counts over all documents. rows: base, __text and __digest of those with spans."""
     entities = F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")
     held = checkpointed(rows.select("__digest", entities).groupBy("entity", "__digest").agg(F.count("*").alias("copies")))
-    # digests are no fewer than different texts
-    known = checkpointed(held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).drop("texts"))
     counts = checkpointed(term_counts(documents, text))  # a statistic of the whole corpus, gathered whatever the entities are
+    n = float(documents.count())
+    least = math.log(max(counts.count(), 1) / chance)
+    # no term passes for an entity in fewer texts: a rate is 1 / n at least, and digests are no fewer than different texts
+    known = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") * math.log(max(n, 1)) > least).drop("texts")
+    known = checkpointed(known)
     empty = documents.sparkSession.createDataFrame([], "entity string, term string, ratio double")
     if known.isEmpty():
         return empty
     per_text = checkpointed(held.join(known, "entity"))
     per_text = checkpointed(different(per_text, _wanted(rows, per_text)))
-    known = per_text.groupBy("entity").agg(F.count_distinct("group").alias("texts")).filter(F.col("texts") >= support).select("entity")
+    rate = (F.col("texts") / (n - F.col("n_e") + F.col("texts"))).alias("rate")
+    known = per_text.groupBy("entity").agg(F.count_distinct("group").alias("texts"), F.first("n_e").alias("n_e")).select("entity", "texts", rate)
+    known = known.filter(-F.col("texts") * F.log("rate") > least).drop("texts")  # what a term in all of the texts, and nowhere else, comes to
     per_text = checkpointed(per_text.join(known, "entity"))
     texts = _wanted(rows, per_text).select("__digest", F.explode(_terms(_blanked(F.col("__text")))).alias("term"))
     termed = per_text.join(texts, "__digest")
-    together = termed.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("copies").alias("n_et"), F.count_distinct("group").alias("texts"))
-    together = checkpointed(together.filter((F.col("texts") >= support) & (F.col("n_et") >= cover * F.col("n_e"))).drop("texts"))
-    n = documents.count()
-    ratio = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.nullif(F.log(F.lit(float(n)) / F.col("n_e")), F.lit(0.0))
+    together = termed.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.first("rate").alias("rate"), F.sum("copies").alias("n_et"), F.count_distinct("group").alias("texts"))
+    # a term passes in no fewer texts than it would if it stood nowhere else
+    together = checkpointed(together.filter(-F.col("texts") * F.log("rate") > least))
+    ratio = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.nullif(F.log(F.lit(n) / F.col("n_e")), F.lit(0.0))
     counted = together.join(counts, F.xxhash64("term") == F.col("h"))
-    return checkpointed(counted.select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure))
+    surprise = _surprise(F.col("texts"), F.col("texts") + F.col("n_t") - F.col("n_et"), F.col("rate"))
+    return checkpointed(counted.filter(surprise > least).select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure))
 
 
 def _wanted(rows: DataFrame, per_text: DataFrame) -> DataFrame:
@@ -196,12 +213,12 @@ def _wanted(rows: DataFrame, per_text: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(wanted) if few else wanted, "__digest", "left_semi").dropDuplicates(["__digest"]).select("__digest", "__text")
 
 
-def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, removal: float = REMOVAL, support: int = SUPPORT, cover: float = COVER) -> DataFrame:
+def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, removal: float = REMOVAL, chance: float = CHANCE) -> DataFrame:
     """key, base, terms (start, rank, end, value; rank 4: generalised, 5: removed), all spans, and the text where there are any."""
     # one pass over the texts; those without spans aren't kept
     found = checkpointed(base(documents, key, text).select("__key", "base", F.when(F.size("base") > 0, F.col("__text")).alias("__text")))
     rows = found.filter(F.size("base") > 0).withColumn("__digest", F.md5("__text"))
-    told = disclosures(rows, documents, text, disclosure, support, cover)
+    told = disclosures(rows, documents, text, disclosure, chance)
     per_doc = rows.select("__digest", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).distinct().join(told, "entity")
     per_doc = per_doc.groupBy("__digest", "term").agg(F.max("ratio").alias("ratio")).groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("told"))
     marked = rows.join(per_doc, "__digest", "left")

@@ -114,6 +114,18 @@ def test_words_inside_spans_are_no_terms(spark):
         assert got[i].n_terms == 1 and f"term:{at}:{at + 4}" in got[i].spans, got[i]
 
 
+def test_terms_in_few_of_the_documents(spark):
+    """A codename in 8 of an address's 20 documents, and one in all 3 texts of an IP, are told; words that stand once are not."""
+    rows = [(i, f"{shared_words(i, 20, 4)} {'zanzibar ' * (i < 8)}anna@corp.example.com") for i in range(20)]
+    rows += [(50 + i, f"{shared_words(50 + i, 20, 4)} liliput 10.0.0.7") for i in range(3)]
+    rows += [(100 + i, shared_words(100 + i, 20, 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    for i, t in rows:
+        at, word = next(((t.index(w), w) for w in ("zanzibar", "liliput") if w in t), (0, ""))
+        assert got[i].n_terms == bool(word) and (not word or f"term:{at}:{at + len(word)}" in got[i].spans), got[i]
+
+
 def test_linked_parts():
     key = "Zx9Kq2Lm7Rt4Vb8Nw3Ps6Yd1"
     text = f"user_id: deploy-bot key {key} host = db.internal.example"
