@@ -6,7 +6,7 @@ to the document labels by likelihood, and then tell which sentences offend. Feat
 text is the only input of a score.
 
 The classifier is fitted on at most MAX_PER_CLASS labelled documents of either label, those with the smallest hash of the
-id; everything else reads all rows. Labelled ids with crc32(id) mod 3 = 1 are held out. Null labels and ids are not learned
+id, and each class weighs as much as all its labelled ids (held-out ones aside); everything else reads all rows. Labelled ids with crc32(id) mod 3 = 1 are held out. Null labels and ids are not learned
 from; an id with several labels counts as toxic if half of them say so; one with several texts is learned by its smallest
 text, and equal texts once. Without labelled toxic documents all scores are the (small) base rate. A null or empty text scores as one sentence
 without evidence. Columns other than the named ones are not read.
@@ -85,8 +85,8 @@ class Model:
         return 1 - math.exp(log_none), found
 
 
-def fit(rows: list[tuple[str | None, int]], rounds: int = 300, decay: float = 0.002) -> Model:
-    """The noisy-or model of labelled texts."""
+def fit(rows: list[tuple[str | None, int]], rounds: int = 300, decay: float = 0.002, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """The noisy-or model of labelled texts. weights: how many labelled documents a clean and a toxic text stands for."""
     rows = list({t or "": (t or "", int(y)) for t, y in sorted(rows, key=lambda r: (r[0] or "", r[1]))}.values())
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
@@ -131,13 +131,15 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 300, decay: float = 0.
                     left -= 1
         silent[d] = left
     sent_doc, feat_sent, feat_id = (np.array(x, dtype=np.int64) for x in (sent_doc, feat_sent, feat_id))
+    weight = np.where(y > 0, weights[1], weights[0])
+    weight *= len(rows) / weight.sum()  # the decay is against as many rows as there are
     theta = np.concatenate([[-7.0], np.full(len(kept), 3.0)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):  # Adam on the mean negative log-likelihood
         z = theta[0] + np.bincount(feat_sent, theta[1:][feat_id], len(sent_doc)) if len(sent_doc) else np.zeros(0)
         none = np.bincount(sent_doc, np.logaddexp(0, z), len(rows)) + silent * np.logaddexp(0, theta[0])
         big = np.maximum(-np.expm1(-none), 1e-12)
-        push = np.where(y > 0, -np.exp(-none) / big, 1.0)
+        push = weight * np.where(y > 0, -np.exp(-none) / big, 1.0)
         gs = push[sent_doc] / (1 + np.exp(-z)) if len(sent_doc) else z
         g = np.concatenate([[gs.sum() + (push * silent).sum() / (1 + np.exp(-theta[0]))], np.bincount(feat_id, gs[feat_sent], len(kept)) if len(kept) else []])
         g[1:] += decay * theta[1:]
@@ -153,7 +155,8 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     n = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
     picked = smallest(ids.filter("y = 1"), "k", max_per_class, n.get(1, 0)).unionAll(smallest(ids.filter("y = 0"), "k", max_per_class, n.get(0, 0)))
     texts = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k")  # 2 * max_per_class rows at most
-    return fit([(r.t, r.y) for r in texts.groupBy("k", "y").agg(F.min("t").alias("t")).collect()])
+    stands = tuple(max(1.0, n.get(y, 0) / max_per_class) for y in (0, 1))
+    return fit([(r.t, r.y) for r in texts.groupBy("k", "y").agg(F.min("t").alias("t")).collect()], weights=stands)
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -33,6 +33,20 @@ def test_held_out_accuracy_and_offenders(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in labels if not t]
 
 
+def test_long_clean_text_keeps_its_score_as_labels_grow(spark):
+    """Toxic texts without evidence push the base rate up; clean ones beyond the sample still hold it down."""
+    docs, labels = [], []
+    for i in range(1200):
+        docs.append((i, cases.prose(i, 30)))
+        labels.append((i, int(i % 10 == 0)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    sampled, whole = (X.train(d, lab, max_per_class=n) for n in (100, 5000))
+    long = "Some plain words. " * 100
+    a, b = sampled.score(long)[0], whole.score(long)[0]
+    assert abs(sampled.bias - whole.bias) < 0.4 and abs(a - b) < 0.1, (sampled.bias, whole.bias, a, b)
+
+
 def test_held_out_labels_have_no_say(spark):
     docs, labels = labelled(120)
     d = spark.createDataFrame(docs, "doc_id long, text string")
