@@ -144,7 +144,6 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     sample = np.array([r.v for r in smallest(rows, "id", SAMPLE, n).select("v").collect()])  # SAMPLE rows at most
     fitted = spark.sparkContext.broadcast(fit(sample, curves, seed))  # a few rotations
     edges = np.unique(np.sort(keys_of(fitted.value, sample, 0))[:: max(1, len(sample) * PART // max(n, 1))])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

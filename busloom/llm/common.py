@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -19,10 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
-    """Keep the Arrow batches sent to Python workers small, by rows and by bytes, so that long texts fit in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+#: Rows that a function on texts looks at together. Spark bounds the bytes of a batch (maxBytesPerBatch), not what a function makes of it.
+ROWS_AT_ONCE = 512
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, a bounded number at a time, whatever the session's batch size is."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def cached(shared, build: Callable):
+    """build(shared.value), made once in each worker process: a broadcast stays there from task to task."""
+    if getattr(shared, "_built", None) is None:
+        shared._built = build(shared.value)
+    return shared._built
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,13 +53,57 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_MADE: list[str] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the shared folder: a lost executor loses none of them."""
     spark = df.sparkSession
     folder = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        _MADE.append(file.get())
+    return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, without order, from a compressed table in the shared folder: for wide rows, of which a step needs few columns."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def made() -> int:
+    """How many checkpoints and tables there are so far."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the checkpoints and tables made since there were so many. Only for a caller that has written all results that hang on them."""
+    while len(_MADE) > since:
+        remove(spark, _MADE.pop())
+
+
+def hot_keys(counted: DataFrame, key: str, n: str, total: int, share: int = 1000) -> DataFrame:
+    """key (as __hot) of the keys that hold over a share-th of total rows: fewer than share of them, whatever the table's size."""
+    return counted.filter(F.col(n) > max(100, total // share)).select(F.col(key).alias("__hot"))
+
+
+def spread_join(rows: DataFrame, own: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined by key with own, which has each key once. Rows of the few hot keys stay where they are, and own's come to them."""
+    few = F.broadcast(hot)  # under a thousand keys, see hot_keys
+    on = F.col(key) == F.col("__hot")
+    theirs = F.broadcast(own.join(few, on, "left_semi"))
+    return rows.join(few, on, "left_anti").join(own, key).unionByName(rows.join(theirs, key))
 
 
 def smallest(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
@@ -66,7 +123,6 @@ def map_texts(df: DataFrame, keys: Sequence[str], text: str, make: Callable[[],
     make() runs once in each task and returns the function; that gets the texts (None for null) and returns one list or
     Arrow array for each of the columns (a DDL string). Only keys and text are read, so further columns never clash.
     """
-    bound_batches(df.sparkSession)
     picked = df.select(*(F.col(f"`{k}`") for k in keys), F.col(f"`{text}`").cast("string").alias("__text"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     n = len(keys)
@@ -74,7 +130,7 @@ def map_texts(df: DataFrame, keys: Sequence[str], text: str, make: Callable[[],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         names = None
-        for batch in batches:
+        for batch in pieces(batches):
             out = [x if isinstance(x, pa.Array) else pa.array(x) for x in apply(batch.column(n).to_pylist())]
             names = names or [*batch.schema.names[:n], *(f"c{i}" for i in range(len(out)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out], names)
@@ -98,20 +154,29 @@ def _named(run: Callable, columns: str, n: int) -> Callable:
     return renamed
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], spread: Column, rows_per_bucket: int, amount: Column | None = None, nullable: bool = True, width: int = 64) -> DataFrame:
-    """Add start: the running total of amount (1 if none) within a group, before the row, in the order (spread, order).
+def identities(key: str, text: str) -> list[Column]:
+    """Two hashes that tell rows apart by key and text; rows equal in both may stand for each other."""
+    return [F.xxhash64(F.col(key), F.lit(1), F.col(text)).alias("__id1"), F.xxhash64(F.col(text), F.lit(2), F.col(key)).alias("__id2")]
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], spread: Column, rows_per_bucket: int, amount: Column | None = None, nullable: bool = True, width: int = 64, ranges: Column | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Add start: the running total of amount (1 if none) within a group, before the row, in the order (ranges, spread, order).
 
     spread is an even hash of width bits (signed if 64). A group is cut into ranges of it, each small enough for one task, so no group is ever
     sorted in a single task: totals by range come first (pre-aggregated), their running totals second, and the rows of a
-    range last. The number of ranges follows the number of rows.
-    With nullable=False the group has no nulls, and its join needs no further shuffle.
+    range last. The number of ranges follows the number of rows. Ranges that are there already, such as the files of an ordered table, may be given instead.
+    With nullable=False the group has no nulls, and its join needs no further shuffle. totals has the same rows as df without
+    what only df needs, and is read for the totals in its place.
     """
     amount = F.lit(1).cast("long") if amount is None else amount
-    rows = df.count()
-    bits = max(0, min(30, (max(rows, 1) // rows_per_bucket).bit_length()))
-    cut = df.withColumns({"__spread": spread, "__amount": amount}).withColumn("__range", F.expr(f"shiftright(__spread, {width - bits})") if bits else F.lit(0).cast("long"))
+    if ranges is None:
+        rows = (df if totals is None else totals).count()
+        bits = max(0, min(30, (max(rows, 1) // rows_per_bucket).bit_length()))
+        ranges = F.shiftright(spread, width - bits) if bits else F.lit(0).cast("long")
+    cut = df.withColumns({"__spread": spread, "__amount": amount, "__range": ranges})
+    summed = cut if totals is None else totals.withColumns({"__amount": amount, "__range": ranges})
     by = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy(*group, "__range").agg(F.sum("__amount").alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(by), F.lit(0))).drop("__sum")
+    starts = summed.groupBy(*group, "__range").agg(F.sum("__amount").alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(by), F.lit(0))).drop("__sum")
     starts = starts.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__range").alias("__r"), "__base")
     inner = Window.partitionBy(*group, "__range").orderBy("__spread", *order).rowsBetween(Window.unboundedPreceding, -1)
     on = F.col("__range") == F.col("__r")

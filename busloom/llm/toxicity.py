@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, checkpointed, map_texts, smallest
+from .common import WORD_BYTES, checkpointed, map_texts, pieces, smallest
 
 MAX_PER_CLASS = 3000
 THRESHOLD = 0.7
@@ -181,9 +181,6 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
 
 def keep_clean(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """documents without the rows that score threshold or more; all columns stay."""
-    from .common import bound_batches
-
-    bound_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     at = documents.columns.index(text)
 
@@ -191,7 +188,7 @@ def keep_clean(documents: DataFrame, model: Model, text: str = "text", threshold
         import pyarrow as pa
 
         m = Model(*shared.value)
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array([m.score(t)[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -41,17 +41,34 @@ def clustered(seed, n, centres=20, spread=6):
 def test_forest(radius):
     x = clustered(radius, 700)
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
-    at = {int(v): i for i, v in enumerate(x.view(np.int64))}
-    links = [(at[a], at[b]) for a, b in S.forest(x, None, radius)]
+    links = S.forest(x, None, radius)
     assert all(near[a, b] for a, b in links) and len(links) < len(x)
     assert classes(len(x), links) == classes(len(x), np.argwhere(np.triu(near, 1)).tolist())
     m = 200
     cross = near.copy()
     cross[:m, :m] = cross[m:, m:] = False
-    links = [(at[a], at[b]) for a, b in S.forest(x[:m], x[m:], radius)]
+    links = S.forest(x[:m], x[m:], radius)
     assert classes(len(x), links) == classes(len(x), np.argwhere(np.triu(cross, 1)).tolist())
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3, 4, 5, 6])
+def test_small_buckets_are_compared_together(radius):
+    """All pairs within the radius of each bucket, and none of two buckets, whatever the buckets' sizes."""
+    r = np.random.default_rng(radius)
+    size = r.choice([1, 2, 2, 3, 5, 24, 25, S.SMALL], 150)
+    group = np.repeat(r.permutation(150), size)
+    x = clustered(radius, 4000, 5)[: len(group)]
+    group, x = group[: len(x)], r.permutation(x)
+    want = (np.bitwise_count(x[:, None] ^ x[None, :]) <= radius) & (group[:, None] == group[None, :])
+    got = [(int(a), int(b)) for i, j in S.near_in_groups(x, group, radius) for a, b in zip(i, j, strict=True)]
+    assert len(got) == len(set(got)) and sorted(got) == [tuple(p) for p in np.argwhere(np.triu(want, 1)).tolist()]
+
+
+def as_links(df):
+    """Distinct fingerprints as nodes, whose id is the fingerprint."""
+    return df.selectExpr("fp", "fp least")
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_links_and_components(spark, block):
     """With small blocks, buckets are split into pairs of blocks; the components stay the same."""
@@ -59,11 +76,20 @@ def test_links_and_components(spark, block):
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
     want = classes(len(x), np.argwhere(np.triu(near, 1)).tolist())
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
-    roots = {r.node: r.root for r in S.components(S.links(df, 4, block)).collect()}
+    roots = {r.node.fp: r.root.fp for r in S.components(S.links(as_links(df), 4, block)).collect()}
     got = [roots.get(int(v), int(v)) for v in x.view(np.int64)]
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+def test_the_kernel_makes_every_link(spark, monkeypatch):
+    """Without the bit-sliced counters there are no links, in small buckets or large ones."""
+    x = clustered(3, 400, centres=3)
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    assert S.links(as_links(df)).count()
+    monkeypatch.setattr(S, "_count", lambda blocks, over, differ, radius: ([b[:0] for b in blocks], over[:0]))
+    assert not S.links(as_links(df)).count()
+
+
 def test_fields_cover_more_than_the_radius():
     for n in (10, 10**7, 10**9, 10**12):
         f, groups = S.plan(n)
