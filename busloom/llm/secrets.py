@@ -1,12 +1,16 @@
 """Secret scans with multipart credential linking.
 
 Base spans come from three patterns: keyword assignments, access key ids and long hexadecimal runs. Beside them, parts of
-credentials are looked for: identifiers, opaque strings and endpoints. Each part is weak on its own; a part is reported only
-if complementary parts stand in its scope, found by an interval join of the parts of a text: an identifier and an opaque
-string within SCOPE code points of each other and in one paragraph; an endpoint is reported beside such a pair.
-
-A null or empty text has no spans. Positions are code points, the end exclusive. Texts are taken whole; every pattern scans
-in linear time. Repeated rows give repeated results; columns other than key and text are not read.
+credentials are looked for: identifiers (named ones, and mail addresses), opaque strings and endpoints (addresses with a
+scheme, named hosts and IPv4 addresses). Each such part is weak on its own and is reported only if a complementary part stands
+in its scope: within SCOPE code points, in the same paragraph, and not overlapping. An identifier needs a secret (a base one
+or an opaque string), an opaque string needs an identifier (an access key id counts as one), and an endpoint needs a base secret
+or an opaque string that is linked. The parts of a text are joined as intervals: both sides in order, a binary search for the
+neighbour before and after.
+
+A null or empty text has no spans. Positions are code points, the end exclusive. Texts and parts are taken whole, whatever
+their length, and every pattern scans in linear time. Repeated rows give repeated results; columns other than key and text are
+not read.
 """
 
 from __future__ import annotations
@@ -28,12 +32,15 @@ KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]{24,}")
+_HEX = re.compile(r"[0-9a-f]{24,}+")
 _KEYWORDS = ("passw", "secret", "token", "api")
-_IDENTIFIER = re.compile(r"""\b(?:user(?:_?(?:name|id))?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?|key_?id|tenant(?:_?id)?)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9@._-]{3,128})""", re.A | re.I)
+_IDENTIFIER = re.compile(r"""\b(?:user(?:_?(?:name|id))?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?|key_?id|tenant(?:_?id)?)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9@._-]{3,}+)""", re.A | re.I)
 _ID_WORDS = ("user", "login", "account", "client", "access", "key", "tenant")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
-_ENDPOINT = re.compile(r"""(?:https?|ftp|sftp|ssh|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:host|endpoint|server|url)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?)""", re.A | re.I)
+_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", re.A)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+=*+(?![A-Za-z0-9+/_-])", re.A)
+_ENDPOINT = re.compile(r"""\b(?:https?|ftp|sftp|ssh|jdbc:[a-z]{2,}+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]++|\b(?:host|endpoint|server|url)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9.-]{3,}+(?::[0-9]++)?)""", re.A | re.I)
+_BREAK = re.compile(r"\n[ \t\r]*+\n")
+_ADDRESS = re.compile(r"(?<![0-9.])(?:[0-9]++\.){3}[0-9]++(?::[0-9]++)?(?![0-9.])", re.A)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -55,48 +62,66 @@ def _opaque(s: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) >= 3.0
 
 
-def linked_spans(text: str, base: list[tuple[str, int, int]], scope: int = SCOPE) -> list[tuple[str, int, int]]:
-    """Weak parts whose complementary parts stand in their scope, without those that overlap a base span."""
+def _ipv4(s: str) -> bool:
+    return all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 for x in s.partition(":")[0].split("."))
+
+
+def parts_of(text: str, base: list[tuple[str, int, int]]) -> tuple[list, list, list]:
+    """Weak parts of a text: identifiers, opaque strings and endpoints, without those that overlap a base span."""
     low = text.lower()
-    ids = [("identifier", *m.span(1)) for m in _IDENTIFIER.finditer(text)] if any(w in low for w in _ID_WORDS) and ("=" in text or ":" in text) else []
-    strong_ids = [s for s in base if s[0] == "access"]
-    if not ids and not strong_ids:
-        return []
-    opaque = [("opaque", *m.span()) for m in _OPAQUE.finditer(text) if _opaque(m[0])]
+    ids = [m.span(1) for m in _IDENTIFIER.finditer(text)] if any(w in low for w in _ID_WORDS) and ("=" in text or ":" in text) else []
+    if "@" in text:
+        ids = _union(ids, [m.span() for m in _MAIL.finditer(text)])
+    opaque = [m.span() for m in _OPAQUE.finditer(text) if _opaque(m[0])]
+    ends = [m.span(1 if m[1] else 0) for m in _ENDPOINT.finditer(text)]
+    ends = _union(ends, [m.span() for m in _ADDRESS.finditer(text) if _ipv4(m[0])])
+    taken = sorted((a, b) for _, a, b in base)
+    return tuple([(kind, *s) for s in _free(spans, taken)] for kind, spans in (("identifier", ids), ("opaque", opaque), ("endpoint", ends)))
+
+
+def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of those taken (in order of their starts)."""
+    starts = [a for a, _ in taken]
+    reach, most = [], 0
+    for _, b in taken:
+        most = max(most, b)
+        reach.append(most)
+    out = []
+    for a, b in spans:
+        i = bisect.bisect_left(starts, b)  # those that start before the end of this one
+        if not i or reach[i - 1] <= a:
+            out.append((a, b))
+    return out
+
+
+def _union(first: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return sorted(first + _free(more, sorted(first)))
+
+
+def joined(left: list, right: list, breaks: list[int], scope: int) -> list:
+    """Members of left with one of right in their scope: an interval join by the nearest end before and the nearest start after."""
+    starts, ends = sorted(s[1] for s in right), sorted(s[2] for s in right)
+    out = []
+    for s in left:
+        i, j = bisect.bisect_right(ends, s[1]), bisect.bisect_left(starts, s[2])
+        # the nearest part is in the same paragraph if any is: parts hold no line breaks
+        before = i and s[1] - ends[i - 1] <= scope and bisect.bisect_left(breaks, ends[i - 1]) == bisect.bisect_left(breaks, s[1])
+        after = j < len(starts) and starts[j] - s[2] <= scope and bisect.bisect_left(breaks, s[2]) == bisect.bisect_left(breaks, starts[j])
+        if before or after:
+            out.append(s)
+    return out
+
+
+def linked_spans(text: str, base: list[tuple[str, int, int]], scope: int = SCOPE) -> list[tuple[str, int, int]]:
+    """Weak parts whose complementary parts stand in their scope."""
+    ids, opaque, ends = parts_of(text, base)
     strong = [s for s in base if s[0] in ("assign", "hex")]
-    if not opaque and not strong:
+    if not ids and not ends and not (opaque and base):
         return []
-    ends = [("endpoint", *m.span(1 if m[1] else 0)) for m in _ENDPOINT.finditer(text)]
-    breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
-    paragraph = lambda p: bisect.bisect_left(breaks, p)
-
-    def joined(left: list, right: list) -> tuple[set, set]:
-        """Members of an interval join: pairs not more than scope apart, in one paragraph and not overlapping."""
-        a, b = set(), set()
-        right = sorted(right, key=lambda s: s[1])
-        starts = [s[1] for s in right]
-        widest = max((s[2] - s[1] for s in right), default=0)
-        for s in left:
-            lo = bisect.bisect_left(starts, s[1] - scope - widest)
-            hi = bisect.bisect_right(starts, s[2] + scope)
-            for t in right[lo:hi]:
-                if t[2] >= s[1] - scope and (t[2] <= s[1] or t[1] >= s[2]) and paragraph(s[1]) == paragraph(t[1]):
-                    a.add(s)
-                    b.add(t)
-        return a, b
-
-    a, b = joined(ids + strong_ids, opaque + strong)
-    found = {s for s in a | b if s[0] in ("identifier", "opaque")}
-    found |= joined(ends, sorted(b))[0]
-    taken = sorted((s[1], s[2]) for s in base)
-    firsts = [s[0] for s in taken]
-    most = max((e - s for s, e in taken), default=0)
-
-    def free(s: tuple[str, int, int]) -> bool:
-        lo, hi = bisect.bisect_left(firsts, s[1] - most), bisect.bisect_left(firsts, s[2])
-        return not any(e > s[1] for _, e in taken[lo:hi])
-
-    return [s for s in found if free(s)]
+    breaks = [m.start() for m in _BREAK.finditer(text)]
+    named = ids + [s for s in base if s[0] == "access"]
+    weak = joined(opaque, named, breaks, scope)
+    return joined(ids, strong + opaque, breaks, scope) + weak + joined(ends, strong + weak, breaks, scope)
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from busloom.llm import pii, secrets
 
 from . import cases
@@ -131,6 +132,61 @@ def test_linked_parts():
     text = f"user_id: deploy-bot key {key} host = db.internal.example"
     kinds = sorted(k for k, *_ in secrets.linked_spans(text, secrets.base_spans(text)))
     assert kinds == ["endpoint", "identifier", "opaque"]
-    for alone in (f"key {key}", "user_id: deploy-bot", "host = db.internal.example", f"user_id: deploy-bot\n\n{key}", "user_id: deploy-bot" + " word" * 100 + f" {key}"):
+    for alone in (f"key {key}", "user_id: deploy-bot", "host = db.internal.example", f"user_id: deploy-bot\n\n{key}", "user_id: deploy-bot" + " word" * 100 + f" {key}", f"{key} host = a.b", "me@a.example 10.0.0.1"):
         assert secrets.linked_spans(alone, secrets.base_spans(alone)) == []
+    for text, want in (("token=abcdef12 of me@a.example at 10.0.0.1:80 or 10.0.0.256", "assign:0:14,identifier:18:30,endpoint:34:45"), (f"AKIA{'Q' * 16} {key}", f"access:0:20,opaque:21:{21 + len(key)}")):
+        base = secrets.base_spans(text)
+        assert secrets.listed(base + secrets.linked_spans(text, base)) == want
     assert secrets.redact("a token=abcdef b", secrets.base_spans("a token=abcdef b")) == "a [ASSIGN] b"
+
+
+def test_parts_have_no_longest_size():
+    key = "Zx9Kq2Lm7Rt4Vb8Nw3Ps6Yd1"
+    wide, name = " " * 40, "n" * 5000
+    text = f"user_id{wide}:{wide}{name} {key}{'=' * 9} host{wide}={wide}{'h.' * 400}x:123456 jdbc:{'z' * 90}://{'u' * 3000}"
+    got = {k: text[a:b] for k, a, b in secrets.linked_spans(text, secrets.base_spans(text), 10_000) if not text[a:b].startswith("jdbc")}
+    assert got == {"identifier": name, "opaque": key + "=" * 9, "endpoint": "h." * 400 + "x:123456"}
+
+
+def slow_links(text, scope):
+    """Every part against every other, character by character."""
+    base = secrets.base_spans(text)
+    ids, opaque, ends = secrets.parts_of(text, base)
+    strong, access = [s for s in base if s[0] != "access"], [s for s in base if s[0] == "access"]
+
+    def near(s, t):
+        lo, hi = min(s[2], t[2]), max(s[1], t[1])
+        return lo <= hi and hi - lo <= scope and not re.search(r"\n[ \t\r]*\n", text[lo:hi])
+
+    some = lambda s, others: any(near(s, t) for t in others)
+    weak = [s for s in opaque if some(s, ids + access)]
+    return sorted([s for s in ids if some(s, strong + opaque)] + weak + [s for s in ends if some(s, strong + weak)])
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_links_against_brute_force(seed):
+    r = random.Random(seed)
+    opaque = lambda: "Aa0" + "".join(r.choice("abcDEF0123456789+/") for _ in range(r.choice([13, 20, 400])))
+    make = [lambda: f"user={r.choice('abc') * r.choice([3, 9, 300])}", lambda: f"me{r.randrange(9)}@a.example", opaque, lambda: f"https://h{r.randrange(9)}.example/x", lambda: f"host: h{r.randrange(99)}", lambda: f"10.0.0.{r.randrange(300)}", lambda: "token=" + "s" * 9, lambda: "AKIA" + "Q" * 16, lambda: "0a" * 15, lambda: "\n \n", lambda: "client_id=" + opaque()]
+    text = " ".join(r.choice(make)() if r.random() < 0.3 else "word" * r.randrange(1, 9) for _ in range(120))
+    for scope in (5, 40, 160):
+        assert sorted(secrets.linked_spans(text, secrets.base_spans(text), scope)) == slow_links(text, scope)
+
+
+def test_links_take_linear_time():
+    import time
+
+    def took(n):
+        text = "A0b1" * n + " " + " ".join(f"user=bob{i} 0a{'f' * 30} x@y.example" for i in range(n // 8))
+        began = time.perf_counter()
+        secrets.linked_spans(text, secrets.base_spans(text))
+        return time.perf_counter() - began
+
+    took(4000)
+    assert min(took(64_000) for _ in range(2)) < 10 * min(took(16_000) for _ in range(2))
+
+
+def test_redacted_awkward_rows(spark):
+    rows = {(r.doc_id, r.redacted) for r in secrets.scan(cases.documents(spark, clash=True), redacted=True).select("doc_id", "redacted").collect()}
+    assert (0, None) in rows and (1, "") in rows and (3, "a") in rows
+    assert secrets.scan(cases.nothing(spark), redacted=True).count() == 0
