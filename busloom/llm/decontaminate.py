@@ -1,6 +1,6 @@
 """Benchmark decontamination.
 
-Items are cut into windows of 10 words, whose hashes form a set that every task gets by broadcast. A training text is
+Items are cut into windows of 10 words, whose hashes form a set that every worker process gets by broadcast. A training text is
 hashed into windows of the same lengths, those in the set are verified word by word, and hit words are marked. Documents
 with hits can be dropped, or only the spans taken out.
 
@@ -8,26 +8,33 @@ Words are runs of 0-9, a-z and non-ASCII after lower-casing A-Z. A null or empty
 an item; an empty benchmark hits nothing. Items with a null id mark words but are not counted or listed. Repeated items and
 documents each count by their own rows. Columns other than the named ones are not read.
 
-The broadcast holds the benchmark's words and is made only if their bytes are at most max_broadcast_bytes; a larger
-benchmark is matched by a shuffled join on window hashes instead, with equal results.
+The broadcast holds the benchmark's words and is made only if their bytes are at most max_broadcast_bytes. For a larger
+benchmark a Bloom filter of its window hashes is broadcast, of FILTER_BITS bits at most; windows of documents that pass it are
+joined with those of the benchmark, by text. Windows that hold over a thousandth of what passes are joined where they stand. Results
+are equal, and all functions here work either way.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, map_texts
+from .common import WORD_BYTES, cached, checkpointed, hot_keys, map_texts, pieces, spread_join
 
 MAX_BROADCAST_BYTES = 16 << 20
+#: Size of the Bloom filter, at most: 32 MB. A benchmark that fills it lets more windows through, none fewer.
+FILTER_BITS = 1 << 28
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEEN_BITS = 22
 _COLUMNS = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<first:int,last:int>>"
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
@@ -36,48 +43,65 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The set of window hashes by length, with the windows for verification."""
+    """The set of window hashes by length. Windows are kept as places in the items' words; equal ones are one window."""
 
     def __init__(self, items: list[tuple[object, str | None]], size: int) -> None:
-        self.items: dict[tuple[bytes, ...], set] = defaultdict(set)
-        for item, text in items:
-            words = words_of(text)
-            k = min(size, len(words))
-            for i in range(len(words) - k + 1 if k else 0):
-                self.items[tuple(words[i : i + k])].add(item)
-        by_size = defaultdict(list)
-        for w in self.items:
-            by_size[len(w)].append(w)
-        self.hashes = {}
-        for k, windows in by_size.items():
-            h = np.array([hash(w) for win in windows for w in win], dtype=np.int64).view(np.uint64)
-            h = np.unique(rolling(h, k)[::k])
+        one: dict[bytes, bytes] = {}
+        self.words = [[one.setdefault(w, w) for w in words_of(t)] for _, t in items]
+        self.ids = [i for i, _ in items]
+        sizes = [min(size, len(w)) for w in self.words]
+        #: By length: a bitmap of the hashes' first bits, the hashes in order, and item and first word of each window.
+        self.hashes: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in sorted(set(sizes) - {0}):
+            own = [i for i, n in enumerate(sizes) if n == k]
+            h = [rolling(np.array([hash(w) for w in self.words[i]], np.int64).view(np.uint64), k) for i in own]
+            item = np.repeat(np.array(own, np.int32), [len(x) for x in h])
+            first = np.concatenate([np.arange(len(x), dtype=np.int32) for x in h])
+            h = np.concatenate(h)
+            order = np.argsort(h, kind="stable")
             seen = np.zeros(1 << _SEEN_BITS, dtype=bool)
             seen[h >> np.uint64(64 - _SEEN_BITS)] = True
-            self.hashes[k] = (seen, h)
+            self.hashes[k] = (seen, h[order], item[order], first[order])
 
-    def scan(self, texts: list[list[bytes]]) -> list[list[tuple[int, int, set]]]:
-        """For each text (its words): first word, end and items of each window that occurs. One pass over all texts at once."""
-        out: list[list[tuple[int, int, set]]] = [[] for _ in texts]
+    def scan(self, texts: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
+        """For each text (its words): first word, end and place in the hashes of each window that occurs. One pass over all texts at once."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, np.int64)
         total = int(ends[-1]) if len(ends) else 0
         if not self.hashes or not total:
             return out
         h = np.fromiter(map(hash, chain.from_iterable(texts)), dtype=np.int64, count=total).view(np.uint64)
-        for k, (seen, wanted) in self.hashes.items():
+        for k, (seen, wanted, item, first) in self.hashes.items():
             if total < k:
                 continue
             r = rolling(h, k)
             at = np.flatnonzero(seen[r >> np.uint64(64 - _SEEN_BITS)])
-            if len(at):
-                at = at[wanted[np.minimum(np.searchsorted(wanted, r[at]), len(wanted) - 1)] == r[at]]
-            for i, doc in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist(), strict=True):
+            place = np.searchsorted(wanted, r[at])
+            good = wanted[np.minimum(place, len(wanted) - 1)] == r[at]
+            at, place = at[good], place[good]
+            for i, doc, p in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist(), place.tolist(), strict=True):
                 words = texts[doc]
                 i -= int(ends[doc]) - len(words)
-                if found := self.items.get(tuple(words[i : i + k])):  # verified; a window over the end of a text is shorter
-                    out[doc].append((i, i + k, found))
+                mine = words[i : i + k]  # a window over the end of a text is shorter
+                while self.words[item[p]][first[p] : first[p] + k] != mine:  # another window, of the same hash
+                    p += 1
+                    if p == len(wanted) or wanted[p] != wanted[p - 1]:
+                        break
+                else:
+                    out[doc].append((i, i + k, p))
         return out
 
+    def items(self, found: list[tuple[int, int, int]]) -> set:
+        """The ids of the items with the windows found, null aside."""
+        ids = set()
+        for k, p in {(b - a, p) for a, b, p in found}:
+            _, wanted, item, first = self.hashes[k]
+            mine = self.words[item[p]][first[p] : first[p] + k]
+            for q in range(p, int(np.searchsorted(wanted, wanted[p], "right"))):
+                if q == p or self.words[item[q]][first[q] : first[q] + k] == mine:
+                    ids.add(self.ids[item[q]])
+        return ids - {None}
+
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """A polynomial hash of each k consecutive word hashes, put together from those of 1, 2, 4 ... words."""
@@ -94,9 +118,9 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
             factor, width = factor * factor & 0xFFFFFFFFFFFFFFFF, 2 * width
 
 
-def _merged(found: list[tuple[int, int, set]]) -> list[dict]:
+def _merged(found: list[tuple[int, int, int]]) -> list[dict]:
     spans: list[list[int]] = []
-    for a, b, _ in sorted(found, key=lambda x: x[:2]):
+    for a, b, _ in sorted(found):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
@@ -111,27 +135,23 @@ def digest(ids: set) -> str:
 def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256, spans (of words, first and last) and contaminated, for each document."""
     items = benchmark.select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if total > max_broadcast_bytes:
+    shared = _shared(documents, items, max_broadcast_bytes)
+    if shared is None:
         out = _scan_by_join(documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")), items, size).withColumnRenamed("k", key)
     else:
-        shared = documents.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in items.collect()])  # at most max_broadcast_bytes of text
 
         def make():
-            windows = Windows(shared.value, size)
+            windows = cached(shared, lambda items: Windows(items, size))
 
             def apply(texts: list) -> list:
                 cols: list[list] = [[], [], [], [], []]
                 split = [words_of(t) for t in texts]
                 for words, found in zip(split, windows.scan(split), strict=True):
                     spans = _merged(found)
-                    ids = set().union(*(x[2] for x in found)) - {None} if found else set()
+                    ids = windows.items(found)
                     for c, v in zip(cols, (len(words), sum(s["last"] - s["first"] + 1 for s in spans), len(ids), digest(ids), spans), strict=True):
                         c.append(v)
-                import pyarrow as pa
-
-                cols[4] = pa.array(cols[4], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
-                return cols
+                return [*cols[:4], pa.array(cols[4], _SPANS)]
 
             return apply
 
@@ -139,70 +159,127 @@ def scan(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _word_array(text: str):
-    lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(F.expr("regexp_extract_all(__l, '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+', 0)"), F.array().cast("array<string>")), lower
+def _shared(documents: DataFrame, items: DataFrame, most: int):
+    """The items (i, t) as a broadcast, or None if their texts have more than most bytes."""
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > most:
+        return None
+    return documents.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in items.collect()])  # most bytes of text, and ids
 
 
-def _scan_by_join(documents: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """The same by a shuffled join on windows. Documents with equal id and text are matched once."""
-    words, lower = _word_array("t")
-    docs = documents.withColumn("d", F.sha2("t", 256))
-    once = docs.dropDuplicates(["k", "d"]).withColumn("__l", lower).withColumn("w", words)
-    its = items.withColumn("__l", lower).withColumn("w", words).filter(F.size("w") > 0)
-    cut = F.expr(f"transform(sequence(1, greatest(size(w) - n + 1, 1)), p -> struct(p as p, array_join(slice(w, p, n), ' ') as g))")
-    wins = its.withColumn("n", F.least(F.lit(size), F.size("w"))).select("i", "n", F.explode(cut).alias("x")).select("i", "n", F.col("x.g").alias("g")).distinct()
+def _hashes(texts: list[list[bytes]]) -> np.ndarray:
+    """Hashes of the words of some texts, the same in every process."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(texts)), np.uint64)
+
+
+def _item_windows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            ids, n, h, g = [], [], [], []
+            for at, t in enumerate(b.column(1).to_pylist()):
+                words = words_of(t)
+                k = min(size, len(words))
+                if k:
+                    r = rolling(_hashes([words]), k)
+                    ids += [at] * len(r)
+                    n += [k] * len(r)
+                    h.append(r)
+                    g += [b" ".join(words[p : p + k]).decode("utf-8", "replace") for p in range(len(r))]
+            h = np.concatenate(h) if h else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(n, pa.int32()), pa.array(h.view(np.int64)), pa.array(g, pa.string())], ["i", "n", "h", "g"])
+
+    return run
+
+
+def _scan_by_join(documents: DataFrame, items: DataFrame, size: int, bits: int = FILTER_BITS) -> DataFrame:
+    """The same for a benchmark of any size. Documents with equal id and text are matched once."""
+    spark = documents.sparkSession
+    kind = items.schema["i"].dataType.simpleString()
+    wins = checkpointed(items.mapInArrow(_item_windows(size), f"i {kind}, n int, h bigint, g string").distinct())
     sizes = [r.n for r in wins.select("n").distinct().collect()]  # at most size lengths
-    hit = None
-    for n in sizes:
-        part = once.filter(F.size("w") >= n).withColumn("n", F.lit(n)).select("k", "d", "n", F.explode(cut).alias("x")).select("k", "d", "n", F.col("x.p").alias("p"), F.col("x.g").alias("g"))
-        hit = part if hit is None else hit.unionByName(part)
-    none = F.lit(_NONE)
-    base = docs.withColumn("__l", lower).select("k", "d", F.size(words).cast("long").alias("n_words"))
-    empty = "array<struct<first:int,last:int>>"
-    if hit is None:
-        return base.select("k", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.array().cast(empty).alias("spans"))
-    found = hit.join(wins.groupBy("g", "n").agg(F.collect_set("i").alias("ids")), ["g", "n"])
+    # a bitmap of 64-bit words, or-ed together before it is gathered: at most bits / 64 rows
+    place = F.expr(f"h & {bits - 1}L")
+    marks = wins.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[marks.column("w").to_numpy()] = marks.column("m").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast((sizes, bitmap))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, bitmap = shared.value
+        for b in pieces(batches):
+            texts = [words_of(t) for t in b.column(2).to_pylist()]
+            ends = np.cumsum([len(t) for t in texts])
+            hashes = _hashes(texts)
+            row, first, length, g = [], [], [], []
+            for k in sizes:
+                if len(hashes) < k:
+                    continue
+                r = rolling(hashes, k) & np.uint64(bits - 1)
+                at = np.flatnonzero(bitmap[r >> np.uint64(6)] >> (r & np.uint64(63)) & np.uint64(1))
+                for i, doc in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist(), strict=True):
+                    i -= int(ends[doc]) - len(texts[doc])
+                    if i + k <= len(texts[doc]):
+                        row.append(doc)
+                        first.append(i)
+                        length.append(k)
+                        g.append(b" ".join(texts[doc][i : i + k]).decode("utf-8", "replace"))
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(first, pa.int32()), pa.array(length, pa.int32()), pa.array(g, pa.string())], ["k", "d", "p", "n", "g"])
+
+    docs = documents.withColumn("d", F.sha2("t", 256))
+    kind = documents.schema["k"].dataType.simpleString()
+    once = docs.select("k", "d", "t").dropDuplicates(["k", "d"])
+    hits = checkpointed(once.mapInArrow(passing, f"k {kind}, d string, p int, n int, g string"))
+    hot = hot_keys(hits.groupBy("g").agg(F.count("*").alias("hits")), "g", "hits", hits.count())
+    found = spread_join(hits, wins.groupBy("g").agg(F.collect_set("i").alias("ids")), "g", hot)  # words joined by spaces tell their number
     merged = F.expr("""aggregate(array_sort(s), cast(array() as array<struct<first:int,last:int>>), (a, x) ->
         if(size(a) > 0 and x.first <= element_at(a, -1).last + 1,
            concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last)))),
            concat(a, array(named_struct('first', x.first, 'last', x.last)))))""")
-    per = found.groupBy("k", "d").agg(F.collect_list(F.struct((F.col("p") - 1).alias("first"), (F.col("p") + F.col("n") - 2).alias("last"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    per = found.groupBy("k", "d").agg(F.collect_list(F.struct(F.col("p").alias("first"), (F.col("p") + F.col("n") - 1).alias("last"))).alias("s"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
     per = per.select(F.col("k").alias("k2"), F.col("d").alias("d2"), merged.alias("spans2"), F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ",").alias("listed"), F.size("ids").cast("long").alias("items2"))
-    out = base.join(per, F.col("k").eqNullSafe(F.col("k2")) & F.col("d").eqNullSafe(F.col("d2")), "left")
-    spans = F.coalesce(F.col("spans2"), F.array().cast(empty))
-    return out.select("k", "n_words", F.expr("aggregate(coalesce(spans2, array()), 0L, (a, x) -> a + x.last - x.first + 1)").alias("n_hit"), F.coalesce("items2", F.lit(0).cast("long")).alias("n_items"), F.coalesce(F.sha2(F.col("listed"), 256), none).alias("items_sha256"), spans.alias("spans"))
+    out = map_texts(docs, ["k", "d"], "t", lambda: lambda texts: [[len(words_of(t)) for t in texts]], "n_words bigint")
+    out = out.join(per, F.col("k").eqNullSafe(F.col("k2")) & F.col("d").eqNullSafe(F.col("d2")), "left")
+    spans = F.coalesce(F.col("spans2"), F.array().cast("array<struct<first:int,last:int>>"))
+    return out.select("k", "n_words", F.expr("aggregate(coalesce(spans2, array()), 0L, (a, x) -> a + x.last - x.first + 1)").alias("n_hit"), F.coalesce("items2", F.lit(0).cast("long")).alias("n_items"), F.coalesce(F.sha2(F.col("listed"), 256), F.lit(_NONE)).alias("items_sha256"), spans.alias("spans"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", size: int = 10, remove: str = "documents") -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", size: int = 10, remove: str = "documents", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """documents without what the benchmark holds: remove 'documents' with a hit, or only the 'spans' of hit words.
 
-    All columns stay. The decision is taken in the pass that reads the text, so rows need no identity and repeated rows are
-    treated alike. With 'spans' the words of a span and what stands between them go; other characters stay as they are.
+    All columns stay. With a benchmark that can be broadcast, the decision is taken in the pass that reads the text; else
+    texts with hits are joined by their digest, so repeated rows are treated alike either way. With 'spans' the words of a
+    span and what stands between them go; other characters stay as they are.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
-    total = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    if total > MAX_BROADCAST_BYTES:
-        if remove == "spans":
-            raise ValueError("spans are only taken out by a benchmark that can be broadcast")
-        seen = scan(documents.withColumn("__d", F.struct(F.col(key), F.sha2(F.col(text), 256))), benchmark, "__d", text, size=size).filter("contaminated").select("__d").distinct()
-        return documents.withColumn("__d", F.struct(F.col(key), F.sha2(F.col(text), 256))).join(seen.withColumnRenamed("__d", "__e"), F.col("__d").eqNullSafe(F.col("__e")), "left_anti").drop("__d")
-    from .common import bound_batches
-
-    bound_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in benchmark.select("item_id", F.col("text").cast("string")).collect()])
+    items = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t"))
+    shared = _shared(documents, items, max_broadcast_bytes)
     at = documents.columns.index(text)
-
-    def run(batches):
-        import pyarrow as pa
-
-        windows = Windows(shared.value, size)
-        for b in batches:
+    if shared is None:
+        own = documents.withColumn("__d", F.sha2(F.col(f"`{text}`").cast("string"), 256))
+        texts = own.select("__d", F.col(f"`{text}`").cast("string").alias("t")).dropDuplicates(["__d"])
+        seen = _scan_by_join(texts.select(F.col("__d").alias("k"), "t"), items, size).filter("n_hit > 0").select(F.col("k").alias("__e"), F.col("spans").alias("__s"))
+        if remove == "documents":
+            return own.join(seen, F.col("__d") == F.col("__e"), "left_anti").drop("__d")
+        hot = hot_keys(own.groupBy("__d").agg(F.count("*").alias("n")).filter("__d is not null"), "__d", "n", documents.count())
+        seen = own.select("__d").filter("__d is not null").distinct().join(seen, F.col("__d") == F.col("__e"), "left").drop("__e")
+        marked = spread_join(own.filter("__d is not null"), seen, "__d", hot).unionByName(own.filter("__d is null").withColumn("__s", F.lit(None).cast("array<struct<first:int,last:int>>")))
+        marked = marked.select(*(F.col(f"`{c}`") for c in documents.columns), "__s")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches):
+                texts = [cut_spans(t, s) if s else t for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if i == at else c for i, c in enumerate(b.columns[:-1])], schema=b.schema.remove(b.num_columns - 1))
+
+        return marked.mapInArrow(cut, documents.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = cached(shared, lambda items: Windows(items, size))
+        for b in pieces(batches):
             texts = b.column(at).to_pylist()
             found = windows.scan([words_of(t) for t in texts])
             if remove == "documents":
-                yield b.filter(pa.array([not f for f in found]))
+                yield b.filter(pa.array([not f for f in found], pa.bool_()))
             else:
                 kept = pa.array([cut_spans(t, _merged(f)) if f else t for t, f in zip(texts, found, strict=True)], b.column(at).type)
                 yield pa.RecordBatch.from_arrays([kept if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
