@@ -1,32 +1,33 @@
 """Token ids in training order, as fixed-stride binary records.
 
 Documents are tokenised and cut into sequences of LENGTH tokens; the last one of a document ends with the end token and is
-padded. Sequences are numbered without gaps, and a keyed Feistel permutation with cycle-walking maps each number to its slot
-in training order: a bijection of [0, n) that needs no shuffle buffer and can be inverted. Records are range-partitioned by
-slot and written as shards of RECORDS records of equal size, so that slot s stands in shard s // RECORDS at byte
-(s % RECORDS) * stride and a reader can resume anywhere.
+padded. Sequences are numbered without gaps in the order of a hash of the document's key and text, and a keyed Feistel permutation
+with cycle-walking maps each number to its slot in training order: a bijection of [0, n) that needs no shuffle buffer and can be
+inverted. Records are range-partitioned by slot and written as shards of RECORDS records of equal size, so that slot s stands in
+shard s // RECORDS at byte (s % RECORDS) * stride and a reader can resume anywhere.
 
-Numbers follow the input's partitions, so the order of records is the same again for the same files, split alike, and key.
+The hash alone gives the order, so the same rows and seed make the same bytes, however the input is split and wherever tasks run.
 
-A record is a little-endian uint32 count of tokens, then LENGTH ids as uint16 (uint32 for vocabularies over 65,535). A null or
-empty text makes one sequence with the end token alone. Special strings in a text are ordinary text. Repeated rows make
-sequences of their own; which of them comes first is of no effect, as they are equal. An empty table makes no record. Columns
-other than key and text are not read.
+A record is a little-endian uint32 count of tokens, then LENGTH ids as uint16 (uint32 for vocabularies over 65,535); in a file
+a line feed follows, which is part of the stride. A null or empty text makes one sequence with the end token alone. Special strings
+in a text are ordinary text. Repeated rows make sequences of their own; which of them comes first is of no effect, as they are
+equal. An empty table makes no record. Columns other than key and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import os
+import json
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed, map_texts
+from .common import identities, map_texts, pieces, remove, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE of this kind cuts a text into words.
@@ -83,8 +84,13 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
 
+def stride_of(length: int = LENGTH, end: int = END) -> int:
+    """Bytes from one record of a shard to the next: count, ids and a line feed."""
+    return 4 + (2 if end < 1 << 16 else 4) * length + 1
+
+
 def sequences(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """key, ids (all tokens of a document, binary) and n_seqs of each row."""
+    """key, two hashes of key and text, ids (all tokens of a document, binary) and n_seqs of each row."""
     ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(path))  # at most MAX_VOCABULARY bytes
     kind = "<u2" if end < 1 << 16 else "<u4"
 
@@ -99,93 +105,111 @@ def sequences(documents: DataFrame, key: str = "doc_id", text: str = "text", len
 
         return apply
 
-    marked = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
-    return map_texts(marked, ["__key"], "__text", make, "ids binary, n_seqs bigint")
+    marked = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
+    marked = marked.select("*", *identities("__key", "__text"))
+    return map_texts(marked, ["__key", "__id1", "__id2"], "__text", make, "ids binary, n_seqs bigint")
 
 
 def records(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = RECORDS, end: int = END, seed: int = 7, path: str = VOCABULARY) -> DataFrame:
     """slot, shard, position (byte in the shard), key, part, number, n_tokens and record, range-partitioned and sorted by slot."""
     spark = documents.sparkSession
-    done = checkpointed(sequences(documents, key, text, length, end, path).withColumn("chunk", F.spark_partition_id()))  # tokenised once
-    chunks = sorted((r.chunk, r.n) for r in done.groupBy("chunk").agg(F.sum("n_seqs").alias("n")).collect())  # one number for each input partition
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = (8 * parts - 1).bit_length()
+    bucket = F.shiftrightunsigned("__id1", 64 - bits)
+    before = Window.partitionBy("bucket").orderBy(F.shiftrightunsigned("__id1", 1), "__id1", "__id2").rowsBetween(Window.unboundedPreceding, -1)
+    cut_up = sequences(documents, key, text, length, end, path).withColumn("bucket", bucket)
+    # tokenised and sorted once; a bucket holds a range of the hash, so a number does not tell how many buckets there are
+    done = written(cut_up.withColumn("at", F.coalesce(F.sum("n_seqs").over(before), F.lit(0))).select("__key", "ids", "bucket", "at", "n_seqs"))
+    totals = sorted((r.bucket, r.n) for r in done.groupBy("bucket").agg(F.sum("n_seqs").alias("n")).collect())  # 16 numbers a partition at most
     starts, total = {}, 0
-    for chunk, n in chunks:
-        starts[chunk] = total
+    for number, n in totals:
+        starts[number] = total
         total += n
-    bound_batches(spark)
     width = 2 if end < 1 << 16 else 4
-    stride = 4 + width * length
+    stride = stride_of(length, end)
     order = Permutation(total, seed)
+    first = spark.sparkContext.broadcast(starts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sequences are numbered by partition and then as they stand in it: what was written to the checkpoint stays so."""
-        following = dict(starts)
-        for b in batches:
+        for b in pieces(batches):
             which, part, number, n, rows = [], [], [], [], []
-            for i, (ids, chunk) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                start = following[chunk]
-                following[chunk] += -(-len(ids) // (width * length))
-                for p, at in enumerate(range(0, len(ids), width * length)):
-                    own = ids[at : at + width * length]
+            for i, (ids, own, at) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                start = first.value[own] + at
+                for p, a in enumerate(range(0, len(ids), width * length)):
+                    x = ids[a : a + width * length]
                     which.append(i)
                     part.append(p)
                     number.append(start + p)
-                    n.append(len(own) // width)
-                    pad = np.array([end], f"<u{width}").tobytes() * (length - len(own) // width)
-                    rows.append((len(own) // width).to_bytes(4, "little") + own + pad)
+                    n.append(len(x) // width)
+                    pad = np.array([end], f"<u{width}").tobytes() * (length - len(x) // width)
+                    rows.append((len(x) // width).to_bytes(4, "little") + x + pad)
             slot = order.slots(np.array(number, np.int64))
             cols = [pa.array(slot, pa.int64()), pa.array(slot // per_shard, pa.int64()), pa.array(slot % per_shard * stride, pa.int64()), b.column(0).take(pa.array(which, pa.int64())), pa.array(part, pa.int32()), pa.array(number, pa.int64()), pa.array(n, pa.int32()), pa.array(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "position", key, "part", "number", "n_tokens", "record"])
 
     kind = done.schema["__key"].dataType.simpleString()
-    out = done.select("__key", "ids", "chunk").mapInArrow(cut, f"slot bigint, shard bigint, position bigint, `{key}` {kind}, part int, number bigint, n_tokens int, record binary")
-    # slots are dense, so equal ranges of shards are equal shares: no sample has to be taken, and no shard is cut
+    out = done.select("__key", "ids", "bucket", "at").mapInArrow(cut, f"slot bigint, shard bigint, position bigint, `{key}` {kind}, part int, number bigint, n_tokens int, record binary")
+    # slots are dense, so equal ranges of shards are equal shares, and no shard is cut
     shards = max(1, -(-total // per_shard))
-    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return out.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    return out.repartitionByRange(min(shards, parts), "shard").sortWithinPartitions("shard", "slot")
 
 
-def write_shards(rows: DataFrame, folder: str, per_shard: int = RECORDS) -> DataFrame:
-    """Write records as files shard-NNNNNNNN.bin in a shared folder; returns shard, path, n_records and bytes.
+def write_shards(rows: DataFrame, folder: str) -> DataFrame:
+    """Write records as one file for each shard, shard=N/part-*, in a folder of any store that Spark writes; returns shard, path, n_records, bytes and crc32.
 
-    A shard is written by one task, under another name first, and then renamed; one that is there in full is left as it is,
-    so a repeated or resumed run writes only what is missing.
+    Spark's committer moves files in place when all are whole, so lost tasks leave nothing behind; what the folder held before
+    goes first, so no shard of another seed or input stays. Checksums are of the files as they are read back, and stand in
+    folder/_manifest.json, which is written last: a folder without it is not finished.
     """
+    spark = rows.sparkSession
+    stride = rows.select(F.octet_length("record").alias("n")).first()
+    remove(spark, f"{folder}/_manifest.json")
+    # a string of any bytes is written as it is, with the line feed
+    rows.select("shard", F.col("record").cast("string")).write.mode("overwrite").partitionBy("shard").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(folder)
+    if stride is None:
+        _save(spark, f"{folder}/_manifest.json", json.dumps({"stride": 0, "shards": []}))
+        return spark.createDataFrame([], "shard bigint, path string, n_records bigint, bytes bigint, crc32 bigint")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zlib.crc32(b.column(2)[0].as_buffer())], pa.int64())], ["path", "bytes", "crc32"])
+
+    sizes = files.select("path", F.col("length").alias("bytes"), "content").mapInArrow(sums, "path string, bytes bigint, crc32 bigint")
+    found = sizes.select(F.regexp_extract("path", "shard=([0-9]+)/", 1).cast("long").alias("shard"), "path", (F.col("bytes") / (stride.n + 1)).cast("long").alias("n_records"), "bytes", "crc32")
+    listed = sorted(tuple(r) for r in found.collect())  # a line for each shard of 8 MB
+    _save(spark, f"{folder}/_manifest.json", json.dumps({"stride": stride.n + 1, "shards": [list(r) for r in listed]}))
+    return spark.createDataFrame(listed, "shard bigint, path string, n_records bigint, bytes bigint, crc32 bigint")
+
+
+def _save(spark: SparkSession, path: str, text: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read(spark: SparkSession, path: str, at: int = 0, size: int | None = None) -> bytes:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    file.seek(at)
+    every = spark._jvm.org.apache.commons.io.IOUtils.toByteArray
+    raw = bytes(every(file) if size is None else every(file, size))
+    file.close()
+    return raw
+
+
+def manifest(spark: SparkSession, folder: str) -> dict:
+    return json.loads(_read(spark, f"{folder}/_manifest.json"))
+
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_shard, out, n, size = None, [], 0, 0
-        os.makedirs(folder, exist_ok=True)
-
-        def close() -> pa.RecordBatch:
-            path = os.path.join(folder, f"shard-{open_shard:08d}.bin")
-            data = b"".join(out)
-            if not (os.path.exists(path) and os.path.getsize(path) == len(data)):
-                partial = f"{path}.{os.getpid()}.part"
-                Path(partial).write_bytes(data)
-                os.replace(partial, path)
-            return pa.RecordBatch.from_arrays([pa.array([open_shard], pa.int64()), pa.array([path]), pa.array([len(out)], pa.int64()), pa.array([len(data)], pa.int64())], ["shard", "path", "n_records", "bytes"])
-
-        for b in batches:
-            for shard, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if shard != open_shard:
-                    if out:
-                        yield close()
-                    open_shard, out = shard, []
-                out.append(record)
-        if out:
-            yield close()
-
-    return rows.select("shard", "record").mapInArrow(write, "shard bigint, path string, n_records bigint, bytes bigint")
-
-
-def read_records(folder: str, slots: list[int], length: int = LENGTH, per_shard: int = RECORDS, width: int = 2) -> list[np.ndarray]:
+def read_records(spark: SparkSession, folder: str, slots: list[int], per_shard: int = RECORDS, width: int = 2) -> list[np.ndarray]:
     """The tokens of some slots, without the padding, by seeking."""
-    stride = 4 + width * length
+    told = manifest(spark, folder)
+    stride, paths = told["stride"], {s[0]: s[1] for s in told["shards"]}
     out = []
     for s in slots:
-        with open(os.path.join(folder, f"shard-{s // per_shard:08d}.bin"), "rb") as f:
-            f.seek(s % per_shard * stride)
-            raw = f.read(stride)
+        raw = _read(spark, paths[s // per_shard], s % per_shard * stride, stride)
         n = int.from_bytes(raw[:4], "little")
         out.append(np.frombuffer(raw[4 : 4 + width * n], f"<u{width}"))
     return out
