@@ -9,6 +9,9 @@ the source takes each of them once. The words before a document, in a pass, are
 integral gives its time, and the sum of all integrals at that time is its training position. Documents are range-sorted by
 position. The last document taken of a source is taken in part, so that every source's words equal its target, rounded.
 
+A table of whole documents can't hold a part of one: apply() writes a document that is taken in part if that is at least half, and
+the first of a source always, so no source that has words and a target is left out.
+
 A null or empty text has size 0 and is taken 0 words; a null source is a source of its own. Repeated rows are documents of
 their own; between equal rows any order holds. Without words all targets are 0. Columns other than the named ones are not read.
 """
@@ -65,6 +68,12 @@ def _due(demand: Column, target: Column, slope: Column) -> Column:
     return F.coalesce(root, y)
 
 
+def _position(due: Column) -> Column:
+    """The number of words that all sources have been asked for at a time."""
+    return F.col("all_targets") * due + F.col("all_slopes") * (due * due - due)
+
+
+#: Sources whose targets are broadcast, a row each.
 MAX_BROADCAST_SOURCES = 10_000
 
 
@@ -73,11 +82,14 @@ def _hash(key: str, text: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def _planned(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows (source, size, hash and more) with source_size, target, slope, sums, start (words of the source before it) and quota."""
-    sizes = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+def _planned(rows: DataFrame, narrow: DataFrame, order: list[str]) -> DataFrame:
+    """rows (source, size, hash and more) with source_size, target, slope, sums, start (words of the source before it) and quota.
+
+    narrow has the source, size and hash of the same rows; what is summed over all rows is read from it.
+    """
+    sizes = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")))
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    ordered = numbered(rows.withColumn("__named", named), ["__named"], [F.col(c) for c in order], F.col("hash"), ROWS_PER_BUCKET, F.col("size"), nullable=False, width=60)
+    ordered = numbered(rows.withColumn("__named", named), ["__named"], [F.col(c) for c in order], F.col("hash"), ROWS_PER_BUCKET, F.col("size"), nullable=False, width=60, totals=narrow.withColumn("__named", named))
     own = checkpointed(sizes.withColumn("__own", named).drop("source"))
     own = F.broadcast(own) if own.count() <= MAX_BROADCAST_SOURCES else own
     return ordered.join(own, F.col("__named") == F.col("__own")).drop("__named", "__own").withColumn("quota", F.round("target").cast("long"))
@@ -87,34 +99,38 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     """key, source, size, source_size, target, slope, sums, start (words of the source before it), quota and taken, for each row."""
     rows = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{source}`").cast("string").alias("source"), words(text).alias("size"), _hash(key, text, seed).alias("hash"))
     rows = checkpointed(rows)  # a narrow table, read several times; the texts are read once
-    planned = _planned(rows, ["__key", "size"]).drop("hash")
+    planned = _planned(rows, rows, ["__key", "size"]).drop("hash")
     taken = sum((F.least(F.greatest(F.col("quota") - F.col("start") - F.col("source_size") * p, F.lit(0)), F.col("size")) for p in range(REPEATS)), F.lit(0).cast("long"))
     return planned.withColumn("taken", taken.cast("long")).withColumnRenamed("__key", key)
 
 
 def schedule(mixed: DataFrame, share: float = 0.0) -> DataFrame:
-    """One row for each time that at least a share of a document is taken, with pass, words, due and position, range-sorted by position.
+    """One row for each time that at least a share of a document is taken (of a source's first document: any), with pass, words, due and position, range-sorted by position.
 
     position is the number of words that all sources have been asked for when the document is due.
     """
     passes = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
-    passes = passes.withColumn("before", F.col("start") + F.col("source_size") * F.col("pass")).withColumn("words", F.least(F.col("quota") - F.col("before"), F.col("size"))).filter((F.col("words") > 0) & (F.col("words") >= F.col("size") * share))
+    passes = passes.withColumn("before", F.col("start") + F.col("source_size") * F.col("pass")).withColumn("words", F.least(F.col("quota") - F.col("before"), F.col("size"))).filter((F.col("words") > 0) & ((F.col("words") >= F.col("size") * share) | (F.col("before") == 0)))
     due = passes.withColumn("due", _due(F.col("before").cast("double"), F.col("target"), F.col("slope")))
-    placed = due.withColumn("position", F.col("all_targets") * F.col("due") + F.col("all_slopes") * (F.col("due") * F.col("due") - F.col("due")))
+    placed = due.withColumn("position", _position(F.col("due")))
     return placed.drop("before", "all_targets", "all_slopes").orderBy("position", "source", "start", "pass")
 
 
 def first_positions(mixed: DataFrame) -> DataFrame:
-    """mixed with first_due: the time at which a document is first due, null if it never is. Range-sorted by it."""
+    """mixed with first_due and first_position: the time and the training position (in whole words) at which a document is first due,
+    null if it never is; and n_passes, how often it is due. Range-sorted by the position."""
     due = F.when(F.col("taken") > 0, _due(F.col("start").cast("double"), F.col("target"), F.col("slope")))
-    return mixed.withColumn("first_due", due).orderBy(F.col("first_due").asc_nulls_last(), "source", "start")
+    passes = sum((F.when((F.col("size") > 0) & (F.col("quota") > F.col("start") + F.col("source_size") * p), 1).otherwise(0) for p in range(REPEATS)), F.lit(0))
+    placed = mixed.withColumn("first_due", due).withColumn("first_position", F.round(_position(F.col("first_due"))).cast("long")).withColumn("n_passes", passes)
+    return placed.orderBy(F.col("first_due").asc_nulls_last(), "source", "start")
 
 
 def apply(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 8) -> DataFrame:
     """documents, each row as often as the mix takes it, range-sorted by training position; all columns stay.
 
-    A last pass that takes less than half of a document is left out; one of size 0 is never taken.
+    A last pass that takes less than half of a document is left out, but for the first document of a source; one of size 0 is never taken.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__row")
     rows = documents.select(whole, F.col(f"`{key}`").alias("__key"), F.col(f"`{source}`").cast("string").alias("source"), words(text).alias("size"), _hash(key, text, seed).alias("hash"))
-    return schedule(_planned(rows, ["__key", "size"]).drop("hash"), 0.5).select("__row.*")
+    narrow = checkpointed(rows.select("source", "size", "hash"))
+    return schedule(_planned(rows, narrow, ["__key", "size"]).drop("hash"), 0.5).select("__row.*")

@@ -45,7 +45,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.first_positions(mixing.mix(table(spark, sf_dir, "documents")))
-    return got.select("doc_id", "size", "source_size", "target", "taken", "source", "first_due")
+    return got.select("doc_id", "size", "source_size", "target", "taken", "source", "first_due", "first_position", "n_passes")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +84,12 @@ t2 as (select *, (case turn when 0 then 5 when 1 then 2 else 1 end)::double w, (
 t3 as (select *, (total - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0::double)) / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) own from t2),
 t4 as (select *, max(case when own <= cap / w then own end) over () lev from t3),
 t5 as (select source src, source_size, coalesce(least(cap, lev * w), cap) target, slope from t4),
-o as (select doc_id, source, size, source_size, target, slope, round(target)::bigint quota, coalesce(sum(size) over (partition by source order by hash, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint start from s join t5 on s.source is not distinct from t5.src),
-k as (select *, (least(greatest(quota - start, 0), size) + least(greatest(quota - start - source_size, 0), size) + least(greatest(quota - start - 2 * source_size, 0), size))::bigint taken, least(coalesce(start::double / nullif(target, 0::double), 0::double), 1::double) y from o)
-select doc_id, size, source_size, target, taken, source, case when taken > 0 then coalesce((slope - 1 + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * y, 0::double))) / (2 * nullif(slope, 0::double)), y) end first_due from k""",
+t6 as (select *, sum(target) over () all_targets, sum(target * slope) over () all_slopes from t5),
+o as (select doc_id, source, size, source_size, target, slope, all_targets, all_slopes, round(target)::bigint quota, coalesce(sum(size) over (partition by source order by hash, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint start from s join t6 on s.source is not distinct from t6.src),
+k as (select *, (least(greatest(quota - start, 0), size) + least(greatest(quota - start - source_size, 0), size) + least(greatest(quota - start - 2 * source_size, 0), size))::bigint taken, least(coalesce(start::double / nullif(target, 0::double), 0::double), 1::double) y from o),
+u as (select *, case when taken > 0 then coalesce((slope - 1 + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * y, 0::double))) / (2 * nullif(slope, 0::double)), y) end first_due from k)
+select doc_id, size, source_size, target, taken, source, first_due, round(all_targets * first_due + all_slopes * (first_due * first_due - first_due))::bigint first_position,
+  case when size = 0 then 0 else (quota > start)::int + (quota > start + source_size)::int + (quota > start + 2 * source_size)::int end n_passes from u""",
     "op10_nearest_neighbours": """
 with e as (select distinct vec_id, cast(embedding as double[]) v from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -3,9 +3,12 @@
 A key's hash and the number of shards alone decide the shard; there is no table of a ring. With one more shard a key either
 stays or moves into the new shard. Slots number the rows of a shard without gaps.
 
+Slots follow a hash of the key, or the order in which an ordered table stands in its files: then each shard holds its rows in the
+order of training.
+
 The key is hashed as text, so equal ids of any type fall together. Null ids are one key. Repeated rows each get a slot of
-their own. A null text has no bytes and no checksum of its own: it counts as empty. Columns other than the named ones are
-not read, unless they are asked for.
+their own. A null text has no bytes and no checksum of its own: it counts as empty. An empty table gives no rows. Columns other
+than the named ones are not read, unless they are asked for; of those, one with the name of a column made here gives way to it.
 """
 
 from __future__ import annotations
@@ -40,11 +43,24 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
-def shard(documents: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, size, text_crc32, law, shard, slot and grown_shard of each row, and the columns to keep."""
+#: Columns that sharding makes.
+MADE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def shard(documents: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), in_file_order: bool = False) -> DataFrame:
+    """key, size, text_crc32, law, shard, slot and grown_shard of each row, and the columns to keep.
+
+    With in_file_order, documents are read from files (part-N) whose rows have an order, by N and within a file: slots follow it.
+    """
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
     size = F.octet_length(raw).cast("long") + ROW_BYTES
-    rows = documents.select(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).alias("__hash"), F.col(f"`{key}`").alias("__key"), size.alias("__size"), F.crc32(raw).alias("__crc"), *(F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)))
+    keep = tuple(c for c in keep if c != key and c not in MADE)
+    picked = [F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).alias("__hash"), F.col(f"`{key}`").alias("__key"), size.alias("__size"), F.crc32(raw).alias("__crc"), *(F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep))]
+    if in_file_order:
+        name = documents.metadataColumn("_metadata")["file_path"]
+        number = F.regexp_extract(name, "part-([0-9]+)[^/]*$", 1).try_cast("long")
+        picked += [F.struct(number.alias("n"), F.xxhash64(name).alias("h")).alias("__file"), documents.metadataColumn("_metadata")["row_index"].alias("__row")]
+    rows = documents.select(*picked)
 
     @F.pandas_udf("int")
     def shard_of(h: pd.Series, n: pd.Series) -> pd.Series:
@@ -52,5 +68,8 @@ def shard(documents: DataFrame, shards: int = 40, key: str = "doc_id", text: str
 
     dealt = rows.withColumns({"__shard": F.coalesce(shard_of("__hash", F.lit(shards)), F.lit(0)), "__grown": shard_of("__hash", F.lit(shards + 1))})
     # totals by range need the hash alone, so that the texts are read once
-    out = numbered(dealt, ["__shard"], [F.col("__hash"), F.col("__key"), F.col("__crc"), F.col("__size")], F.xxhash64(F.col("__hash"), F.lit(9)), ROWS_PER_BUCKET, nullable=False)
-    return out.select(*(F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep) if c != key), F.col("__key").alias(key), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("key").alias("law"), F.col("__shard").alias("shard"), F.col("start").alias("slot"), F.col("__grown").alias("grown_shard"))
+    if in_file_order:
+        out = numbered(dealt, ["__shard"], [], F.col("__row"), ROWS_PER_BUCKET, nullable=False, ranges=F.col("__file"))
+    else:
+        out = numbered(dealt, ["__shard"], [F.col("__hash"), F.col("__key"), F.col("__crc"), F.col("__size")], F.xxhash64(F.col("__hash"), F.lit(9)), ROWS_PER_BUCKET, nullable=False)
+    return out.select(*(F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)), F.col("__key").alias(key), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("key").alias("law"), F.col("__shard").alias("shard"), F.col("start").alias("slot"), F.col("__grown").alias("grown_shard"))

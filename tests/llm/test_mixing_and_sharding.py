@@ -57,7 +57,32 @@ def test_mix(spark):
     out = mixing.apply(docs)
     assert out.columns == docs.columns
     assert mixing.mix(cases.nothing(spark)).count() == mixing.apply(cases.nothing(spark)).count() == 0
-    assert mixing.first_positions(a).count() == len(rows)
+    first = mixing.first_positions(a).collect()
+    assert len(first) == len(rows) and sum(r.n_passes for r in first) == len(times)
+    assert sorted(r.first_position for r in first if r.taken) == sorted(round(r.position) for r in times if r["pass"] == 0)
+    assert all((r.first_position is None) == (r.taken == 0) for r in first)
+
+
+def test_a_long_document_does_not_empty_its_source(spark):
+    """A source of one document of over twice its target."""
+    rows = [(0, "w " * 5000, "c"), *((i, "v " * 200, "a") for i in range(1, 50)), *((100 + i, "u " * 100, "b") for i in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    out = mixing.apply(docs).groupBy("source").count().collect()
+    assert target["c"] < 2500 and {r.source: r["count"] for r in out}.keys() == target.keys()
+
+
+def test_slots_follow_the_files(spark, tmp_path):
+    """A table written in order keeps its order within each shard."""
+    path = str(tmp_path / "ordered")
+    df = spark.range(3000).selectExpr("id % 700 doc_id", "cast(id as string) text", "(id * 7919) % 3000 position")
+    df.repartition(5).orderBy("position").write.parquet(path)
+    back = spark.read.option("maxPartitionBytes", "1k").parquet(path)
+    rows = sharding.shard(back, 7, keep=("position",), in_file_order=True).collect()
+    assert len(rows) == 3000
+    for s in range(7):
+        own = sorted((r.slot, r.position) for r in rows if r.shard == s)
+        assert [a for a, _ in own] == list(range(len(own))) and [b for _, b in own] == sorted(b for _, b in own)
 
 
 def slow_jump(key, n):
@@ -90,6 +115,7 @@ def test_shards(spark, monkeypatch, rows_per_bucket):
     by_id = {}
     for r in rows:
         assert by_id.setdefault(r.doc_id, (r.shard, r.grown_shard)) == (r.shard, r.grown_shard) and r.grown_shard in (r.shard, 5)
-    kept = sharding.shard(docs, 5, keep=tuple(c for c in docs.columns if c not in ("size", "shard", "slot", "text_crc32")))
-    assert kept.count() == len(rows) and {"lang", "text"} <= set(kept.columns)
+    kept = sharding.shard(docs, 5, keep=tuple(docs.columns))
+    assert sorted(kept.columns) == sorted({*docs.columns, *sharding.MADE})
+    assert cases.same_rows(kept.select("doc_id", *sharding.MADE), sharding.shard(docs, 5))
     assert sharding.shard(cases.nothing(spark)).count() == 0

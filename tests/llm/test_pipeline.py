@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from busloom.llm import toxicity
+from busloom.llm import mixing, toxicity
 from busloom.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
@@ -66,14 +66,51 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([(8, 1), (10, 0)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([(1, "no such words anywhere in here at all today my friend")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
-    for docs in (cases.documents(spark), cases.nothing(spark)):
+    for n, docs in enumerate((cases.documents(spark), cases.documents(spark, clash=True), cases.nothing(spark))):
         d = docs
         for i, (_name, stage) in enumerate(corpus_pipeline.STAGES):
-            path = f"{sf}/{docs.isEmpty()}{i}"
+            path = f"{sf}/{n}-{i}"
             stage(spark, d, sf).write.parquet(path)
             d = spark.read.parquet(path)
+            assert set(d.columns) >= set(docs.columns) and (i == 4 or d.columns == docs.columns)
         assert d.count() <= 3 * docs.count()
 
 
+def test_slots_keep_the_order_of_the_mix(spark, tmp_path):
+    sf = str(tmp_path)
+    rows = [(i, cases.prose(i, 30), "en", f"src{i % 3}", 1) for i in range(400)]
+    spark.createDataFrame(rows, cases.SCHEMA).repartition(3).write.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    corpus_pipeline.mix_sources(spark, docs, sf).write.parquet(f"{sf}/mixed.parquet")
+    mixed = spark.read.parquet(f"{sf}/mixed.parquet")
+    got = corpus_pipeline.shard_documents(spark, mixed, sf).collect()
+    due = {}
+    for r in mixing.schedule(mixing.mix(docs)).collect():
+        due.setdefault(r.doc_id, []).append(r.position)
+    assert any(len(p) > 1 for p in due.values())
+    for s in range(40):
+        own = sorted((r.slot, r.doc_id) for r in got if r.shard == s)
+        seen, at = {}, []
+        for _, i in own:
+            at.append(due[i][seen.setdefault(i, 0)])
+            seen[i] += 1
+        assert at == sorted(at)
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, tmp_path):
+    from pathlib import Path
+
+    from busloom.llm.common import shared_dir
+
+    sf = str(tmp_path)
+    cases.documents(spark).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(8, 1), (10, 0)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "no such words anywhere in here at all today my friend")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    files = lambda: {p for p in Path(shared_dir(spark).removeprefix("file:")).rglob("part-*")}
+    before = files()
+    n = corpus_pipeline.run(spark, sf).count()
+    assert n and all("4-sharding" in str(p) for p in files() - before)
+
+
 def test_one_query_for_each_operator():
     assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)]
