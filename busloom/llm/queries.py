@@ -91,10 +91,9 @@ u as (select *, case when taken > 0 then coalesce((slope - 1 + sqrt(greatest((1
 select doc_id, size, source_size, target, taken, source, first_due, round(all_targets * first_due + all_slopes * (first_due * first_due - first_due))::bigint first_position,
   case when size = 0 then 0 else (quota > start)::int + (quota > start + source_size)::int + (quota > start + 2 * source_size)::int end n_passes from u""",
     "op10_nearest_neighbours": """
-with e as (select distinct vec_id, cast(embedding as double[]) v from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
+with e as (select row_number() over () rid, vec_id, cast(embedding as double[]) v, len(embedding) d from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-n as (select len(v) d from e group by 1 order by count(*) desc, 1 limit 1), f as (select vec_id, v from e, n where len(v) = d),
-p as (select a.vec_id query_id, b.vec_id, list_dot_product(a.v, b.v) score from f a, f b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from p)
+p as (select a.rid q, a.vec_id query_id, b.rid, b.vec_id, list_dot_product(a.v, b.v) score from e a join e b on a.d = b.d where a.vec_id % 20 = 0 and a.rid <> b.rid),
+r as (select *, row_number() over (partition by q order by score desc, vec_id) rank from p)
 select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""",
 }
