@@ -3,10 +3,13 @@
 Only documents have labels; sentences are the instances. A sentence is toxic with probability p = logistic(b + sum of the
 weights of its features), and a document with P = 1 - product(1 - p) over its sentences (noisy-or). The weights are fitted
 to the document labels by likelihood, and then tell which sentences offend. Features are words and word beginnings, so the
-text is the only input of a score.
+text is the only input of a score; a word counts by the one of its features that has the best evidence. Each weight is drawn
+towards what its evidence alone would give: the lower bound (DOUBT standard errors) of the share of toxic documents among those
+with the feature. GAIN, DOUBT and DECAY were chosen by cross-validation among the rows that are learned from.
 
 The classifier is fitted on at most MAX_PER_CLASS labelled documents of either label, those with the smallest hash of the
-id, and each class weighs as much as all its labelled ids (held-out ones aside); everything else reads all rows. Labelled ids with crc32(id) mod 3 = 1 are held out. Null labels and ids are not learned
+id, as far as they have MAX_CLASS_BYTES of text together; each class weighs as much as all its labelled ids (held-out ones aside).
+Everything else reads all rows. Labelled ids with crc32(id) mod 3 = 1 are held out. Null labels and ids are not learned
 from; an id with several labels counts as toxic if half of them say so; one with several texts is learned by its smallest
 text, and equal texts once. Without labelled toxic documents all scores are the (small) base rate. A null or empty text scores as one sentence
 without evidence. Columns other than the named ones are not read.
@@ -16,14 +19,21 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, checkpointed, map_texts, pieces, smallest
 
 MAX_PER_CLASS = 3000
+MAX_CLASS_BYTES = 64 << 20
+#: How much a feature must tell (twice its log-likelihood ratio), how many standard errors its share is doubted by, and how
+#: strongly a weight is held to its evidence.
+GAIN, DOUBT, DECAY = 15.0, 1.0, 0.1
+_BIAS = -7.0
 THRESHOLD = 0.7
 #: Lengths of the word beginnings that are features, in code points; the word goes on after them.
 PREFIXES = range(3, 11)
@@ -46,12 +56,19 @@ def slots(text: str) -> int:
 
 
 class Model:
-    def __init__(self, bias: float, weights: dict[str, float]) -> None:
+    """weights: the evidence and the weight of each feature."""
+
+    def __init__(self, bias: float, weights: dict[str, tuple[float, float]]) -> None:
         self.bias, self.weights = bias, weights
         self.seen: set[bytes] = set()  # words met lately, and what tells of those that tell anything
-        self.telling: dict[bytes, tuple[str, ...]] = {}
+        self.telling: dict[bytes, str] = {}
         self.heads = {f.removeprefix("=")[:3] for f in weights}  # a word that starts otherwise tells nothing
 
+    def feature(self, word: bytes) -> str | None:
+        """The feature of a word with the best evidence; of equal ones the longest."""
+        got = [f for f in features(word) if f in self.weights]
+        return max(got, key=lambda f: (self.weights[f][0], len(f), f)) if got else None
+
     def _meet(self, words: set[bytes]) -> bool:
         """Whether any of the words tells something; new words are looked at once."""
         new = words - self.seen
@@ -61,7 +78,7 @@ class Model:
             new = words
         heads = self.heads
         for w in new:
-            if w.decode("utf-8", "replace")[:3] in heads and (got := tuple(f for f in features(w) if f in self.weights)):
+            if w.decode("utf-8", "replace")[:3] in heads and (got := self.feature(w)):
                 self.telling[w] = got
         self.seen |= new
         return not words.isdisjoint(self.telling)
@@ -74,9 +91,9 @@ class Model:
         if self._meet(set(text.encode("utf-8", "replace").translate(WORD_BYTES).split())):
             telling = self.telling
             for m in _SENTENCE.finditer(text):
-                got = {f for w in m[0].encode("utf-8", "replace").translate(WORD_BYTES).split() if w in telling for f in telling[w]}
+                got = {telling[w] for w in m[0].encode("utf-8", "replace").translate(WORD_BYTES).split() if w in telling}
                 if got:
-                    z = self.bias + sum(self.weights[f] for f in got)
+                    z = self.bias + sum(self.weights[f][1] for f in sorted(got))
                     log_none -= max(z, 0) + math.log1p(math.exp(-abs(z)))
                     silent -= 1
                     if (p := 1 / (1 + math.exp(-max(-500.0, z)))) >= least:
@@ -85,55 +102,65 @@ class Model:
         return 1 - math.exp(log_none), found
 
 
-def fit(rows: list[tuple[str | None, int]], rounds: int = 300, decay: float = 0.002, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """The noisy-or model of labelled texts. weights: how many labelled documents a clean and a toxic text stands for."""
-    rows = list({t or "": (t or "", int(y)) for t, y in sorted(rows, key=lambda r: (r[0] or "", r[1]))}.values())
+def _lower(share: float, n: int, doubt: float) -> float:
+    """Wilson's lower bound of a share seen in n documents."""
+    d = doubt * doubt / n
+    return (share + d / 2 - math.sqrt(d * (share * (1 - share) + d / 4))) / (1 + d)
+
+
+def evidence(rows: list[tuple[str, int]], words: list[set[bytes]], weights: tuple[float, float], gain: float, doubt: float) -> dict[str, float]:
+    """The lower bound of the share of toxic documents among those with a feature, for features that tell enough."""
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
-    if not n1:
-        return Model(math.log(0.01), {})
-    words = lambda text: set(text.encode("utf-8", "replace").translate(WORD_BYTES).split())
-    df1: dict[str, int] = {}
-    for text, y in rows:
+    df1: Counter[str] = Counter()
+    df0: Counter[str] = Counter()
+    for own, (_, y) in zip(words, rows, strict=True):
         if y:
-            for f in {f for w in words(text) for f in features(w)}:
-                df1[f] = df1.get(f, 0) + 1
-    df1 = {f: a for f, a in df1.items() if a >= 3}
-    df0: dict[str, int] = {}
-    for text, y in rows:
+            df1.update({f for w in own for f in features(w)})
+    df1 = Counter({f: a for f, a in df1.items() if a >= 3})
+    for own, (_, y) in zip(words, rows, strict=True):
         if not y:
-            for f in {f for w in words(text) for f in features(w) if f in df1}:
-                df0[f] = df0.get(f, 0) + 1
-    kept: dict[str, int] = {}
-    rate1 = n1 / len(rows)
+            df0.update({f for w in own for f in features(w) if f in df1})
+    rate = n1 * weights[1] / (n1 * weights[1] + n0 * weights[0])
+    found = {}
     for f, a in sorted(df1.items()):
-        b = df0.get(f, 0)
-        p1, p0 = a / n1, b / max(n0, 1)
-        if p1 < 4 * p0:
+        b = df0[f]
+        if a / n1 < 4 * b / max(n0, 1):
             continue
-        gain = 2 * (a * math.log((a / (a + b)) / rate1) + (b * math.log((b / (a + b)) / max(1 - rate1, 1e-9)) if b else 0.0))
-        if gain >= 15:
-            kept[f] = len(kept)
-    del df1, df0
+        share = a * weights[1] / (a * weights[1] + b * weights[0])
+        if 2 * (a * math.log(share / rate) + (b * math.log((1 - share) / max(1 - rate, 1e-9)) if b else 0.0)) >= gain:
+            found[f] = _lower(share, a + b, doubt)
+    return found
+
+
+def fit(rows: list[tuple[str | None, int]], rounds: int = 300, decay: float = DECAY, weights: tuple[float, float] = (1.0, 1.0), gain: float = GAIN, doubt: float = DOUBT) -> Model:
+    """The noisy-or model of labelled texts. weights: how many labelled documents a clean and a toxic text stands for."""
+    rows = list({t or "": (t or "", int(y)) for t, y in sorted(rows, key=lambda r: (r[0] or "", r[1]))}.values())
+    if not any(y for _, y in rows):
+        return Model(math.log(0.01), {})
+    words = [set(t.encode("utf-8", "replace").translate(WORD_BYTES).split()) for t, _ in rows]
+    found = evidence(rows, words, weights, gain, doubt)
+    plain = Model(_BIAS, {f: (e, 0.0) for f, e in found.items()})
+    kept = {f: i for i, f in enumerate(found)}
+    drawn = np.array([max(0.0, math.log(e / (1 - e)) - _BIAS) for e in found.values()])
     sent_doc, feat_sent, feat_id = [], [], []
     silent = np.zeros(len(rows))
     y = np.array([r[1] for r in rows], dtype=float)
     for d, (text, _) in enumerate(rows):
         left = slots(text)
-        if any(f in kept for w in words(text) for f in features(w)):
+        if plain._meet(words[d]):
             for m in _SENTENCE.finditer(text):
-                got = {kept[f] for w in m[0].encode("utf-8", "replace").translate(WORD_BYTES).split() for f in features(w) if f in kept}
+                got = {kept[plain.telling[w]] for w in m[0].encode("utf-8", "replace").translate(WORD_BYTES).split() if w in plain.telling}
                 if got:
-                    s = len(sent_doc)
-                    sent_doc.append(d)
-                    feat_sent += [s] * len(got)
+                    feat_sent += [len(sent_doc)] * len(got)
                     feat_id += sorted(got)
+                    sent_doc.append(d)
                     left -= 1
         silent[d] = left
     sent_doc, feat_sent, feat_id = (np.array(x, dtype=np.int64) for x in (sent_doc, feat_sent, feat_id))
     weight = np.where(y > 0, weights[1], weights[0])
     weight *= len(rows) / weight.sum()  # the decay is against as many rows as there are
-    theta = np.concatenate([[-7.0], np.full(len(kept), 3.0)])
+    theta = np.concatenate([[_BIAS], drawn])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):  # Adam on the mean negative log-likelihood
         z = theta[0] + np.bincount(feat_sent, theta[1:][feat_id], len(sent_doc)) if len(sent_doc) else np.zeros(0)
@@ -142,27 +169,28 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 300, decay: float = 0.
         push = weight * np.where(y > 0, -np.exp(-none) / big, 1.0)
         gs = push[sent_doc] / (1 + np.exp(-z)) if len(sent_doc) else z
         g = np.concatenate([[gs.sum() + (push * silent).sum() / (1 + np.exp(-theta[0]))], np.bincount(feat_id, gs[feat_sent], len(kept)) if len(kept) else []])
-        g[1:] += decay * theta[1:]
+        g[1:] += decay * (theta[1:] - drawn)
         g /= len(rows)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return Model(float(theta[0]), {f: float(theta[1 + i]) for f, i in kept.items() if theta[1 + i] > 0.05})
+    return Model(float(theta[0]), {f: (found[f], max(0.0, float(theta[1 + i]))) for f, i in kept.items()})
 
 
-def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> Model:
+def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = MAX_PER_CLASS, max_class_bytes: int = MAX_CLASS_BYTES) -> Model:
     ids = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).filter("k is not null and y is not null").groupBy("k").agg((F.avg("y") >= 0.5).cast("int").alias("y")).filter(~held_out("k"))
     ids = checkpointed(ids)
     n = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
     picked = smallest(ids.filter("y = 1"), "k", max_per_class, n.get(1, 0)).unionAll(smallest(ids.filter("y = 0"), "k", max_per_class, n.get(0, 0)))
     texts = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k")  # 2 * max_per_class rows at most
-    stands = tuple(max(1.0, n.get(y, 0) / max_per_class) for y in (0, 1))
-    return fit([(r.t, r.y) for r in texts.groupBy("k", "y").agg(F.min("t").alias("t")).collect()], weights=stands)
+    texts = texts.groupBy("k", "y").agg(F.min("t").alias("t"))
+    running = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")  # max_per_class rows at most
+    sample = texts.withColumn("bytes", F.sum(F.octet_length("t")).over(running)).filter(F.coalesce("bytes", F.lit(0)) <= max_class_bytes).collect()
+    stands = tuple(max(1.0, n.get(y, 0) / max(1, sum(r.y == y for r in sample))) for y in (0, 1))
+    return fit([(r.t, r.y) for r in sample], weights=stands)
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, held_out, score, predicted and offending (sentences, as code points) of each row. One pass, no shuffle."""
-    import pyarrow as pa
-
     shared = documents.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # bounded by the training sample
 
     def make():
@@ -185,8 +213,6 @@ def keep_clean(documents: DataFrame, model: Model, text: str = "text", threshold
     at = documents.columns.index(text)
 
     def run(batches):
-        import pyarrow as pa
-
         m = Model(*shared.value)
         for b in pieces(batches):
             yield b.filter(pa.array([m.score(t)[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))

@@ -62,5 +62,6 @@ def test_awkward(spark):
         model = X.train(d, labels)
         rows = X.score(d, model).collect()
         assert len(rows) == len(cases.rows()) and all(0 <= r.score <= 1 for r in rows)
+    assert X.train(d, lab, max_class_bytes=10).weights == {}  # no text fits the sample's bytes
     assert X.score(cases.nothing(spark), model).count() == X.keep_clean(cases.nothing(spark), model).count() == 0
     assert X.keep_clean(d, model).columns == d.columns
