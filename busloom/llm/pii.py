@@ -13,6 +13,10 @@ which near copies are one: a text counts as the first, by digest, of the entity'
 Jaccard similarity of NEAR, estimated from the smallest hash in each of 128 bins). The term's other documents count as they
 are. A single text proves nothing by this test, unless the corpus has far fewer terms than documents. The ratio is of documents, copies included.
 
+Entities that stand in the same texts are judged once, as one class: a directory that is copied many times makes one class of
+its addresses. Entities, and bands of near copies, that hold over a thousandth of the rows of a join are joined where they stand.
+The terms of the whole corpus are counted first: their number is part of the test.
+
 A null or empty text has no spans. Positions are code points, the end exclusive. Terms are runs of 0-9, a-z and non-ASCII,
 lower-cased in A-Z, outside base spans. Patterns run in linear time: possessive quantifiers, and no start inside a run that
 has failed already. Repeated rows give repeated results. Columns other than key and text are not read.
@@ -25,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, hot_keys, spread_join
 
 DISCLOSURE, REMOVAL = 0.9, 0.995
 #: How many terms an entity may have by chance.
@@ -156,18 +160,21 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 
 def different(per_text: DataFrame, texts: DataFrame) -> DataFrame:
-    """per_text (entity, __digest and more) with group: the digest of the text that a near copy counts as, within an entity.
+    """per_text (class, __digest and more) with group: the digest of the text that a near copy counts as, within a class.
 
     Texts that agree on a band of bins are compared with the first of them only, so that n near copies make no n * n pairs.
     """
     own = checkpointed(signatures(texts))
-    keys = checkpointed(per_text.select("entity", "__digest").join(own.select("__digest", F.explode("keys").alias("key")), "__digest"))
-    firsts = keys.groupBy("entity", "key").agg(F.min("__digest").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = keys.join(firsts, ["entity", "key"]).filter("__digest != first").select("entity", "__digest", "first").distinct()
-    pairs = pairs.join(own.select("__digest", F.col("mins").alias("a")), "__digest").join(own.select(F.col("__digest").alias("first"), F.col("mins").alias("b")), "first")
+    keys = checkpointed(per_text.select("class", "__digest").join(own.select("__digest", F.explode("keys").alias("band")), "__digest").select(F.struct("class", "band").alias("key"), "__digest"))
+    firsts = checkpointed(keys.groupBy("key").agg(F.min("__digest").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    pairs = spread_join(keys, firsts.drop("n"), "key", hot_keys(firsts, "key", "n", keys.count())).filter("__digest != first").select(F.col("key.class").alias("class"), "__digest", "first").distinct()
+    pairs = pairs.join(own.select("__digest", F.col("mins").alias("a")), "__digest")
+    counted = checkpointed(pairs.groupBy("first").agg(F.count("*").alias("n")))
+    leads = own.select(F.col("__digest").alias("first"), F.col("mins").alias("b"))
+    pairs = spread_join(pairs, leads, "first", hot_keys(counted, "first", "n", keys.count()))
     bins = F.size(F.array_distinct(F.transform(F.array_union("a", "b"), lambda h: _bin(h, BIN_BITS))))
-    near = pairs.filter(F.size(F.array_intersect("a", "b")) >= NEAR * bins).groupBy("entity", "__digest").agg(F.min("first").alias("first"))
-    return per_text.join(near, ["entity", "__digest"], "left").withColumn("group", F.coalesce("first", "__digest")).drop("first")
+    near = pairs.filter(F.size(F.array_intersect("a", "b")) >= NEAR * bins).groupBy("class", "__digest").agg(F.min("first").alias("first"))
+    return per_text.join(near, ["class", "__digest"], "left").withColumn("group", F.coalesce("first", "__digest")).drop("first")
 
 
 def _surprise(a: Column, n: Column, rate: Column) -> Column:
@@ -176,34 +183,45 @@ def _surprise(a: Column, n: Column, rate: Column) -> Column:
     return F.when(a > n * rate, a * F.log(a / (n * rate)) + missed).otherwise(0.0)
 
 
-def disclosures(rows: DataFrame, documents: DataFrame, text: str, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
-    """entity, term and ratio of what is disclosed, from counts over all documents. rows: base, __text and __digest of those with spans."""
+def _classes(rows: DataFrame, least: float, n: float) -> tuple[DataFrame, DataFrame]:
+    """entity and class of the entities that some term might tell, and class, __digest, copies and n_e (documents) of each class.
+
+    A class is the set of texts of its entities, told by two sums of hashes over them. A rate is 1 / n at least and digests are no
+    fewer than different texts, so no term passes for an entity in fewer texts than are asked for here.
+    """
     entities = F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")
     held = checkpointed(rows.select("__digest", entities).groupBy("entity", "__digest").agg(F.count("*").alias("copies")))
-    counts = checkpointed(term_counts(documents, text))  # a statistic of the whole corpus, gathered whatever the entities are
+    sums = [F.sum(F.xxhash64("__digest", F.lit(i)).cast("decimal(20,0)")) for i in (1, 2)]
+    named = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts"), F.md5(F.concat_ws(",", *sums, F.count("*")).cast("binary")).alias("class"))
+    named = checkpointed(named.filter(F.col("texts") * math.log(max(n, 1.0)) > least))
+    first = checkpointed(named.groupBy("class").agg(F.min("entity").alias("entity"), F.first("n_e").alias("n_e"), F.first("texts").alias("texts")))
+    per_text = spread_join(held, first.drop("texts"), "entity", hot_keys(first, "entity", "texts", held.count())).select("class", "__digest", "copies", "n_e")
+    return named.select("entity", "class"), checkpointed(per_text)
+
+
+def disclosures(rows: DataFrame, documents: DataFrame, text: str, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
+    """entity, term and ratio of what is disclosed, from counts over all documents. rows: base, __text and __digest of those with spans."""
+    counts = checkpointed(term_counts(documents, text))
     n = float(documents.count())
-    least = math.log(max(counts.count(), 1) / chance)
-    # no term passes for an entity in fewer texts: a rate is 1 / n at least, and digests are no fewer than different texts
-    known = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") * math.log(max(n, 1)) > least).drop("texts")
-    known = checkpointed(known)
-    empty = documents.sparkSession.createDataFrame([], "entity string, term string, ratio double")
-    if known.isEmpty():
-        return empty
-    per_text = checkpointed(held.join(known, "entity"))
+    least = math.log(max(counts.count(), 1) / chance)  # the surprise that a term must come to, among so many terms
+    named, per_text = _classes(rows, least, n)
+    if per_text.isEmpty():
+        return documents.sparkSession.createDataFrame([], "entity string, term string, ratio double")
     per_text = checkpointed(different(per_text, _wanted(rows, per_text)))
     rate = (F.col("texts") / (n - F.col("n_e") + F.col("texts"))).alias("rate")
-    known = per_text.groupBy("entity").agg(F.count_distinct("group").alias("texts"), F.first("n_e").alias("n_e")).select("entity", "texts", rate)
-    known = known.filter(-F.col("texts") * F.log("rate") > least).drop("texts")  # what a term in all of the texts, and nowhere else, comes to
-    per_text = checkpointed(per_text.join(known, "entity"))
+    known = per_text.groupBy("class").agg(F.count_distinct("group").alias("texts"), F.first("n_e").alias("n_e"), F.count("*").alias("rows")).select("class", "texts", rate, "rows")
+    known = checkpointed(known.filter(-F.col("texts") * F.log("rate") > least).drop("texts"))  # what a term in all of the texts, and nowhere else, comes to
+    per_text = checkpointed(spread_join(per_text, known.drop("rows"), "class", hot_keys(known, "class", "rows", per_text.count())))
     texts = _wanted(rows, per_text).select("__digest", F.explode(_terms(_blanked(F.col("__text")))).alias("term"))
     termed = per_text.join(texts, "__digest")
-    together = termed.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.first("rate").alias("rate"), F.sum("copies").alias("n_et"), F.count_distinct("group").alias("texts"))
+    together = termed.groupBy("class", "term").agg(F.first("n_e").alias("n_e"), F.first("rate").alias("rate"), F.sum("copies").alias("n_et"), F.count_distinct("group").alias("texts"))
     # a term passes in no fewer texts than it would if it stood nowhere else
     together = checkpointed(together.filter(-F.col("texts") * F.log("rate") > least))
     ratio = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.nullif(F.log(F.lit(n) / F.col("n_e")), F.lit(0.0))
     counted = together.join(counts, F.xxhash64("term") == F.col("h"))
     surprise = _surprise(F.col("texts"), F.col("texts") + F.col("n_t") - F.col("n_et"), F.col("rate"))
-    return checkpointed(counted.filter(surprise > least).select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure))
+    told = counted.filter(surprise > least).select("class", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure)
+    return checkpointed(told.join(named, "class").select("entity", "term", "ratio"))
 
 
 def _wanted(rows: DataFrame, per_text: DataFrame) -> DataFrame:
@@ -255,7 +273,7 @@ def sanitize(documents: DataFrame, key: str = "doc_id", text: str = "text", **op
         named_struct('at', s.end, 'out', concat(a.out, substring(__text, cast(a.at + 1 as int), cast(s.start - a.at as int)),
             case s.rank when 0 then '[EMAIL]' when 1 then '[IP]' when 2 then '[CARD]' when 3 then '[PHONE]' when 4 then if(s.value rlike '^[0-9]+$', '[NUMBER]', '[WORD]') else '' end))),
         a -> concat(a.out, substring(__text, cast(a.at + 1 as int))))""")
-    changed = some.filter(F.size("all") > 0).select("__key", mark.alias("__to"), "__text").distinct()
-    own = documents.withColumn("__was", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__was") == F.col("__text"))
-    return own.join(changed, same, "left").select(F.col(f"`{key}`"), F.coalesce("__to", F.col(f"`{text}`")).alias("sanitized"))
+    changed = some.filter(F.size("all") > 0).select(F.col("__key").alias("__k"), mark.alias("__to"), "__text").distinct()
+    own = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__was"))
+    same = F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__was") == F.col("__text"))
+    return own.join(changed, same, "left").select(F.col("__key").alias(key), F.coalesce("__to", "__was").alias("sanitized"))

@@ -1,9 +1,11 @@
 import hashlib
+import math
 import random
 import re
 
 import pytest
 from busloom.llm import pii, secrets
+from pyspark.sql import functions as F
 
 from . import cases
 
@@ -127,6 +129,64 @@ def test_terms_in_few_of_the_documents(spark):
         assert got[i].n_terms == bool(word) and (not word or f"term:{at}:{at + len(word)}" in got[i].spans), got[i]
 
 
+def slow_disclosures(docs, chance=pii.CHANCE, least_ratio=pii.DISCLOSURE):
+    """entity, term and ratio from plain sets of documents; all texts are different."""
+    entity = re.compile(r"[a-z0-9.]+@[a-z0-9.]+[a-z]|[0-9]+(?:\.[0-9]+){3}")
+    holds, terms = {}, {}
+    for i, t in docs:
+        for e in set(entity.findall(t)):
+            holds.setdefault(e, set()).add(i)
+        for w in set(re.findall(r"[0-9a-zé]+", entity.sub(" ", t))):
+            terms.setdefault(w, set()).add(i)
+    n, least, out = len(docs), math.log(len(terms) / chance), {}
+    for e, of in holds.items():
+        rate = len(of) / n
+        for w, where in terms.items():
+            a, m = len(of & where), len(where)
+            if not a:
+                continue
+            surprise = a * math.log(a / (m * rate)) + ((m - a) * math.log((m - a) / (m * (1 - rate))) if m > a else 0.0) if a > m * rate else 0.0
+            ratio = math.log(n * a / (len(of) * m)) / math.log(n / len(of))
+            if surprise > least and ratio >= least_ratio:
+                out[e, w] = ratio
+    return out
+
+
+def test_disclosures_against_brute_force(spark):
+    """Random documents with entities, words that go with one, some that go with two and some with none; two addresses always together."""
+    r = random.Random(4)
+    names = [f"u{k}@h{k % 3}.example" for k in range(12)] + [f"10.0.0.{k}" for k in range(6)]
+    docs = []
+    for i in range(700):
+        words = [f"w{r.randrange(400)}" for _ in range(40)] + [f"own{i}x{j}" for j in range(40)]
+        k = r.randrange(40)
+        if k < len(names):
+            words += [names[k], f"code{k}"] + [f"half{k}"] * (r.random() < 0.6) + [f"pair{k // 2}"]
+            words += ["both@h9.example", "both2@h9.example"] * (k == 3)
+        if r.random() < 0.01:
+            words.append(f"code{r.randrange(18)}")
+        r.shuffle(words)
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = pii.base(df).filter("size(base) > 0").withColumn("__digest", F.md5("__text"))
+    got = {(x.entity, x.term): x.ratio for x in pii.disclosures(rows, df, "text").collect()}
+    want = slow_disclosures(docs)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {"code3", "code17"} <= {w for _, w in got} and ("both@h9.example", "code3") in got and ("both2@h9.example", "code3") in got
+    spans = {x.doc_id: x for x in pii.report(df).collect()}
+    for i, t in docs:
+        told = {w for (e, w) in want if e in t}
+        assert spans[i].n_terms == sum(w in told for w in re.findall(r"[0-9a-z]+", re.sub(r"\S+@\S+|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", " ", t)))
+
+
+def test_sanitize_awkward_rows(spark):
+    docs = cases.documents(spark, clash=True)
+    got = pii.sanitize(docs)
+    assert got.count() == docs.count() and got.columns == ["doc_id", "sanitized"]
+    assert {(r.doc_id, r.sanitized) for r in got.collect()} >= {(0, None), (1, ""), (3, "a")}
+    assert pii.sanitize(cases.nothing(spark)).count() == 0
+
+
 def test_linked_parts():
     key = "Zx9Kq2Lm7Rt4Vb8Nw3Ps6Yd1"
     text = f"user_id: deploy-bot key {key} host = db.internal.example"
