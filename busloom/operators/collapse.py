@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import MAX_DATA_WORDS
 from .pairing import is_continuation
 
 #: What makes two records the same transaction: words, and neither time nor place.
@@ -16,30 +17,59 @@ IDENTITY = ("type_word", "command_word", "command_word_2", "status_word", "statu
 DEFAULT_CAP = 4096
 
 
-def identity() -> Column:
-    """A digest of the words of a record; 256 bits, so equal digests are equal words."""
-    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in IDENTITY)), {"ignoreNullFields": "false"}), 256)
+def identity(of: dict[str, Column] | None = None) -> list[Column]:
+    """Two hashes of the words of a record (128 bits, so equal hashes are equal words); of gives other columns for them."""
+    parts = [(of or {}).get(c, F.col(c)) for c in IDENTITY]
+    told = F.struct(*(F.coalesce(x.cast("array<int>") if c == "data_words" else F.array(x.cast("int")), F.array().cast("array<int>")).alias(c) for c, x in zip(IDENTITY, parts, strict=True)))
+    return [F.xxhash64(F.lit(1), told).alias("__d1"), F.xxhash64(told, F.lit(2)).alias("__d2")]
+
+
+def _of_parent() -> dict[str, Column]:
+    """The fields of identity of an errored record, from its words."""
+    first = F.when(F.col("ts_format") == "irig", 4).otherwise(3)
+    none = F.lit(None).cast("int")
+    data = F.slice("parent", first + 2, F.least(F.greatest(F.size("parent") - first - 2, F.lit(0)), F.lit(MAX_DATA_WORDS)))
+    return {"type_word": F.get("parent", F.lit(0)), "command_word": F.get("parent", first), "command_word_2": none, "status_word": none, "status_word_2": none, "error_word": F.element_at("parent", -1), "data_words": data}
 
 
 class Survivors:
     """The sequential rule: a record is a duplicate if a kept one of another file has its words, within the window.
 
-    Kept records leave once any record is farther than the window from them, or when there are more than cap.
+    Kept records leave once any record is farther than the window from them, or when there are more than cap. Two heaps give
+    those that are too early or too late, and a table by words those that may match, so a record costs a logarithm.
     """
 
     def __init__(self, window_us: int, cap: int | None = None) -> None:
         self.window, self.cap = window_us, cap
-        self.kept: deque[tuple[int, int, str]] = deque()
-        self.dropped_early = 0
-
-    def duplicate(self, us: int, file: int, digest: str) -> bool:
-        if any(abs(us - t) > self.window for t, _, _ in self.kept):
-            self.kept = deque(k for k in self.kept if abs(us - k[0]) <= self.window)
-        if any(d == digest and f != file for _, f, d in self.kept):
+        self.early: list[tuple[int, int]] = []
+        self.late: list[tuple[int, int]] = []
+        self.alive: dict[int, tuple[int, object]] = {}  # by number, in the order of arrival
+        self.by_words: dict[object, dict[int, int]] = {}
+        self.number = self.dropped_early = 0
+
+    def _forget(self, n: int) -> None:
+        file, digest = self.alive.pop(n)
+        same = self.by_words[digest]
+        del same[n]
+        if not same:
+            del self.by_words[digest]
+
+    def duplicate(self, us: int, file: int, digest: object) -> bool:
+        for heap, least in ((self.early, us - self.window), (self.late, -us - self.window)):
+            while heap and heap[0][0] < least:
+                n = heapq.heappop(heap)[1]
+                if n in self.alive:
+                    self._forget(n)
+        if any(f != file for f in self.by_words.get(digest, {}).values()):
             return True
-        self.kept.append((us, file, digest))
-        if self.cap is not None and len(self.kept) > self.cap:
-            self.kept.popleft()
+        n = self.number
+        self.number += 1
+        self.alive[n] = (file, digest)
+        self.by_words.setdefault(digest, {})[n] = file
+        heapq.heappush(self.early, (us, n))
+        heapq.heappush(self.late, (-us, n))
+        if self.cap is not None and len(self.alive) > self.cap:
+            self._forget(next(iter(self.alive)))
             self.dropped_early += 1
         return False
 
@@ -50,41 +80,63 @@ def _fold(window_us: int, cap: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rule = None, None
         for b in batches:
-            out = []
-            for g, us, file, digest in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3)), strict=True):
+            out, early = [], []
+            for g, us, file, d1, d2 in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if rule is None or g != group:
                     group, rule = g, Survivors(window_us, cap)
-                out.append(us is not None and rule.duplicate(us, file, digest))
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(4), pa.array(out, pa.bool_())], ["f", "s", "duplicate"])
+                before = rule.dropped_early
+                out.append(us is not None and rule.duplicate(us, file, (d1, d2)))
+                early.append(rule.dropped_early > before)
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(5), pa.array(out, pa.bool_()), pa.array(early, pa.bool_())], ["f", "s", "duplicate", "early"])
 
     return run
 
 
+def cap_binds(df: DataFrame, window_us: int, cap: int) -> bool:
+    """Whether more than cap records may be within the window of one: no, if no two neighbouring spans of its length hold as many."""
+    span = F.floor(F.col("time_us") / (window_us + 1))
+    counts = df.filter(~is_continuation()).groupBy(span.alias("span")).agg(F.count("*").alias("n"))
+    spans = counts.select("span", "n").unionByName(counts.select((F.col("span") + 1).alias("span"), "n"))
+    return spans.groupBy("span").agg(F.sum("n").alias("n")).filter(F.col("n") > cap).limit(1).count() > 0
+
+
 def marked(df: DataFrame, window_us: int = 0, cap: int | None = None, monotone: bool = True) -> DataFrame:
     """df (merged) with collapsed. Three plans, equal where more than one holds:
 
     a window by time and words, if the window is 0 and files are in order of time; a fold by words, if they are in order and
-    the window is larger; and else, or with a cap, the rule over all rows in the order of the merge, in one task, since then
-    any record can drop any kept one.
+    the window is larger; and else, or if more records may be within the window than cap allows, the rule over all rows in the
+    order of the merge, in one task, since then any record can drop any kept one. Such a result has capped too: whether the cap
+    dropped a record there.
     """
     follows = is_continuation()
-    own = df.withColumn("__digest", identity())
-    if monotone and cap is None and window_us == 0:
-        w = Window.partitionBy("time_us", "__digest", follows)
-        verdict = own.withColumn("__dup", ~follows & F.col("time_us").isNotNull() & (F.col("file_index") > F.min("file_index").over(w)))
+    told = "parent" in df.columns
+    digest = identity()
+    if told:  # a continuation goes with its parent
+        digest = [F.when(F.col("parent").isNotNull(), x).otherwise(own).alias(f"__d{i + 1}") for i, (own, x) in enumerate(zip(digest, identity(_of_parent()), strict=True))]
+    own = df.select("*", *digest)
+    one_task = not monotone or cap is not None and cap_binds(df, window_us, cap)
+    if not one_task and window_us == 0:
+        w = Window.partitionBy("time_us", "__d1", "__d2", *([] if told else [follows]))
+        least = F.min(F.when(~follows, F.col("file_index"))).over(w)
+        verdict = own.withColumn("__dup", F.coalesce(F.col("time_us").isNotNull() & (F.col("file_index") > least), F.lit(False)))
     else:
-        alone = own.filter(~follows).withColumn("__g", F.col("__digest") if monotone and cap is None else F.lit(""))
-        rows = alone.select("__g", "time_us", "file_index", "__digest", "seq", "merge_us")
-        order = ["__g", "merge_us", "file_index", "seq"]
+        group = F.lit(0).cast("long") if one_task else F.col("__d1")
+        rows = own.filter(~follows).select(group.alias("__g"), "time_us", "file_index", "__d1", "__d2", "seq", "merge_us")
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartition(parts, "__g") if monotone and cap is None else rows.repartition(1)
-        found = dealt.sortWithinPartitions(*order).mapInArrow(_fold(window_us, cap), "f int, s bigint, duplicate boolean")
-        dups = found.filter("duplicate").select(F.col("f").alias("__f"), F.col("s").alias("__s"), F.lit(True).alias("__d"))
-        verdict = own.join(dups, (F.col("file_index") == F.col("__f")) & (F.col("seq") == F.col("__s")), "left").withColumn("__dup", F.coalesce("__d", F.lit(False))).drop("__f", "__s", "__d")
+        dealt = rows.repartition(1) if one_task else rows.repartition(parts, "__g")
+        found = dealt.sortWithinPartitions("__g", "merge_us", "file_index", "seq").mapInArrow(_fold(window_us, cap if one_task else None), "f int, s bigint, duplicate boolean, early boolean")
+        dups = found.filter("duplicate or early").select(F.col("f").alias("__f"), F.col("s").alias("__s"), F.col("duplicate").alias("__d"), F.col("early").alias("__e"))
+        at = F.when(F.col("parent").isNotNull(), F.col("seq") - 1).otherwise(F.col("seq")) if told else F.col("seq")  # a parent stands right before
+        verdict = own.join(dups, (F.col("file_index") == F.col("__f")) & (at == F.col("__s")), "left").withColumn("__dup", F.coalesce("__d", F.lit(False)))
+        if one_task:
+            verdict = verdict.withColumn("capped", F.coalesce("__e", F.lit(False)) & ~follows)
+        verdict = verdict.drop("__f", "__s", "__d", "__e")
+    if told:
+        return verdict.withColumnRenamed("__dup", "collapsed").drop("__d1", "__d2")
     before = F.lag("__dup").over(Window.partitionBy("file_index").orderBy("seq"))
     verdict = verdict.withColumn("__before", F.coalesce(before, F.lit(False)))
-    return verdict.withColumn("collapsed", F.when(follows, F.col("__before")).otherwise(F.col("__dup"))).drop("__digest", "__dup", "__before")
+    return verdict.withColumn("collapsed", F.when(follows, F.col("__before")).otherwise(F.col("__dup"))).drop("__d1", "__d2", "__dup", "__before")
 
 
 def collapse(df: DataFrame, window_us: int = 0, cap: int | None = None, monotone: bool = True) -> DataFrame:
-    return marked(df, window_us, cap, monotone).filter(~F.col("collapsed")).drop("collapsed")
+    return marked(df, window_us, cap, monotone).filter(~F.col("collapsed")).drop("collapsed", "capped")

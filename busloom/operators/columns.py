@@ -12,7 +12,7 @@ from ..schema import FIELDS, MAX_DATA_WORDS
 
 def padded_words(words="data_words"):
     """The words of a record in an array of fixed length, zeros behind them."""
-    return F.transform(F.sequence(F.lit(0), F.lit(MAX_DATA_WORDS - 1)), lambda i: F.coalesce(F.get(F.col(words), i), F.lit(0)))
+    return F.slice(F.concat(F.coalesce(F.col(words), F.array().cast("array<int>")), F.array_repeat(F.lit(0), MAX_DATA_WORDS)), 1, MAX_DATA_WORDS)
 
 
 def columns(df: DataFrame, fields: list[str] | None = None, *, padded: bool = False, sentinels: bool = False) -> DataFrame:

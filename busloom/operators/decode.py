@@ -50,7 +50,8 @@ def _words(body: Column, start: Column, n: Column) -> Column:
 def decode(raw: DataFrame, *, tick_rate_hz: float | None = None) -> DataFrame:
     """Typed columns of raw rows. Markers stay, with kind 'resync'; rejected records become kind 'skip' with a reject_reason.
 
-    Status rows are left out. Besides the public fields (but delta, and the texts of with_times) there are file_index, source_path, seq, kind, type_word,
+    Status rows are left out. Where the source tells what is known from earlier records, stamp_us, prev_us and merge_us hold it in
+    microseconds. Besides the public fields (but delta, and the texts of with_times) there are file_index, source_path, seq, kind, type_word,
     word_count, reject_reason, anomalies and raw_time_us, the time as stamped on the record itself.
     """
     r = raw.filter("kind <> 'status'")
@@ -96,25 +97,12 @@ def decode(raw: DataFrame, *, tick_rate_hz: float | None = None) -> DataFrame:
     anomalies = F.array_compact(F.array(F.when(words.status_rt(F.col("status_word")) != F.col("rt"), F.lit("status-rt-mismatch")), F.when(words.type_reserved(tw), F.lit("reserved-bit"))))
     kind = F.when(F.col("reject_reason").isNotNull(), "skip").otherwise(F.col("kind"))
     r = r.withColumns({"kind": kind, "time_us": F.col("raw_time_us"), "anomalies": F.when(rec & ~errored & ~spurious, anomalies).otherwise(F.array().cast("array<string>")), "msg_label": words.message_label(F.col("subaddress"), F.col("direction")), "data_word_count": F.size("data_words"), "detail": F.coalesce("reject_reason", "detail")})
+    if "stamp" in raw.columns:
+        us = lambda c: F.when(irig, F.col(c)).otherwise(words.ticks_to_us(F.col(c), tick_rate_hz))
+        r = r.withColumns({"stamp_us": us("stamp"), "prev_us": us("prev_stamp"), "merge_us": us("high")}).drop("stamp", "prev_stamp", "high")
     return r.drop("t0", "t1", "t2", "body", "declared", "declared_2", "ts_words")
 
 
-#: Records of a file that are decoded together, once they have been framed.
-BLOCK = 1 << 14
-
-
-def spread(raw: DataFrame) -> DataFrame:
-    """Raw rows dealt out in blocks of a file, for decoding in parallel although a file is framed in one task.
-
-    The last row of a block also comes as a ghost before the next block, where pairing looks back on it and drops it.
-    """
-    last = F.col("seq") % BLOCK == BLOCK - 1
-    here = F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    out = raw.filter("kind <> 'status'").withColumn("ghost", F.explode(here)).withColumn("block", F.floor(F.col("seq") / BLOCK) + F.col("ghost"))
-    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as decoding makes more of a row than its bytes tell
-    return out.withColumn("ghost", F.col("ghost") == 1).repartition(parts, "file_index", "block")
-
-
 def with_times(df: DataFrame, *, year: int | None = None, utc_offset: int = 0, time_format: str = "doy") -> DataFrame:
     """df with timestamp (text) and datetime, from its day, time of day and counter."""
     day, tod = F.col("day_of_year"), F.col("time_of_day_us")

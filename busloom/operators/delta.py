@@ -18,7 +18,9 @@ def with_delta(df: DataFrame, scope: str = "per-file", order: tuple[str, ...] =
     """
     if scope not in ("per-file", "global"):
         raise ValueError(f"delta scope: {scope!r}")
-    if order[0] == "merge_us" and scope == "global":
+    if scope == "per-file" and order == ("seq",) and "prev_us" in df.columns:
+        df = df.withColumnRenamed("prev_us", "__prev")  # the source has told it
+    elif order[0] == "merge_us" and scope == "global":
         df = blocks.last_known(df, "time_us", "__prev", [*KEY], list(order))
     else:
         by = KEY if scope == "global" else ("file_index", *KEY)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..schema import MESSAGE_TYPES, SPURIOUS_TYPE
-from .pairing import is_continuation
+from .pairing import is_continuation, parent_fields
 
 
 @dataclass(frozen=True)
@@ -64,8 +64,8 @@ def parse_address(value) -> int:
 _LISTS = (("types", "message_type"), ("rts", "rt"), ("buses", "bus"), ("subaddresses", "subaddress"))
 
 
-def _any(f: Filters, side: str, names: tuple[str, ...]) -> list[Column]:
-    return [F.coalesce(F.col(c).isin(*getattr(f, f"{side}_{n}")), F.lit(False)) for n, c in _LISTS if n in names and getattr(f, f"{side}_{n}")]
+def _any(f: Filters, side: str, names: tuple[str, ...], of: dict[str, Column] | None = None) -> list[Column]:
+    return [F.coalesce((of or {}).get(c, F.col(c)).isin(*getattr(f, f"{side}_{n}")), F.lit(False)) for n, c in _LISTS if n in names and getattr(f, f"{side}_{n}")]
 
 
 def _or(cols: list[Column]) -> Column:
@@ -75,27 +75,34 @@ def _or(cols: list[Column]) -> Column:
     return out
 
 
-def dropped(f: Filters, include_types: bool = True) -> Column:
-    """Whether a record's own values drop it. A null terminal or subaddress is never excluded and never included."""
+def dropped(f: Filters, include_types: bool = True, of: dict[str, Column] | None = None) -> Column:
+    """Whether a record's own values (or those of) drop it. A null terminal or subaddress is never excluded and never included."""
     names = ("types", "rts", "buses", "subaddresses")
-    excluded = _or(_any(f, "exclude", names))
-    included = _any(f, "include", names if include_types else names[1:])
+    excluded = _or(_any(f, "exclude", names, of))
+    included = _any(f, "include", names if include_types else names[1:], of)
     return excluded | _or([~c for c in included])
 
 
-def apply_filters(df: DataFrame, filters: Filters) -> DataFrame:
-    """Records that the filters leave. A continuation right behind its parent goes with it, or for its own type alone.
+def verdicts(df: DataFrame, filters: Filters) -> DataFrame:
+    """df with filtered: whether the filters drop a record. A continuation right behind its parent goes with it, or for its own type alone.
 
     'Right behind' is meant in the order of arrival in a file. That holds for merged records too: a continuation has its
-    parent's time, so nothing comes between them in the order of a merge either, and no window over all rows is needed.
+    parent's time, so nothing comes between them in the order of a merge either. If the source tells the words of a parent
+    this is a projection, else a window by file.
     """
     if not filters.active:
-        return df
+        return df.withColumn("filtered", F.lit(False))
+    own_type = _or(_any(filters, "exclude", ("types",))) | _or([~c for c in _any(filters, "include", ("types",))])
+    if "parent" in df.columns:
+        gone = dropped(filters, False, parent_fields())
+        return df.withColumn("filtered", F.when(is_continuation() & F.col("parent").isNotNull(), gone | own_type).otherwise(dropped(filters)))
     parent = (F.col("error") & (F.col("message_type") != SPURIOUS_TYPE)).alias("parent")
     state = F.struct(parent, dropped(filters, include_types=False).alias("gone"))
-    behind = F.lag(state).over(Window.partitionBy("file_index").orderBy("seq"))
-    own_type = _or(_any(filters, "exclude", ("types",))) | _or([~c for c in _any(filters, "include", ("types",))])
-    df = df.withColumn("__behind", behind)
+    df = df.withColumn("__behind", F.lag(state).over(Window.partitionBy("file_index").orderBy("seq")))
     follows = is_continuation() & F.coalesce(F.col("__behind.parent"), F.lit(False))
-    verdict = F.when(follows, F.col("__behind.gone") | own_type).otherwise(dropped(filters))
-    return df.filter(~verdict).drop("__behind")
+    return df.withColumn("filtered", F.when(follows, F.col("__behind.gone") | own_type).otherwise(dropped(filters))).drop("__behind")
+
+
+def apply_filters(df: DataFrame, filters: Filters) -> DataFrame:
+    """Records that the filters leave."""
+    return verdicts(df, filters).filter("not filtered").drop("filtered") if filters.active else df

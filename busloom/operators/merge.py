@@ -16,7 +16,9 @@ ORDER = ("merge_us", "file_index", "seq")
 
 
 def merged(df: DataFrame) -> DataFrame:
-    """df with merge_us; (merge_us, file_index, seq) is the order of the merge."""
+    """df with merge_us; (merge_us, file_index, seq) is the order of the merge. The source may have told it."""
+    if "merge_us" in df.columns:
+        return df
     w = Window.partitionBy("file_index").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("merge_us", F.max("time_us").over(w))
 

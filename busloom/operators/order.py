@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
     another time stays in arrival order, if sorting would move its last chunk. Runs are cut into segments of max_group rows;
     a full segment stays in arrival order, and max_group=1 turns sorting off.
 
-    With monotone=True (time never steps back along position) a run is a time, and all windows are by time; what closes a
-    run then comes from one row for each time, and one for each second. Else runs are counted by a window over all rows (by by, if given).
+    With monotone=True (time never steps back along position) rows are cut into buckets of time, and a run is a time. All windows are
+    inside a bucket; what opens the next one comes from one row for each bucket. Else runs are counted by a window over all rows (by by, if given).
     """
     if not 1 <= max_group <= 1 << 20:
         raise ValueError("max_group: 1 to 1048576")
@@ -29,21 +30,20 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
     d = df.withColumn("__k", key).withColumn("__ts", stamp)
     where = F.struct(*position)
     if monotone:
-        run = [*by, "__ts"]
-        firsts = d.groupBy(*run).agg(F.min_by(F.col("__k").isNull(), where).alias("__opens_free"), F.min(where).alias("__first"))
-        # what opens the next time is looked up among the times of one bucket, and beyond it among the buckets
-        firsts = firsts.withColumn("__bucket", F.coalesce(F.floor(F.col("__ts.time_us") / BUCKET), *([F.floor(F.col("__ts.ticks") / BUCKET)] if "ticks" in df.columns else []), F.lit(0)))
-        inside = Window.partitionBy(*by, "__bucket").orderBy("__first")
-        firsts = firsts.withColumn("__next_free", F.lead("__opens_free").over(inside))
-        heads = firsts.groupBy(*by, "__bucket").agg(F.min_by("__opens_free", "__first").alias("__opens_free"), F.min("__first").alias("__first"))
-        along = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__first")
-        heads = heads.withColumn("__after", F.coalesce(F.lead("__opens_free").over(along), F.lit(False))).select(*by, "__bucket", "__after")
-        closes = firsts.join(heads, [*by, "__bucket"]).withColumn("__next_free", F.coalesce("__next_free", "__after")).withColumn("order_run", F.col("__first"))
-        on = [F.col(f"d.{c}").eqNullSafe(F.col(f"x.{c}")) for c in run]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        d = d.alias("d").join(closes.select(*run, "__next_free", "order_run").alias("x"), cond).select("d.*", "x.__next_free", "x.order_run")
+        d = d.withColumn("__bucket", F.coalesce(F.floor(F.col("__ts.time_us") / BUCKET), *([F.floor(F.col("__ts.ticks") / BUCKET)] if "ticks" in df.columns else []), F.lit(0)))
+        heads = d.groupBy(*by, "__bucket").agg(F.min_by(F.col("__k").isNull(), where).alias("__free"), F.min(where).alias("__first"))
+        after = F.lead("__free").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__first"))
+        heads = heads.select(*(F.col(c).alias(f"__h{i}") for i, c in enumerate([*by, "__bucket"])), F.coalesce(after, F.lit(False)).alias("__after"))
+        cond = F.lit(True)
+        for i, c in enumerate([*by, "__bucket"]):
+            cond = cond & F.col(c).eqNullSafe(F.col(f"__h{i}"))
+        run = [*by, "__bucket", "__ts"]
+        along = Window.partitionBy(*by, "__bucket").orderBy(*position)
+        d = d.withColumn("__next", F.lead(F.struct(F.col("__k").isNull().alias("free"), F.col("__ts").alias("ts"))).over(along))
+        d = d.join(heads, cond).drop(*(f"__h{i}" for i in range(len(by) + 1)))
+        ends = F.when(F.col("__next").isNull(), F.col("__after")).otherwise(F.col("__next.free") & ~F.col("__next.ts").eqNullSafe(F.col("__ts")))
+        same = Window.partitionBy(*run)
+        d = d.withColumns({"__next_free": F.max(ends).over(same), "order_run": F.min(where).over(same)})
     else:
         along = Window.partitionBy(*by).orderBy(*position) if by else Window.partitionBy(F.lit(0)).orderBy(*position)
         new = F.coalesce(~F.col("__ts").eqNullSafe(F.lag("__ts").over(along)), F.lit(True)) | (F.lag(F.lit(1)).over(along).isNull())
@@ -72,3 +72,52 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
 
 def sort_columns(position: tuple[str, ...] = ("seq",)) -> list:
     return [F.col("order_run"), F.col("order_segment"), F.col("order_key").asc_nulls_first(), F.col("order_chunk"), *(F.col(p) for p in position)]
+
+
+def run_order(keys: list[int | None], opens_next_free: bool | None, max_group: int = MAX_GROUP) -> list[int]:
+    """The canonical order of one run of equal times; the same rule as order_rows, for rows that are at hand.
+
+    opens_next_free: whether what opens the next run has no key.
+    """
+    out: list[int] = []
+    for lo in range(0, len(keys), max_group):
+        own = range(lo, min(lo + max_group, len(keys)))
+        anchors, anchor = [], None
+        for i in own:
+            anchor = keys[i] if keys[i] is not None else anchor
+            anchors.append(anchor)
+        full = len(own) == max_group
+        moved = anchor is not None and max(a for a in anchors if a is not None) != anchor
+        if full or moved and opens_next_free and own[-1] == len(keys) - 1:
+            out += own
+            continue
+        chunk = np.cumsum([keys[i] is not None for i in own])
+        out += [own[j] for j in sorted(range(len(own)), key=lambda j: (-1 if anchors[j] is None else anchors[j], chunk[j]))]
+    return out
+
+
+class Runs:
+    """Puts a stream of rows, which come in order of arrival, into canonical order. The last run is held until it is known to be whole."""
+
+    def __init__(self, max_group: int = MAX_GROUP) -> None:
+        self.max_group = max_group
+        self.opens_free: bool | None = None  # whether the first row of all has no key
+        self.capped = 0
+
+    def places(self, stamps: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, int]:
+        """The canonical order of the whole runs among some rows, and where the last run starts, which stays open. Keys are -1 where there are none."""
+        if self.opens_free is None and len(keys):
+            self.opens_free = bool(keys[0] < 0)
+        first = np.flatnonzero(np.concatenate([[True], stamps[1:] != stamps[:-1]])) if len(stamps) else np.zeros(0, np.int64)
+        last = int(first[-1]) if len(first) else 0
+        order = np.arange(last)
+        sizes = np.diff(first)
+        for i in np.flatnonzero(sizes > 1).tolist():
+            lo, n = int(first[i]), int(sizes[i])
+            order[lo : lo + n] = lo + np.array(self.run(keys[lo : lo + n], bool(keys[lo + n] < 0)))
+        return order, last
+
+    def run(self, keys: np.ndarray, opens_next_free: bool) -> list[int]:
+        if len(keys) >= self.max_group > 1:
+            self.capped += 1
+        return run_order([None if k < 0 else k for k in keys.tolist()], opens_next_free, self.max_group)

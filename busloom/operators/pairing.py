@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import words
 from ..schema import CONTINUATION, SPURIOUS_TYPE, STANDALONE
 
 #: Fields that a continuation takes over from its parent; its texts of time are made of these afterwards.
@@ -14,22 +15,39 @@ TIMES = ("time_us", "ticks", "freerun", "day_of_year", "time_of_day_us")
 def pair(decoded: DataFrame) -> DataFrame:
     """Records with the error word of spurious ones, and a continuation's time taken from its parent.
 
-    Skipped records and resyncs stand between records here and break pairs; they leave afterwards. The window is by file,
-    whose order of arrival is its meaning, or by block of a file if the rows were spread.
+    Skipped records and resyncs stand between records here and break pairs; they leave afterwards. If the source tells the
+    words of a continuation's parent this is a projection; else a window by file, whose order of arrival is its meaning.
     """
-    blocks = "block" in decoded.columns
-    w = Window.partitionBy("file_index", *(["block"] if blocks else [])).orderBy("seq")
     spurious = F.col("message_type") == SPURIOUS_TYPE
-    opens = (F.col("kind") == "rec") & F.col("error") & ~spurious
-    before = F.lag(F.struct(opens.alias("opens"), *TIMES)).over(w)
-    df = decoded.withColumn("__before", before)
-    follows = spurious & F.coalesce(F.col("__before.opens"), F.lit(False))
-    if blocks:
-        df = df.filter("not ghost").drop("ghost", "block")
-    df = df.filter("kind = 'rec'").withColumn("__follows", follows)
-    times = {c: F.when(F.col("__follows"), F.col(f"__before.{c}")).otherwise(F.col(c)) for c in TIMES if c in df.columns}
-    code = F.when(spurious, F.when(F.col("__follows"), CONTINUATION).otherwise(STANDALONE)).otherwise(F.col("error_word"))
-    return df.withColumns(times | {"error_word": code}).drop("__before", "__follows")
+    if "parent" in decoded.columns:
+        df = decoded.filter("kind = 'rec'")
+        follows = F.col("parent").isNotNull()
+        took = _times_of_parent() | {"time_us": F.col("stamp_us")}
+    else:
+        w = Window.partitionBy("file_index").orderBy("seq")
+        opens = (F.col("kind") == "rec") & F.col("error") & ~spurious
+        df = decoded.withColumn("__before", F.lag(F.struct(opens.alias("opens"), *TIMES)).over(w))
+        df = df.withColumn("__follows", spurious & F.coalesce(F.col("__before.opens"), F.lit(False))).filter("kind = 'rec'")
+        follows = F.col("__follows")
+        took = {c: F.col(f"__before.{c}") for c in TIMES}
+    times = {c: F.when(follows, took[c]).otherwise(F.col(c)) for c in TIMES if c in df.columns}
+    code = F.when(spurious, F.when(follows, CONTINUATION).otherwise(STANDALONE)).otherwise(F.col("error_word"))
+    return df.withColumns(times | {"error_word": code}).drop("__before", "__follows", "stamp_us")
+
+
+def _times_of_parent() -> dict:
+    """The fields of time in the words of a parent: type word, two or three words of time, and the rest."""
+    irig = F.col("ts_format") == "irig"
+    up, mid, low = (F.get("parent", F.lit(i)) for i in (1, 2, 3))
+    of_day = words.time_of_day_us(words.irig_hour(up), words.irig_minute(mid), words.irig_second(mid), words.irig_micros(mid, low))
+    return {"ticks": F.when(~irig, words.standard_ticks(up, mid)), "freerun": F.when(irig, words.irig_freerun(up)), "day_of_year": F.when(irig, words.irig_day(up)).cast("smallint"), "time_of_day_us": F.when(irig, of_day)}
+
+
+def parent_fields() -> dict:
+    """The type, bus, terminal and subaddress of a parent, from its words."""
+    command = F.get("parent", F.when(F.col("ts_format") == "irig", 4).otherwise(3))
+    first = F.get("parent", F.lit(0))
+    return {"message_type": words.type_code(first), "bus": words.type_bus(first), "rt": words.command_rt(command), "subaddress": words.command_subaddress(command)}
 
 
 def is_continuation():

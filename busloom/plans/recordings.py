@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import json
 import logging
+import os
+import shutil
+import uuid
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..errors import NO_RECORDS, SUCCESS, SYNC_LOSS, MergeIncompatible, NoValidRecords, PayloadError, RecordingError, UnknownErrorCode, UsageError, from_status
+from ..errors import NO_RECORDS, SUCCESS, SYNC_LOSS, BackwardStep, MergeIncompatible, NoValidRecords, PayloadError, RecordingError, UnknownErrorCode, UsageError, from_status
+from ..functions import words
 from ..operators import collapse as collapsing
 from ..operators import decode as decoding
 from ..operators import delta, filters, merge, order, pairing
 from ..operators.columns import columns
+from ..schema import SPURIOUS_TYPE
 from ..sources import sink
-from ..sources.recording import read_raw
+from ..sources.recording import Surveyed, read_pieces, read_raw, surveyed
 
 log = logging.getLogger("busloom")
 FINE = ("complete", "empty-recording", "partial-recovered", "truncated-tail")
@@ -25,12 +29,43 @@ FINE = ("complete", "empty-recording", "partial-recovered", "truncated-tail")
 
 @dataclass
 class Outcome:
-    """What a run did, for those who report it."""
+    """What a run did, for those who report it. Counters are filled once the records have been written or counted."""
 
     files: list[sink.Written] = field(default_factory=list)
     statuses: list[dict] = field(default_factory=list)
     left_out: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
+    counters: dict[str, int] = field(default_factory=dict)
     exit_code: int = SUCCESS
+    _watched: list[Observation] = field(default_factory=list)
+
+    def warn(self, text: str) -> None:
+        self.warnings.append(text)
+        log.warning(text)
+
+    def watch(self, df: DataFrame, **sums: Column) -> DataFrame:
+        """df; what its rows come to is counted as it is read."""
+        o = Observation()
+        self._watched.append(o)
+        return df.observe(o, *(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in sums.items()))
+
+    def finish(self) -> None:
+        """Take in what was counted, and warn of what should be known."""
+        for o in self._watched:
+            self.counters |= o.get
+        self._watched.clear()
+        for key, text in _NOTES.items():
+            if n := self.counters.get(key, 0):
+                self.warn(text.format(n))
+
+
+#: What counters above zero say.
+_NOTES = {
+    "rejected": "{} record(s) were skipped: their words contradict each other", "status_mismatch": "{} record(s) have a status word of another terminal",
+    "unknown_codes": "{} record(s) have an error code that isn't known", "backward_gaps": "{} record(s) are earlier than the one before of their key: they have no DELTA",
+    "reserved_bits": "{} record(s) have the reserved bit set", "free_running": "{} record(s) were stamped by a free-running clock",
+    "capped_runs": "{} run(s) of equal times were longer than the sort group: their full groups stay in order of arrival", "capped_survivors": "{} record(s) left the window of duplicates early, for the cap",
+}
 
 
 def _source_options(c: Config) -> dict:
@@ -41,19 +76,30 @@ def raw(spark: SparkSession, paths: list[str], config: Config | None = None) ->
     return read_raw(spark, paths, **_source_options(config or Config()))
 
 
+def survey(spark: SparkSession, paths: list[str], config: Config | None = None) -> list[Surveyed]:
+    """How files are cut, and how each ended."""
+    return surveyed(spark, paths, **_source_options(config or Config()))
+
+
 def statuses(spark: SparkSession, paths: list[str], config: Config | None = None) -> list[dict]:
-    """How each file ended: one small row for each of at most 256 files, from a pass that frames them without giving rows."""
-    df = read_raw(spark, paths, only="status", **_source_options(config or Config())).filter("kind = 'status'")
-    return [json.loads(r.detail) | {"file_index": r.file_index, "path": r.source_path} for r in df.select("file_index", "source_path", "detail").orderBy("file_index").collect()]
+    """How each file ended."""
+    return _statuses(survey(spark, paths, config), paths)
 
 
-def records(raw_rows: DataFrame, config: Config | None = None) -> DataFrame:
+def _statuses(found: list[Surveyed], paths: list[str]) -> list[dict]:
+    return [f.status | {"file_index": i, "path": p} for i, (f, p) in enumerate(zip(found, paths, strict=True))]
+
+
+def records(raw_rows: DataFrame, config: Config | None = None, outcome: Outcome | None = None) -> DataFrame:
     """Decoded, paired records with their per-file DELTA. In strict mode a file ends before its first bad record."""
     c = config or Config()
-    decoded = decoding.decode(decoding.spread(raw_rows), tick_rate_hz=c.standard_tick_rate_hz)
+    decoded = decoding.decode(raw_rows, tick_rate_hz=c.standard_tick_rate_hz)
     if c.strict:
         stops = F.broadcast(decoding.first_rejects(decoded).select(F.col("file_index").alias("__f"), F.col("seq").alias("__stop")))  # a row for each file at most
         decoded = decoded.join(stops, F.col("file_index") == F.col("__f"), "left").filter("__stop is null or seq < __stop").drop("__f", "__stop")
+    if outcome is not None:
+        plain_error = (F.col("kind") == "rec") & F.col("error") & (F.col("message_type") != SPURIOUS_TYPE)
+        decoded = outcome.watch(decoded, rejected=F.col("kind") == "skip", status_mismatch=F.array_contains("anomalies", "status-rt-mismatch"), reserved_bits=F.array_contains("anomalies", "reserved-bit"), unknown_codes=plain_error & ~words.is_known_error(F.col("error_word")), free_running=F.coalesce("freerun", F.lit(False)))
     # texts of time last: where they aren't asked for, they are never made
     return decoding.with_times(delta.with_delta(pairing.pair(decoded)), year=c.year, utc_offset=c.utc_offset, time_format=c.output_time_format)
 
@@ -69,105 +115,168 @@ def check(raw_rows: DataFrame, found: list[dict], config: Config) -> list[Record
     return out
 
 
-def merge_recordings(recs: DataFrame, config: Config | None = None) -> DataFrame:
-    """Records of several recordings in the order of time, duplicates collapsed if asked for, with DELTA of the given scope."""
+def merge_recordings(recs: DataFrame, config: Config | None = None, outcome: Outcome | None = None, monotone: bool | None = None) -> DataFrame:
+    """Records of several recordings, to be put in the order of time, duplicates collapsed if asked for, with DELTA of the given scope.
+
+    monotone: whether all files are in order of time, if that is known; then they are also known to be mergeable.
+    """
     c = config or Config()
-    merge.check_mergeable(recs)
-    monotone = merge.check_monotone(recs, c.strict)
+    if monotone is None:
+        merge.check_mergeable(recs)
+        monotone = merge.check_monotone(recs, c.strict)
     out = merge.merged(recs)
     if c.collapse_duplicates:
-        out = collapsing.collapse(out, c.collapse_window_us, None if monotone else c.max_collapse_survivors, monotone)
+        out = collapsing.marked(out, c.collapse_window_us, c.max_collapse_survivors, monotone)
+        if outcome is not None:
+            out = outcome.watch(out, collapsed=F.col("collapsed"), **({"capped_survivors": F.col("capped")} if "capped" in out.columns else {}))
+        out = out.filter("not collapsed").drop("collapsed", "capped")
     if c.delta_scope == "global":
         out = delta.with_delta(out, "global", merge.ORDER)
     return out
 
 
-def analysis(spark: SparkSession, paths: list[str], config: Config | None = None, held: list[DataFrame] | None = None) -> tuple[DataFrame, list, Outcome]:
-    """Records of one or more files, filtered; the columns that give their canonical order; and how the files ended.
+@dataclass
+class Analysis:
+    """Records that the filters leave, in no order yet; position gives their order of arrival, or of the merge."""
 
-    With a list held, decoded records are persisted and put into it, so that several passes over them read the files once;
-    whoever gave the list unpersists them.
-    """
+    records: DataFrame
+    position: tuple[str, ...]
+    by: tuple[str, ...]
+    monotone: bool
+    outcome: Outcome
+
+    def ordered(self, max_group: int) -> tuple[DataFrame, list]:
+        """Records with the columns that give their canonical order, and these."""
+        return order.order_rows(self.records, max_group, self.position, self.by, self.monotone), order.sort_columns(self.position)
+
+
+def analysis(spark: SparkSession, paths: list[str], config: Config | None = None) -> Analysis:
+    """Records of one or more files, filtered, and how the files ended."""
     c = config or Config()
     if len(paths) > 1 and c.mux_value is not None:
         raise UsageError("a fixed mux value is for one input")
-    outcome = Outcome(statuses=statuses(spark, paths, c))
+    found = survey(spark, paths, c)
+    outcome = Outcome(statuses=_statuses(found, paths))
     for s in outcome.statuses:
         for w in s["warnings"]:
-            log.warning("%s: %s", s["path"], w)
+            outcome.warn(f"{s['path']}: {w}")
+        if s["sync_losses"]:
+            outcome.counters["sync_losses"] = outcome.counters.get("sync_losses", 0) + s["sync_losses"]
     failed = [s for s in outcome.statuses if s["state"] not in FINE]
     if failed and (len(paths) == 1 or not c.allow_partial):
         s = failed[0]
         if not (c.allow_partial and s["state"] == "UnrecoverableSyncLoss"):
             raise from_status(s["state"], f"{s['path']}: {s['detail']}")
-    rows = raw(spark, paths, c)
     unusable = [s["file_index"] for s in failed if not s["records"]]
     if len(unusable) == len(paths):
         raise from_status(failed[0]["state"], f"{failed[0]['path']}: {failed[0]['detail']}")
-    if unusable:
-        rows = rows.filter(~F.col("file_index").isin(unusable))
-        outcome.left_out = [paths[i] for i in unusable]
-    if c.strict and (bad := [e for e in check(rows, outcome.statuses, c) if isinstance(e, (PayloadError, UnknownErrorCode))]):
+    if c.strict and (bad := [e for e in check(raw_of(spark, found, unusable, c), outcome.statuses, c) if isinstance(e, (PayloadError, UnknownErrorCode))]):
         raise bad[0]
-    recs = records(rows, c)
-    if held is not None:
-        recs = recs.persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(recs)
-    position = ("file_index", "seq")
+    monotone = all(not f.back for f in found)
     if len(paths) > 1:
-        usable = merge.incompatible(recs)
-        if c.allow_partial:
-            wrong = [r.file_index for r in usable.collect()]
-            if len(wrong) + len(unusable) == len(paths):
-                raise MergeIncompatible("no input can be merged")
-            if wrong:
-                recs = recs.filter(~F.col("file_index").isin(wrong))
-                outcome.left_out += [paths[i] for i in wrong]
-        recs = merge_recordings(recs, c)
+        for i, f in enumerate(found):
+            if i in unusable or f.first is None:
+                continue
+            if f.status["ts_format"] != "irig" or f.first["freerun"]:
+                told = f"input {i} starts {'with a free-running clock' if f.first['freerun'] else 'with counter times'}"
+                if not c.allow_partial:
+                    raise MergeIncompatible(told)
+                outcome.warn(f"{paths[i]}: left out: {told}")
+                unusable.append(i)
+        if len(unusable) == len(paths):
+            raise MergeIncompatible("no input can be merged")
+        for i, f in enumerate(found):
+            if f.back and i not in unusable:
+                told = f"input {i} steps back in time at record {f.first_back}"
+                if c.strict:
+                    raise BackwardStep(told)
+                outcome.warn(f"{paths[i]}: {f.back} step(s) back in time, the first at record {f.first_back}: the merge isn't in order of time there")
+    outcome.left_out = [paths[i] for i in sorted(unusable)]
+    recs = records(raw_of(spark, found, unusable, c), c, outcome)
+    position: tuple[str, ...] = ("file_index", "seq")
+    if len(paths) > 1:
+        recs = merge_recordings(recs, c, outcome, monotone)
         position = merge.ORDER
-    monotone = merge.check_monotone(recs, False)
-    kept = filters.apply_filters(recs, c.filters)
-    ordered = order.order_rows(kept, c.max_sort_group, position, () if len(paths) > 1 else ("file_index",), monotone)
-    if failed or outcome.left_out or any(s["sync_losses"] for s in outcome.statuses):
+    recs = outcome.watch(recs, backward_gaps=F.col("rt").isNotNull() & F.col("time_us").isNotNull() & F.col("delta_us").isNull())
+    if c.filters.active:
+        recs = outcome.watch(filters.verdicts(recs, c.filters), filtered=F.col("filtered")).filter("not filtered").drop("filtered")
+    recs = outcome.watch(recs, kept=F.lit(1))
+    if failed or outcome.left_out:
         outcome.exit_code = SYNC_LOSS if any(s["state"] == "UnrecoverableSyncLoss" for s in failed) or outcome.left_out else SUCCESS
-    return ordered, order.sort_columns(position), outcome
+    return Analysis(recs, position, () if len(paths) > 1 else ("file_index",), monotone, outcome)
+
+
+def raw_of(spark: SparkSession, found: list[Surveyed], without: list[int], config: Config) -> DataFrame:
+    """Raw rows of the files that were surveyed, but for some."""
+    return read_pieces(spark, [p for i, f in enumerate(found) if i not in without for p in f.pieces], **_source_options(config))
+
+
+def _lines(spark: SparkSession, paths: list[str], c: Config, folder: str, split: bool) -> tuple[sink.Parts, Outcome]:
+    """Write the lines of the table in parts."""
+    a = analysis(spark, paths, c)
+    sink.check_calendar(a.records, c.output_time_format, c.year)
+    merged = len(paths) > 1
+    if not a.monotone and (merged or c.filters.active):
+        rows, by = a.ordered(c.max_sort_group)  # a run may go on where a partition ends
+        parts = sink.write_parts(rows.orderBy(*by), folder, split, 1)
+    else:
+        # rows of one time never come apart: not by the pieces of a file, nor by ranges of time
+        rows = a.records.repartitionByRange("merge_us").sortWithinPartitions(*merge.ORDER) if merged else a.records
+        parts = sink.write_parts(rows, folder, split, c.max_sort_group)
+    a.outcome.finish()
+    if parts.capped and c.max_sort_group > 1:
+        a.outcome.counters["capped_runs"] = parts.capped
+        a.outcome.warn(_NOTES["capped_runs"].format(parts.capped))
+    return parts, a.outcome
 
 
 def decode_to_csv(spark: SparkSession, paths: list[str], path: str, config: Config | None = None) -> Outcome:
     """Write the CSV table of one or more recordings to one file, or to one and another for the errors."""
     c = config or Config()
-    if path in paths or sink.errors_path(path) in paths:
-        raise UsageError(f"{path}: an input")
     split = c.error_mode == "separate"
+    sink.refuse_inputs(sink.names_of(path, split), paths)
     for p in (path, sink.errors_path(path)) if split else (path,):
         sink.CsvFile(p, c.no_clobber)
-    held: list[DataFrame] = []
+    folder = os.path.join(os.path.dirname(os.path.abspath(path)), f".{os.path.basename(path)}.{uuid.uuid4().hex}.tmp")
     try:
-        df, by, outcome = analysis(spark, paths, c, held)
-        sink.check_calendar(df, c.output_time_format, c.year)
+        parts, outcome = _lines(spark, paths, c, folder, split)
         partial = outcome.exit_code == SYNC_LOSS
-        main, errors = sink.split_rows(df) if split else (df, None)
-        outcome.files.append(sink.CsvFile(path, c.no_clobber, partial).write(main, by))
-        if errors is not None and not errors.isEmpty():
-            outcome.files.append(sink.CsvFile(sink.errors_path(path), c.no_clobber, partial).write(errors, by))
+        outcome.files.append(sink.CsvFile(path, c.no_clobber, partial).put(parts.main, parts.rows))
+        if parts.error_rows:
+            outcome.files.append(sink.CsvFile(sink.errors_path(path), c.no_clobber, partial).put(parts.errors, parts.error_rows))
+        return outcome
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def decode_to_stream(spark: SparkSession, paths: list[str], out: BinaryIO, config: Config | None = None, folder: str | None = None) -> Outcome:
+    """The same into a stream of bytes, such as standard output. Parts are made in a folder that all executors see."""
+    c = config or Config()
+    if c.error_mode == "separate":
+        raise UsageError("a stream takes one table; errors go to a file of their own")
+    folder = os.path.join(folder or os.path.dirname(os.path.abspath(paths[0])), f".stream.{uuid.uuid4().hex}.tmp")
+    try:
+        parts, outcome = _lines(spark, paths, c, folder, False)
+        sink.write_all(out, parts.main)
+        out.flush()
         return outcome
     finally:
-        for x in held:
-            x.unpersist()
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def count(spark: SparkSession, path: str, config: Config | None = None) -> int:
     """Records of one file that the settings' filters leave."""
     c = config or Config()
-    found = statuses(spark, [path], c)[0]
-    if found["state"] not in FINE:
-        raise from_status(found["state"], f"{path}: {found['detail']}")
-    return filters.apply_filters(records(raw(spark, [path], c), c), c.filters).count()
+    found = survey(spark, [path], c)
+    status = _statuses(found, [path])[0]
+    if status["state"] not in FINE:
+        raise from_status(status["state"], f"{path}: {status['detail']}")
+    return filters.apply_filters(records(raw_of(spark, found, [], c), c), c.filters).count()
 
 
 def table(spark: SparkSession, paths: list[str], fields: list[str] | None = None, config: Config | None = None, **options) -> DataFrame:
     """Public fields of one or more recordings, in canonical order."""
-    df, by, _ = analysis(spark, paths, config)
+    df, by = analysis(spark, paths, config).ordered((config or Config()).max_sort_group)
     return columns(df.orderBy(*by), fields, **options)
 
 

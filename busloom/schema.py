@@ -14,8 +14,10 @@ SPURIOUS_TYPE, SPURIOUS_FORMAT = 0x20, 11
 MAX_DATA_WORDS = 32
 MICROS_PER_DAY = 86_400_000_000
 
-#: What a source gives: rows of kind 'rec' with words after the timestamp, markers of kind 'resync', and one 'status' row.
-RAW = "file_index int, source_path string, seq bigint, file_offset bigint, kind string, ts_format string, type_word int, t0 int, t1 int, t2 int, body array<int>, mux string, detail string"
+#: What a source gives: rows of kind 'rec' with words after the timestamp, markers of kind 'resync', and one 'status' row. The
+#: last columns tell what is known of a record from those before it: the words of the errored record that it continues, its
+#: stamp (microseconds or a counter; that of its parent), the last stamp of its key, the highest so far, and whether it is back in time.
+RAW = "file_index int, source_path string, seq bigint, file_offset bigint, kind string, ts_format string, type_word int, t0 int, t1 int, t2 int, body array<int>, mux string, detail string, parent array<int>, stamp bigint, prev_stamp bigint, high bigint, back boolean"
 
 #: Public fields of a decoded record, in order.
 FIELDS = ("file_offset", "timestamp", "time_us", "ticks", "freerun", "day_of_year", "time_of_day_us", "datetime", "message_type", "message_format", "bus", "error", "rt", "subaddress", "direction", "msg_label", "command_word", "command_word_2", "status_word", "status_word_2", "error_word", "data_word_count", "data_words", "delta", "mux")

@@ -1,8 +1,9 @@
 """Framing of a recording: which bytes are records. No Spark here.
 
-A recording is a chain of records whose type word tells their length, so a file is framed from front to back. Candidates are
-judged for a whole block of words at once with numpy (type, length, time fields); following the chain is then one lookup for
-each record. Blocks are bounded, so memory does not grow with the file.
+A recording is a chain of records whose type word tells their length. What stands at each word is judged for a whole block at
+once with numpy (type, length, time fields), and the chain is followed in many places of the block at the same time: chains that
+start anywhere meet the true one within a few records, so only the pieces before they meet are followed one by one. Blocks are
+bounded, so memory does not grow with the file. A framer may also start at a known record in the midst of a file.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ BLOCK_BYTES = 4 << 20
 #: Bytes that a decision may look ahead beyond a scan: the longest record for each of the most look-ahead records, and more.
 REACH = 64 * 126 + 4096
 AFTER_END_BYTES = 1 << 20
-_KNOWN = np.zeros(128, bool)
-_KNOWN[list(TYPES)] = True
+#: Losses of sync that are told in words; the others are counted.
+MOST_TOLD = 8
+#: Words of a lane, and blocks so small that there is only one.
+LANE, SMALL = 512, 8192
+_KNOWN = np.zeros(1 << 16, bool)
+for _t in TYPES:
+    _KNOWN[_t :: 128] = True
 
-OK, UNREADABLE, UNKNOWN_TYPE, BAD_COUNT, TRUNCATED, BAD_TIME, BAD_FOLLOWER = range(7)
-REASONS = ("valid", "type word unreadable", "unknown message type", "word count out of range", "record runs past the end", "time field out of range", "a following record is implausible")
+OK, UNREADABLE, UNKNOWN_TYPE, BAD_COUNT, TRUNCATED, BAD_TIME = range(6)
+REASONS = ("valid", "type word unreadable", "unknown message type", "word count out of range", "record runs past the end", "time field out of range")
 
 
 @dataclass(frozen=True)
@@ -51,6 +57,12 @@ class Status:
     detail: str = ""
     warnings: list[str] = field(default_factory=list)
 
+    def lost(self, text: str) -> None:
+        """Count a loss of sync, and tell the first few."""
+        self.sync_losses += 1
+        if self.sync_losses <= MOST_TOLD:
+            self.warnings.append(text)
+
 
 @dataclass
 class Records:
@@ -60,6 +72,12 @@ class Records:
     counts: np.ndarray
     words: np.ndarray
 
+    def upto(self, n: int) -> Records:
+        return Records(self.offsets[:n], self.counts[:n], self.words[: int(self.counts[:n].sum())])
+
+    def behind(self, n: int) -> Records:
+        return Records(self.offsets[n:], self.counts[n:], self.words[int(self.counts[:n].sum()) :])
+
 
 @dataclass
 class Resync:
@@ -68,119 +86,173 @@ class Resync:
     reason: str
 
 
+def _times_ok(up: np.ndarray, mid: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether the fields of calendar times are in range; a clock that runs free has any day."""
+    day = (up >> 5) & 511
+    return ((up & 31) < 24) & ((mid >> 10) < 60) & (((mid >> 4) & 63) < 60) & (((mid & 15) << 16 | low) <= 999_999) & ((up >= 0x8000) | ((day >= 1) & (day <= 366)))
+
+
+def follow(ok: np.ndarray, step: np.ndarray, at: int, stop: int) -> tuple[np.ndarray, int]:
+    """The places of the chain from at on that are ok and before stop, and the place where it leaves. step leads from each to the next.
+
+    Every lane of LANE words is followed from its first word, all lanes at once; then the true chain is led through the lanes.
+    Where it meets a place that its lane has seen, the rest of the lane is known.
+    """
+    stop = min(stop, len(ok))
+    if stop - at < SMALL:
+        fine, length, out = ok[at:stop].tolist(), step[at:stop].tolist(), []
+        i, n = 0, stop - at
+        while i < n and fine[i]:
+            out.append(at + i)
+            i += length[i]
+        return np.array(out, np.int64), at + max(i, 0)
+    first = np.arange(at, stop, LANE)
+    end = np.minimum(first + LANE, stop)
+    seen = np.zeros(stop, bool)
+    place, lane = first.copy(), np.arange(len(first))
+    leave = first.copy()
+    while len(lane):
+        going = ok[place]
+        leave[lane[~going]] = place[~going]
+        place, lane = place[going], lane[going]
+        seen[place] = True
+        place = place + step[place]
+        out = place >= end[lane]
+        leave[lane[out]] = place[out]
+        place, lane = place[~out], lane[~out]
+    here, own = at, []
+    for lo, hi, away in zip(first.tolist(), end.tolist(), leave.tolist(), strict=True):
+        if here >= hi:
+            seen[lo:hi] = False
+            continue
+        while here < hi and not seen[here] and ok[here]:
+            own.append(here)
+            here += int(step[here])
+        if here < hi and seen[here]:
+            seen[lo:here] = False
+            here = away
+        else:
+            seen[lo:hi] = False
+        if here < hi:  # no record stands there
+            seen[hi:] = False
+            break
+    seen[own] = True
+    return np.flatnonzero(seen[at:]) + at, here
+
+
 class _Block:
-    """Words of a file from base on, with the plausibility of a record at each of them."""
+    """Words of a file from base on, with what is known of a record at each of them."""
 
     def __init__(self, base: int, raw: bytes, size: int) -> None:
         self.base, self.size = base, size
         self.words = np.frombuffer(raw[: len(raw) // 2 * 2], "<u2")
         self.end = base + len(raw)
-        self.count = (self.words >> 8) & 63
-        self.known = _KNOWN[self.words & 127]
-        self.listed: dict[str, tuple[list, list]] = {}
-
-    def time_ok(self) -> np.ndarray:
-        """Whether the time fields at each word are in range; true where they can't be read."""
-        w = self.words.astype(np.int32)
-        ok = np.ones(len(w), bool)
-        if len(w) > 3:
-            up, mid, low = w[1:-2], w[2:-1], w[3:]
-            day = (up >> 5) & 511
-            ok[:-3] = ((up & 31) < 24) & ((mid >> 10) < 60) & (((mid >> 4) & 63) < 60) & ((((mid & 15) << 16) | low) <= 999_999) & ((up >= 0x8000) | ((day >= 1) & (day <= 366)))
-        return ok
-
-    def chain(self, ts: str) -> tuple[list, list]:
-        """For each word: whether a record of this time format may stand there, and its length (as lists, for quick lookups)."""
-        if ts not in self.listed:
-            least = 5 if ts == "irig" else 4
-            at = np.arange(len(self.words))
-            fits = self.base + 2 * (at + self.count) <= self.size
-            ok = self.known & (self.count >= least) & fits
+        self.count = ((self.words >> 8) & 63).astype(np.int32)
+        self.told: dict[str | None, np.ndarray] = {}
+
+    def verdicts(self, ts: str | None) -> np.ndarray:
+        """For each word, why no record of a time format starts there, or OK; followers are not looked at."""
+        if ts not in self.told:
+            w, least = self.words, 5 if ts == "irig" else 4
+            out = np.full(len(w), UNKNOWN_TYPE, np.int8)
+            at = np.flatnonzero(_KNOWN[w])
+            n = self.count[at]
+            late = OK
             if ts == "irig":
-                ok &= self.time_ok()
-            self.listed[ts] = (ok.tolist(), self.count.tolist())
-        return self.listed[ts]
-
-    def judge(self, at: int, ts: str | None, depth: int, honour_end: bool) -> int:
-        """Why no record starts at word at, or OK."""
-        words, count = self.words, self.count
-        if at >= len(words) or self.base + 2 * at + 2 > self.size:
-            return UNREADABLE
-        least = 5 if ts == "irig" else 4
-        if not self.known[at]:
-            return UNKNOWN_TYPE
-        if count[at] < least:
-            return BAD_COUNT
-        if self.base + 2 * (at + int(count[at])) > self.size:
-            return TRUNCATED
-        if ts == "irig" and at + 3 < len(words):
-            up, mid, low = (int(w) for w in words[at + 1 : at + 4])
-            if up & 31 >= 24 or mid >> 10 >= 60 or mid >> 4 & 63 >= 60 or (mid & 15) << 16 | low > 999_999 or (up < 0x8000 and not 1 <= up >> 5 & 511 <= 366):
-                return BAD_TIME
-        nxt = at + int(count[at])
+                timed = at + 3 < len(w)
+                where = np.where(timed, at, 0)
+                fields = [w[np.minimum(where + k, len(w) - 1)].astype(np.int32) for k in (1, 2, 3)]
+                late = np.where(timed & ~_times_ok(*fields), BAD_TIME, OK)
+            out[at] = np.where(n < least, BAD_COUNT, np.where(self.base + 2 * (at + n) > self.size, TRUNCATED, late))
+            self.told[ts] = out
+        return self.told[ts]
+
+    def plausible(self, at: np.ndarray, ts: str | None, depth: int, honour_end: bool) -> np.ndarray:
+        """Whether records may start at some words, judging depth records from each on."""
+        fine = self.verdicts(ts)[at] == OK
+        w, least = self.words, 5 if ts == "irig" else 4
+        near = at + self.count[at]
+        open_ = fine.copy()
         for _ in range(1, depth):
-            if self.base + 2 * nxt + 2 > self.size or nxt >= len(words):
-                break
-            if words[nxt] == 0 and (honour_end or self.base + 2 * nxt + 2 == self.size):
+            open_ &= (near < len(w)) & (self.base + 2 * near + 2 <= self.size)
+            if not open_.any():
                 break
-            if not self.known[nxt] or count[nxt] < least:
-                return BAD_FOLLOWER
-            nxt += int(count[nxt])
-        return OK
+            there = np.where(open_, near, 0)
+            ends = (w[there] == 0) & (honour_end | (self.base + 2 * there + 2 == self.size))
+            open_ &= ~ends
+            good = _KNOWN[w[there]] & (self.count[there] >= least)
+            fine &= good | ~open_
+            open_ &= good
+            near = np.where(open_, near + self.count[there], near)
+        return fine
+
+    def why_not(self, at: int, ts: str | None) -> int:
+        return int(self.verdicts(ts)[at]) if at < len(self.words) else UNREADABLE
 
     def find(self, start: int, stop: int, ts: str | None, depth: int, honour_end: bool) -> int | None:
         """The first word from start to stop at which a record is valid."""
-        stop = min(stop, len(self.words))
-        likely = np.flatnonzero(self.known[start:stop] & (self.count[start:stop] >= (5 if ts == "irig" else 4))) + start
-        return next((i for i in likely.tolist() if self.judge(i, ts, depth, honour_end) == OK), None)
-
-
-def _score(block: _Block, at: int, ts_words: int) -> int:
-    w = block.words
-    if at + 1 + ts_words >= len(w):
-        return 0
-    kind, count, cmd = int(w[at]) & 127, int(block.count[at]), int(w[at + 1 + ts_words])
-    transmit, length = cmd >> 10 & 1, cmd & 31 or 32
-    score = 2 * ((kind == 0x02 and not transmit) or (kind == 0x04 and transmit == 1)) + 2 * (count - 3 - ts_words == length)
-    if ts_words == 3:
-        up, mid = int(w[at + 1]), int(w[at + 2])
-        score += up & 31 < 24 and mid >> 10 < 60 and mid >> 4 & 63 < 60
-    return int(score)
+        likely = np.flatnonzero(self.verdicts(ts)[start : min(stop, len(self.words))] == OK) + start
+        found = likely[self.plausible(likely, ts, depth, honour_end)]
+        return int(found[0]) if len(found) else None
 
 
 def probe(block: _Block, at: int, most: int) -> tuple[str, str, int, int, int]:
     """Time format, confidence, both scores and the records probed, from the records at word at and after it."""
-    irig = standard = n = 0
-    reach = len(block.words) - (1 if block.end - block.base < 2 else 0)
-    for _ in range(max(1, most)):
-        if at + 4 > reach or block.count[at] < 4:
-            break
-        irig += _score(block, at, 3)
-        standard += _score(block, at, 2)
-        n += 1
+    w, reach = block.words, len(block.words) - (1 if block.end - block.base < 2 else 0)
+    starts: list[int] = []
+    while len(starts) < max(1, most) and at + 4 <= reach and block.count[at] >= 4:
+        starts.append(at)
         at += int(block.count[at])
-        if at > reach:
-            break
-    high, margin = max(irig, standard), abs(irig - standard)
+    i = np.array(starts, np.int64)
+    kind, count = w[i] & 127, block.count[i]
+    scores = []
+    for ts_words in (3, 2):
+        there = i + 1 + ts_words < len(w)
+        cmd = w[np.where(there, i + 1 + ts_words, 0)].astype(np.int32)
+        transmit, length = cmd >> 10 & 1, np.where(cmd & 31, cmd & 31, 32)
+        own = 2 * np.where(transmit == 1, kind == 0x04, kind == 0x02) + 2 * (count - 3 - ts_words == length)
+        if ts_words == 3:
+            up, mid = (w[np.minimum(i + k, len(w) - 1)].astype(np.int32) for k in (1, 2))
+            own = own + (((up & 31) < 24) & ((mid >> 10) < 60) & (((mid >> 4) & 63) < 60))
+        scores.append(int(own[there].sum()))
+    irig, standard = scores
+    high, margin = max(scores), abs(irig - standard)
     sure = "ambiguous" if high < 4 or margin < 3 else "decisive" if high >= 8 and margin >= 6 else "marginal"
-    return ("irig" if irig >= standard else "standard"), sure, irig, standard, n
+    return ("irig" if irig >= standard else "standard"), sure, irig, standard, len(starts)
 
 
 def _first_cut_short(block: _Block, ts: str | None, stop: int) -> tuple[int, int, int] | None:
     least = 4 if ts == "standard" else 5
-    for i in np.flatnonzero(block.known[:stop] & (block.count[:stop] >= least)).tolist():
-        if block.base + 2 * (i + int(block.count[i])) > block.size:
-            return 2 * i, 2 * int(block.count[i]), block.size - 2 * i
-    return None
+    at = np.flatnonzero(_KNOWN[block.words[:stop]] & (block.count[:stop] >= least))
+    at = at[block.base + 2 * (at + block.count[at]) > block.size]
+    return (2 * int(at[0]), 2 * int(block.count[at[0]]), block.size - 2 * int(at[0])) if len(at) else None
 
 
 class Framer:
-    """Iterates over Records and Resync of one file; status holds how it ended."""
+    """Iterates over Records and Resync of one file; status holds how it ended.
 
-    def __init__(self, read: Callable[[int, int], bytes], size: int, options: Options | None = None, block_bytes: int = BLOCK_BYTES) -> None:
+    With start (the offset of a record) and the time format, what is before start is left out, and the head isn't judged.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int, options: Options | None = None, block_bytes: int = BLOCK_BYTES, start: int | None = None, ts_format: str = "irig") -> None:
         self.read, self.size, self.options = read, size, options or Options()
         self.block_bytes = max(block_bytes, 2 * (SCAN_BYTES + REACH))
-        self.status = Status()
+        self.status = Status(ts_format=ts_format)
+        self.start = start
+
+    def head(self) -> int | None:
+        """The offset of the first record, with the time format resolved; None if there is none or the file is refused."""
+        if not self.size:
+            self._fail("EmptyFile", "the file has no bytes")
+            return None
+        at = self._start(_Block(0, self.read(0, min(self.block_bytes, SCAN_BYTES + REACH)), self.size))
+        return None if at is None else 2 * at
+
+    def resume(self, offset: int, depth: int) -> int | None:
+        """The offset of what looks like a record from an offset (even) on, judging depth records."""
+        block = _Block(offset, self.read(offset, SCAN_BYTES + REACH), self.size)
+        hit = block.find(0, SCAN_BYTES // 2, self.status.ts_format, depth, False)
+        return None if hit is None else offset + 2 * hit
 
     def _fail(self, name: str, detail: str, offset: int = 0) -> None:
         self.status.state, self.status.detail, self.status.stop_offset = name, detail, offset
@@ -240,38 +312,32 @@ class Framer:
 
     def __iter__(self) -> Iterator[Records | Resync]:
         s, o = self.status, self.options
-        if not self.size:
-            self._fail("EmptyFile", "the file has no bytes")
-            return
-        block = _Block(0, self.read(0, self.block_bytes), self.size)
-        at = self._start(block)
-        if at is None:
-            return
+        if self.start is None:
+            self.start = self.head()
+            if self.start is None:
+                return
         ts = s.ts_format
-        ok, count = block.chain(ts)
-        starts: list[int] = []
+        block = _Block(self.start, self.read(self.start, self.block_bytes), self.size)
+        at = 0
+        ok = block.verdicts(ts) == OK
 
-        def taken() -> Records:
-            idx = np.array(starts, np.int64)
-            starts.clear()
+        def taken(idx: np.ndarray) -> Records:
             n = block.count[idx].astype(np.int64)
-            base = np.repeat(idx - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            first = np.concatenate([[0], np.cumsum(n)])
             s.records += len(idx)
-            return Records(block.base + 2 * idx, n, block.words[base + np.arange(int(n.sum()))])
+            return Records(block.base + 2 * idx, n, block.words[np.repeat(idx - first[:-1], n) + np.arange(first[-1])])
 
         while True:
             last = block.end >= self.size
             # while nothing but records comes, stay away from the end of the block, so that every decision sees all it needs
             stop = len(block.words) if last else len(block.words) - (SCAN_BYTES + REACH) // 2
-            while at < stop and ok[at]:
-                starts.append(at)
-                at += count[at]
+            starts, at = follow(ok, block.count, at, stop)
+            if len(starts):
+                yield taken(starts)
             if at >= stop and not last:
-                if starts:
-                    yield taken()
                 offset = block.base + 2 * at
                 block = _Block(offset, self.read(offset, self.block_bytes), self.size)
-                ok, count = block.chain(ts)
+                ok = block.verdicts(ts) == OK
                 at = 0
                 continue
             offset = block.base + 2 * at
@@ -283,35 +349,28 @@ class Framer:
                     s.warnings.append(f"{self.size - offset} trailing byte(s) at 0x{offset:X} hold no whole record")
                 elif raw == 0:
                     self._after_end(offset)
-                break
+                return
             if raw is None:
-                break
+                return
             if raw == 0:
                 self._after_end(offset)
-                break
-            why = block.judge(at, ts, 1, True)
+                return
+            why = block.why_not(at, ts)
             if o.strict:
                 s.sync_losses += 1
                 name = {UNKNOWN_TYPE: "UnknownTypeWord", BAD_COUNT: "InvalidTypeWord", TRUNCATED: "RecordTruncated"}.get(why, "PayloadError")
-                if starts:
-                    yield taken()
                 self._fail(name, f"{REASONS[why]} at 0x{offset:X} (type word 0x{raw:04X})", offset)
                 return
             hit = block.find(at + 1, at + SCAN_BYTES // 2, ts, o.lookahead_records, False)
             if hit is None and why == TRUNCATED:
                 s.state = "truncated-tail" if s.state == "complete" else s.state
                 s.warnings.append(f"{self.size - offset} trailing byte(s) at 0x{offset:X} hold no whole record")
-                break
-            s.sync_losses += 1
-            s.warnings.append(f"sync lost at 0x{offset:X}: {REASONS[why]}")
+                return
+            s.lost(f"sync lost at 0x{offset:X}: {REASONS[why]}")
             s.state = "partial-recovered"
-            if starts:
-                yield taken()
             if hit is None:
                 if self.size - offset >= SCAN_BYTES:
                     self._fail("UnrecoverableSyncLoss", f"no record within {SCAN_BYTES} bytes of 0x{offset:X}", offset)
                 return
             yield Resync(offset, block.base + 2 * hit, REASONS[why])
             at = hit
-        if starts:
-            yield taken()

@@ -1,10 +1,17 @@
-"""The 'recording' data source: one partition for each file, Arrow batches of raw records."""
+"""The 'recording' data source: Arrow batches of raw records, from the pieces of files.
+
+Files are framed twice. The first pass takes all pieces at once: each guesses a record behind its start, follows the chain to
+a record beyond its end, and tells where it stood, how many records there are and what it leaves to the next. The driver leads the true
+chain through these few rows; a piece whose guess was wrong is read again from the right place. The second pass gives the rows
+of all pieces at once, each from a known record on and with what the pieces before it have left.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +20,16 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import EmptyFile, FileMissing, FileUnreadable, UsageError
 from ..schema import RAW
-from .framing import Framer, Options, Records, Resync
+from .facts import NEVER, Carry, cut_points, facts
+from .framing import BLOCK_BYTES, MOST_TOLD, Framer, Options, Records, Resync
 from .inputs import MAX_FILES, mux_of
 
-_ARROW = pa.schema([("file_index", pa.int32()), ("source_path", pa.string()), ("seq", pa.int64()), ("file_offset", pa.int64()), ("kind", pa.string()), ("ts_format", pa.string()), ("type_word", pa.int32()), ("t0", pa.int32()), ("t1", pa.int32()), ("t2", pa.int32()), ("body", pa.list_(pa.int32())), ("mux", pa.string()), ("detail", pa.string())])
+_ARROW = pa.schema([("file_index", pa.int32()), ("source_path", pa.string()), ("seq", pa.int64()), ("file_offset", pa.int64()), ("kind", pa.string()), ("ts_format", pa.string()), ("type_word", pa.int32()), ("t0", pa.int32()), ("t1", pa.int32()), ("t2", pa.int32()), ("body", pa.list_(pa.int32())), ("mux", pa.string()), ("detail", pa.string()), ("parent", pa.list_(pa.int32())), ("stamp", pa.int64()), ("prev_stamp", pa.int64()), ("high", pa.int64()), ("back", pa.bool_())])
 BATCH = 50_000
+#: Bytes of a piece of a file: as many as there are cores for, within these bounds.
+LEAST_PIECE, MOST_PIECE = 1 << 20, 32 << 20
+#: Records that must follow from a guess.
+DEPTH = 32
 
 
 def _options(given: dict[str, str]) -> tuple[Options, dict]:
@@ -27,9 +39,12 @@ def _options(given: dict[str, str]) -> tuple[Options, dict]:
     return framing, mux
 
 
-def batches(framer: Framer, index: int, path: str, mux: str | None, records: bool = True) -> Iterator[pa.RecordBatch]:
-    """Rows of one file: records and markers in arrival order, then its status."""
-    seq = 0
+def batches(framer: Framer, index: int, path: str, mux: str | None, seq: int = 0, carry: Carry | None = None, stop: int | None = None, status: str | None = "") -> Iterator[pa.RecordBatch]:
+    """Rows of one file, or of a piece up to the record at stop: records and markers in arrival order, then the status.
+
+    status: what the status row tells, if not the framer's own; None for no such row.
+    """
+    carry, gap = carry or Carry(), False
 
     def marker(kind: str, offset: int, detail: str) -> pa.RecordBatch:
         row = {"file_index": index, "source_path": path, "seq": seq, "file_offset": offset, "kind": kind, "ts_format": framer.status.ts_format, "mux": mux, "detail": detail}
@@ -37,19 +52,29 @@ def batches(framer: Framer, index: int, path: str, mux: str | None, records: boo
 
     for item in framer:
         if isinstance(item, Resync):
-            if records:
-                yield marker("resync", item.offset, f"0x{item.resumed:X}: {item.reason}")
-            seq += 1
+            if stop is not None and item.offset >= stop:
+                break
+            yield marker("resync", item.offset, f"0x{item.resumed:X}: {item.reason}")
+            seq, gap = seq + 1, True
             continue
-        if records:
-            yield from _record_batches(item, framer.status.ts_format, index, path, mux, seq)
-        seq += len(item.offsets)
-    yield marker("status", framer.status.stop_offset, json.dumps(vars(framer.status)))
-
-
-def _record_batches(item: Records, ts: str, index: int, path: str, mux: str | None, seq: int) -> Iterator[pa.RecordBatch]:
+        whole = stop is None or item.offsets[-1] < stop
+        if not whole:
+            item = item.upto(int(np.searchsorted(item.offsets, stop)))
+        if len(item.offsets):
+            yield from _record_batches(item, framer.status.ts_format, index, path, mux, seq, carry, gap)
+            seq, gap = seq + len(item.offsets), False
+        if not whole:
+            break
+    if status is not None:
+        yield marker("status", framer.status.stop_offset, status or json.dumps(vars(framer.status)))
+
+
+def _record_batches(item: Records, ts: str, index: int, path: str, mux: str | None, seq: int, carry: Carry, gap: bool) -> Iterator[pa.RecordBatch]:
     width = 3 if ts == "irig" else 2
+    told = facts(item.counts, item.words, width, carry, gap)
     firsts = np.concatenate([[0], np.cumsum(item.counts)])
+    follows = np.concatenate([[0], np.cumsum(told.follows)])
+    known = lambda v: pa.array(v, mask=v == NEVER)
     for lo in range(0, len(item.offsets), BATCH):
         hi = min(lo + BATCH, len(item.offsets))
         n, at = hi - lo, firsts[lo:hi]
@@ -59,48 +84,90 @@ def _record_batches(item: Records, ts: str, index: int, path: str, mux: str | No
         body = words[np.repeat(at + 1 + width - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32)
         same = lambda v, t: pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), pa.array([v], t)).cast(t) if v is not None else pa.nulls(n, t)
         stamp = [pa.array(words[at + 1 + k].astype(np.int32)) if k < width else pa.nulls(n, pa.int32()) for k in range(3)]
+        parents: list = [None] * n
+        for i, words_of in zip(np.flatnonzero(told.follows[lo:hi]).tolist(), told.parents[follows[lo] : follows[hi]], strict=True):
+            parents[i] = words_of
         cols = [pa.array(np.full(n, index, np.int32)), same(path, pa.string()), pa.array(np.arange(seq + lo, seq + hi)), pa.array(item.offsets[lo:hi]), same("rec", pa.string()), same(ts, pa.string()), pa.array(words[at].astype(np.int32)), *stamp, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(body)), same(mux, pa.string()), pa.nulls(n, pa.string())]
+        cols += [pa.array(parents, pa.list_(pa.int32())), pa.array(told.stamp[lo:hi]), known(told.prev[lo:hi]), known(told.high[lo:hi]), pa.array(told.back[lo:hi])]
         yield pa.RecordBatch.from_arrays(cols, schema=_ARROW)
 
 
-class _File(InputPartition):
-    def __init__(self, index: int, path: str) -> None:
-        self.index, self.path = index, path
+@dataclass
+class Piece:
+    """A part of a file: the records from start up to that at stop (null: to the end), and what the pieces before it leave."""
+
+    file_index: int
+    path: str
+    start: int
+    stop: int | None
+    ts_format: str
+    seq: int
+    carry: dict
+    status: str | None = None
+
+
+class _Part(InputPartition):
+    def __init__(self, piece: dict) -> None:
+        self.piece = piece
 
 
 class _Reader(DataSourceReader):
     def __init__(self, given: dict[str, str]) -> None:
+        self.given = given
+        self.framing, self.mux = _options(given)
+        if "pieces" in given:
+            self.pieces = json.loads(given["pieces"])
+            return
         listed = given.get("paths") or given.get("path")
         if not listed:
             raise UsageError("no input path")
-        self.paths = json.loads(listed) if listed.startswith("[") else [listed]
-        if len(self.paths) > MAX_FILES:
-            raise UsageError(f"{len(self.paths)} inputs; {MAX_FILES} at most")
-        self.given = given
-        self.framing, self.mux = _options(given)
+        paths = json.loads(listed) if listed.startswith("[") else [listed]
+        if len(paths) > MAX_FILES:
+            raise UsageError(f"{len(paths)} inputs; {MAX_FILES} at most")
+        self.pieces = [{"file_index": i, "path": p} for i, p in enumerate(paths)]
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(i, p) for i, p in enumerate(self.paths)]
-
-    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
-        mux = mux_of(part.path, **self.mux)
+        return [_Part(p) for p in self.pieces]
+
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        p = part.piece
+        mux = mux_of(p["path"], **self.mux)
+        with _opened(p["path"]) as (fetch, size):
+            if "start" not in p:
+                yield from batches(Framer(fetch, size, self.framing), p["file_index"], p["path"], mux)
+            elif p["start"] < 0:  # a file without records
+                yield from batches(Framer(fetch, 0), p["file_index"], p["path"], mux, status=p["status"])
+            else:
+                framer = Framer(fetch, size, self.framing, min(BLOCK_BYTES, (p["stop"] or size) - p["start"]), p["start"], p["ts_format"])
+                yield from batches(framer, p["file_index"], p["path"], mux, p["seq"], Carry.unpacked(p["carry"]), p["stop"], p["status"])
+
+
+class _opened:
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def __enter__(self):
         try:
-            with open(part.path, "rb") as f:
-
-                def fetch(offset: int, size: int) -> bytes:
-                    f.seek(offset)
-                    return f.read(size)
-
-                framer = Framer(fetch, os.fstat(f.fileno()).st_size, self.framing)
-                yield from batches(framer, part.index, part.path, mux, self.given.get("only") != "status")
+            self.file = open(self.path, "rb")
+            return self.fetch, os.fstat(self.file.fileno()).st_size
         except FileNotFoundError:
-            raise FileMissing(part.path) from None
+            raise FileMissing(self.path) from None
+        except OSError as e:
+            raise FileUnreadable(f"{self.path}: {e}") from None
+
+    def fetch(self, offset: int, size: int) -> bytes:
+        try:
+            self.file.seek(offset)
+            return self.file.read(size)
         except OSError as e:
-            raise FileUnreadable(f"{part.path}: {e}") from None
+            raise FileUnreadable(f"{self.path}: {e}") from None
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
 
 
 class RecordingSource(DataSource):
-    """spark.read.format('recording'): option path, or paths (a JSON list), in a folder that all executors see."""
+    """spark.read.format('recording'): option path, or paths (a JSON list), in a folder that all executors see. A file is one task then; read_raw cuts it."""
 
     @classmethod
     def name(cls) -> str:
@@ -113,6 +180,159 @@ class RecordingSource(DataSource):
         return _Reader(dict(self.options))
 
 
+def survey(path: str, start: int, border: int | None, framing: Options, sure: bool) -> dict:
+    """What a piece is like from start (a record if sure, else to be guessed) to its cut behind border.
+
+    Gives start and stop (offsets of the records at its cuts; stop is null where the file ends), records, resyncs, ts_format, status, carry, steps back
+    in time, the first of them and the first record's stamp; or nothing but a status if the file is refused, or no record was found.
+    """
+    with _opened(path) as (fetch, size):
+        head = Framer(fetch, size, framing)
+        first = head.head()
+        told = vars(head.status)
+        if first is None:
+            return {"start": -1, "status": told}
+        ts = head.status.ts_format
+        at = first if start == 0 else start if sure else head.resume(start, DEPTH)
+        if at is None:
+            return {"start": -2, "status": told}
+        framer = Framer(fetch, size, framing, min(BLOCK_BYTES, (border or size) - start), at, ts)
+        carry, gap, width = Carry(), False, 3 if ts == "irig" else 2
+        out = {"start": at if sure or start == 0 else None, "stop": None, "records": 0, "resyncs": 0, "ts_format": ts, "back": 0, "first_back": None, "first": None}
+        seq = 0
+        for item in framer:
+            if isinstance(item, Resync):
+                if out["start"] is not None:
+                    out["resyncs"] += 1
+                    seq += 1
+                gap = True
+                continue
+            lo, hi = 0, len(item.offsets)
+            f = facts(item.counts, item.words, width, (before := Carry() if out["start"] is None else Carry.unpacked(carry.packed())), gap)
+            if out["start"] is None or border is not None and item.offsets[-1] >= border:
+                cuts = cut_points(f, item.counts, item.words)
+                if out["start"] is None:
+                    if not len(cuts):
+                        gap = False
+                        continue
+                    lo = int(cuts[0])
+                    out["start"] = int(item.offsets[lo])
+                if border is not None:
+                    behind = cuts[item.offsets[cuts] >= border]
+                    if len(behind) and int(behind[0]) >= lo:
+                        hi = int(behind[0])
+                        out["stop"] = int(item.offsets[hi])
+            if lo or hi < len(item.offsets):
+                item = item.upto(hi).behind(lo)
+                before = Carry() if lo else carry
+                f = facts(item.counts, item.words, width, before, gap and not lo) if len(item.offsets) else None
+            carry, gap = before, False
+            if f is not None and len(item.offsets):
+                good = np.flatnonzero(f.accepted)
+                if out["first"] is None and len(good):
+                    i = int(good[0])
+                    up = int(item.words[int(item.counts[:i].sum()) + 1])
+                    out["first"] = {"stamp": int(f.stamp[i]), "freerun": bool(ts == "irig" and up >= 0x8000), "seq": seq + i}
+                steps = np.flatnonzero(f.back)
+                if len(steps) and out["first_back"] is None:
+                    out["first_back"] = seq + int(steps[0])
+                out["back"] += len(steps)
+                out["records"] += len(item.offsets)
+                seq += len(item.offsets)
+            if out["stop"] is not None:
+                break
+        if out["start"] is None:
+            return {"start": -2, "status": told}
+        status = vars(framer.status) | {"records": out["records"]}
+        if start == 0:
+            status["warnings"] = told["warnings"] + status["warnings"]
+        return out | {"status": status, "carry": carry.packed()}
+
+
+@dataclass
+class Surveyed:
+    """How a file was framed: its pieces, how it ended, and what is known of its records in all."""
+
+    pieces: list[Piece]
+    status: dict
+    back: int = 0
+    first_back: int | None = None
+    first: dict | None = None
+
+
+def _job(spark: SparkSession, tasks: list[dict], framing: Options) -> list[dict]:
+    """Survey pieces on the executors, a task for each."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for i, t in zip(b.column(0).to_pylist(), map(json.loads, b.column(1).to_pylist()), strict=True):
+                got = survey(t["path"], t["start"], t["border"], framing, t["sure"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([json.dumps(got)])], ["i", "got"])
+
+    listed = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(tasks)], "i long, task string")
+    rows = listed.repartitionById(len(tasks), listed.i.cast("int")).mapInArrow(run, "i bigint, got string").collect()  # a row for each piece
+    return [json.loads(r.got) for r in sorted(rows, key=lambda r: r.i)]
+
+
+def survey_files(spark: SparkSession, paths: list[str], framing: Options, piece: int | None = None) -> list[Surveyed]:
+    """Cut files into pieces at records that all agree on."""
+    sizes = [os.path.getsize(p) for p in paths]
+    if piece is None:
+        piece = max(LEAST_PIECE, min(MOST_PIECE, sum(sizes) // (2 * spark.sparkContext.defaultParallelism) + 1))
+    piece += piece % 2
+    tasks = []
+    for i, (p, size) in enumerate(zip(paths, sizes, strict=True)):
+        borders = list(range(0, max(size, 1), piece)) if not framing.strict else [0]
+        tasks += [{"file": i, "path": p, "start": a, "border": b, "sure": a == 0} for a, b in zip(borders, [*borders[1:], None], strict=True)]
+    found = _job(spark, tasks, framing)
+    by_file: list[list] = [[] for _ in paths]
+    for t, f in zip(tasks, found, strict=True):
+        by_file[t["file"]].append((t, f))
+    return [_stitched(spark, i, p, by_file[i], framing) for i, p in enumerate(paths)]
+
+
+def _stitched(spark: SparkSession, index: int, path: str, parts: list[tuple[dict, dict]], framing: Options) -> Surveyed:
+    """Lead the true chain through the pieces of a file."""
+    out = Surveyed([], {})
+    carry, seq, here, lost, warnings, state = Carry(), 0, 0, 0, [], "complete"
+    for k, (task, got) in enumerate(parts):
+        if k and here >= (task["border"] or here + 1):
+            continue  # the piece before reaches beyond this one
+        if k and got["start"] != here:
+            got = _job(spark, [task | {"start": here, "sure": True}], framing)[0]
+        s = got["status"]
+        if got["start"] < 0:
+            out.status = s
+            out.pieces = [Piece(index, path, -1, None, s["ts_format"], 0, carry.packed(), json.dumps(s))]
+            return out
+        out.pieces.append(Piece(index, path, got["start"], got["stop"], got["ts_format"], seq, carry.packed()))
+        first = got["first"]
+        if first is not None:
+            step = carry.now > NEVER and first["stamp"] < carry.now
+            for at in ([seq + first["seq"]] if step else []) + ([seq + got["first_back"]] if got["first_back"] is not None else []):
+                out.first_back = at if out.first_back is None else min(out.first_back, at)
+            out.back += got["back"] + step
+            out.first = out.first or first
+        carry = carry.then(Carry.unpacked(got["carry"]))
+        seq += got["records"] + got["resyncs"]
+        out.status["records"] = out.status.get("records", 0) + got["records"]
+        lost += s["sync_losses"]
+        warnings += s["warnings"]
+        state = state if s["state"] == "complete" or s["state"] == "truncated-tail" and state != "complete" else s["state"]
+        here = got["stop"]
+        if here is None:
+            break
+    out.status = s | {"records": out.status["records"], "sync_losses": lost, "warnings": _few(warnings), "state": state}
+    out.pieces[-1].status = json.dumps(out.status)
+    return out
+
+
+def _few(warnings: list[str]) -> list[str]:
+    """The first losses of sync and all other warnings."""
+    losses = [w for w in warnings if w.startswith("sync lost")]
+    return losses[:MOST_TOLD] + [w for w in warnings if not w.startswith("sync lost")]
+
+
 def check_inputs(paths: list[str]) -> None:
     for p in paths:
         if not os.path.exists(p):
@@ -123,12 +343,24 @@ def check_inputs(paths: list[str]) -> None:
             raise EmptyFile(p)
 
 
-def read_raw(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Raw rows of recordings, in files of a folder that all executors see. A file is one task, whatever its size."""
-    spark.dataSource.register(RecordingSource)
+def _given(options: dict) -> dict[str, str]:
+    return {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}
+
+
+def surveyed(spark: SparkSession, paths: list[str], **options) -> list[Surveyed]:
     check_inputs(paths)
-    given = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}
-    return spark.read.format("recording").options(paths=json.dumps(list(paths)), **given).load()
+    return survey_files(spark, list(paths), _options(_given(options))[0])
+
+
+def read_pieces(spark: SparkSession, pieces: list[Piece], **options) -> DataFrame:
+    """Raw rows of pieces, in their order; a task for each."""
+    spark.dataSource.register(RecordingSource)
+    return spark.read.format("recording").options(pieces=json.dumps([vars(p) for p in pieces]), **_given(options)).load()
+
+
+def read_raw(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """Raw rows of recordings, in files of a folder that all executors see."""
+    return read_pieces(spark, [p for f in surveyed(spark, paths, **options) for p in f.pieces], **options)
 
 
 def read_bytes(contents: DataFrame, **options) -> DataFrame:

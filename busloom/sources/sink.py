@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CalendarError, OutputExists, UsageError
 from ..functions import render, words
+from ..operators.order import MAX_GROUP, Runs
 from ..schema import CSV_COLUMNS, SPURIOUS_TYPE
 
 
-def csv_rows(df: DataFrame) -> DataFrame:
-    """The 46 columns of the table, all text; what is absent is empty."""
+def csv_rows(df: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """The 46 columns of the table, all text; what is absent is empty. And more columns of df."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     spurious = F.col("message_type") == SPURIOUS_TYPE
     out: dict[str, Column] = {c: F.lit("") for c in CSV_COLUMNS}
@@ -33,7 +36,7 @@ def csv_rows(df: DataFrame) -> DataFrame:
     out["DELTA"] = text(render.seconds6(F.col("delta_us")))
     out["ERROR"] = words.error_label(spurious, F.col("error"))
     out["ERROR_CODE"] = text(words.hex_word(F.col("error_word")))
-    return df.select(*(c.alias(n) for n, c in out.items()))
+    return df.select(*(c.alias(n) for n, c in out.items()), *(more or []))
 
 
 def split_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,8 +73,22 @@ class Written:
     rows: int
 
 
+def names_of(path: str, split: bool) -> list[str]:
+    """Every name that a run may write."""
+    names = [path, errors_path(path)] if split else [path]
+    return [*names, *(f"{p}.partial" for p in names)]
+
+
+def refuse_inputs(outputs: list[str], inputs: list[str]) -> None:
+    """An output may not be an input, however either is spelt: by path, through links, or as another name of the same file."""
+    for o in outputs:
+        for i in inputs:
+            if os.path.realpath(o) == os.path.realpath(i) or os.path.exists(o) and os.path.exists(i) and os.path.samefile(o, i):
+                raise UsageError(f"{o}: an input")
+
+
 class CsvFile:
-    """One file, written beside its place and then moved there in one step."""
+    """One file, put together beside its place and then moved there in one step."""
 
     def __init__(self, path: str, no_clobber: bool = False, partial: bool = False) -> None:
         self.path = f"{path}.partial" if partial else path
@@ -85,17 +102,11 @@ class CsvFile:
         if self.no_clobber and os.path.exists(self.path):
             raise OutputExists(self.path)
 
-    def write(self, rows: DataFrame, order: list | None = None) -> Written:
-        """Rows as they come, streamed partition by partition; the whole table never stands in memory."""
-        ordered = rows.orderBy(*order) if order else rows
-        lines = csv_rows(ordered) if "TIME_STAMP" not in rows.columns else ordered
-        n = 0
+    def put(self, parts: list[tuple[str | None, bytes]], rows: int) -> Written:
+        """The header, then files and bytes one after the other."""
         try:
-            with open(self.temporary, "w", newline="", encoding="utf-8") as f:
-                f.write(",".join(CSV_COLUMNS) + "\n")
-                for row in _chunks(lines).toLocalIterator(prefetchPartitions=True):
-                    f.write(row.text)
-                    n += row.n
+            with open(self.temporary, "wb") as f:
+                write_all(f, parts)
                 f.flush()
                 os.fsync(f.fileno())
             self.commit()
@@ -103,7 +114,7 @@ class CsvFile:
             if os.path.exists(self.temporary):
                 os.remove(self.temporary)
             raise
-        return Written(self.path, n)
+        return Written(self.path, rows)
 
     def commit(self) -> None:
         if self.no_clobber:
@@ -116,25 +127,112 @@ class CsvFile:
             os.replace(self.temporary, self.path)
 
 
-#: Columns whose text comes from outside; the others are made of digits, letters and marks that need no quotes.
-FREE_TEXT = ("MUX",)
-CHUNK = 4096
+def write_all(f, parts: list[tuple[str | None, bytes]]) -> None:
+    f.write((",".join(CSV_COLUMNS) + "\n").encode())
+    for path, more in parts:
+        if path is not None:
+            with open(path, "rb") as g:
+                shutil.copyfileobj(g, f, 1 << 24)
+        f.write(more)
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    """Lines of the table, many to a row, in the order of rows."""
-    line = F.concat_ws(",", *(cell(F.col(c)) if c in FREE_TEXT else F.col(c) for c in CSV_COLUMNS)).alias("line")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lines = b.column(0).to_pylist()
-            cuts = range(0, len(lines), CHUNK)
-            texts = ["\n".join(lines[i : i + CHUNK]) + "\n" for i in cuts]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([len(lines[i : i + CHUNK]) for i in cuts], pa.int64())], ["text", "n"])
+@dataclass
+class Parts:
+    """The lines of a table in files of a folder, in the order of partitions: those without an error label, and those with one if asked for."""
+
+    folder: str
+    main: list[tuple[str | None, bytes]]
+    errors: list[tuple[str | None, bytes]]
+    rows: int = 0
+    error_rows: int = 0
+    capped: int = 0
+
+
+def write_parts(rows: DataFrame, folder: str, split: bool = False, max_group: int = MAX_GROUP) -> Parts:
+    """Write the lines of rows, a file for each task, in canonical order. folder is one that all executors see.
+
+    Rows come in the order of arrival, or of a merge, from partition to partition and in each, and no run of equal times goes on
+    in the next partition. What a run's order still hangs on is the first row of the next: where that matters, both
+    orders of a partition's last run are told, and the driver takes the right one.
+    """
+    os.makedirs(folder, exist_ok=True)
+    key = F.when(F.col("rt").isNotNull(), F.col("rt") * 64 + F.col("subaddress") * 2 + F.col("direction")).otherwise(-1)
+    stamp = F.coalesce(*(F.col(c) for c in ("ticks", "time_us") if c in rows.columns), F.lit(-1)).cast("long")
+    marked = (F.col("message_type") == SPURIOUS_TYPE) | F.col("error") if split else F.lit(False)
+    lines = csv_rows(rows, [stamp.alias("__stamp"), key.cast("int").alias("__key"), marked.alias("__bad")])
+    line = F.concat(F.concat_ws(",", *(cell(F.col(c)) if c in FREE_TEXT else F.col(c) for c in CSV_COLUMNS)), F.lit("\n")).alias("line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        name = os.path.join(folder, f"{number:06d}-{uuid.uuid4().hex}")
+        runs, held, n = Runs(max_group), None, [0, 0]
+        files = [open(f"{name}.{kind}", "wb") for kind in ("main", "errors")[: 1 + split]]
+
+        def put(text: pa.Array, bad: np.ndarray) -> None:
+            for kind, f in enumerate(files):
+                own = text.filter(pa.array(bad == bool(kind))) if split else text
+                n[kind] += len(own)
+                f.write(_joined(own))
 
-    return rows.select(line).mapInArrow(join, "text string, n bigint")
+        try:
+            for b in batches:
+                if held is not None:
+                    b = pa.concat_batches([held, b])
+                stamps, keys, bad = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+                order, last = runs.places(stamps, keys)
+                text = b.column(3).slice(0, last)
+                same = bool((order[1:] > order[:-1]).all())
+                put(text if same else text.take(pa.array(order)), bad[:last] if same else bad[order])
+                held = b.slice(last)
+        finally:
+            for f in files:
+                f.close()
+        ends: list[list[bytes]] = [[b"", b""], [b"", b""]]  # by kind: the last run if the next partition opens with a key, and if not
+        if held is not None and held.num_rows:
+            keys, bad = (held.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for free in (False, True):
+                order = np.array(runs.run(keys, free))
+                text = held.column(3).take(pa.array(order))
+                for kind in range(1 + split):
+                    ends[kind][free] = _joined(text.filter(pa.array(bad[order] == bool(kind))) if split else text)
+            n[0] += int((~bad).sum()) if split else len(bad)
+            n[1] += int(bad.sum()) if split else 0
+        out = {"number": number, "name": name, "rows": n[0], "error_rows": n[1], "capped": runs.capped, "free": runs.opens_free}
+        for kind, k in ((0, "main"), (1, "errors")):
+            out |= {f"{k}_end": ends[kind][0], f"{k}_free": ends[kind][1] if ends[kind][1] != ends[kind][0] else None}
+        yield pa.RecordBatch.from_pylist([out], schema=_PART)
+
+    shape = "number int, name string, rows bigint, error_rows bigint, capped bigint, free boolean, main_end binary, main_free binary, errors_end binary, errors_free binary"
+    found = lines.select("__stamp", "__key", "__bad", line).mapInArrow(run, shape).collect()  # a row for each task, with the lines of one run
+    out = Parts(folder, [], [])
+    next_free = False
+    for r in sorted(found, key=lambda r: -r.number):
+        for parts, kind in ((out.main, "main"), (out.errors, "errors")):
+            end = r[f"{kind}_free"] if next_free and r[f"{kind}_free"] is not None else r[f"{kind}_end"]
+            parts.append((f"{r.name}.{kind}" if kind == "main" or split else None, bytes(end)))
+        out.rows, out.error_rows, out.capped = out.rows + r.rows, out.error_rows + r.error_rows, out.capped + r.capped
+        if r.free is not None:
+            next_free = r.free
+    out.main.reverse()
+    out.errors.reverse()
+    return out
+
+
+_PART = pa.schema([("number", pa.int32()), ("name", pa.string()), ("rows", pa.int64()), ("error_rows", pa.int64()), ("capped", pa.int64()), ("free", pa.bool_()), ("main_end", pa.binary()), ("main_free", pa.binary()), ("errors_end", pa.binary()), ("errors_free", pa.binary())])
+
+
+def _joined(text: pa.Array) -> bytes:
+    """The bytes of an array of strings, one after the other."""
+    if not len(text):
+        return b""
+    offsets = np.frombuffer(text.buffers()[1], np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + len(text) + 1]
+    return memoryview(text.buffers()[2])[int(offsets[0]) : int(offsets[-1])].tobytes()
 
 
+#: Columns whose text comes from outside; the others are made of digits, letters and marks that need no quotes.
+FREE_TEXT = ("MUX",)
 def cell(c: Column) -> Column:
     """A value in quotes where it holds a quote, a comma or a line end."""
     return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)

@@ -1,6 +1,8 @@
+import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +10,8 @@ from busloom import errors
 from busloom.config import Config
 from busloom.operators import blocks, collapse, decode, delta, dump, filters, merge, order, pairing
 from busloom.plans import recordings as plans
-from busloom.sources import inputs
-from busloom.sources.framing import Framer, Options, Records
+from busloom.sources import inputs, recording
+from busloom.sources.framing import Framer, Options, Records, follow
 from busloom.sources.recording import read_bytes, read_raw
 
 from . import recordings as R
@@ -27,22 +29,90 @@ def put(folder, name, raw):
 def rows_of(spark, raws, **options):
     frame = spark.createDataFrame([(i, f"f{i}", bytearray(r)) for i, r in enumerate(raws)], "file_index int, name string, content binary")
     raw = read_bytes(frame, **options)
-    recs = delta.with_delta(pairing.pair(decode.decode(decode.spread(raw))))
+    recs = delta.with_delta(pairing.pair(decode.decode(raw)))
     return raw, recs
 
 
-@pytest.mark.parametrize(("damage", "block"), [(0, 1 << 14), (1, 4), (6, 1 << 14), (6, 1)])
-def test_against_model(spark, monkeypatch, damage, block):
-    """Also with blocks of a few rows, whose edges then cut pairs."""
-    monkeypatch.setattr(decode, "BLOCK", block)
-    raws = [R.random_recording(100 * damage + s, 80, damage) for s in range(40)]
-    _, recs = rows_of(spark, raws, input_time_format="irig")
+#: What the source tells of a record from those before it.
+TOLD = ("parent", "stamp", "prev_stamp", "high", "back")
+
+
+def by_file(recs):
     got = {}
     for r in recs.orderBy("file_index", "seq").collect():
         got.setdefault(r.file_index, []).append(([r[f] for f in FIELDS], list(r.data_words)))
-    for i, raw in enumerate(raws):
-        want = [([row[f] for f in FIELDS], row["data_words"]) for row in R.read_irig(raw).rows]
-        assert got.get(i, []) == want, i
+    return got
+
+
+def model_rows(raw):
+    return [([row[f] for f in FIELDS], row["data_words"]) for row in R.read_irig(raw).rows]
+
+
+@pytest.mark.parametrize("told", [True, False])
+@pytest.mark.parametrize("damage", [0, 1, 6])
+def test_against_model(spark, damage, told):
+    """With what the source tells of earlier records, and with windows in its place."""
+    raws = [R.random_recording(100 * damage + s, 80, damage) for s in range(40)]
+    raw, recs = rows_of(spark, raws, input_time_format="irig")
+    if not told:
+        recs = delta.with_delta(pairing.pair(decode.decode(raw.drop(*TOLD))))
+    got = by_file(recs)
+    for i, r in enumerate(raws):
+        assert got.get(i, []) == model_rows(r), i
+
+
+@pytest.mark.parametrize("damage", [0, 2, 12])
+@pytest.mark.parametrize("piece", [600, 5000])
+def test_pieces_do_not_matter(spark, tmp_path, monkeypatch, damage, piece):
+    """A file that is read in pieces gives the rows of the whole, sequence numbers, facts and status included."""
+    raws = [R.random_recording(1000 + 10 * damage + s, 400, damage) for s in range(4)] + [b"no recording " * 900, R.END]
+    paths = [put(tmp_path, f"p{i}", r) for i, r in enumerate(raws)]
+    monkeypatch.setattr(recording, "LEAST_PIECE", piece)
+    monkeypatch.setattr(recording, "MOST_PIECE", piece)
+    found = recording.surveyed(spark, paths, input_time_format="irig")
+    assert max(len(f.pieces) for f in found) > 3
+    cut = recording.read_pieces(spark, [p for f in found for p in f.pieces], input_time_format="irig")
+    whole, _ = rows_of(spark, raws, input_time_format="irig")
+    rows = lambda df: [tuple(r) for r in df.filter("kind <> 'status'").drop("source_path", "mux").orderBy("file_index", "seq").collect()]
+    assert rows(cut) == rows(whole)
+    ends = lambda df: {r.file_index: json.loads(r.detail) for r in df.filter("kind = 'status'").collect()}
+    assert ends(cut) == ends(whole)
+    back = whole.filter("back").groupBy("file_index").agg(F.count("*").alias("n"), F.min("seq").alias("first")).collect()
+    assert {r.file_index: (r.n, r.first) for r in back} == {i: (f.back, f.first_back) for i, f in enumerate(found) if f.back}
+
+
+def test_what_the_source_tells(spark):
+    """Stamps, gaps and steps back as windows over the decoded records give them."""
+    raws = [R.random_recording(70 + s, 300, 4) for s in range(6)]
+    raw, _ = rows_of(spark, raws, input_time_format="irig")
+    decoded = decode.decode(raw)
+    told = pairing.pair(decoded)
+    slow = pairing.pair(decode.decode(raw.drop(*TOLD)))
+    key = ("file_index", "seq")
+    assert {tuple(r) for r in told.select(*key, "merge_us").collect()} == {tuple(r) for r in merge.merged(slow).select(*key, "merge_us").collect()}
+    steps = told.filter("back").groupBy("file_index").agg(F.count("*").alias("steps"), F.min("seq").alias("first_seq"))
+    assert {tuple(r) for r in steps.collect()} == {tuple(r) for r in merge.backward_files(slow).collect()}
+    for f in (filters.Filters(exclude_rts=tuple(range(9))), filters.Filters(include_types=(2, 32), exclude_buses=(1,)), filters.Filters(exclude_types=(32,), include_subaddresses=tuple(range(12)))):
+        assert {tuple(r) for r in filters.apply_filters(told, f).select(*key).collect()} == {tuple(r) for r in filters.apply_filters(slow, f).select(*key).collect()}
+    for window, cap in ((0, None), (500, None), (300, 3)):
+        both = [collapse.collapse(merge.merged(x), window, cap, cap is not None and window == 0).select(*key) for x in (told, slow)]
+        assert {tuple(r) for r in both[0].collect()} == {tuple(r) for r in both[1].collect()}
+
+
+def test_chains():
+    """Following all lanes at once gives what following one record after the other gives."""
+    r = np.random.default_rng(5)
+    for case in range(60):
+        n = int(r.integers(1, 60_000))
+        step = r.integers(1, 64, n).astype(np.int32)
+        ok = r.random(n) < (1.0 if case % 3 == 0 else 0.9999 if case % 3 == 1 else 0.97)
+        at, stop = int(r.integers(0, n)), int(r.integers(0, n + 1))
+        want, i = [], at
+        while i < min(stop, n) and ok[i]:
+            want.append(i)
+            i += int(step[i])
+        got, here = follow(ok, step, at, stop)
+        assert got.tolist() == want and here == i, case
 
 
 def test_blocks_do_not_matter():
