@@ -95,8 +95,8 @@ def _times_ok(up: np.ndarray, mid: np.ndarray, low: np.ndarray) -> np.ndarray:
 def follow(ok: np.ndarray, step: np.ndarray, at: int, stop: int) -> tuple[np.ndarray, int]:
     """The places of the chain from at on that are ok and before stop, and the place where it leaves. step leads from each to the next.
 
-    Every lane of LANE words is followed from its first word, all lanes at once; then the true chain is led through the lanes.
-    Where it meets a place that its lane has seen, the rest of the lane is known.
+    Every lane of LANE words is followed from its first likely word, all lanes at once, and again from the next one where a chain
+    breaks off; then the true chain is led through the lanes. Where it meets a place that its lane has seen, the rest of the lane is known.
     """
     stop = min(stop, len(ok))
     if stop - at < SMALL:
@@ -108,18 +108,25 @@ def follow(ok: np.ndarray, step: np.ndarray, at: int, stop: int) -> tuple[np.nda
         return np.array(out, np.int64), at + max(i, 0)
     first = np.arange(at, stop, LANE)
     end = np.minimum(first + LANE, stop)
+    likely = np.concatenate([np.flatnonzero(ok[at:stop]) + at, [stop]])
+    begin = likely[np.searchsorted(likely, first)]
+    place, lane = begin.copy(), np.arange(len(first))
+    while len(lane):  # where the last chain of each lane begins
+        place, lane = place[go := place < end[lane]], lane[go]
+        going = ok[place]
+        if not going.all():
+            broken = np.flatnonzero(~going)
+            place[broken] = begin[lane[broken]] = likely[np.searchsorted(likely, place[broken])]
+            continue
+        place = place + step[place]
     seen = np.zeros(stop, bool)
-    place, lane = first.copy(), np.arange(len(first))
-    leave = first.copy()
+    place, lane = begin.copy(), np.arange(len(first))
+    leave = np.maximum(begin, end)
     while len(lane):
-        going = ok[place]
-        leave[lane[~going]] = place[~going]
-        place, lane = place[going], lane[going]
+        place, lane = place[go := place < end[lane]], lane[go]
         seen[place] = True
         place = place + step[place]
-        out = place >= end[lane]
-        leave[lane[out]] = place[out]
-        place, lane = place[~out], lane[~out]
+        leave[lane] = place
     here, own = at, []
     for lo, hi, away in zip(first.tolist(), end.tolist(), leave.tolist(), strict=True):
         if here >= hi:

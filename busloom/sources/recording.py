@@ -1,6 +1,6 @@
 """The 'recording' data source: Arrow batches of raw records, from the pieces of files.
 
-Files are framed twice. The first pass takes all pieces at once: each guesses a record behind its start, follows the chain to
+Files are framed twice. The first pass takes all pieces at once: each guesses a record shortly before its start, follows the chain to
 a record beyond its end, and tells where it stood, how many records there are and what it leaves to the next. The driver leads the true
 chain through these few rows; a piece whose guess was wrong is read again from the right place. The second pass gives the rows
 of all pieces at once, each from a known record on and with what the pieces before it have left.
@@ -28,8 +28,8 @@ _ARROW = pa.schema([("file_index", pa.int32()), ("source_path", pa.string()), ("
 BATCH = 50_000
 #: Bytes of a piece of a file: as many as there are cores for, within these bounds.
 LEAST_PIECE, MOST_PIECE = 1 << 20, 32 << 20
-#: Records that must follow from a guess.
-DEPTH = 32
+#: Records that must follow from a guess, and bytes before a piece at which it is made, so that what is right before the piece is known.
+DEPTH, RUN_UP = 32, 8192
 
 
 def _options(given: dict[str, str]) -> tuple[Options, dict]:
@@ -193,7 +193,7 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
         if first is None:
             return {"start": -1, "status": told}
         ts = head.status.ts_format
-        at = first if start == 0 else start if sure else head.resume(start, DEPTH)
+        at = first if start == 0 else start if sure else head.resume(max(first, start - RUN_UP), DEPTH)
         if at is None:
             return {"start": -2, "status": told}
         framer = Framer(fetch, size, framing, min(BLOCK_BYTES, (border or size) - start), at, ts)
@@ -211,6 +211,7 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
             f = facts(item.counts, item.words, width, (before := Carry() if out["start"] is None else Carry.unpacked(carry.packed())), gap)
             if out["start"] is None or border is not None and item.offsets[-1] >= border:
                 cuts = cut_points(f, item.counts, item.words)
+                cuts = cuts[item.offsets[cuts] >= start]
                 if out["start"] is None:
                     if not len(cuts):
                         gap = False
