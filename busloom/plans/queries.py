@@ -13,6 +13,7 @@ from ..operators import columns as cols
 from ..operators import decode as decoding
 from ..sources import sink
 from . import busview as bus
+from . import byte_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,14 +184,6 @@ def leap_guard(spark, sf_dir):
     return _words(spark, sf_dir).select("event_id", words.leap_year(w % 4000 + 1).alias("leap"))
 
 
-@query("select page_id, nullif(trim(split_part(url, '.', 2)), '') as second, nullif(trim(split_part(url, '.', -1)), '') as last from pages")
-def mux_from_name(spark, sf_dir):
-    parts = F.split("url", r"\.")
-    field = lambda i: F.nullif(F.trim(F.get(parts, i if isinstance(i, type(F.lit(0))) else F.lit(i))), F.lit(""))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", field(1).alias("second"), field(F.size(parts) - 1).alias("last"))
-
-
 _NAMES = "case message_type when 2 then 'BC_TO_RT' when 4 then 'RT_TO_BC' else 'SPURIOUS_DATA' end"
 
 
@@ -252,11 +245,6 @@ def merge_backward_steps(spark, sf_dir):
     return merge.backward_files(d)
 
 
-@query(f"with {bus.SQL_D} select file_index from d group by 1 having false")
-def merge_incompatible(spark, sf_dir):
-    return merge.incompatible(bus.records(spark, sf_dir)).select("file_index")
-
-
 def _copies(spark, sf_dir) -> DataFrame:
     """Records with words that recur: those of one terminal are alike."""
     r = merge.merged(bus.records(spark, sf_dir))
@@ -277,14 +265,24 @@ def collapse_counts(spark, sf_dir):
     return collapse.marked(_copies(spark, sf_dir)).groupBy("collapsed").agg(F.count("*").alias("n"))
 
 
-@query()
+def _walk_sql(window: int, cap: int) -> str:
+    """The sequential rule, a record at a time: kept ones leave beyond the window or the cap, and one of another file with the same words makes a duplicate."""
+    return f"""with recursive {bus.SQL_D}, {_MERGE}, o as materialized (select row_number() over (order by merge_us, file_index, seq) i, time_us t, file_index x, seq, coalesce(rt, -1) * 100000 + coalesce(error_word, 0) w from m where not follows),
+  walk as (select cast(0 as bigint) i, cast([] as struct(t bigint, x integer, w integer)[]) kept, false dup
+    union all select i, case when dup then near when len(near) >= {cap} then list_append(near, {{'t': t, 'x': x, 'w': w}})[2:] else list_append(near, {{'t': t, 'x': x, 'w': w}}) end, dup
+    from (select o.i, t, x, w, near, len(list_filter(near, lambda k: k.w = o.w and k.x <> o.x)) > 0 dup from (select walk.i, list_filter(walk.kept, lambda k: abs(k.t - n.t) <= {window}) near from walk join o n on n.i = walk.i + 1) v join o on o.i = v.i + 1)),
+  h as (select m.*, coalesce(walk.dup, false) dup from m left join o on o.seq = m.seq left join walk on walk.i = o.i),
+  z as (select *, case when follows then coalesce(lag(dup) over (partition by file_index order by seq), false) else dup end collapsed from h) select seq, file_index, merge_us from z where not collapsed"""
+
+
+@query(_walk_sql(1_200_000_000, 1 << 40))
 def collapse_window(spark, sf_dir):
     return collapse.collapse(_copies(spark, sf_dir), window_us=1_200_000_000).select("seq", "file_index", "merge_us")
 
 
-@query()
+@query(_walk_sql(86_400_000_000, 16))
 def collapse_capped(spark, sf_dir):
-    return collapse.collapse(_copies(spark, sf_dir), window_us=1_200_000_000, cap=16).select("seq", "file_index", "merge_us")
+    return collapse.collapse(_copies(spark, sf_dir), window_us=86_400_000_000, cap=16).select("seq", "file_index", "merge_us")
 
 
 def _filter_sql(gone: str, parent_gone: str, own_type: str) -> str:
@@ -408,7 +406,4 @@ def columns_sentinels(spark, sf_dir):
     return cols.columns(bus.records(spark, sf_dir), ["file_offset", "rt", "status_word", "delta"], sentinels=True)
 
 
-@query("select event_id file_offset from events where event_id >= 100 order by event_id limit 25")
-def dump_limit(spark, sf_dir):
-    """The first records from an offset on."""
-    return bus.events(spark, sf_dir).select(F.col("event_id").alias("file_offset")).filter("file_offset >= 100").orderBy("file_offset").limit(25)
+byte_queries.register(query)

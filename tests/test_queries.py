@@ -21,10 +21,8 @@ def duck():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
-    if name in SQL:
-        compare(df, duck, SQL[name])
-    else:
-        assert df.count() > 0
+    assert not df.isEmpty()
+    compare(df, duck, SQL[name])
 
 
 def test_entry_imports_without_a_session():
@@ -40,9 +38,8 @@ sys.path.insert(0, {ROOT!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
 import __spark_entry__ as e
-for q in ('collapse_window', 'op2_benchmark_decontamination', 'op5_toxicity', 'op9_sharding', 'op10_nearest_neighbours'):
-    if q in e.queries():
-        assert e.queries()[q](spark, {SF!r}).count() > 0
+for q in ('collapse_window', 'frame_records', 'dump_limit'):
+    assert e.queries()[q](spark, {SF!r}).count() > 0
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
