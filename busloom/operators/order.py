@@ -42,7 +42,7 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
         d = d.withColumn("__next", F.lead(F.struct(F.col("__k").isNull().alias("free"), F.col("__ts").alias("ts"))).over(along))
         d = d.join(heads, cond).drop(*(f"__h{i}" for i in range(len(by) + 1)))
         ends = F.when(F.col("__next").isNull(), F.col("__after")).otherwise(F.col("__next.free") & ~F.col("__next.ts").eqNullSafe(F.col("__ts")))
-        same = Window.partitionBy(*run)
+        same = Window.partitionBy(*run).orderBy(*position).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # as below: one sort for both
         d = d.withColumns({"__next_free": F.max(ends).over(same), "order_run": F.min(where).over(same)})
     else:
         along = Window.partitionBy(*by).orderBy(*position) if by else Window.partitionBy(F.lit(0)).orderBy(*position)
@@ -117,7 +117,7 @@ class Runs:
             order[lo : lo + n] = lo + np.array(self.run(keys[lo : lo + n], bool(keys[lo + n] < 0)))
         return order, last
 
-    def run(self, keys: np.ndarray, opens_next_free: bool) -> list[int]:
-        if len(keys) >= self.max_group > 1:
+    def run(self, keys: np.ndarray, opens_next_free: bool, again: bool = False) -> list[int]:
+        if len(keys) >= self.max_group > 1 and not again:
             self.capped += 1
         return run_order([None if k < 0 else k for k in keys.tolist()], opens_next_free, self.max_group)

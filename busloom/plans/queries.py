@@ -368,7 +368,10 @@ def csv_row_46(spark, sf_dir):
 
 @query(f"select count(*) n from ({SQL['filter_exclude']})")
 def count_filtered(spark, sf_dir):
-    return filter_exclude(spark, sf_dir).agg(F.count("*").alias("n"))
+    from ..config import Config
+    from .recordings import counted
+
+    return counted(bus.records(spark, sf_dir), Config(filters=filters.Filters(exclude_rts=(1, 2, 3), exclude_buses=(1,))))
 
 
 @query(f"with {bus.SQL_D} select rt, count(*) messages, cast(sum(case when error then 1 else 0 end) as bigint) errored from d where rt is not null group by rt")

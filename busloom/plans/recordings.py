@@ -19,7 +19,7 @@ from ..operators import collapse as collapsing
 from ..operators import decode as decoding
 from ..operators import delta, filters, merge, order, pairing
 from ..operators.columns import columns
-from ..schema import SPURIOUS_TYPE
+from ..schema import MICROS_PER_DAY, SPURIOUS_TYPE
 from ..sources import sink
 from ..sources.recording import Surveyed, read_pieces, read_raw, surveyed
 
@@ -64,6 +64,7 @@ _NOTES = {
     "rejected": "{} record(s) were skipped: their words contradict each other", "status_mismatch": "{} record(s) have a status word of another terminal",
     "unknown_codes": "{} record(s) have an error code that isn't known", "backward_gaps": "{} record(s) are earlier than the one before of their key: they have no DELTA",
     "reserved_bits": "{} record(s) have the reserved bit set", "free_running": "{} record(s) were stamped by a free-running clock",
+    "wrapped_days": "{} step(s) back to an earlier day: a recording that crosses a year is dated by the year it began in; cut it there and give each part its own year",
     "capped_runs": "{} run(s) of equal times were longer than the sort group: their full groups stay in order of arrival", "capped_survivors": "{} record(s) left the window of duplicates early, for the cap",
 }
 
@@ -99,7 +100,8 @@ def records(raw_rows: DataFrame, config: Config | None = None, outcome: Outcome
         decoded = decoded.join(stops, F.col("file_index") == F.col("__f"), "left").filter("__stop is null or seq < __stop").drop("__f", "__stop")
     if outcome is not None:
         plain_error = (F.col("kind") == "rec") & F.col("error") & (F.col("message_type") != SPURIOUS_TYPE)
-        decoded = outcome.watch(decoded, rejected=F.col("kind") == "skip", status_mismatch=F.array_contains("anomalies", "status-rt-mismatch"), reserved_bits=F.array_contains("anomalies", "reserved-bit"), unknown_codes=plain_error & ~words.is_known_error(F.col("error_word")), free_running=F.coalesce("freerun", F.lit(False)))
+        plain = (F.col("kind") == "rec") & ~F.col("error") & (F.col("message_type") != SPURIOUS_TYPE)
+        decoded = outcome.watch(decoded, rejected=F.col("kind") == "skip", status_mismatch=plain & (words.status_rt(F.col("status_word")) != F.col("rt")), reserved_bits=plain & words.type_reserved(F.col("type_word")), unknown_codes=plain_error & ~words.is_known_error(F.col("error_word")), free_running=F.coalesce("freerun", F.lit(False)))
     # texts of time last: where they aren't asked for, they are never made
     return decoding.with_times(delta.with_delta(pairing.pair(decoded)), year=c.year, utc_offset=c.utc_offset, time_format=c.output_time_format)
 
@@ -197,6 +199,11 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
     if len(paths) > 1:
         recs = merge_recordings(recs, c, outcome, monotone)
         position = merge.ORDER
+    if any(f.status["ts_format"] == "irig" for f in found) and c.irig_day_advisory:
+        # a caution about the recorders, not about this recording: it is loud where days become dates
+        log.log(logging.INFO if c.output_time_format == "doy" else logging.WARNING, "the day of the year is as the recording card gave it, which on some cards is not the calendar's; times of day are not affected")
+    if c.output_time_format != "doy":
+        recs = outcome.watch(recs, wrapped_days=F.col("back") & (F.floor(F.col("merge_us") / MICROS_PER_DAY) > F.col("day_of_year")))
     recs = outcome.watch(recs, backward_gaps=F.col("rt").isNotNull() & F.col("time_us").isNotNull() & F.col("delta_us").isNull())
     if c.filters.active:
         recs = outcome.watch(filters.verdicts(recs, c.filters), filtered=F.col("filtered")).filter("not filtered").drop("filtered")
@@ -271,7 +278,12 @@ def count(spark: SparkSession, path: str, config: Config | None = None) -> int:
     status = _statuses(found, [path])[0]
     if status["state"] not in FINE:
         raise from_status(status["state"], f"{path}: {status['detail']}")
-    return filters.apply_filters(records(raw_of(spark, found, [], c), c), c.filters).count()
+    return counted(records(raw_of(spark, found, [], c), c), c).first().n
+
+
+def counted(recs: DataFrame, config: Config) -> DataFrame:
+    """n: how many records the settings' filters leave."""
+    return filters.apply_filters(recs, config.filters).agg(F.count("*").alias("n"))
 
 
 def table(spark: SparkSession, paths: list[str], fields: list[str] | None = None, config: Config | None = None, **options) -> DataFrame:

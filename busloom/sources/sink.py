@@ -128,14 +128,30 @@ class CsvFile:
 
 
 def write_all(f, parts: list[tuple[str | None, bytes]]) -> None:
+    """The header and all parts; what is copied is removed, so that no more than one part stands twice on the disk."""
     f.write((",".join(CSV_COLUMNS) + "\n").encode())
     for path, more in parts:
         if path is not None:
+            f.flush()
             with open(path, "rb") as g:
-                shutil.copyfileobj(g, f, 1 << 24)
+                _copy(g, f)
+            os.remove(path)
         f.write(more)
 
 
+def _copy(g, f) -> None:
+    """All of a file behind what is in f: by the kernel where both are files, else through memory."""
+    left = os.fstat(g.fileno()).st_size
+    try:
+        while left:
+            left -= (n := os.copy_file_range(g.fileno(), f.fileno(), left))
+            if not n:
+                break
+        f.seek(0, os.SEEK_END)
+    except (OSError, AttributeError):  # io.UnsupportedOperation is an OSError: a stream without a file
+        shutil.copyfileobj(g, f, 1 << 24)
+
+
 @dataclass
 class Parts:
     """The lines of a table in files of a folder, in the order of partitions: those without an error label, and those with one if asked for."""
@@ -193,7 +209,7 @@ def write_parts(rows: DataFrame, folder: str, split: bool = False, max_group: in
         if held is not None and held.num_rows:
             keys, bad = (held.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for free in (False, True):
-                order = np.array(runs.run(keys, free))
+                order = np.array(runs.run(keys, free, again=free))
                 text = held.column(3).take(pa.array(order))
                 for kind in range(1 + split):
                     ends[kind][free] = _joined(text.filter(pa.array(bad[order] == bool(kind))) if split else text)

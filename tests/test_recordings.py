@@ -10,7 +10,7 @@ from busloom import errors
 from busloom.config import Config
 from busloom.operators import blocks, collapse, decode, delta, dump, filters, merge, order, pairing
 from busloom.plans import recordings as plans
-from busloom.sources import inputs, recording
+from busloom.sources import inputs, recording, sink
 from busloom.sources.framing import Framer, Options, Records, follow
 from busloom.sources.recording import read_bytes, read_raw
 
@@ -372,7 +372,13 @@ def test_command_line(spark, tmp_path):
     assert cli.run(["decode", "--glob", str(tmp_path / "?.rec"), "-o", o, "--exclude-types", "rt_to_bc,0x20", "--delta-scope", "global", "--collapse-duplicates"], spark) == 0
     assert ",SPURIOUS," not in open(o).read() and len(open(o).read().split("\n")) > 10
     assert cli.run(["dump", a, "--records", "2"], out=out) == 0
-    assert cli.run(["decode", a], spark) == errors.USAGE
+    assert cli.run(["decode"], spark) == errors.USAGE
+    raw, piped = io.BytesIO(), io.BytesIO()
+    assert cli.run(["decode", a, "--no-mux"], spark, raw) == 0
+    assert cli.run(["decode", "-", "--no-mux", "--separate-errors", "--log-level", "ERROR"], spark, piped, io.BytesIO(open(a, "rb").read())) == 0
+    assert raw.getvalue() == piped.getvalue() and raw.getvalue().startswith(b"TIME_STAMP,")
+    hexed = io.StringIO()
+    assert cli.run(["dump", a, "--raw", "--length", "32", "--config", put(tmp_path, "c.toml", b"")], out=hexed) == 0 and len(hexed.getvalue().splitlines()) == 2
     assert cli.run(["decode", a, "-o", o, "--year", "0"], spark) == errors.CONFIG
     assert cli.run(["count", str(tmp_path / "none")], spark) == errors.RUNTIME
     assert cli.run(["count", put(tmp_path, "t", b"no recording " * 9)], spark) == errors.NO_RECORDS
@@ -420,3 +426,110 @@ def test_global_gaps(spark, monkeypatch, span):
             last[rt] = us
         df = delta.with_delta(merge.merged(_frame(spark, [files]).drop("case")), "global", merge.ORDER)
         assert {(x.file_index, x.seq): x.delta_us for x in df.collect()} == want
+
+
+def csv_of(spark, path, paths, config=None):
+    plans.decode_to_csv(spark, paths, path, config or Config())
+    return open(path).read().split("\n")[1:-1]
+
+
+@pytest.mark.parametrize("cap", [65_536, 2])
+def test_lines_come_in_canonical_order(spark, tmp_path, monkeypatch, cap):
+    """Whatever the pieces: the lines are those of the table in canonical order, also where a run ends a piece."""
+    monkeypatch.setattr(recording, "LEAST_PIECE", 900)
+    monkeypatch.setattr(recording, "MOST_PIECE", 900)
+    r = random.Random(cap)
+    files = []
+    for k in range(3):
+        us, out = 5_000_000, []
+        for _ in range(250):
+            us += r.choice([0, 0, 0, 40])
+            kind = r.choice(["receive", "transmit", "receive", "spurious"])
+            out.append(R.record(kind, R.irig(us), r.randrange(1, 9), r.randrange(1, 5), r.randrange(1, 6)))
+        files.append(put(tmp_path, f"t{k}.rec", b"".join(out) + R.END))
+    out = str(tmp_path / "o.csv")
+    for paths in (files[:1], files):
+        for f in (filters.Filters(), filters.Filters(exclude_rts=(1, 2, 3)), filters.Filters(exclude_types=(32,))):
+            c = Config(max_sort_group=cap, filters=f)
+            df, by = plans.analysis(spark, paths, c).ordered(cap)
+            want = [",".join(x) for x in sink.csv_rows(df.orderBy(*by)).collect()]
+            assert csv_of(spark, out, paths, c) == want
+            split = plans.decode_to_csv(spark, paths, out, c.over(error_mode="separate"))
+            bad = [w for w in want if ",SPURIOUS," in w]
+            assert open(out).read().split("\n")[1:-1] == [w for w in want if ",SPURIOUS," not in w]
+            assert (len(split.files) == 2) == bool(bad) and (not bad or open(split.files[1].path).read().split("\n")[1:-1] == bad)
+
+
+def test_lines_of_files_out_of_order(spark, tmp_path):
+    paths = [put(tmp_path, f"z{s}.rec", R.random_recording(300 + s, 200, 2)) for s in range(2)]
+    for own in (paths[:1], paths):
+        for f in (filters.Filters(), filters.Filters(exclude_buses=(1,))):
+            c = Config(input_time_format="irig", filters=f)
+            df, by = plans.analysis(spark, own, c).ordered(c.max_sort_group)
+            assert csv_of(spark, str(tmp_path / "o.csv"), own, c) == [",".join(x) for x in sink.csv_rows(df.orderBy(*by)).collect()]
+
+
+def test_an_input_is_never_overwritten(spark, tmp_path):
+    """By another spelling of its path, a link to it, or a name that the run may take later."""
+    raw = R.random_recording(1, 50)
+    a = put(tmp_path, "a.rec", raw)
+    os.symlink(a, tmp_path / "link.csv")
+    os.link(a, tmp_path / "hard.csv")
+    odd = put(tmp_path, "x.csv.partial", raw)
+    errs = put(tmp_path, "y_errors.csv", raw)
+    for inputs_, out in (([a], f"{tmp_path}/./a.rec"), ([a], str(tmp_path / "link.csv")), ([a], str(tmp_path / "hard.csv")), ([str(tmp_path / "link.csv")], a), ([odd], str(tmp_path / "x.csv"))):
+        with pytest.raises(errors.UsageError):
+            plans.decode_to_csv(spark, inputs_, out)
+    with pytest.raises(errors.UsageError):
+        plans.decode_to_csv(spark, [errs], str(tmp_path / "y.csv"), Config(error_mode="separate"))
+    assert all(open(p, "rb").read() == raw for p in (a, odd, errs))
+
+
+def test_counters_and_warnings(spark, tmp_path):
+    """What was left out, moved or doubtful is counted, and told once."""
+    good = [R.record("receive", R.irig(1000 * i), rt=1 + i % 3, n=3 + i % 5) for i in range(1, 9)]
+    odd = [R.record("receive", R.irig(20_000), rt=4, n=2, status=7 << 11), R.record("receive", R.irig(21_000), rt=5, n=4, transmit=1), R.record("receive", R.irig(22_000), rt=1, n=2, error=0x0999), R.record("receive", R.irig(500), rt=1, n=2)]
+    a = put(tmp_path, "a.rec", b"".join(good + odd) + R.END)
+    b = put(tmp_path, "b.rec", b"".join(good) + R.END)
+    c = Config(collapse_duplicates=True, filters=filters.Filters(exclude_rts=(3,)))
+    done = plans.decode_to_csv(spark, [a, b], str(tmp_path / "o.csv"), c)
+    told = done.counters
+    assert (told["rejected"], told["status_mismatch"], told["unknown_codes"], told["collapsed"]) == (1, 1, 1, 8)
+    assert told["filtered"] == 3 and told["kept"] == done.files[0].rows == 8 and told["backward_gaps"] == 1
+    assert any("back in time" in w for w in done.warnings) and any("skipped" in w for w in done.warnings)
+    ties = put(tmp_path, "t.rec", b"".join(R.record("receive", R.irig(1000), rt=9 - i, n=2) for i in range(5)) + R.END)
+    capped = plans.decode_to_csv(spark, [ties], str(tmp_path / "t.csv"), Config(max_sort_group=2))
+    assert capped.counters["capped_runs"] == 1
+    wrap = put(tmp_path, "w.rec", b"".join(R.record("receive", R.irig(1000, d), n=2 + d % 7) for d in (364, 365, 1, 2)) + R.END)
+    dated = plans.decode_to_csv(spark, [wrap], str(tmp_path / "w.csv"), Config(output_time_format="iso", year=2023))
+    assert dated.counters["wrapped_days"] and any("year" in w for w in dated.warnings)
+
+
+def test_the_cap_holds_for_files_in_order(spark):
+    """A cap on survivors is kept where it can bind, though files are in order of time."""
+    files = [[(t // 3, t % 5, 0) for t in range(40)], [(t // 3, t % 5, 0) for t in range(40)]]
+    df = merge.merged(_frame(spark, [files]).drop("case"))
+    rule = collapse.Survivors(6, 4)
+    keep = [(f, s) for f, s, us, rt, _ in _merge_model(files) if not rule.duplicate(us, f, str(rt))]
+    assert rule.dropped_early and collapse.cap_binds(df, 6, 4) and not collapse.cap_binds(df, 6, 4096)
+    got = collapse.marked(df, 6, 4, True)
+    assert sorted((x.file_index, x.seq) for x in got.filter("not collapsed").collect()) == sorted(keep)
+    assert got.filter("capped").count() == rule.dropped_early
+    assert collapse.collapse(df, 6, 4, True).count() != collapse.collapse(df, 6, 4096, True).count()
+
+
+def test_survivors_against_a_list():
+    """The rule with heaps and a table, against one that looks through all that is kept."""
+    for seed in range(40):
+        r = random.Random(seed)
+        window, cap = r.choice([0, 3, 10]), r.choice([None, 1, 3, 8])
+        rule, kept = collapse.Survivors(window, cap), []
+        for _ in range(200):
+            us, f, d = r.randrange(60), r.randrange(3), r.randrange(4)
+            kept = [k for k in kept if abs(us - k[0]) <= window]
+            want = any(k[2] == d and k[1] != f for k in kept)
+            if not want:
+                kept.append((us, f, d))
+                if cap is not None and len(kept) > cap:
+                    kept.pop(0)
+            assert rule.duplicate(us, f, d) == want
