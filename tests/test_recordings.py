@@ -507,7 +507,7 @@ def test_counters_and_warnings(spark, tmp_path):
 
 def test_the_cap_holds_for_files_in_order(spark):
     """A cap on survivors is kept where it can bind, though files are in order of time."""
-    files = [[(t // 3, t % 5, 0) for t in range(40)], [(t // 3, t % 5, 0) for t in range(40)]]
+    files = [[(t // 3, t % 7, 0) for t in range(40)], [(t // 3 + 5, t % 7, 0) for t in range(40)]]
     df = merge.merged(_frame(spark, [files]).drop("case"))
     rule = collapse.Survivors(6, 4)
     keep = [(f, s) for f, s, us, rt, _ in _merge_model(files) if not rule.duplicate(us, f, str(rt))]
