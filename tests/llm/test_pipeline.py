@@ -114,3 +114,25 @@ def test_nothing_is_left_in_the_shared_folder(spark, tmp_path):
 
 def test_one_query_for_each_operator():
     assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Functions are shipped whole: the driver alone has the package on its path."""
+    import os
+    import subprocess
+    import sys
+
+    root, sf = os.path.dirname(os.path.abspath(corpus_pipeline.__file__)), "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+import __spark_entry__ as e
+for q in ('op1_html_extraction', 'op2_benchmark_decontamination', 'op4_secret_scan', 'op5_toxicity', 'op6_simhash_dedup', 'op7_token_shards', 'op9_sharding', 'op10_nearest_neighbours'):
+    assert e.queries()[q](spark, {sf!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=600)
