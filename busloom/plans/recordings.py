@@ -146,14 +146,19 @@ class Analysis:
     by: tuple[str, ...]
     monotone: bool
     outcome: Outcome
+    arranged: bool = False  # whether rows stand in that order already, partition by partition
 
     def ordered(self, max_group: int) -> tuple[DataFrame, list]:
         """Records with the columns that give their canonical order, and these."""
         return order.order_rows(self.records, max_group, self.position, self.by, self.monotone), order.sort_columns(self.position)
 
 
-def analysis(spark: SparkSession, paths: list[str], config: Config | None = None) -> Analysis:
-    """Records of one or more files, filtered, and how the files ended."""
+def analysis(spark: SparkSession, paths: list[str], config: Config | None = None, arrange: bool = False) -> Analysis:
+    """Records of one or more files, filtered, and how the files ended.
+
+    arrange: put raw rows in the order of a merge, if nothing between there and the end needs them otherwise. They are narrower than
+    records, and all that makes records of them keeps the order.
+    """
     c = config or Config()
     if len(paths) > 1 and c.mux_value is not None:
         raise UsageError("a fixed mux value is for one input")
@@ -194,7 +199,11 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
                     raise BackwardStep(told)
                 outcome.warn(f"{paths[i]}: {f.back} step(s) back in time, the first at record {f.first_back}: the merge isn't in order of time there")
     outcome.left_out = [paths[i] for i in sorted(unusable)]
-    recs = records(raw_of(spark, found, unusable, c), c, outcome)
+    rows = raw_of(spark, found, unusable, c)
+    arrange = arrange and (len(paths) == 1 or monotone and not c.collapse_duplicates and c.delta_scope == "per-file")
+    if arrange and len(paths) > 1:
+        rows = rows.filter("kind = 'rec'").repartitionByRange("high").sortWithinPartitions("high", "file_index", "seq")
+    recs = records(rows, c, outcome)
     position: tuple[str, ...] = ("file_index", "seq")
     if len(paths) > 1:
         recs = merge_recordings(recs, c, outcome, monotone)
@@ -210,7 +219,7 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
     recs = outcome.watch(recs, kept=F.lit(1))
     if failed or outcome.left_out:
         outcome.exit_code = SYNC_LOSS if any(s["state"] == "UnrecoverableSyncLoss" for s in failed) or outcome.left_out else SUCCESS
-    return Analysis(recs, position, () if len(paths) > 1 else ("file_index",), monotone, outcome)
+    return Analysis(recs, position, () if len(paths) > 1 else ("file_index",), monotone, outcome, arrange)
 
 
 def raw_of(spark: SparkSession, found: list[Surveyed], without: list[int], config: Config) -> DataFrame:
@@ -220,7 +229,7 @@ def raw_of(spark: SparkSession, found: list[Surveyed], without: list[int], confi
 
 def _lines(spark: SparkSession, paths: list[str], c: Config, folder: str, split: bool) -> tuple[sink.Parts, Outcome]:
     """Write the lines of the table in parts."""
-    a = analysis(spark, paths, c)
+    a = analysis(spark, paths, c, arrange=True)
     sink.check_calendar(a.records, c.output_time_format, c.year)
     merged = len(paths) > 1
     if not a.monotone and (merged or c.filters.active):
@@ -228,7 +237,7 @@ def _lines(spark: SparkSession, paths: list[str], c: Config, folder: str, split:
         parts = sink.write_parts(rows.orderBy(*by), folder, split, 1)
     else:
         # rows of one time never come apart: not by the pieces of a file, nor by ranges of time
-        rows = a.records.repartitionByRange("merge_us").sortWithinPartitions(*merge.ORDER) if merged else a.records
+        rows = a.records if a.arranged else a.records.repartitionByRange("merge_us").sortWithinPartitions(*merge.ORDER)
         parts = sink.write_parts(rows, folder, split, c.max_sort_group)
     a.outcome.finish()
     if parts.capped and c.max_sort_group > 1:
