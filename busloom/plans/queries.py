@@ -389,9 +389,9 @@ def rate_per_rt(spark, sf_dir):
     return analytics.rates(bus.records(spark, sf_dir))
 
 
-@query(f"with {bus.SQL_D} select file_index, seq, time_us, {_DATA}[3] \"value\" from d where rt = 3 and subaddress = 5 and direction = 0 and n >= 3")
+@query(f"with {bus.SQL_D} select file_index, seq, time_us, {_DATA}[3] \"value\" from d where rt = 1 and subaddress = 3 and direction = 0 and n >= 3")
 def word_at(spark, sf_dir):
-    return analytics.word_series(bus.records(spark, sf_dir), 3, 5, 0, 2)
+    return analytics.word_series(bus.records(spark, sf_dir), 1, 3, 0, 2)
 
 
 @query(f"with {bus.SQL_D} select count(*) n_rows, cast(sum(rt) as bigint) rt_sum from d")

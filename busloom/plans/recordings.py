@@ -24,6 +24,9 @@ from ..sources import sink
 from ..sources.recording import Surveyed, read_pieces, read_raw, surveyed
 
 log = logging.getLogger("busloom")
+#: Words of a body that tell the commands of a record, and fields that need no more of it.
+HEAD_WORDS = 2
+HEAD_FIELDS = {"file_offset", "timestamp", "time_us", "ticks", "freerun", "day_of_year", "time_of_day_us", "datetime", "message_type", "message_format", "bus", "error", "rt", "subaddress", "direction", "msg_label", "command_word", "delta", "mux"}
 FINE = ("complete", "empty-recording", "partial-recovered", "truncated-tail")
 
 
@@ -153,11 +156,12 @@ class Analysis:
         return order.order_rows(self.records, max_group, self.position, self.by, self.monotone), order.sort_columns(self.position)
 
 
-def analysis(spark: SparkSession, paths: list[str], config: Config | None = None, arrange: bool = False) -> Analysis:
+def analysis(spark: SparkSession, paths: list[str], config: Config | None = None, arrange: bool = False, fields: list[str] | None = None) -> Analysis:
     """Records of one or more files, filtered, and how the files ended.
 
     arrange: put raw rows in the order of a merge, if nothing between there and the end needs them otherwise. They are narrower than
-    records, and all that makes records of them keeps the order.
+    records, and all that makes records of them keeps the order. fields: what is asked for of the records; where that needs no
+    words but the first, no others leave the source, and what they would tell isn't counted.
     """
     c = config or Config()
     if len(paths) > 1 and c.mux_value is not None:
@@ -199,11 +203,12 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
                     raise BackwardStep(told)
                 outcome.warn(f"{paths[i]}: {f.back} step(s) back in time, the first at record {f.first_back}: the merge isn't in order of time there")
     outcome.left_out = [paths[i] for i in sorted(unusable)]
-    rows = raw_of(spark, found, unusable, c)
+    head = fields is not None and set(fields) <= HEAD_FIELDS and not c.strict and not c.collapse_duplicates
+    rows = raw_of(spark, found, unusable, c, HEAD_WORDS if head else None)
     arrange = arrange and (len(paths) == 1 or monotone and not c.collapse_duplicates and c.delta_scope == "per-file")
     if arrange and len(paths) > 1:
         rows = rows.filter("kind = 'rec'").repartitionByRange("high").sortWithinPartitions("high", "file_index", "seq")
-    recs = records(rows, c, outcome)
+    recs = records(rows, c, None if head else outcome)
     position: tuple[str, ...] = ("file_index", "seq")
     if len(paths) > 1:
         recs = merge_recordings(recs, c, outcome, monotone)
@@ -222,9 +227,9 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
     return Analysis(recs, position, () if len(paths) > 1 else ("file_index",), monotone, outcome, arrange)
 
 
-def raw_of(spark: SparkSession, found: list[Surveyed], without: list[int], config: Config) -> DataFrame:
-    """Raw rows of the files that were surveyed, but for some."""
-    return read_pieces(spark, [p for i, f in enumerate(found) if i not in without for p in f.pieces], **_source_options(config))
+def raw_of(spark: SparkSession, found: list[Surveyed], without: list[int], config: Config, body_words: int | None = None) -> DataFrame:
+    """Raw rows of the files that were surveyed, but for some; of their bodies all words, or only the first few."""
+    return read_pieces(spark, [p for i, f in enumerate(found) if i not in without for p in f.pieces], **_source_options(config), body_words=body_words)
 
 
 def _lines(spark: SparkSession, paths: list[str], c: Config, folder: str, split: bool) -> tuple[sink.Parts, Outcome]:
@@ -287,7 +292,9 @@ def count(spark: SparkSession, path: str, config: Config | None = None) -> int:
     status = _statuses(found, [path])[0]
     if status["state"] not in FINE:
         raise from_status(status["state"], f"{path}: {status['detail']}")
-    return counted(records(raw_of(spark, found, [], c), c), c).first().n
+    if not c.strict and not c.filters.active:
+        return found[0].accepted
+    return counted(records(raw_of(spark, found, [], c, None if c.strict else HEAD_WORDS), c), c).first().n
 
 
 def counted(recs: DataFrame, config: Config) -> DataFrame:
@@ -297,7 +304,7 @@ def counted(recs: DataFrame, config: Config) -> DataFrame:
 
 def table(spark: SparkSession, paths: list[str], fields: list[str] | None = None, config: Config | None = None, **options) -> DataFrame:
     """Public fields of one or more recordings, in canonical order."""
-    df, by = analysis(spark, paths, config).ordered((config or Config()).max_sort_group)
+    df, by = analysis(spark, paths, config, fields=fields).ordered((config or Config()).max_sort_group)
     return columns(df.orderBy(*by), fields, **options)
 
 

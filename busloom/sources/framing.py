@@ -246,6 +246,7 @@ class Framer:
         self.block_bytes = max(block_bytes, 2 * (SCAN_BYTES + REACH))
         self.status = Status(ts_format=ts_format)
         self.start = start
+        self.why = ""  # of the last loss of sync
 
     def head(self) -> int | None:
         """The offset of the first record, with the time format resolved; None if there is none or the file is refused."""
@@ -373,6 +374,7 @@ class Framer:
                 s.state = "truncated-tail" if s.state == "complete" else s.state
                 s.warnings.append(f"{self.size - offset} trailing byte(s) at 0x{offset:X} hold no whole record")
                 return
+            self.why = REASONS[why]
             s.lost(f"sync lost at 0x{offset:X}: {REASONS[why]}")
             s.state = "partial-recovered"
             if hit is None:

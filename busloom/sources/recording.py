@@ -39,7 +39,7 @@ def _options(given: dict[str, str]) -> tuple[Options, dict]:
     return framing, mux
 
 
-def batches(framer: Framer, index: int, path: str, mux: str | None, seq: int = 0, carry: Carry | None = None, stop: int | None = None, status: str | None = "") -> Iterator[pa.RecordBatch]:
+def batches(framer: Framer, index: int, path: str, mux: str | None, seq: int = 0, carry: Carry | None = None, stop: int | None = None, status: str | None = "", body_words: int = 64) -> Iterator[pa.RecordBatch]:
     """Rows of one file, or of a piece up to the record at stop: records and markers in arrival order, then the status.
 
     status: what the status row tells, if not the framer's own; None for no such row.
@@ -61,7 +61,7 @@ def batches(framer: Framer, index: int, path: str, mux: str | None, seq: int = 0
         if not whole:
             item = item.upto(int(np.searchsorted(item.offsets, stop)))
         if len(item.offsets):
-            yield from _record_batches(item, framer.status.ts_format, index, path, mux, seq, carry, gap)
+            yield from _record_batches(item, framer.status.ts_format, index, path, mux, seq, carry, gap, body_words)
             seq, gap = seq + len(item.offsets), False
         if not whole:
             break
@@ -69,7 +69,7 @@ def batches(framer: Framer, index: int, path: str, mux: str | None, seq: int = 0
         yield marker("status", framer.status.stop_offset, status or json.dumps(vars(framer.status)))
 
 
-def _record_batches(item: Records, ts: str, index: int, path: str, mux: str | None, seq: int, carry: Carry, gap: bool) -> Iterator[pa.RecordBatch]:
+def _record_batches(item: Records, ts: str, index: int, path: str, mux: str | None, seq: int, carry: Carry, gap: bool, body_words: int) -> Iterator[pa.RecordBatch]:
     width = 3 if ts == "irig" else 2
     told = facts(item.counts, item.words, width, carry, gap)
     firsts = np.concatenate([[0], np.cumsum(item.counts)])
@@ -79,7 +79,7 @@ def _record_batches(item: Records, ts: str, index: int, path: str, mux: str | No
         hi = min(lo + BATCH, len(item.offsets))
         n, at = hi - lo, firsts[lo:hi]
         words = item.words
-        lengths = item.counts[lo:hi] - 1 - width
+        lengths = np.minimum(item.counts[lo:hi] - 1 - width, body_words)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         body = words[np.repeat(at + 1 + width - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32)
         same = lambda v, t: pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), pa.array([v], t)).cast(t) if v is not None else pa.nulls(n, t)
@@ -115,6 +115,7 @@ class _Reader(DataSourceReader):
     def __init__(self, given: dict[str, str]) -> None:
         self.given = given
         self.framing, self.mux = _options(given)
+        self.body_words = int(given.get("body_words", 64))  # the longest record has fewer
         if "pieces" in given:
             self.pieces = json.loads(given["pieces"])
             return
@@ -139,7 +140,7 @@ class _Reader(DataSourceReader):
                 yield from batches(Framer(fetch, 0), p["file_index"], p["path"], mux, status=p["status"])
             else:
                 framer = Framer(fetch, size, self.framing, min(BLOCK_BYTES, (p["stop"] or size) - p["start"]), p["start"], p["ts_format"])
-                yield from batches(framer, p["file_index"], p["path"], mux, p["seq"], Carry.unpacked(p["carry"]), p["stop"], p["status"])
+                yield from batches(framer, p["file_index"], p["path"], mux, p["seq"], Carry.unpacked(p["carry"]), p["stop"], p["status"], self.body_words)
 
 
 class _opened:
@@ -198,13 +199,16 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
             return {"start": -2, "status": told}
         framer = Framer(fetch, size, framing, min(BLOCK_BYTES, (border or size) - start), at, ts)
         carry, gap, width = Carry(), False, 3 if ts == "irig" else 2
-        out = {"start": at if sure or start == 0 else None, "stop": None, "records": 0, "resyncs": 0, "ts_format": ts, "back": 0, "first_back": None, "first": None}
-        seq = 0
+        out = {"start": at if sure or start == 0 else None, "stop": None, "records": 0, "resyncs": 0, "ts_format": ts, "back": 0, "first_back": None, "first": None, "accepted": 0}
+        seq = passed = 0
+        losses: list[str] = []
         for item in framer:
             if isinstance(item, Resync):
+                passed += 1
                 if out["start"] is not None:
                     out["resyncs"] += 1
                     seq += 1
+                    losses.append(f"sync lost at 0x{item.offset:X}: {item.reason}")
                 gap = True
                 continue
             lo, hi = 0, len(item.offsets)
@@ -230,6 +234,7 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
             carry, gap = before, False
             if f is not None and len(item.offsets):
                 good = np.flatnonzero(f.accepted)
+                out["accepted"] += len(good)
                 if out["first"] is None and len(good):
                     i = int(good[0])
                     up = int(item.words[int(item.counts[:i].sum()) + 1])
@@ -244,9 +249,15 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
                 break
         if out["start"] is None:
             return {"start": -2, "status": told}
-        status = vars(framer.status) | {"records": out["records"]}
-        if start == 0:
-            status["warnings"] = told["warnings"] + status["warnings"]
+        # what the framer met before the piece isn't of it; a loss from which it didn't recover has no marker
+        own = framer.status
+        last = own.sync_losses - passed if out["stop"] is None else 0
+        others = [w for w in own.warnings if not w.startswith("sync lost")]
+        losses += [f"sync lost at 0x{own.stop_offset:X}: {framer.why}"] * (last if own.state != "complete" and not framing.strict else 0)
+        state = own.state if own.state != "partial-recovered" or out["resyncs"] or last else "complete"
+        if own.state == "truncated-tail" and out["resyncs"]:
+            state = "partial-recovered"
+        status = vars(own) | {"records": out["records"], "sync_losses": out["resyncs"] + last, "warnings": (told["warnings"] if start == 0 else []) + losses[:MOST_TOLD] + others, "state": state}
         return out | {"status": status, "carry": carry.packed()}
 
 
@@ -259,6 +270,7 @@ class Surveyed:
     back: int = 0
     first_back: int | None = None
     first: dict | None = None
+    accepted: int = 0
 
 
 def _job(spark: SparkSession, tasks: list[dict], framing: Options) -> list[dict]:
@@ -316,6 +328,7 @@ def _stitched(spark: SparkSession, index: int, path: str, parts: list[tuple[dict
             out.first = out.first or first
         carry = carry.then(Carry.unpacked(got["carry"]))
         seq += got["records"] + got["resyncs"]
+        out.accepted += got["accepted"]
         out.status["records"] = out.status.get("records", 0) + got["records"]
         lost += s["sync_losses"]
         warnings += s["warnings"]

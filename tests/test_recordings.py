@@ -3,11 +3,13 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from busloom import errors
 from busloom.config import Config
+from busloom.schema import FIELDS as FIELDS_ALL
 from busloom.operators import blocks, collapse, decode, delta, dump, filters, merge, order, pairing
 from busloom.plans import recordings as plans
 from busloom.sources import inputs, recording, sink
@@ -533,3 +535,29 @@ def test_survivors_against_a_list():
                 if cap is not None and len(kept) > cap:
                     kept.pop(0)
             assert rule.duplicate(us, f, d) == want
+
+
+def test_few_words_leave_the_source(spark, tmp_path):
+    """Fields that need only the head of a record come out the same without the rest of its words."""
+    paths = [put(tmp_path, f"h{s}.rec", R.random_recording(900 + s, 150, 3 * s, start=10_000_000)) for s in range(2)]
+    fields = [f for f in FIELDS_ALL if f in plans.HEAD_FIELDS]
+    assert {"rt", "delta", "message_format"} <= set(fields) and "data_words" not in fields
+    for own in (paths[:1], paths):
+        c = Config(input_time_format="irig", filters=filters.Filters(exclude_rts=(1, 2, 3), exclude_types=(8,)))
+        few = plans.table(spark, own, fields, c).collect()
+        assert few == plans.table(spark, own, [*fields, "data_words"], c).select(*fields).collect()
+    whole = len(R.read_irig(open(paths[1], "rb").read()).rows)
+    c = Config(input_time_format="irig")
+    assert plans.count(spark, paths[1], c) == whole == plans.records(plans.raw(spark, [paths[1]], c), c).count()
+    out = Config(input_time_format="irig", filters=filters.Filters(exclude_rts=(1, 2, 3)))
+    assert plans.count(spark, paths[1], out) == plans.counted(plans.records(plans.raw(spark, [paths[1]], out), out), out).first().n < whole
+
+
+def test_a_stream_out_of_order_stops(spark, tmp_path):
+    from busloom.streaming.gaps import _observe
+
+    class State:
+        exists, get = True, (500, 7)
+
+    with pytest.raises(ValueError):
+        list(_observe((0, 1, 2, 0), iter([pd.DataFrame({"seq": [7, 9], "time_us": [600, 700]})]), State()))
