@@ -285,6 +285,17 @@ def decode_to_stream(spark: SparkSession, paths: list[str], out: BinaryIO, confi
         shutil.rmtree(folder, ignore_errors=True)
 
 
+def decode_to_folder(spark: SparkSession, paths: list[str], folder: str, config: Config | None = None) -> Outcome:
+    """The same as many files in a folder of any store that Spark writes, in parallel; sorted by name, they follow each other in order."""
+    c = config or Config()
+    a = analysis(spark, paths, c)
+    sink.check_calendar(a.records, c.output_time_format, c.year)
+    rows, by = a.ordered(c.max_sort_group)
+    sink.write_folder(rows, folder, by)
+    a.outcome.finish()
+    return a.outcome
+
+
 def count(spark: SparkSession, path: str, config: Config | None = None) -> int:
     """Records of one file that the settings' filters leave."""
     c = config or Config()

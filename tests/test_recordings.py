@@ -471,6 +471,15 @@ def test_lines_of_files_out_of_order(spark, tmp_path):
             assert csv_of(spark, str(tmp_path / "o.csv"), own, c) == [",".join(x) for x in sink.csv_rows(df.orderBy(*by)).collect()]
 
 
+def test_a_folder_of_files(spark, tmp_path):
+    paths = [put(tmp_path, f"g{s}.rec", R.random_recording(40 + s, 120, start=10_000_000)) for s in range(2)]
+    c = Config(input_time_format="irig")
+    done = plans.decode_to_folder(spark, paths, str(tmp_path / "many"), c)
+    parts = sorted(p for p in os.listdir(tmp_path / "many") if p.startswith("part-"))
+    lines = [x for p in parts for x in open(tmp_path / "many" / p).read().split("\n")[1:-1]]
+    assert lines == csv_of(spark, str(tmp_path / "o.csv"), paths, c) and done.counters["kept"] == len(lines)
+
+
 def test_an_input_is_never_overwritten(spark, tmp_path):
     """By another spelling of its path, a link to it, or a name that the run may take later."""
     raw = R.random_recording(1, 50)
