@@ -68,15 +68,24 @@ def _ipv4(s: str) -> bool:
 
 def parts_of(text: str, base: list[tuple[str, int, int]]) -> tuple[list, list, list]:
     """Weak parts of a text: identifiers, opaque strings and endpoints, without those that overlap a base span."""
-    low = text.lower()
-    ids = [m.span(1) for m in _IDENTIFIER.finditer(text)] if any(w in low for w in _ID_WORDS) and ("=" in text or ":" in text) else []
-    if "@" in text:
-        ids = _union(ids, [m.span() for m in _MAIL.finditer(text)])
-    opaque = [m.span() for m in _OPAQUE.finditer(text) if _opaque(m[0])]
-    ends = [m.span(1 if m[1] else 0) for m in _ENDPOINT.finditer(text)]
-    ends = _union(ends, [m.span() for m in _ADDRESS.finditer(text) if _ipv4(m[0])])
     taken = sorted((a, b) for _, a, b in base)
-    return tuple([(kind, *s) for s in _free(spans, taken)] for kind, spans in (("identifier", ids), ("opaque", opaque), ("endpoint", ends)))
+    return tuple([(kind, *s) for s in _free(find(text), taken)] for kind, find in (("identifier", _identifiers), ("opaque", _opaques), ("endpoint", _endpoints)))
+
+
+def _identifiers(text: str) -> list[tuple[int, int]]:
+    low = text.lower()
+    named = [m.span(1) for m in _IDENTIFIER.finditer(text)] if any(w in low for w in _ID_WORDS) and ("=" in text or ":" in text) else []
+    return _union(named, [m.span() for m in _MAIL.finditer(text)]) if "@" in text else named
+
+
+def _opaques(text: str) -> list[tuple[int, int]]:
+    if not any(len(w) >= 16 and not w.isalpha() for w in text.split()):
+        return []
+    return [m.span() for m in _OPAQUE.finditer(text) if _opaque(m[0])]
+
+
+def _endpoints(text: str) -> list[tuple[int, int]]:
+    return _union([m.span(1 if m[1] else 0) for m in _ENDPOINT.finditer(text)], [m.span() for m in _ADDRESS.finditer(text) if _ipv4(m[0])])
 
 
 def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -114,10 +123,10 @@ def joined(left: list, right: list, breaks: list[int], scope: int) -> list:
 
 def linked_spans(text: str, base: list[tuple[str, int, int]], scope: int = SCOPE) -> list[tuple[str, int, int]]:
     """Weak parts whose complementary parts stand in their scope."""
-    ids, opaque, ends = parts_of(text, base)
     strong = [s for s in base if s[0] in ("assign", "hex")]
-    if not ids and not ends and not (opaque and base):
+    if not strong and not _opaques(text):  # nothing that could be a secret, and so nothing that goes with one
         return []
+    ids, opaque, ends = parts_of(text, base)
     breaks = [m.start() for m in _BREAK.finditer(text)]
     named = ids + [s for s in base if s[0] == "access"]
     weak = joined(opaque, named, breaks, scope)
