@@ -37,7 +37,9 @@ _BIAS = -7.0
 THRESHOLD = 0.7
 #: Lengths of the word beginnings that are features, in code points; the word goes on after them.
 PREFIXES = range(3, 11)
-_SENTENCE = re.compile(r"[^.!?\n]+")
+_END = re.compile(r"[.!?\n]")
+#: Word bytes after lower-casing, line feeds for the ends of sentences, and spaces for the rest.
+_BYTES = bytes(10 if chr(i) in ".!?\n" else b for i, b in enumerate(WORD_BYTES))
 _CACHE = 200_000
 
 
@@ -50,9 +52,9 @@ def features(word: bytes) -> list[str]:
     return [f"={w}", *(w[:k] for k in PREFIXES if len(w) > k)]
 
 
-def slots(text: str) -> int:
-    """Sentences of a text, empty ones included."""
-    return 1 + sum(map(text.count, ".!?\n"))
+def plain(text: str) -> bytes:
+    """The words of a text, with a line feed between sentences."""
+    return text.encode("utf-8", "replace").translate(_BYTES)
 
 
 class Model:
@@ -62,12 +64,15 @@ class Model:
         self.bias, self.weights = bias, weights
         self.seen: set[bytes] = set()  # words met lately, and what tells of those that tell anything
         self.telling: dict[bytes, str] = {}
-        self.heads = {f.removeprefix("=")[:3] for f in weights}  # a word that starts otherwise tells nothing
+        self.starts = {f.removeprefix("=").encode()[:3] for f in weights}  # a word that starts otherwise tells nothing
 
     def feature(self, word: bytes) -> str | None:
         """The feature of a word with the best evidence; of equal ones the longest."""
-        got = [f for f in features(word) if f in self.weights]
-        return max(got, key=lambda f: (self.weights[f][0], len(f), f)) if got else None
+        weights, best = self.weights, None
+        for f in features(word):  # the whole word first, then beginnings from short to long
+            if f in weights and (best is None or weights[f][0] > weights[best][0] or weights[f][0] == weights[best][0] and (len(f), f) > (len(best), best)):
+                best = f
+        return best
 
     def _meet(self, words: set[bytes]) -> bool:
         """Whether any of the words tells something; new words are looked at once."""
@@ -76,30 +81,39 @@ class Model:
             self.seen.clear()
             self.telling.clear()
             new = words
-        heads = self.heads
-        for w in new:
-            if w.decode("utf-8", "replace")[:3] in heads and (got := self.feature(w)):
+        starts = self.starts
+        for w in [w for w in new if w[:3] in starts]:
+            if got := self.feature(w):
                 self.telling[w] = got
         self.seen |= new
         return not words.isdisjoint(self.telling)
 
+    def told(self, raw: bytes) -> tuple[int, list[tuple[int, set[str]]]]:
+        """How many sentences a text has, empty ones included, and the features of those that have any, by number."""
+        words = set(raw.split())
+        silent = 1 + raw.count(b"\n")
+        if not self._meet(words):
+            return silent, []
+        hits = words & self.telling.keys()
+        found = []
+        for i, part in enumerate(raw.split(b"\n")):
+            if not hits.isdisjoint(own := part.split()):
+                found.append((i, {self.telling[w] for w in hits.intersection(own)}))
+        return silent, found
+
     def score(self, text: str | None, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
         """P of a text, and its sentences with p of at least least: start, end (code points) and p."""
         text = text or ""
-        silent = slots(text)
-        log_none, found = 0.0, []
-        if self._meet(set(text.encode("utf-8", "replace").translate(WORD_BYTES).split())):
-            telling = self.telling
-            for m in _SENTENCE.finditer(text):
-                got = {telling[w] for w in m[0].encode("utf-8", "replace").translate(WORD_BYTES).split() if w in telling}
-                if got:
-                    z = self.bias + sum(self.weights[f][1] for f in sorted(got))
-                    log_none -= max(z, 0) + math.log1p(math.exp(-abs(z)))
-                    silent -= 1
-                    if (p := 1 / (1 + math.exp(-max(-500.0, z)))) >= least:
-                        found.append((m.start(), m.end(), p))
-        log_none -= silent * math.log1p(math.exp(self.bias))
-        return 1 - math.exp(log_none), found
+        slots, told = self.told(plain(text))
+        log_none, offending = 0.0, []
+        for i, got in told:
+            z = self.bias + sum(self.weights[f][1] for f in sorted(got))
+            log_none -= max(z, 0) + math.log1p(math.exp(-abs(z)))
+            if (p := 1 / (1 + math.exp(-max(-500.0, z)))) >= least:
+                offending.append((i, p))
+        log_none -= (slots - len(told)) * math.log1p(math.exp(self.bias))
+        ends = [-1, *(m.start() for m in _END.finditer(text)), len(text)] if offending else []
+        return 1 - math.exp(log_none), [(ends[i] + 1, ends[i + 1], p) for i, p in offending]
 
 
 def _lower(share: float, n: int, doubt: float) -> float:
@@ -138,25 +152,22 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 300, decay: float = DE
     rows = list({t or "": (t or "", int(y)) for t, y in sorted(rows, key=lambda r: (r[0] or "", r[1]))}.values())
     if not any(y for _, y in rows):
         return Model(math.log(0.01), {})
-    words = [set(t.encode("utf-8", "replace").translate(WORD_BYTES).split()) for t, _ in rows]
+    raws = [plain(t) for t, _ in rows]
+    words = [set(r.split()) for r in raws]
     found = evidence(rows, words, weights, gain, doubt)
-    plain = Model(_BIAS, {f: (e, 0.0) for f, e in found.items()})
+    reader = Model(_BIAS, {f: (e, 0.0) for f, e in found.items()})
     kept = {f: i for i, f in enumerate(found)}
     drawn = np.array([max(0.0, math.log(e / (1 - e)) - _BIAS) for e in found.values()])
     sent_doc, feat_sent, feat_id = [], [], []
     silent = np.zeros(len(rows))
     y = np.array([r[1] for r in rows], dtype=float)
-    for d, (text, _) in enumerate(rows):
-        left = slots(text)
-        if plain._meet(words[d]):
-            for m in _SENTENCE.finditer(text):
-                got = {kept[plain.telling[w]] for w in m[0].encode("utf-8", "replace").translate(WORD_BYTES).split() if w in plain.telling}
-                if got:
-                    feat_sent += [len(sent_doc)] * len(got)
-                    feat_id += sorted(got)
-                    sent_doc.append(d)
-                    left -= 1
-        silent[d] = left
+    for d, raw in enumerate(raws):
+        slots, told = reader.told(raw)
+        for _, got in told:
+            feat_sent += [len(sent_doc)] * len(got)
+            feat_id += sorted(kept[f] for f in got)
+            sent_doc.append(d)
+        silent[d] = slots - len(told)
     sent_doc, feat_sent, feat_id = (np.array(x, dtype=np.int64) for x in (sent_doc, feat_sent, feat_id))
     weight = np.where(y > 0, weights[1], weights[0])
     weight *= len(rows) / weight.sum()  # the decay is against as many rows as there are
