@@ -30,9 +30,11 @@ from .common import WORD_BYTES, checkpointed, map_texts, pieces, smallest
 
 MAX_PER_CLASS = 3000
 MAX_CLASS_BYTES = 64 << 20
-#: How much a feature must tell (twice its log-likelihood ratio), how many standard errors its share is doubted by, and how
+#: How much a feature must tell at least (twice its log-likelihood ratio), how many standard errors its share is doubted by, and how
 #: strongly a weight is held to its evidence.
 GAIN, DOUBT, DECAY = 15.0, 1.0, 0.1
+#: How many features may pass by chance, among all that are looked at: the more there are, the more each must tell.
+BY_CHANCE = 0.5
 _BIAS = -7.0
 THRESHOLD = 0.7
 #: Lengths of the word beginnings that are features, in code points; the word goes on after them.
@@ -123,27 +125,47 @@ def _lower(share: float, n: int, doubt: float) -> float:
 
 
 def evidence(rows: list[tuple[str, int]], words: list[set[bytes]], weights: tuple[float, float], gain: float, doubt: float) -> dict[str, float]:
-    """The lower bound of the share of toxic documents among those with a feature, for features that tell enough."""
+    """The lower bound of the share of toxic documents among those with a feature, for features that tell enough.
+
+    All features of a word are counted first; then each word counts for its best feature alone, until no feature leaves: a
+    beginning isn't to get its evidence from one word that tells by itself.
+    """
     n1 = sum(y for _, y in rows)
-    n0 = len(rows) - n1
-    df1: Counter[str] = Counter()
-    df0: Counter[str] = Counter()
+    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
     for own, (_, y) in zip(words, rows, strict=True):
         if y:
-            df1.update({f for w in own for f in features(w)})
-    df1 = Counter({f: a for f, a in df1.items() if a >= 3})
+            counts[1].update({f for w in own for f in features(w)})
+    some = {f for f, a in counts[1].items() if a >= 3}
     for own, (_, y) in zip(words, rows, strict=True):
         if not y:
-            df0.update({f for w in own for f in features(w) if f in df1})
-    rate = n1 * weights[1] / (n1 * weights[1] + n0 * weights[0])
+            counts[0].update({f for w in own for f in features(w) if f in some})
+    gain = max(gain, 2 * math.log(max(len(some), 1) / BY_CHANCE))
+    found = _judged(counts, n1, len(rows) - n1, weights, gain, doubt)
+    for _ in range(5):
+        reader = Model(_BIAS, {f: (e, 0.0) for f, e in found.items()})
+        counts = (Counter(), Counter())
+        for own, (_, y) in zip(words, rows, strict=True):
+            reader._meet(own)
+            counts[y].update({reader.telling[w] for w in own & reader.telling.keys()})
+        left = _judged(counts, n1, len(rows) - n1, weights, gain, doubt)
+        if left.keys() == found.keys():
+            return left
+        found = left
+    return found
+
+
+def _judged(counts: tuple[Counter[str], Counter[str]], n1: int, n0: int, weights: tuple[float, float], gain: float, doubt: float) -> dict[str, float]:
+    rate = n1 / (n1 + n0)
     found = {}
-    for f, a in sorted(df1.items()):
-        b = df0[f]
-        if a / n1 < 4 * b / max(n0, 1):
+    for f, a in sorted(counts[1].items()):
+        b = counts[0][f]
+        if a < 3 or a / n1 < 4 * b / max(n0, 1):
             continue
-        share = a * weights[1] / (a * weights[1] + b * weights[0])
+        # what a feature tells, and how sure that is, is a matter of the texts at hand; what they stand for only moves the odds
+        share = a / (a + b)
         if 2 * (a * math.log(share / rate) + (b * math.log((1 - share) / max(1 - rate, 1e-9)) if b else 0.0)) >= gain:
-            found[f] = _lower(share, a + b, doubt)
+            low = _lower(share, a + b, doubt)
+            found[f] = low * weights[1] / (low * weights[1] + (1 - low) * weights[0])
     return found
 
 

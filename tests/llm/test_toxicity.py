@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from busloom.llm import toxicity as X
@@ -47,6 +48,17 @@ def test_long_clean_text_keeps_its_score_as_labels_grow(spark):
     assert abs(sampled.bias - whole.bias) < 0.4 and abs(a - b) < 0.1, (sampled.bias, whole.bias, a, b)
 
 
+def test_a_sample_of_clean_texts_does_not_make_rare_words_toxic(spark):
+    """Rare words stand in sampled toxic texts and in clean ones beyond the sample; only the word that tells is learned."""
+    r = random.Random(4)
+    docs = [(i, " ".join([f"w{r.randrange(4000)}x" for _ in range(60)] + ["badword"] * (i % 10 == 0))) for i in range(6000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    got = X.score(d, X.train(d, lab, max_per_class=400)).filter("held_out").collect()
+    assert {r.predicted for r in got if r.doc_id % 10 == 0} == {1}
+    assert sum(r.predicted for r in got if r.doc_id % 10) <= 2
+
+
 def test_held_out_labels_have_no_say(spark):
     docs, labels = labelled(120)
     d = spark.createDataFrame(docs, "doc_id long, text string")
