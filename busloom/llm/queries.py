@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, mixing, pii, secrets, sharding, simhash, token_shards, toxicity
+from . import ann, clustering, decontaminate, html_extract, mixing, pii, secrets, sharding, simhash, token_shards, toxicity
 from .common import table
 
 
@@ -56,11 +56,34 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_benchmark_decontamination, op3_pii, op4_secret_scan, op5_toxicity, op6_simhash_dedup, op7_token_shards, op8_mixing, op9_sharding, op10_nearest_neighbours)
+    for f in (op1_html_extraction, op2_benchmark_decontamination, op3_pii, op4_secret_scan, op5_toxicity, op6_simhash_dedup, op7_token_shards, op8_mixing, op9_sharding, op10_nearest_neighbours, op12_centroid_clustering)
 }
 
+
+def _cluster_sql(rounds: int = clustering.ROUNDS) -> str:
+    """Rounds of assigning and averaging, written out one after the other."""
+    hashed = f"sha256('{clustering.SEED}:' || cast(vec_id as varchar)) nulls last, v"
+    ctes = [
+        f"v as materialized (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: cast(floor({clustering.SCALE} * cast(x as double)) as bigint)) v from embeddings where len(embedding) = {clustering.DIMS} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"c0 as materialized (select cast(row_number() over (order by {hashed}) - 1 as integer) c, v cv from v order by {hashed} limit {clustering.CLUSTERS})",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"a{i} as materialized (select rid, vec_id, v, c, d from (select rid, vec_id, v, c, d, row_number() over (partition by rid order by d, c) r from (select rid, vec_id, v, c, cast(list_sum(list_transform(list_zip(v, cv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) d from v, c{i})) where r = 1)")
+        if i < rounds:
+            ctes.append(f"s{i} as (select c, p, sum(x) s, count(*) n from (select c, unnest(v) x, unnest(range(1, len(v) + 1)) p from a{i}) group by c, p)")
+            ctes.append(f"m{i} as (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by p) cv from s{i} group by c)")
+            ctes.append(f"c{i + 1} as materialized (select o.c, coalesce(m.cv, o.cv) cv from c{i} o left join m{i} m using (c))")
+    last = rounds
+    return "with " + ",\n".join(ctes) + f"""
+select vec_id, c as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia, sha256(array_to_string(cv, ',')) centroid_sha256 from a{last} join c{last} using (c)"""
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "coalesce(regexp_extract_all(" + _LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
 
@@ -96,4 +119,5 @@ with e as (select row_number() over () rid, vec_id, cast(embedding as double[])
 p as (select a.rid q, a.vec_id query_id, b.rid, b.vec_id, list_dot_product(a.v, b.v) score from e a join e b on a.d = b.d where a.vec_id % 20 = 0 and a.rid <> b.rid),
 r as (select *, row_number() over (partition by q order by score desc, vec_id) rank from p)
 select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""",
+    "op12_centroid_clustering": _cluster_sql(),
 }
