@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,3 +186,99 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], sprea
         on = on & (F.col(g).eqNullSafe(F.col(f"__g{i}")) if nullable else F.col(g) == F.col(f"__g{i}"))
     out = cut.withColumn("__before", F.coalesce(F.sum("__amount").over(inner), F.lit(0))).join(starts, on)
     return out.withColumn("start", F.col("__base") + F.col("__before")).drop("__spread", "__amount", "__range", "__before", "__base", "__r", *(f"__g{i}" for i in range(len(group))))
+
+#: Bits of a Bloom filter, at most: 32 MB. A set that fills it lets more through, none fewer.
+BLOOM_BITS = 28
+#: Counters of an array that tasks sum up, in one piece.
+CHUNK = 1 << 16
+
+
+class Bloom:
+    """Which 64-bit hashes may be in a set. Two places a hash, from its upper and its middle bits."""
+
+    def __init__(self, words: np.ndarray, bits: int) -> None:
+        self.words, self.bits = words, bits
+
+    def __contains__(self, h: int) -> bool:
+        return bool(self.has(np.array([h], np.uint64))[0])
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        down = np.uint64(64 - self.bits)
+
+        def at(place: np.ndarray) -> np.ndarray:
+            return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+        return at(h >> down) & at((h << np.uint64(28)) >> down)
+
+
+def bloom(hashes: DataFrame, column: str, n: int) -> Bloom:
+    """A filter for n even 64-bit hashes (signed longs), of 16 bits for each and of BLOOM_BITS in all, at most. Its words are put together in tasks."""
+    bits = max(10, min(BLOOM_BITS, (16 * max(n, 1) - 1).bit_length()))
+    places = hashes.select(F.explode(F.expr(f"array(shiftrightunsigned(`{column}`, {64 - bits}), shiftrightunsigned(shiftleft(`{column}`, 28), {64 - bits}))")).alias("p"))
+    got = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return Bloom(words, bits)
+
+
+def counters(total: np.ndarray) -> pa.RecordBatch:
+    """Counters that a task has filled, as rows for tree_sum: only those above zero, where these are few."""
+    rows = []
+    for at in range(0, len(total), CHUNK):
+        own = total[at : at + CHUNK]
+        some = np.flatnonzero(own)
+        if len(some):
+            few = 10 * len(some) < 8 * len(own)
+            rows.append((at // CHUNK, some.astype(np.uint16).tobytes() if few else b"", (own[some] if few else own).astype(np.int64).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["chunk", "places", "counts"])
+
+
+COUNTERS = "chunk int, places binary, counts binary"
+
+
+def tree_sum(rows: DataFrame, size: int, lanes: int = 16) -> np.ndarray:
+    """The sum of the counters of all tasks (size of them, a bounded number): first within lanes, then over these."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, places, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                own = sums.setdefault(chunk, np.zeros(min(CHUNK, size - chunk * CHUNK), np.int64))
+                n = np.frombuffer(counts, np.int64)
+                if places:
+                    own[np.frombuffer(places, np.uint16)] += n
+                else:
+                    own += n
+        for chunk, own in sums.items():
+            full = counters(own)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), *full.columns[1:]], full.schema.names)
+
+    parts = min(-(-size // CHUNK) * lanes, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lane = rows.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
+    first = lane.repartition(parts, "chunk", "lane").drop("lane").mapInArrow(add, COUNTERS)
+    out = np.zeros(size, np.int64)
+    for r in first.repartition(min(parts, -(-size // CHUNK)), "chunk").mapInArrow(add, COUNTERS).toLocalIterator():
+        own = out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK]
+        n = np.frombuffer(bytes(r.counts), np.int64)
+        if r.places:
+            own[np.frombuffer(bytes(r.places), np.uint16)] += n
+        else:
+            own += n
+    return out
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word; each word of the list is hashed once."""
+    ids: dict[bytes, int] = {}
+    at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))[at]
+
+
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Even 64-bit hashes from what may be uneven."""
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(32))

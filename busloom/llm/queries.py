@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, clustering, decontaminate, html_extract, mixing, pii, secrets, sharding, simhash, token_shards, toxicity
+from . import ann, clustering, decontaminate, html_extract, jaccard, mixing, pii, secrets, sharding, simhash, token_shards, toxicity
 from .common import table
 
 
@@ -60,9 +60,13 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_benchmark_decontamination, op3_pii, op4_secret_scan, op5_toxicity, op6_simhash_dedup, op7_token_shards, op8_mixing, op9_sharding, op10_nearest_neighbours, op12_centroid_clustering)
+    for f in (op1_html_extraction, op2_benchmark_decontamination, op3_pii, op4_secret_scan, op5_toxicity, op6_simhash_dedup, op7_token_shards, op8_mixing, op9_sharding, op10_nearest_neighbours, op12_centroid_clustering, op13_ngram_jaccard_join)
 }
 
 
@@ -120,4 +124,13 @@ p as (select a.rid q, a.vec_id query_id, b.rid, b.vec_id, list_dot_product(a.v,
 r as (select *, row_number() over (partition by q order by score desc, vec_id) rank from p)
 select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""",
     "op12_centroid_clustering": _cluster_sql(),
+    "op13_ngram_jaccard_join": f"""
+with recursive d as materialized (select row_number() over () rid, doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+'), []) w from documents),
+sh as materialized (select distinct rid, array_to_string(list_slice(w, p, p + k - 1), ' ') g from (select rid, w, least(5, len(w)) k, unnest(range(1, len(w) - least(5, len(w)) + 2)) p from d where len(w) > 0)),
+z as materialized (select rid, count(*) n from sh group by rid),
+b as materialized (select a.rid x, c.rid y, count(*) same from sh a join sh c using (g) where a.rid <> c.rid group by all),
+l as materialized (select x, y from b join z za on za.rid = x join z zc on zc.rid = y where 100 * same >= 80 * (za.n + zc.n - same)),
+r as (select rid x, rid y from z union select r.x, l.y from r join l on l.x = r.y),
+c as (select x, min(doc_id) component from r join d on d.rid = r.y group by x)
+select doc_id, coalesce(n, 0) n_shingles, case when n is null then doc_id else component end component_id from d left join z using (rid) left join c on c.x = d.rid""",
 }
