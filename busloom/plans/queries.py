@@ -265,13 +265,23 @@ def collapse_counts(spark, sf_dir):
     return collapse.marked(_copies(spark, sf_dir)).groupBy("collapsed").agg(F.count("*").alias("n"))
 
 
-def _walk_sql(window: int, cap: int) -> str:
+#: Every seventh record half an hour early, and all of one file from some time on by three hours: clocks that step back.
+_BACK = """back0 as (select * exclude (time_us, merge_us), time_us - case when seq % 7 = 0 then 1800000000 else 0 end - case when file_index = 1 and seq % 1000 > 600 then 10800000000 else 0 end time_us from m),
+  back as (select *, max(time_us) over (partition by file_index order by seq) merge_us from back0)"""
+
+
+def _stepping(r: DataFrame) -> DataFrame:
+    early = F.when(F.col("seq") % 7 == 0, 1_800_000_000).otherwise(0) + F.when((F.col("file_index") == 1) & (F.col("seq") % 1000 > 600), 10_800_000_000).otherwise(0)
+    return merge.merged(r.drop("merge_us").withColumn("time_us", F.col("time_us") - early))
+
+
+def _walk_sql(window: int, cap: int, records: str = "m") -> str:
     """The sequential rule, a record at a time: kept ones leave beyond the window or the cap, and one of another file with the same words makes a duplicate."""
-    return f"""with recursive {bus.SQL_D}, {_MERGE}, o as materialized (select row_number() over (order by merge_us, file_index, seq) i, time_us t, file_index x, seq, coalesce(rt, -1) * 100000 + coalesce(error_word, 0) w from m where not follows),
+    return f"""with recursive {bus.SQL_D}, {_MERGE}, {_BACK}, o as materialized (select row_number() over (order by merge_us, file_index, seq) i, time_us t, file_index x, seq, coalesce(rt, -1) * 100000 + coalesce(error_word, 0) w from {records} where not follows),
   walk as (select cast(0 as bigint) i, cast([] as struct(t bigint, x integer, w integer)[]) kept, false dup
     union all select i, case when dup then near when len(near) >= {cap} then list_append(near, {{'t': t, 'x': x, 'w': w}})[2:] else list_append(near, {{'t': t, 'x': x, 'w': w}}) end, dup
     from (select o.i, t, x, w, near, len(list_filter(near, lambda k: k.w = o.w and k.x <> o.x)) > 0 dup from (select walk.i, list_filter(walk.kept, lambda k: abs(k.t - n.t) <= {window}) near from walk join o n on n.i = walk.i + 1) v join o on o.i = v.i + 1)),
-  h as (select m.*, coalesce(walk.dup, false) dup from m left join o on o.seq = m.seq left join walk on walk.i = o.i),
+  h as (select m.*, coalesce(walk.dup, false) dup from {records} m left join o on o.seq = m.seq left join walk on walk.i = o.i),
   z as (select *, case when follows then coalesce(lag(dup) over (partition by file_index order by seq), false) else dup end collapsed from h) select seq, file_index, merge_us from z where not collapsed"""
 
 
@@ -285,6 +295,16 @@ def collapse_capped(spark, sf_dir):
     return collapse.collapse(_copies(spark, sf_dir), window_us=86_400_000_000, cap=16).select("seq", "file_index", "merge_us")
 
 
+@query(_walk_sql(3_600_000_000, 1 << 40, "back"))
+def collapse_out_of_order(spark, sf_dir):
+    return collapse.collapse(_stepping(_copies(spark, sf_dir)), window_us=3_600_000_000, monotone=False).select("seq", "file_index", "merge_us")
+
+
+@query(_walk_sql(3_600_000_000, 6, "back"))
+def collapse_out_of_order_capped(spark, sf_dir):
+    return collapse.collapse(_stepping(_copies(spark, sf_dir)), window_us=3_600_000_000, cap=6, monotone=False).select("seq", "file_index", "merge_us")
+
+
 def _filter_sql(gone: str, parent_gone: str, own_type: str) -> str:
     return f"""with {bus.SQL_D}, t as (select *, lag(k = 'err' and coalesce({parent_gone}, false)) over (partition by file_index order by seq) behind from d)
       select seq from t where not case when follows then behind or {own_type} else coalesce({gone}, false) end"""
