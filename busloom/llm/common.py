@@ -239,6 +239,9 @@ COUNTERS = "chunk int, places binary, counts binary"
 def tree_sum(rows: DataFrame, size: int, lanes: int = 16) -> np.ndarray:
     """The sum of the counters of all tasks (size of them, a bounded number): first within lanes, then over these."""
 
+    if not size:
+        return np.zeros(0, np.int64)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:

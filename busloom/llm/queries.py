@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, clustering, decontaminate, html_extract, jaccard, mixing, pii, secrets, sharding, simhash, token_shards, toxicity
+from . import ann, clustering, decontaminate, html_extract, jaccard, mixing, phrases, pii, secrets, sharding, simhash, token_shards, toxicity
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +70,7 @@ def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_benchmark_decontamination, op3_pii, op4_secret_scan, op5_toxicity, op6_simhash_dedup, op7_token_shards, op8_mixing, op9_sharding, op10_nearest_neighbours, op12_centroid_clustering, op13_ngram_jaccard_join)
+    for f in (op1_html_extraction, op2_benchmark_decontamination, op3_pii, op4_secret_scan, op5_toxicity, op6_simhash_dedup, op7_token_shards, op8_mixing, op9_sharding, op10_nearest_neighbours, op11_phrase_collocation, op12_centroid_clustering, op13_ngram_jaccard_join)
 }
 
 
@@ -123,6 +127,18 @@ with e as (select row_number() over () rid, vec_id, cast(embedding as double[])
 p as (select a.rid q, a.vec_id query_id, b.rid, b.vec_id, list_dot_product(a.v, b.v) score from e a join e b on a.d = b.d where a.vec_id % 20 = 0 and a.rid <> b.rid),
 r as (select *, row_number() over (partition by q order by score desc, vec_id) rank from p)
 select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""",
+    "op11_phrase_collocation": f"""
+with w as materialized (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') w from (select coalesce(lang, 'und') lang, unnest(string_split_regex({_LOWER.format('text')}, '[.,;:!?\\x0A-\\x0D]')) piece from documents)),
+t as (select lang, cast(sum(len(w)) as bigint) n from w group by lang),
+g as materialized (select lang, k, p, count(*) a from (select lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') p from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, (values (1), (2), (3)) ks(k) where len(w) >= k)) group by lang, k, p having count(*) >= 10),
+c as (select lang, k, p, a, string_split(p, ' ') w from g where k > 1),
+x as (select lang, k, p, a, w, j, array_to_string(list_slice(w, 1, j), ' ') lp, array_to_string(list_slice(w, j + 1, k), ' ') rp from c, (values (1), (2)) js(j) where j < k),
+s as (select x.lang, x.k, x.p, x.a, j, gl.a l, gr.a r, (1000000::hugeint * x.a * x.a) // (gl.a::hugeint * gr.a) score from x join g gl on gl.lang = x.lang and gl.p = lp and gl.k = j join g gr on gr.lang = x.lang and gr.p = rp and gr.k = x.k - j),
+b as (select * from (select *, row_number() over (partition by lang, p order by score, j) q from s) where q = 1),
+o as (select lang, p, max(a) a from (select lang, a, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) p from c where k = 3) group by lang, p),
+f as (select b.* from b left join o on o.lang = b.lang and o.p = b.p where o.a is null or b.k = 3 or 100 * o.a < 50 * b.a),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, p) rank from f)
+select lang, cast(rank as integer) rank, p as phrase, a, l, r.r as r, n, cast(score as bigint) score from r join t using (lang) where rank <= 2000""",
     "op12_centroid_clustering": _cluster_sql(),
     "op13_ngram_jaccard_join": f"""
 with recursive d as materialized (select row_number() over () rid, doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+'), []) w from documents),
