@@ -228,14 +228,24 @@ def counters(total: np.ndarray) -> pa.RecordBatch:
         own = total[at : at + CHUNK]
         some = np.flatnonzero(own)
         if len(some):
-            few = 10 * len(some) < 8 * len(own)
-            rows.append((at // CHUNK, some.astype(np.uint16).tobytes() if few else b"", (own[some] if few else own).astype(np.int64).tobytes()))
+            kind = np.min_scalar_type(int(own.max()))  # as many bytes as the largest needs
+            few = (2 + kind.itemsize) * len(some) < kind.itemsize * len(own)
+            rows.append((at // CHUNK, some.astype(np.uint16).tobytes() if few else b"", (own[some] if few else own).astype(kind).tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["chunk", "places", "counts"])
 
 
 COUNTERS = "chunk int, places binary, counts binary"
 
 
+def _add(own: np.ndarray, places: bytes, counts: bytes) -> None:
+    at = np.frombuffer(places, np.uint16)
+    n = np.frombuffer(counts, f"u{len(counts) // (len(at) or len(own))}")
+    if len(at):
+        own[at] += n.astype(np.int64)
+    else:
+        own += n.astype(np.int64)
+
+
 def tree_sum(rows: DataFrame, size: int, lanes: int = 16) -> np.ndarray:
     """The sum of the counters of all tasks (size of them, a bounded number): first within lanes, then over these."""
 
@@ -247,11 +257,7 @@ def tree_sum(rows: DataFrame, size: int, lanes: int = 16) -> np.ndarray:
         for b in batches:
             for chunk, places, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 own = sums.setdefault(chunk, np.zeros(min(CHUNK, size - chunk * CHUNK), np.int64))
-                n = np.frombuffer(counts, np.int64)
-                if places:
-                    own[np.frombuffer(places, np.uint16)] += n
-                else:
-                    own += n
+                _add(own, places, counts)
         for chunk, own in sums.items():
             full = counters(own)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), *full.columns[1:]], full.schema.names)
@@ -261,12 +267,7 @@ def tree_sum(rows: DataFrame, size: int, lanes: int = 16) -> np.ndarray:
     first = lane.repartition(parts, "chunk", "lane").drop("lane").mapInArrow(add, COUNTERS)
     out = np.zeros(size, np.int64)
     for r in first.repartition(min(parts, -(-size // CHUNK)), "chunk").mapInArrow(add, COUNTERS).toLocalIterator():
-        own = out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK]
-        n = np.frombuffer(bytes(r.counts), np.int64)
-        if r.places:
-            own[np.frombuffer(bytes(r.places), np.uint16)] += n
-        else:
-            own += n
+        _add(out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK], bytes(r.places), bytes(r.counts))
     return out
 
 

@@ -11,7 +11,7 @@ one entry a shingle. Groups that meet at a shingle are candidates if sizes, and
 then their members are expanded and verified on whole sets.
 
 Where thousands of groups meet at one shingle, all pairs are not written. First each group is tried with the one group of its
-shingle that has the fewest rarer shingles before it (the text that near copies come from, which has none of its own), then, twice, with
+shingle that has the fewest rarer shingles before it (the text that near copies come from, which has none of its own), then with
 another: a row for each entry. What links by then is one component, and all other pairs of groups, those
 between components, are tried by a join: no pair that could join two components is left out. A class is shipped to a pivot for each of its
 pairs; a pivot with many of them comes to several tasks, so no task holds all that meet one text.
@@ -104,48 +104,67 @@ def prefixes(documents: DataFrame, text: str, keys: list[str], rare: np.ndarray,
     return map_texts(documents, keys, text, make, "n bigint, c binary, g bigint, prefix array<bigint>")
 
 
-def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (p, x) of nodes whose sets link. p is shipped to a task for each PAIRS of its pairs."""
+def _verify(documents: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (p, x) of nodes whose sets link. A set is made from its text and moves once for each of its pairs, straight to where they are
+    verified; p moves to a task for each PAIRS of its pairs."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lanes = pairs.groupBy("p").agg(F.expr(f"cast(ceil(count(*) / {PAIRS}) as int)").alias("lanes"))
-    many = written(lanes.filter("lanes > 1").select(F.col("p").alias("hot"), "lanes"))
-    dealt = pairs.join(many, F.col("p") == F.col("hot"), "left").select("p", "x", F.expr("cast(pmod(xxhash64(x), coalesce(lanes, 1)) as int)").alias("lane"))
-    own = sets.select(F.col("node").alias("p"), "tokens")
-    pivots = lanes.join(own, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(None).cast(pairs.schema["x"].dataType).alias("x"), "tokens")
-    members = dealt.join(sets.select(F.col("node").alias("x"), "tokens"), "x").select("p", "lane", "x", "tokens")
-    together = pivots.unionByName(members).repartition(parts, "p", "lane").sortWithinPartitions("p", "lane", F.col("x").asc_nulls_first())
+    lanes = written(pairs.groupBy("p").agg(F.expr(f"cast(ceil(count(*) / {PAIRS}) as int)").alias("lanes")))
+    many = lanes.filter("lanes > 1").select(F.col("p").alias("hot"), "lanes")
+    dealt = pairs.join(many, F.col("p") == F.col("hot"), "left").select(F.col("x").alias("node"), "p", F.expr("cast(pmod(xxhash64(x), coalesce(lanes, 1)) as int)").alias("lane"), F.lit(True).alias("member"))
+    own = lanes.select(F.col("p").alias("node"), "p", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(False).alias("member"))
+    ways = dealt.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("p", "lane", "member")).alias("ways"))
+    ways = written(ways.join(classes.select("node", "id1"), "node").select("id1", "node", "ways"))
+    texts = documents.select("__id1", F.col(f"`{text}`").alias("t")).join(ways, F.col("__id1") == F.col("id1")).select("id1", "t", "node", "ways")
+    kind = pairs.schema["p"].dataType.simpleString()
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows equal in id and text: one stands for all of a task
+        for b in pieces(batches, 128):
+            ids = b.column(0).to_pylist()
+            new = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
+            if not new:
+                continue
+            b = b.take(pa.array(new))
+            at = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            way = b.column(3).flatten()
+            tokens = pa.array([h.tobytes() for h in shingles(b.column(1).to_pylist(), width)], pa.binary()).take(pa.array(at))
+            x = b.column(2).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([way.field(0), way.field(1), way.field(2), x, tokens], ["p", "lane", "member", "x", "tokens"])
+
+    together = texts.mapInArrow(ship, f"p {kind}, lane int, member boolean, x {kind}, tokens binary").repartition(parts, "p", "lane").sortWithinPartitions("p", "lane", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = np.zeros(0, np.uint64)
         for b in batches:
             keep = []
-            for x, tokens in zip(b.column(2).is_valid().to_pylist(), b.column(3), strict=True):
+            for member, tokens in zip(b.column(2).to_pylist(), b.column(4), strict=True):
                 t = np.frombuffer(tokens.as_buffer(), np.uint64)
-                if not x:
+                if not member:
                     pivot = t
-                keep.append(x and linked(len(np.intersect1d(pivot, t, assume_unique=True)), len(pivot), len(t), percent))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["p", "x"]).filter(pa.array(keep, pa.bool_()))
+                keep.append(member and linked(len(np.intersect1d(pivot, t, assume_unique=True)), len(pivot), len(t), percent))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], ["p", "x"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = pairs.schema["p"].dataType.simpleString()
     return together.mapInArrow(run, f"p {kind}, x {kind}")
 
 
-def _sets(documents: DataFrame, text: str, keys: list[str], wanted: DataFrame, width: int) -> DataFrame:
-    """node and tokens of the wanted classes (node, c, id1), from the text of one document each."""
-    wanted = written(wanted)
-    shared = documents.sparkSession.sparkContext.broadcast((lambda f: (f.words, f.bits))(bloom(wanted, "id1", wanted.count())))
-    at = documents.select(F.col("__id1"), F.col(f"`{text}`").alias("t"))
+def _index(rows: DataFrame) -> DataFrame:
+    """token, g, n, pos of the groups' prefixes, for tokens that may stand in two rows. Those that stand in one never leave their task."""
+    tokens = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
+    tokens = written(tokens)
+    shared = rows.sparkSession.sparkContext.broadcast((lambda f: (f.words, f.bits))(bloom(tokens, "token", tokens.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = cached(shared, lambda x: Bloom(*x))
         for b in pieces(batches):
-            b = b.filter(pa.array(may.has(b.column(0).to_numpy().view(np.uint64))))
-            if b.num_rows:
-                own = [h.tobytes() for h in shingles(b.column(1).to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t) for t in own], pa.binary()), pa.array(own, pa.binary())], ["c", "tokens"])
+            token = b.column(2).flatten()
+            size = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(b.num_rows), size)
+            pos = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            some = np.flatnonzero(may.has(token.to_numpy(zero_copy_only=False).view(np.uint64)))
+            of = pa.array(at[some])
+            yield pa.RecordBatch.from_arrays([token.take(pa.array(some)), b.column(0).take(of), b.column(1).take(of), pa.array(pos[some], pa.int32())], ["token", "g", "n", "pos"])
 
-    found = at.mapInArrow(run, "c binary, tokens binary").join(wanted.select("c", "node"), "c").dropDuplicates(["c"])
-    return written(found.select("node", "tokens"))
+    return rows.select("g", "n", "prefix").mapInArrow(run, "token bigint, g bigint, n bigint, pos int").groupBy("token", "g", "n").agg(F.min("pos").alias("pos"))
 
 
 def _allowed(a: str, b: str, percent: int) -> str:
@@ -154,7 +173,7 @@ def _allowed(a: str, b: str, percent: int) -> str:
             f"{100 + percent} * (1 + least({a}n - {a}pos - 1, {b}n - {b}pos - 1)) >= {percent} * ({a}n + {b}n)")
 
 
-def components_of(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, tries: int = 3) -> DataFrame:
+def components_of(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, tries: int = 2) -> DataFrame:
     """key, n_shingles and component_id of each row; component_id is the smallest key of the rows that links reach."""
     picked = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__t"))
     picked = picked.withColumn("__id1", F.xxhash64("__key", F.lit(13), "__t"))
@@ -167,23 +186,18 @@ def components_of(documents: DataFrame, key: str = "doc_id", text: str = "text",
     groups = written(classes.groupBy("g", "n").agg(F.min("node").alias("rep"), F.count("*").alias("members")))
 
     # the index: entries of shingles at which two groups meet
-    entries = full.select("g", "n", "prefix").groupBy("g", "n").agg(F.first("prefix").alias("prefix")).selectExpr("g", "n", "posexplode(prefix) as (pos, token)")
-    entries = entries.withColumn("place", F.expr("shiftleft(cast(least(pos, 4095) as bigint), 51) | shiftrightunsigned(g, 13)"))
-    met = written(entries.groupBy("token").agg(F.count("*").alias("m"), F.min("place").alias("first")).filter("m > 1"))
+    entries = _index(full).withColumn("place", F.expr("shiftleft(cast(least(pos, 4095) as bigint), 51) | shiftrightunsigned(g, 13)"))
+    entries = written(entries)
+    met = written(entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"))
     total = met.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    hot = hot_keys(met, "token", "m", total)
-    index = written(spread_join(entries, met.drop("m"), "token", hot).select("token", "g", "n", "pos", "place", "first"))
-
-    groups_met = index.select("g", "n").distinct()
-    active = classes.join(groups_met, ["g", "n"], "left_semi").unionByName(classes.join(groups.filter("members > 1"), ["g", "n"], "left_semi")).select("node", "c", "id1").distinct()
-    sets = _sets(picked, "__t", ["__id1"], active, width)
+    index = written(spread_join(entries, met.select("token"), "token", hot_keys(met, "token", "m", total)).select("token", "g", "n", "pos", "place"))
 
     links: DataFrame | None = None
     label = classes.select("node", "g", "n", F.col("node").alias("root"))
 
     def grown(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """All links that are known with those of the pairs, and the component of each class."""
-        found = _verify(sets, written(pairs), percent).select(F.col("p").alias("a"), F.col("x").alias("b"))
+        found = _verify(picked, "__t", classes, written(pairs), width, percent).select(F.col("p").alias("a"), F.col("x").alias("b"))
         every = written(found if links is None else links.unionByName(found))
         roots = components(every).select(F.col("node").alias("__node"), "root")
         return every, written(classes.select("node", "g", "n").join(roots, F.col("node") == F.col("__node"), "left").select("node", "g", "n", F.coalesce("root", "node").alias("root")))
