@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +57,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-_MADE: list[str] = []
+#: The checkpoints and tables of the run that is on in this thread, if it keeps account of them.
+_RUN: ContextVar[list[str] | None] = ContextVar("busloom_run", default=None)
+
+
+@contextmanager
+def own_files(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints and tables made inside go at its end, or when it fails. Those of other runs stay, in whatever thread they are.
+
+    For a caller that has written all results that hang on them by then.
+    """
+    made: list[str] = []
+    before = _RUN.set(made)
+    try:
+        yield
+    finally:
+        _RUN.reset(before)
+        for path in reversed(made):
+            remove(spark, path)
+
+
+def _note(path: str) -> None:
+    if (made := _RUN.get()) is not None:
+        made.append(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -67,7 +91,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     file = out._jdf.logicalPlan().rdd().getCheckpointFile()
     if file.isDefined():
-        _MADE.append(file.get())
+        _note(file.get())
     return out
 
 
@@ -75,7 +99,7 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, without order, from a compressed table in the shared folder: for wide rows, of which a step needs few columns."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _MADE.append(path)
+    _note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -84,17 +108,6 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def made() -> int:
-    """How many checkpoints and tables there are so far."""
-    return len(_MADE)
-
-
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Remove the checkpoints and tables made since there were so many. Only for a caller that has written all results that hang on them."""
-    while len(_MADE) > since:
-        remove(spark, _MADE.pop())
-
-
 def hot_keys(counted: DataFrame, key: str, n: str, total: int, share: int = 1000) -> DataFrame:
     """key (as __hot) of the keys that hold over a share-th of total rows: fewer than share of them, whatever the table's size."""
     return counted.filter(F.col(n) > max(100, total // share)).select(F.col(key).alias("__hot"))

@@ -49,6 +49,9 @@ ALL, SOME, FEW, GIVEN, MOST = float("inf"), 40.0, 8.0, 10.0, 0.7
 #: Length of a menu's links, at most, in the mean.
 MENU_LINK = 25
 
+#: The points of a text run go up until they are less than this.
+LEAST_POINTS = 0.01
+
 
 class _Node:
     __slots__ = ("tag", "parent", "kids", "score", "size", "linked", "links", "commas", "points", "against", "drop")
@@ -258,7 +261,7 @@ def _score(nodes: list[_Node]) -> None:
                 node.commas += commas
                 up, share = (node.parent if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "blockquote") and node.parent is not None else node), 1.0
                 depth = 0
-                while up is not None and depth < 12:
+                while up is not None and abs(points) * share >= LEAST_POINTS:
                     up.score += points * share
                     share = 0.5 if depth == 0 else share * depth / (depth + 1.5)
                     depth += 1

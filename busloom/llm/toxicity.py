@@ -216,8 +216,10 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     picked = smallest(ids.filter("y = 1"), "k", max_per_class, n.get(1, 0)).unionAll(smallest(ids.filter("y = 0"), "k", max_per_class, n.get(0, 0)))
     texts = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k")  # 2 * max_per_class rows at most
     texts = texts.groupBy("k", "y").agg(F.min("t").alias("t"))
-    running = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")  # max_per_class rows at most
-    sample = texts.withColumn("bytes", F.sum(F.octet_length("t")).over(running)).filter(F.coalesce("bytes", F.lit(0)) <= max_class_bytes).collect()
+    # texts of over a sixteenth of the bytes come last, so that one of them takes no other's place
+    size = F.coalesce(F.octet_length("t"), F.lit(0))
+    running = Window.partitionBy("y").orderBy(size > max_class_bytes // 16, F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0)  # max_per_class rows at most
+    sample = texts.withColumn("bytes", F.sum(size).over(running)).filter(F.col("bytes") <= max_class_bytes).collect()
     stands = tuple(max(1.0, n.get(y, 0) / max(1, sum(r.y == y for r in sample))) for y in (0, 1))
     return fit([(r.t, r.y) for r in sample], weights=stands)
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from busloom.llm import decontaminate, mixing, sharding, simhash, toxicity
-from busloom.llm.common import made, release, remove, shared_dir, table
+from busloom.llm.common import own_files, remove, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,15 +60,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. What a stage has read, and its checkpoints, go as soon as its output is written."""
+    """The rows of the last stage. What a stage has read, and its checkpoints, go as soon as its output is written; all goes if a stage fails."""
     docs, last = table(spark, sf_dir, "documents"), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        before, path = made(), f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        release(spark, before)
-        if last:
-            remove(spark, last)
-        last = path
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{i}-{name}"
+            with own_files(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if last:
+                remove(spark, last)
+            last = path
+    except BaseException:
+        remove(spark, folder)
+        raise
     return docs

@@ -113,3 +113,10 @@ def test_table(spark):
     got = sorted(map(tuple, extract_main_text(pages).collect()), key=str)
     assert got == sorted([(1, "u", WANT, len(WANT))] * 2 + [(None, None, "", 0), (3, "v", "", 0)], key=str)
     assert extract_main_text(pages.limit(0)).collect() == []
+
+
+def test_points_reach_far_up():
+    """A text many wrappers deep still speaks for the container that holds them all."""
+    wrapped = "".join("<div>" * 30 + f"<p>Sentence {i}, which is long enough, says something of the matter at hand.</p>" + "</div>" * 30 for i in range(6))
+    page = f"<body><div><div><p>Short aside, one line only, that stands alone.</p></div></div><div>{wrapped}</div></body>"
+    assert extract(page).count("Sentence") == 6

@@ -112,8 +112,46 @@ def test_nothing_is_left_in_the_shared_folder(spark, tmp_path):
     assert n and all("4-sharding" in str(p) for p in files() - before)
 
 
+def test_a_run_removes_its_own_files_only(spark, tmp_path):
+    """Another query's checkpoints, made in between in another thread, stay; a failed run leaves nothing."""
+    import threading
+
+    import pytest
+    from busloom.llm.common import checkpointed, own_files, written
+
+    got = []
+    with own_files(spark):
+        mine = checkpointed(spark.range(10))
+        t = threading.Thread(target=lambda: got.extend([checkpointed(spark.range(7)), written(spark.range(5))]))
+        t.start()
+        t.join()
+        assert mine.count() == 10
+    assert [x.count() for x in got] == [7, 5]
+    with pytest.raises(Exception):  # noqa: B017
+        mine.count()
+
+    def fails(spark, docs, sf_dir):
+        checkpointed(docs).count()
+        raise RuntimeError("no")
+
+    from pathlib import Path
+
+    from busloom.llm.common import shared_dir
+
+    cases.documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    files = lambda: {p for p in Path(shared_dir(spark).removeprefix("file:")).rglob("part-*")}
+    before, stages = files(), corpus_pipeline.STAGES
+    corpus_pipeline.STAGES = [("all", lambda spark, docs, sf_dir: docs), ("fails", fails)]
+    try:
+        with pytest.raises(RuntimeError, match="no"):
+            corpus_pipeline.run(spark, str(tmp_path))
+    finally:
+        corpus_pipeline.STAGES = stages
+    assert files() == before
+
+
 def test_one_query_for_each_operator():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_workers_need_no_copy_of_the_package(tmp_path):

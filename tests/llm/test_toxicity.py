@@ -77,3 +77,13 @@ def test_awkward(spark):
     assert X.train(d, lab, max_class_bytes=10).weights == {}  # no text fits the sample's bytes
     assert X.score(cases.nothing(spark), model).count() == X.keep_clean(cases.nothing(spark), model).count() == 0
     assert X.keep_clean(d, model).columns == d.columns
+
+
+def test_one_long_text_takes_no_other_ones_place(spark):
+    """A labelled text over the byte bound is left out; the classifier is as without it."""
+    docs, labels = labelled()
+    long = [(i, "badword and plain words. " * 4000) for i in range(100_000, 100_012)]  # some of them first in the order
+    lab = spark.createDataFrame(labels + [(i, 1) for i, _ in long], "doc_id long, toxic int")
+    schema = "doc_id long, text string"
+    model = X.train(spark.createDataFrame(docs + long, schema), lab, max_class_bytes=90_000)
+    assert {f.strip("=") for f in model.weights} >= {"badword", "vilex"}
