@@ -32,8 +32,8 @@ from .common import COUNTERS, LOWER_BYTES, Bloom, bloom, cached, counters, mixed
 LEAST, LONGEST, TOP, COVER_PERCENT = 10, 3, 2000, 50
 #: Candidates that are counted by slots.
 SLOTS = 1 << 21
-#: Distinct hashes that a task holds before it sends their counts.
-HELD = 1 << 20
+#: Texts that a task reads together. Spark adds up the counts of a task before it shuffles them.
+ROWS = 128
 _CUT = b"\xff"  # in no UTF-8 text
 _TABLE = bytes(255 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c in b"\x09\x20" else c for c in LOWER_BYTES)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -148,18 +148,9 @@ def _level(texts: DataFrame, k: int, below: Bloom | None, least: int, seed: int)
     shared = texts.sparkSession.sparkContext.broadcast((below.words, below.bits)) if below is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         totals: dict[str, int] = {}
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return key, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
-
-        def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["l", "key", "n"])
-
-        new = 0
-        for b in pieces(batches):
+        for b in pieces(batches, ROWS):
             read = Read(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
             at = read.starts(k)
             if shared is not None:
@@ -168,16 +159,8 @@ def _level(texts: DataFrame, k: int, below: Bloom | None, least: int, seed: int)
             else:
                 for x, n in read.totals().items():
                     totals[x] = totals.get(x, 0) + n
-            held.append(np.unique(read.keys(at, k), return_counts=True))
-            new += len(held[-1][0])
-            if new >= HELD:
-                held = [merged()]
-                new = 0
-                if len(held[0][0]) >= HELD:
-                    yield rows(*held[0])
-                    held = []
-        if held:
-            yield rows(*merged())
+            key, n = np.unique(read.keys(at, k), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["l", "key", "n"])
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["l", "key", "n"])
 
@@ -198,7 +181,7 @@ def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, Da
             return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string())))], names)
 
         names = ["chunk", "places", "counts", "slot", "l", "phrase"]
-        for b in pieces(batches):
+        for b in pieces(batches, ROWS):
             read = Read(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
             found: list[tuple[int, str, str]] = []
             before: tuple[np.ndarray, np.ndarray] | None = None
@@ -209,7 +192,8 @@ def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, Da
                 slot = slots.of(read.keys(at, k))
                 before = at, slot
                 at, slot = at[slot >= 0], slot[slot >= 0]
-                total += np.bincount(slot, minlength=size)
+                some, local = np.unique(slot, return_inverse=True)  # a bincount over the slots that occur
+                total[some] += np.bincount(local, minlength=len(some))
                 told = read.keys(at, k, _STEP + np.uint64(2)) | np.uint64(1)
                 new = second[slot] == 0
                 one, first = np.unique(slot[new], return_index=True)
@@ -270,7 +254,7 @@ def _by_shuffle(texts: DataFrame, wanted: Bloom, least: int, seed: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = cached(shared, lambda x: Bloom(*x))
-        for b in pieces(batches):
+        for b in pieces(batches, ROWS):
             read = Read(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
             counts: dict[tuple[str, str, int], int] = {}
             for k in range(1, LONGEST + 1):
