@@ -13,14 +13,24 @@ from pyspark.sql import functions as F
 from ..errors import BackwardStep, MergeIncompatible
 
 ORDER = ("merge_us", "file_index", "seq")
+#: Records of a file over which one task keeps the highest time.
+SPAN = 1 << 18
 
 
 def merged(df: DataFrame) -> DataFrame:
-    """df with merge_us; (merge_us, file_index, seq) is the order of the merge. The source may have told it."""
+    """df with merge_us; (merge_us, file_index, seq) is the order of the merge. The source may have told it.
+
+    Files are cut by SPAN records: the highest time inside a span is a window, that before it comes from one row for each span.
+    """
     if "merge_us" in df.columns:
         return df
-    w = Window.partitionBy("file_index").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("merge_us", F.max("time_us").over(w))
+    cut = df.withColumn("__span", F.floor(F.col("seq") / SPAN))
+    spans = cut.groupBy("file_index", "__span").agg(F.max("time_us").alias("__most"))
+    before = F.max("__most").over(Window.partitionBy("file_index").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select(F.col("file_index").alias("__f"), F.col("__span").alias("__s"), before.alias("__before"))
+    inside = F.max("time_us").over(Window.partitionBy("file_index", "__span").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    both = cut.withColumn("__inside", inside).join(spans, (F.col("file_index") == F.col("__f")) & (F.col("__span") == F.col("__s")))
+    return both.withColumn("merge_us", F.greatest("__inside", "__before")).drop("__span", "__inside", "__f", "__s", "__before")
 
 
 def in_merge_order(df: DataFrame) -> DataFrame:

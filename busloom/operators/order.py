@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import fixed
+
 MAX_GROUP = 65_536
 #: Microseconds (or ticks) of a bucket of times.
 BUCKET = 1_000_000
@@ -20,7 +22,8 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
     a full segment stays in arrival order, and max_group=1 turns sorting off.
 
     With monotone=True (time never steps back along position) rows are cut into buckets of time, and a run is a time. All windows are
-    inside a bucket; what opens the next one comes from one row for each bucket. Else runs are counted by a window over all rows (by by, if given).
+    inside a bucket; what opens the next one comes from one row for each bucket. Else rows are cut into ranges of their order, and runs are counted by
+    a scan over these: inside each range first, then from a row for each range.
     """
     if not 1 <= max_group <= 1 << 20:
         raise ValueError("max_group: 1 to 1048576")
@@ -45,18 +48,14 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
         same = Window.partitionBy(*run).orderBy(*position).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # as below: one sort for both
         d = d.withColumns({"__next_free": F.max(ends).over(same), "order_run": F.min(where).over(same)})
     else:
-        along = Window.partitionBy(*by).orderBy(*position) if by else Window.partitionBy(F.lit(0)).orderBy(*position)
-        new = F.coalesce(~F.col("__ts").eqNullSafe(F.lag("__ts").over(along)), F.lit(True)) | (F.lag(F.lit(1)).over(along).isNull())
-        d = d.withColumn("__new", new.cast("long")).withColumn("order_run", F.sum("__new").over(along))
-        d = d.withColumn("__n", F.lead(F.struct(F.col("__k").isNull().alias("free"), F.col("order_run").alias("run"))).over(along))
+        d = _scanned(d, position, by)
         run = [*by, "order_run"]
-        ends = F.coalesce(F.col("__n.free") & (F.col("__n.run") != F.col("order_run")), F.lit(False))
-        d = d.withColumn("__next_free", F.max(ends).over(Window.partitionBy(*run)))
+        d = d.withColumn("__next_free", F.max("__ends").over(Window.partitionBy(*run)))
     # two windows: the place in the run, which gives segments by arithmetic, and what a segment holds up to a row and in all
     inside = Window.partitionBy(*run).orderBy(*position)
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumns({"__at": F.row_number().over(inside) - 1, "__run_size": F.count("*").over(whole)})
-    d = d.withColumns({"order_segment": F.floor(F.col("__at") / max_group), "__last_seg": F.floor((F.col("__run_size") - 1) / max_group)})
+    d = d.withColumns({"__nth": F.row_number().over(inside) - 1, "__run_size": F.count("*").over(whole)})
+    d = d.withColumns({"order_segment": F.floor(F.col("__nth") / max_group), "__last_seg": F.floor((F.col("__run_size") - 1) / max_group)})
     d = d.withColumn("__size", F.least(F.lit(max_group).cast("long"), F.col("__run_size") - F.col("order_segment") * max_group))
     seg = Window.partitionBy(*run, "order_segment").orderBy(*position)
     so_far, in_all = seg.rowsBetween(Window.unboundedPreceding, 0), seg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -70,6 +69,43 @@ def order_rows(df: DataFrame, max_group: int = MAX_GROUP, position: tuple[str, .
     return d.drop(*(c for c in d.columns if c.startswith("__")))
 
 
+def _scanned(d: DataFrame, position: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """d with order_run, counted over all rows, and __ends: whether a row ends a run before a row without a key at another time.
+
+    Ranges of rows are written once, so that all passes see the same ones. Each tells its first and last time, how its first row is
+    and how many runs it opens; from these rows the driver gives each range the number of runs before it, less one where its
+    first run is the one that was open, and how the row behind it is.
+    """
+    spark = d.sparkSession
+    where = [*by, *position]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = d.withColumn("__at", F.struct(*(F.col(c) for c in by), F.col("__ts"))).withColumn("__free", F.col("__k").isNull())
+    d = fixed(d.repartitionByRange(parts, *where).sortWithinPartitions(*where).withColumn("__range", F.spark_partition_id()))
+    along = Window.partitionBy("__range").orderBy(*where)
+    before = F.lag("__at").over(along)
+    d = d.withColumn("__new", (before.isNotNull() & ~F.col("__at").eqNullSafe(before)).cast("long"))
+    d = d.withColumns({"__opened": F.sum("__new").over(along), "__behind": F.lead(F.struct("__at", "__free")).over(along)})
+    place = F.struct(*where)
+    told = d.groupBy("__range").agg(F.min_by("__at", place).alias("first"), F.min_by("__free", place).alias("free"), F.max_by("__at", place).alias("last"), F.max("__opened").alias("opened"))
+    ranges = sorted(told.collect(), key=lambda r: r["__range"])  # a row for each partition
+    carried, number = [], 0
+    for i, r in enumerate(ranges):
+        number += not (i and ranges[i - 1].last == r.first)
+        after = ranges[i + 1] if i + 1 < len(ranges) else None
+        free = after is not None and after.free and after.first != r.last and all(after.first[c] == r.last[c] for c in by)
+        carried.append((r["__range"], number, bool(free)))
+        number += r.opened
+    if not carried:
+        return d.withColumns({"order_run": F.lit(0).cast("long"), "__ends": F.lit(False)})
+    scan = F.broadcast(spark.createDataFrame(carried, "__r int, __runs long, __after boolean"))
+    d = d.join(scan, F.col("__range") == F.col("__r"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"__behind.__at.{c}").eqNullSafe(F.col(c))
+    inside = F.col("__behind.__free") & ~F.col("__behind.__at").eqNullSafe(F.col("__at")) & same
+    return d.withColumns({"order_run": F.col("__runs") + F.col("__opened"), "__ends": F.when(F.col("__behind").isNull(), F.col("__after")).otherwise(inside)})
+
+
 def sort_columns(position: tuple[str, ...] = ("seq",)) -> list:
     return [F.col("order_run"), F.col("order_segment"), F.col("order_key").asc_nulls_first(), F.col("order_chunk"), *(F.col(p) for p in position)]
 

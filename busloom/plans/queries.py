@@ -327,15 +327,22 @@ def filter_follow_parent(spark, sf_dir):
     return filters.apply_filters(bus.records(spark, sf_dir), f).select("seq")
 
 
-def _order_sql(cap: int) -> str:
-    return f"""with {bus.SQL_D}, a as (select seq i, time_us ts, rt * 64 + subaddress * 2 + direction k from (select * from d)),
+#: A record and its time, which is its run where times never come back.
+_BY_TIME = "a as (select seq i, time_us ts, rt * 64 + subaddress * 2 + direction k from d)"
+#: The same where clocks step back: a run ends where the time changes.
+_BY_RUN = """a0 as (select seq i, time_us - case when seq % 7 = 0 then 1800000000 else 0 end - case when file_index = 1 and seq % 1000 > 600 then 10800000000 else 0 end t, rt * 64 + subaddress * 2 + direction k from d),
+  a1 as (select *, case when t is distinct from lag(t) over (order by i) then 1 else 0 end new from a0), a as (select i, k, cast(sum(new) over (order by i) as bigint) ts from a1)"""
+
+
+def _order_sql(cap: int, records: str = _BY_TIME, out: str = "") -> str:
+    return f"""with {bus.SQL_D}, {records},
   f0 as (select ts, arg_min(k is null, i) fnull, min(i) fi from a group by ts), nx as (select ts, fi, coalesce(lead(fnull) over (order by fi), false) nextnull from f0),
   b1 as (select a.*, nx.fi, nx.nextnull, (row_number() over (partition by a.ts order by i) - 1) // {cap} seg from a join nx on a.ts = nx.ts),
   c1 as (select *, count(*) over (partition by ts, seg) n, sum(case when k is null then 0 else 1 end) over (partition by ts, seg order by i) chunk, max(seg) over (partition by ts) lastseg from b1),
   d1 as (select *, case when chunk > 0 then first_value(k) over (partition by ts, seg, chunk order by i) end ak, max(chunk) over (partition by ts, seg) lastc from c1),
   e1 as (select *, max(ak) over (partition by ts, seg) mk, max(case when chunk = lastc then ak end) over (partition by ts, seg) lk from d1),
   g1 as (select *, (n = {cap} or (nextnull and seg = lastseg and coalesce(mk, -1) <> coalesce(lk, -1))) arrival from e1)
-  select i seq, row_number() over (partition by ts order by seg, (case when arrival then null else ak end) nulls first, (case when arrival then 0 else chunk end), i) place from g1"""
+  select i seq, {out} row_number() over (partition by ts order by seg, (case when arrival then null else ak end) nulls first, (case when arrival then 0 else chunk end), i) place from g1"""
 
 
 def _ordered(spark, sf_dir, cap: int, monotone: bool = True) -> DataFrame:
@@ -356,6 +363,23 @@ def order_capped(spark, sf_dir):
     return _ordered(spark, sf_dir, 3)
 
 
+def _in_runs(spark, sf_dir, cap: int) -> DataFrame:
+    r = _stepping(bus.records(spark, sf_dir)).drop("merge_us")
+    o = order.order_rows(r, cap, ("seq",), (), monotone=False)
+    place = F.row_number().over(Window.partitionBy("order_run").orderBy(*order.sort_columns()[1:]))
+    return o.select("seq", F.col("order_run").alias("run"), place.cast("long").alias("place"))
+
+
+@query(_order_sql(65536, _BY_RUN, "ts run,"))
+def order_out_of_order(spark, sf_dir):
+    return _in_runs(spark, sf_dir, 65536)
+
+
+@query(_order_sql(2, _BY_RUN, "ts run,"))
+def order_out_of_order_capped(spark, sf_dir):
+    return _in_runs(spark, sf_dir, 2)
+
+
 @query(_order_sql(1))
 def order_off(spark, sf_dir):
     return _ordered(spark, sf_dir, 1)
