@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -197,7 +197,9 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
         at = first if start == 0 else start if sure else head.resume(max(first, start - RUN_UP), DEPTH)
         if at is None:
             return {"start": -2, "status": told}
-        framer = Framer(fetch, size, framing, min(BLOCK_BYTES, (border or size) - start), at, ts)
+        # a wrong guess soon meets what isn't a record: there strict reading would tell nothing of where the piece stops
+        lenient = framing.strict and start > 0 and not sure
+        framer = Framer(fetch, size, replace(framing, strict=False) if lenient else framing, min(BLOCK_BYTES, (border or size) - start), at, ts)
         carry, gap, width = Carry(), False, 3 if ts == "irig" else 2
         out = {"start": at if sure or start == 0 else None, "stop": None, "records": 0, "resyncs": 0, "ts_format": ts, "back": 0, "first_back": None, "first": None, "accepted": 0}
         seq = passed = 0
@@ -258,7 +260,7 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
         if own.state == "truncated-tail" and out["resyncs"]:
             state = "partial-recovered"
         status = vars(own) | {"records": out["records"], "sync_losses": out["resyncs"] + last, "warnings": (told["warnings"] if start == 0 else []) + losses[:MOST_TOLD] + others, "state": state}
-        return out | {"status": status, "carry": carry.packed()}
+        return out | {"status": status, "carry": carry.packed(), "again": lenient and state != "complete"}
 
 
 @dataclass
@@ -295,24 +297,49 @@ def survey_files(spark: SparkSession, paths: list[str], framing: Options, piece:
     piece += piece % 2
     tasks = []
     for i, (p, size) in enumerate(zip(paths, sizes, strict=True)):
-        borders = list(range(0, max(size, 1), piece)) if not framing.strict else [0]
+        borders = list(range(0, max(size, 1), piece))
         tasks += [{"file": i, "path": p, "start": a, "border": b, "sure": a == 0} for a, b in zip(borders, [*borders[1:], None], strict=True)]
     found = _job(spark, tasks, framing)
     by_file: list[list] = [[] for _ in paths]
     for t, f in zip(tasks, found, strict=True):
         by_file[t["file"]].append((t, f))
-    return [_stitched(spark, i, p, by_file[i], framing) for i, p in enumerate(paths)]
+    _agree(spark, by_file, framing)
+    return [_stitched(i, p, by_file[i]) for i, p in enumerate(paths)]
 
 
-def _stitched(spark: SparkSession, index: int, path: str, parts: list[tuple[dict, dict]], framing: Options) -> Surveyed:
+def _agree(spark: SparkSession, files: list[list[tuple[dict, dict]]], framing: Options) -> None:
+    """Read pieces again, all that are wrong in one job, until each starts where the one before it stops.
+
+    A piece that was read from a wrong guess mostly stops where it would from the right start, as chains meet after a few records.
+    So where each piece before stops is taken as true for all pieces at once, and what was wrong everywhere is right after one more job. A piece whose
+    stop changes makes the next one wrong, for the next job; the first wrong one is right for good each time, so this ends.
+    """
+    while True:
+        wrong: list[tuple[list, int, int]] = []
+        for parts in files:
+            here = 0
+            for k, (task, got) in enumerate(parts):
+                if k and here >= (task["border"] or here + 1):
+                    continue  # the piece before reaches beyond this one
+                if k and (got["start"] != here or got.get("again")):
+                    wrong.append((parts, k, here))
+                if got["start"] < 0 or got["stop"] is None:
+                    break
+                here = got["stop"]
+        if not wrong:
+            return
+        tasks = [parts[k][0] | {"start": here, "sure": True} for parts, k, here in wrong]
+        for (parts, k, _), task, got in zip(wrong, tasks, _job(spark, tasks, framing), strict=True):
+            parts[k] = task, got
+
+
+def _stitched(index: int, path: str, parts: list[tuple[dict, dict]]) -> Surveyed:
     """Lead the true chain through the pieces of a file."""
     out = Surveyed([], {})
     carry, seq, here, lost, warnings, state = Carry(), 0, 0, 0, [], "complete"
     for k, (task, got) in enumerate(parts):
         if k and here >= (task["border"] or here + 1):
             continue  # the piece before reaches beyond this one
-        if k and got["start"] != here:
-            got = _job(spark, [task | {"start": here, "sure": True}], framing)[0]
         s = got["status"]
         if got["start"] < 0:
             out.status = s

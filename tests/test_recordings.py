@@ -63,18 +63,17 @@ def test_against_model(spark, damage, told):
         assert got.get(i, []) == model_rows(r), i
 
 
-@pytest.mark.parametrize("damage", [0, 2, 12])
-@pytest.mark.parametrize("piece", [600, 5000])
-def test_pieces_do_not_matter(spark, tmp_path, monkeypatch, damage, piece):
+@pytest.mark.parametrize("damage,piece,strict", [(0, 600, False), (2, 600, False), (12, 600, False), (12, 5000, False), (0, 600, True), (1, 5000, True), (2, 600, True)])
+def test_pieces_do_not_matter(spark, tmp_path, monkeypatch, damage, piece, strict):
     """A file that is read in pieces gives the rows of the whole, sequence numbers, facts and status included."""
     raws = [R.random_recording(1000 + 10 * damage + s, 400, damage) for s in range(4)] + [b"no recording " * 900, R.END]
     paths = [put(tmp_path, f"p{i}", r) for i, r in enumerate(raws)]
     monkeypatch.setattr(recording, "LEAST_PIECE", piece)
     monkeypatch.setattr(recording, "MOST_PIECE", piece)
-    found = recording.surveyed(spark, paths, input_time_format="irig")
-    assert max(len(f.pieces) for f in found) > 3
-    cut = recording.read_pieces(spark, [p for f in found for p in f.pieces], input_time_format="irig")
-    whole, _ = rows_of(spark, raws, input_time_format="irig")
+    found = recording.surveyed(spark, paths, input_time_format="irig", strict=strict)
+    assert strict and damage or max(len(f.pieces) for f in found) > 3
+    cut = recording.read_pieces(spark, [p for f in found for p in f.pieces], input_time_format="irig", strict=strict)
+    whole, _ = rows_of(spark, raws, input_time_format="irig", strict=strict)
     rows = lambda df: [tuple(r) for r in df.filter("kind <> 'status'").drop("source_path", "mux").orderBy("file_index", "seq").collect()]
     assert rows(cut) == rows(whole)
     ends = lambda df: {r.file_index: json.loads(r.detail) for r in df.filter("kind = 'status'").collect()}
@@ -83,6 +82,33 @@ def test_pieces_do_not_matter(spark, tmp_path, monkeypatch, damage, piece):
     assert {r.file_index: (r.n, r.first) for r in back} == {i: (f.back, f.first_back) for i, f in enumerate(found) if f.back}
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_wrong_guesses_everywhere_take_one_more_job(spark, tmp_path, monkeypatch, strict):
+    """Data that look like records stand at every border, so that every guess is wrong."""
+    piece = 4000
+    inner = R.record("receive", R.irig(0), rt=1, n=3)
+    words = [int.from_bytes(inner[i : i + 2], "little") for i in range(0, len(inner), 2)]
+    out, t = b"", 0
+    while len(out) < 20 * piece:
+        t += 1
+        plain = R.record("receive", R.irig(t * 1000), rt=t % 30, n=30)
+        trap = R.record("receive", R.irig(t * 1000), rt=t % 30, n=30, data=(words * 4)[:30])
+        out += trap if len(out) % piece > piece - 2 * len(trap) or len(out) % piece < 400 else plain
+    path = put(tmp_path, "trap", out)
+    jobs, real = [], recording._job
+    monkeypatch.setattr(recording, "_job", lambda spark, tasks, framing: jobs.append(len(tasks)) or real(spark, tasks, framing))
+    monkeypatch.setattr(recording, "LEAST_PIECE", piece)
+    monkeypatch.setattr(recording, "MOST_PIECE", piece)
+    monkeypatch.setattr(recording, "DEPTH", 1)  # what looks like one record is taken for one, right at the border
+    monkeypatch.setattr(recording, "RUN_UP", 0)
+    found = recording.surveyed(spark, [path], input_time_format="irig", strict=strict, lookahead_records=1)
+    assert len(jobs) == 2 and jobs[0] >= 20 and jobs[1] > 10 and len(found[0].pieces) > 15
+    whole, _ = rows_of(spark, [out], input_time_format="irig", strict=strict)
+    cut = recording.read_pieces(spark, found[0].pieces, input_time_format="irig", strict=strict)
+    rows = lambda df: [tuple(r) for r in df.filter("kind <> 'status'").drop("source_path", "mux").orderBy("seq").collect()]
+    assert rows(cut) == rows(whole)
+
+
 def test_what_the_source_tells(spark):
     """Stamps, gaps and steps back as windows over the decoded records give them."""
     raws = [R.random_recording(70 + s, 300, 4) for s in range(6)]
