@@ -11,9 +11,9 @@ one entry a shingle. Groups that meet at a shingle are candidates if sizes, and
 then their members are expanded and verified on whole sets.
 
 Where thousands of groups meet at one shingle, all pairs are not written. First each group is tried with the one group of its
-shingle that has the fewest rarer shingles before it (the text that near copies come from, which has none of its own), then with
-another: a row for each entry. What links by then is one component, and all other pairs of groups, those
-between components, are tried by a join: no pair that could join two components is left out. A class is shipped to a pivot for each of its
+shingle that has the fewest rarer shingles before it (the text that near copies come from, which has none of its own): a row for each entry.
+Classes that link with one such pivot are connected by it, and all other pairs of classes whose groups meet
+are tried by a join: no pair that could join two components is left out. A class is shipped to a pivot for each of its
 pairs; a pivot with many of them comes to several tasks, so no task holds all that meet one text.
 
 A null or empty text, or one of white space, has no shingle, and its own id as component. Null ids take part; the smallest id ignores
@@ -38,6 +38,8 @@ WIDTH, PERCENT = 5, 80
 CELLS = 1 << 22
 #: Pairs of one pivot that a task verifies.
 PAIRS = 256
+#: Pairs up to which the list of who goes where comes to the texts (some 50 MB); beyond, texts are shuffled to it.
+FEW_WAYS = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,6 +116,8 @@ def _verify(documents: DataFrame, text: str, classes: DataFrame, pairs: DataFram
     own = lanes.select(F.col("p").alias("node"), "p", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(False).alias("member"))
     ways = dealt.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("p", "lane", "member")).alias("ways"))
     ways = written(ways.join(classes.select("node", "id1"), "node").select("id1", "node", "ways"))
+    if ways.agg(F.coalesce(F.sum(F.size("ways")), F.lit(0))).first()[0] <= FEW_WAYS:
+        ways = F.broadcast(ways)
     texts = documents.select("__id1", F.col(f"`{text}`").alias("t")).join(ways, F.col("__id1") == F.col("id1")).select("id1", "t", "node", "ways")
     kind = pairs.schema["p"].dataType.simpleString()
 
@@ -173,7 +177,7 @@ def _allowed(a: str, b: str, percent: int) -> str:
             f"{100 + percent} * (1 + least({a}n - {a}pos - 1, {b}n - {b}pos - 1)) >= {percent} * ({a}n + {b}n)")
 
 
-def components_of(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, tries: int = 2) -> DataFrame:
+def components_of(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles and component_id of each row; component_id is the smallest key of the rows that links reach."""
     picked = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__t"))
     picked = picked.withColumn("__id1", F.xxhash64("__key", F.lit(13), "__t"))
@@ -192,31 +196,23 @@ def components_of(documents: DataFrame, key: str = "doc_id", text: str = "text",
     total = met.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     index = written(spread_join(entries, met.select("token"), "token", hot_keys(met, "token", "m", total)).select("token", "g", "n", "pos", "place"))
 
-    links: DataFrame | None = None
-    label = classes.select("node", "g", "n", F.col("node").alias("root"))
-
-    def grown(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """All links that are known with those of the pairs, and the component of each class."""
-        found = _verify(picked, "__t", classes, written(pairs), width, percent).select(F.col("p").alias("a"), F.col("x").alias("b"))
-        every = written(found if links is None else links.unionByName(found))
-        roots = components(every).select(F.col("node").alias("__node"), "root")
-        return every, written(classes.select("node", "g", "n").join(roots, F.col("node") == F.col("__node"), "left").select("node", "g", "n", F.coalesce("root", "node").alias("root")))
-
-    for i in range(tries):
-        of = written(label.groupBy("g", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
-        order = F.col("place") if not i else F.xxhash64("g", "n", F.lit(i))
-        here = index.join(of, ["g", "n"]).withColumn("order", order)
-        ends = here.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.min("order").alias("one"), F.count("*").alias("m")).filter("least <> most")
-        ends = written(ends)
-        meet = spread_join(here, ends.select("token", "one"), "token", hot_keys(ends, "token", "m", total))
-        pivot = meet.filter("order = one").groupBy("token").agg(F.min(F.struct("g", "n", "pos", "lo")).alias("p"))
-        pairs = spread_join(meet, pivot, "token", hot_keys(ends, "token", "m", total)).select("g", "n", "pos", "lo", "hi", F.col("p.g").alias("pg"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), F.col("p.lo").alias("plo"))
-        pairs = pairs.filter("(g <> pg or n <> pn) and (lo <> hi or lo <> plo)").filter(_allowed("", "p", percent)).select("g", "n", "pg", "pn").distinct()
-        reps = groups.select("g", "n", "rep")
-        pairs = pairs.join(reps, ["g", "n"]).withColumnRenamed("rep", "x").join(reps.select(F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("rep").alias("p")), ["pg", "pn"]).select("p", "x")
-        if not i:  # members of a group with its first one
-            pairs = pairs.unionByName(classes.join(groups.filter("members > 1"), ["g", "n"]).filter("node <> rep").select(F.col("rep").alias("p"), F.col("node").alias("x")))
-        links, label = grown(pairs)
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(_verify(picked, "__t", classes, written(pairs), width, percent).select(F.col("p").alias("a"), F.col("x").alias("b")))
+
+    # each group with that of a shingle which has the fewest rarer ones before it, and members of a group with its first one
+    ends = met.select("token").join(index.groupBy("token").agg(F.min("place").alias("one"), F.count("*").alias("m")), "token")
+    ends = written(ends)
+    hot = hot_keys(ends, "token", "m", total)
+    meet = spread_join(index, ends.select("token", "one"), "token", hot)
+    pivot = meet.filter("place = one").groupBy("token").agg(F.min(F.struct("g", "n", "pos")).alias("p"))
+    pairs = spread_join(meet, pivot, "token", hot).select("g", "n", "pos", F.col("p.g").alias("pg"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+    pairs = pairs.filter("g <> pg or n <> pn").filter(_allowed("", "p", percent)).select("g", "n", "pg", "pn").distinct()
+    reps = groups.select("g", "n", "rep")
+    pairs = pairs.join(reps, ["g", "n"]).withColumnRenamed("rep", "x").join(reps.select(F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("rep").alias("p")), ["pg", "pn"]).select("p", "x")
+    links = verified(pairs.unionByName(classes.join(groups.filter("members > 1"), ["g", "n"]).filter("node <> rep").select(F.col("rep").alias("p"), F.col("node").alias("x"))))
+    # classes that link with one pivot, and the pivot, need no further trial among themselves
+    star = links.groupBy("b").agg(F.min("a").alias("root")).unionByName(links.select(F.col("a").alias("b"), F.col("a").alias("root"))).groupBy("b").agg(F.min("root").alias("root"))
+    label = written(classes.select("node", "g", "n").join(star, F.col("node") == F.col("b"), "left").select("node", "g", "n", F.coalesce("root", "node").alias("root")))
 
     # what is left: pairs of classes in different components whose groups meet, or that are of one group
     of = written(label.groupBy("g", "n").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
@@ -239,8 +235,10 @@ def components_of(documents: DataFrame, key: str = "doc_id", text: str = "text",
         degree = rest.select(F.explode(F.array("p", "x")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
         turned = rest.join(degree.select(F.col("v").alias("p"), F.col("d").alias("dp")), "p").join(degree.select(F.col("v").alias("x"), F.col("d").alias("dx")), "x")
         turn = F.col("dx") > F.col("dp")
-        links, label = grown(turned.select(F.when(turn, F.col("x")).otherwise(F.col("p")).alias("p"), F.when(turn, F.col("p")).otherwise(F.col("x")).alias("x")))
+        links = links.unionByName(verified(turned.select(F.when(turn, F.col("x")).otherwise(F.col("p")).alias("p"), F.when(turn, F.col("p")).otherwise(F.col("x")).alias("x"))))
 
+    roots = components(links).select(F.col("node").alias("b"), "root")
+    label = classes.select("node").join(roots, F.col("node") == F.col("b"), "left").select("node", F.coalesce("root", "node").alias("root"))
     named = classes.select("c", "copies", F.col("node").alias("v")).join(label.select(F.col("node").alias("v"), "root"), "v").select("c", "copies", F.col("root.least").alias("least"))
     named = written(named)
     out = spread_join(full.select("__key", "n", "c"), named.drop("copies"), "c", hot_keys(named, "c", "copies", full.count()))
