@@ -33,7 +33,7 @@ LEAST, LONGEST, TOP, COVER_PERCENT = 10, 3, 2000, 50
 #: Candidates that are counted by slots.
 SLOTS = 1 << 21
 #: Texts that a task reads together. Spark adds up the counts of a task before it shuffles them.
-ROWS = 128
+ROWS = 64
 _CUT = b"\xff"  # in no UTF-8 text
 _TABLE = bytes(255 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c in b"\x09\x20" else c for c in LOWER_BYTES)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -144,37 +144,31 @@ def _texts(documents: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _level(texts: DataFrame, k: int, below: Bloom | None, least: int, seed: int) -> DataFrame:
-    """key, n: the hashes of k words that reach the least count. For words also rows without a key: how many each language has."""
+    """key, n: the hashes of k words that reach the least count."""
     shared = texts.sparkSession.sparkContext.broadcast((below.words, below.bits)) if below is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, int] = {}
-
         for b in pieces(batches, ROWS):
             read = Read(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
             at = read.starts(k)
             if shared is not None:
                 parts = read.starts(k - 1)
                 at = _inner(cached(shared, lambda x: Bloom(*x)).has(read.keys(parts, k - 1)), parts, at)
-            else:
-                for x, n in read.totals().items():
-                    totals[x] = totals.get(x, 0) + n
             key, n = np.unique(read.keys(at, k), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["l", "key", "n"])
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["l", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
-    return written(texts.mapInArrow(run, "l string, key bigint, n bigint").groupBy("l", "key").agg(F.sum("n").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= least)))
+    return written(texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
 
 
-def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, DataFrame]:
-    """The count of each slot, and slot, l, phrase, other (a phrase of the same hash, if there is one) of each that occurs."""
+def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """The count of each slot; slot, l, phrase of each that occurs, twice if two phrases have one hash; and the words of each language."""
     shared = texts.sparkSession.sparkContext.broadcast(slots)
     size = len(slots.keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
         total, second = np.zeros(size, np.int64), np.zeros(size, np.uint64)
+        words: dict[str, int] = {}
 
         def named(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
             n = len(rows)
@@ -183,6 +177,8 @@ def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, Da
         names = ["chunk", "places", "counts", "slot", "l", "phrase"]
         for b in pieces(batches, ROWS):
             read = Read(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
+            for x, n in read.totals().items():
+                words[x] = words.get(x, 0) + n
             found: list[tuple[int, str, str]] = []
             before: tuple[np.ndarray, np.ndarray] | None = None
             for k in range(1, LONGEST + 1):
@@ -202,15 +198,15 @@ def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, Da
                 found += [(int(s), read.langs[read.row[i]], read.phrase(i, k)) for s, i in zip([*one.tolist(), *slot[odd].tolist()], [*at[new][first].tolist(), *at[odd].tolist()], strict=True)]
             if found:
                 yield named(found)
+        yield named([(-1, x, str(n)) for x, n in words.items()])
         got = counters(total)
         n = got.num_rows
         yield pa.RecordBatch.from_arrays([*got.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names)
 
     rows = written(texts.mapInArrow(run, f"{COUNTERS}, slot int, l string, phrase string"))
-    told = F.struct("l", "phrase")
-    named = rows.filter("slot is not null").groupBy("slot").agg(F.min(told).alias("a"), F.max(told).alias("b"))
-    named = named.select("slot", "a.l", "a.phrase", F.when(F.col("a") != F.col("b"), F.col("b.phrase")).alias("other"))
-    return tree_sum(rows.filter("chunk is not null").select("chunk", "places", "counts"), size), written(named)
+    every = rows.filter("slot >= 0").groupBy("slot", "l", "phrase").agg(F.count("*").alias("tasks")).drop("tasks")
+    words = rows.filter("slot = -1").groupBy(F.col("l").alias("lang")).agg(F.sum(F.col("phrase").cast("long")).alias("n"))
+    return tree_sum(rows.filter("chunk is not null").select("chunk", "places", "counts"), size), written(every), words
 
 
 _PARTS = "l string, phrase string, k int, a bigint, l1 bigint, r1 bigint, l2 bigint, r2 bigint"
@@ -248,15 +244,15 @@ def _cuts(total: np.ndarray, named: DataFrame, slots: Slots, least: int, seed: i
     return named.select("slot", "l", "phrase").mapInArrow(run, _PARTS)
 
 
-def _by_shuffle(texts: DataFrame, wanted: Bloom, least: int, seed: int) -> DataFrame:
-    """As _cuts, for any number of candidates: counts are added by phrase, parts are joined."""
+def _by_shuffle(texts: DataFrame, wanted: Bloom, least: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """As _cuts, and the words of each language, for any number of candidates: counts are added by phrase, parts are joined."""
     shared = texts.sparkSession.sparkContext.broadcast((wanted.words, wanted.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = cached(shared, lambda x: Bloom(*x))
         for b in pieces(batches, ROWS):
             read = Read(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
-            counts: dict[tuple[str, str, int], int] = {}
+            counts = {(x, "", 0): n for x, n in read.totals().items()}  # no words, for those of the language
             for k in range(1, LONGEST + 1):
                 at = read.starts(k)
                 for i in at[may.has(read.keys(at, k))].tolist():
@@ -264,7 +260,7 @@ def _by_shuffle(texts: DataFrame, wanted: Bloom, least: int, seed: int) -> DataF
                     counts[own] = counts.get(own, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in counts], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))] + [pa.array(list(counts.values()), pa.int64())], ["l", "phrase", "k", "a"])
 
-    every = written(texts.mapInArrow(run, "l string, phrase string, k int, a bigint").groupBy("l", "phrase", "k").agg(F.sum("a").alias("a")).filter(F.col("a") >= least))
+    every = written(texts.mapInArrow(run, "l string, phrase string, k int, a bigint").groupBy("l", "phrase", "k").agg(F.sum("a").alias("a")).filter((F.col("a") >= least) | (F.col("k") == 0)))
     words = F.split("phrase", " ")
     out = every.filter("k > 1")
     for j in (1, 2):
@@ -272,7 +268,7 @@ def _by_shuffle(texts: DataFrame, wanted: Bloom, least: int, seed: int) -> DataF
             part = F.when(F.col("k") > j, F.array_join(F.slice(words, F.lit(start), F.greatest(n, F.lit(0))), " "))
             own = every.select(F.col("l").alias("__l"), F.col("phrase").alias("__p"), F.col("a").alias(f"{side}{j}"))
             out = out.withColumn("__part", part).join(own, (F.col("l") == F.col("__l")) & (F.col("__part") == F.col("__p")), "left").drop("__part", "__l", "__p")
-    return out.select("l", "phrase", "k", "a", "l1", "r1", "l2", "r2")
+    return out.select("l", "phrase", "k", "a", "l1", "r1", "l2", "r2"), every.filter("k = 0").select(F.col("l").alias("lang"), F.col("a").alias("n"))
 
 
 def _scored(rows: DataFrame) -> DataFrame:
@@ -295,16 +291,16 @@ def phrases(documents: DataFrame, text: str = "text", lang: str = "lang", least:
     texts = _texts(documents, text, lang)
     levels: list[DataFrame] = []
     for k in range(1, LONGEST + 1):
-        below = levels[-1].filter("key is not null") if levels else None
+        below = levels[-1] if levels else None
         levels.append(_level(texts, k, bloom(below, "key", below.count()) if below is not None else None, least, seed))
-    totals = levels[0].filter("key is null").select(F.col("l").alias("lang"), "n")
-    keys = reduce(DataFrame.unionByName, [x.filter("key is not null").select("key") for x in levels]).distinct()
+    keys = reduce(DataFrame.unionByName, [x.select("key") for x in levels]).distinct()
     n = keys.count()
     if n > slots:
-        return written(_scored(_by_shuffle(texts, bloom(keys, "key", n), least, seed))), totals
+        cuts, totals = _by_shuffle(texts, bloom(keys, "key", n), least, seed)
+        return written(_scored(cuts)), totals
     own = Slots(keys.toArrow().column("key").to_numpy().view(np.uint64))  # SLOTS numbers at most
-    count, named = _by_slots(texts, own, seed)
-    if named.filter("other is not null").limit(1).count():
+    count, named, totals = _by_slots(texts, own, seed)
+    if named.groupBy("slot").count().filter("count > 1").limit(1).count():
         return phrases(documents, text, lang, least, slots, seed + 1)
     return written(_scored(_cuts(count, named, own, least, seed))), totals
 
