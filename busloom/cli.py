@@ -24,6 +24,7 @@ from .errors import ConfigError, RecordingError, UsageError
 from .functions.render import parse_offset, printable
 from .operators import dump
 from .operators.filters import parse_address, parse_bus, parse_type
+from .shared import shared_path
 from .sources.inputs import resolve
 
 _LISTS = {"types": parse_type, "rts": parse_address, "buses": parse_bus, "subaddresses": parse_address}
@@ -130,7 +131,7 @@ def run(argv: list[str], spark=None, out=None, stdin=None) -> int:
         if "-" in paths:
             if paths.count("-") > 1:
                 raise UsageError("standard input can be read once")
-            folder = tempfile.mkdtemp(prefix="busloom-")
+            folder = tempfile.mkdtemp(prefix="stdin-", dir=shared_path(spark))  # tasks read it too
             received = _received(stdin or sys.stdin.buffer, folder)
             paths = [received if p == "-" else p for p in paths]
         if args.command == "count":

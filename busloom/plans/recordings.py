@@ -20,6 +20,7 @@ from ..operators import decode as decoding
 from ..operators import delta, filters, merge, order, pairing
 from ..operators.columns import columns
 from ..schema import MICROS_PER_DAY, SPURIOUS_TYPE
+from ..shared import shared_path
 from ..sources import sink
 from ..sources.recording import Surveyed, read_pieces, read_raw, surveyed
 
@@ -262,9 +263,9 @@ def decode_to_csv(spark: SparkSession, paths: list[str], path: str, config: Conf
     try:
         parts, outcome = _lines(spark, paths, c, folder, split)
         partial = outcome.exit_code == SYNC_LOSS
-        outcome.files.append(sink.CsvFile(path, c.no_clobber, partial).put(parts.main, parts.rows))
+        outcome.files.append(sink.CsvFile(path, c.no_clobber, partial).place(spark, parts.main, parts.rows))
         if parts.error_rows:
-            outcome.files.append(sink.CsvFile(sink.errors_path(path), c.no_clobber, partial).put(parts.errors, parts.error_rows))
+            outcome.files.append(sink.CsvFile(sink.errors_path(path), c.no_clobber, partial).place(spark, parts.errors, parts.error_rows))
         return outcome
     finally:
         shutil.rmtree(folder, ignore_errors=True)
@@ -275,7 +276,7 @@ def decode_to_stream(spark: SparkSession, paths: list[str], out: BinaryIO, confi
     c = config or Config()
     if c.error_mode == "separate":
         raise UsageError("a stream takes one table; errors go to a file of their own")
-    folder = os.path.join(folder or os.path.dirname(os.path.abspath(paths[0])), f".stream.{uuid.uuid4().hex}.tmp")
+    folder = os.path.join(folder or shared_path(spark), f".stream.{uuid.uuid4().hex}.tmp")
     try:
         parts, outcome = _lines(spark, paths, c, folder, False)
         sink.write_all(out, parts.main)

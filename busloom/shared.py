@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import UsageError
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a new local folder where it is unset and all runs on this machine."""
@@ -22,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The same as a path that open() takes: of a folder that is mounted on all machines."""
+    folder = shared_dir(spark)
+    where = urlsplit(folder)
+    if where.scheme not in ("", "file"):
+        raise UsageError(f"{folder}: standard input and output need a shared folder that is mounted")
+    return unquote(where.path) if where.scheme else folder
+
+
 def fixed(df: DataFrame) -> DataFrame:
     """The same rows in the same partitions and order, written once: what reads them again finds them so, whatever executors are lost."""
     spark = df.sparkSession

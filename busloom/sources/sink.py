@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CalendarError, OutputExists, UsageError
@@ -102,13 +102,29 @@ class CsvFile:
         if self.no_clobber and os.path.exists(self.path):
             raise OutputExists(self.path)
 
-    def put(self, parts: list[tuple[str | None, bytes]], rows: int) -> Written:
-        """The header, then files and bytes one after the other."""
+    def place(self, spark: SparkSession, parts: list[tuple[str | None, bytes]], rows: int) -> Written:
+        """The header, then files and bytes one after the other. Tasks bring the files in: sums of their sizes tell where each begins, so all are copied at once.
+
+        The driver writes the header and the few bytes between the files. A task that runs again writes the same bytes to the same place; files stay until all is there.
+        """
+        head = _header()
+        at, copies, small = len(head), [], [(0, head)]
+        for path, more in parts:
+            if path is not None and (size := os.path.getsize(path)):
+                copies.append((path, at, size))
+                at += size
+            if more:
+                small.append((at, more))
+                at += len(more)
         try:
             with open(self.temporary, "wb") as f:
-                write_all(f, parts)
+                f.truncate(at)
+                for where, data in small:
+                    f.seek(where)
+                    f.write(data)
                 f.flush()
                 os.fsync(f.fileno())
+            _bring(spark, self.temporary, copies)
             self.commit()
         except BaseException:
             if os.path.exists(self.temporary):
@@ -127,9 +143,34 @@ class CsvFile:
             os.replace(self.temporary, self.path)
 
 
+def _header() -> bytes:
+    return (",".join(CSV_COLUMNS) + "\n").encode()
+
+
+def _bring(spark: SparkSession, target: str, copies: list[tuple[str, int, int]]) -> None:
+    """Copy files to their places in another that is there and long enough, a task for each."""
+    if not copies:
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, at, size in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                with open(path, "rb") as g, open(target, "r+b") as f:
+                    if os.fstat(g.fileno()).st_size != size:
+                        raise OSError(f"{path}: not the {size} bytes that were written")
+                    f.seek(at)
+                    _copy(g, f)
+                    f.flush()
+                    os.fsync(f.fileno())
+            yield b.select([0])
+
+    listed = spark.createDataFrame([(i, *c) for i, c in enumerate(copies)], "i int, path string, at long, size long")
+    listed.repartitionById(len(copies), listed.i).mapInArrow(run, "i int").count()
+
+
 def write_all(f, parts: list[tuple[str | None, bytes]]) -> None:
     """The header and all parts; what is copied is removed, so that no more than one part stands twice on the disk."""
-    f.write((",".join(CSV_COLUMNS) + "\n").encode())
+    f.write(_header())
     for path, more in parts:
         if path is not None:
             f.flush()
@@ -143,11 +184,13 @@ def _copy(g, f) -> None:
     """All of a file behind what is in f: by the kernel where both are files, else through memory."""
     left = os.fstat(g.fileno()).st_size
     try:
+        at = f.tell()
         while left:
-            left -= (n := os.copy_file_range(g.fileno(), f.fileno(), left))
+            left -= (n := os.copy_file_range(g.fileno(), f.fileno(), left, offset_dst=at))
+            at += n
             if not n:
                 break
-        f.seek(0, os.SEEK_END)
+        f.seek(at)
     except (OSError, AttributeError):  # io.UnsupportedOperation is an OSError: a stream without a file
         shutil.copyfileobj(g, f, 1 << 24)
 

@@ -596,3 +596,42 @@ def test_a_stream_out_of_order_stops(spark, tmp_path):
 
     with pytest.raises(ValueError):
         list(_observe((0, 1, 2, 0), iter([pd.DataFrame({"seq": [7, 9], "time_us": [600, 700]})]), State()))
+
+
+def test_parts_are_placed_by_tasks(spark, tmp_path):
+    """Files of any size, empty ones too, stand in their order in the one file, with the bytes between them."""
+    from busloom.schema import CSV_COLUMNS
+    from busloom.sources import sink
+
+    parts, want = [], (",".join(CSV_COLUMNS) + "\n").encode()
+    for i, n in enumerate((0, 5, 300_000, 1, 0, 70_000)):
+        data, more = bytes([65 + i]) * n, b"" if i % 2 else b"between%d\n" % i
+        p = tmp_path / f"part{i}"
+        p.write_bytes(data)
+        parts.append((str(p), more))
+        want += data + more
+    parts.append((None, b"end\n"))
+    assert sink.CsvFile(str(tmp_path / "o.csv")).place(spark, parts, 9).rows == 9
+    assert (tmp_path / "o.csv").read_bytes() == want + b"end\n"
+    assert (tmp_path / "part2").exists()  # a task that is lost can run again
+    parts[2] = (str(tmp_path / "gone"), b"")
+    with pytest.raises(OSError):
+        sink.CsvFile(str(tmp_path / "p.csv")).place(spark, parts, 9)
+    assert not [p for p in tmp_path.iterdir() if "p.csv" in p.name]
+
+
+def test_standard_input_stands_where_tasks_see_it(spark, tmp_path, monkeypatch):
+    from io import BytesIO
+
+    from busloom import cli, shared
+
+    seen = []
+    monkeypatch.setattr(cli, "_received", lambda stream, folder, real=cli._received: seen.append(folder) or real(stream, folder))
+    stream = BytesIO(b"".join(R.record("receive", R.irig(1000 * i), rt=1 + i % 3, n=3) for i in range(1, 9)) + R.END)
+    stream.isatty = lambda: False
+    assert cli.run(["decode", "-", "-o", str(tmp_path / "o.csv")], spark, stdin=stream) == 0
+    assert len((tmp_path / "o.csv").read_text().splitlines()) == 9
+    assert seen[0].startswith(shared.shared_path(spark)) and not os.path.exists(seen[0])
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: "hdfs://host/x")
+    with pytest.raises(shared.UsageError):
+        shared.shared_path(spark)
