@@ -19,6 +19,7 @@ import shutil
 import sys
 import tempfile
 
+from . import __version__
 from .config import Config, load
 from .errors import ConfigError, RecordingError, UsageError
 from .functions.render import parse_offset, printable
@@ -44,6 +45,7 @@ def _everywhere(p: argparse.ArgumentParser) -> argparse.ArgumentParser:
 
 def parser() -> argparse.ArgumentParser:
     top = _everywhere(_Parser(prog="busloom", description=__doc__.split("\n")[0]))
+    top.add_argument("-V", "--version", action="version", version=f"busloom {__version__}")
     sub = top.add_subparsers(dest="command", required=True, parser_class=_Parser)
     d = _everywhere(sub.add_parser("decode"))
     d.add_argument("inputs", nargs="*")
@@ -111,6 +113,8 @@ def run(argv: list[str], spark=None, out=None, stdin=None) -> int:
     out = out or sys.stdout
     folder = None
     try:
+        if any(a.partition("=")[0] == "--time-format" for a in argv):
+            raise UsageError("--time-format has become two options: --input-time-format for what a recording holds, --output-time-format for what is written")
         args = parser().parse_args(argv)
         config = settings(args)
         logging.getLogger("busloom").setLevel(getattr(args, "log_level", None) or config.log_level)
@@ -142,6 +146,8 @@ def run(argv: list[str], spark=None, out=None, stdin=None) -> int:
         if config.error_mode == "separate":
             logging.getLogger("busloom").warning("standard output takes one table: errors stay inline")
         return plans.decode_to_stream(spark, paths, getattr(out, "buffer", out), config.over(error_mode="inline")).exit_code
+    except SystemExit as e:  # help or version was asked for
+        return int(e.code or 0)
     except RecordingError as e:
         print(f"error: {printable(str(e))}", file=sys.stderr)
         return e.exit_code

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_DATA_WORDS
-from ..shared import fixed
+from ..shared import fixed, ranged
 from .pairing import is_continuation
 
 #: What makes two records the same transaction: words, and neither time nor place.
@@ -165,8 +165,8 @@ def _ends(window_us: int, cap: int | None, before: dict[int, bytes] | None, ente
 def in_blocks(rows: DataFrame, window_us: int, cap: int | None, blocks: int) -> tuple[DataFrame, int]:
     """The sequential rule over rows (time_us, file_index, __d1, __d2, seq, merge_us): f, s, duplicate, early, and how many rounds it took."""
     order = ("merge_us", "file_index", "seq")
-    dealt = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
-    dealt = fixed(dealt.select(F.spark_partition_id().cast("long").alias("block"), "time_us", "file_index", "__d1", "__d2", "seq"))
+    dealt = ranged(rows, blocks, *order)
+    dealt = fixed(dealt.select(F.spark_partition_id().cast("long").alias("block"), "time_us", "file_index", "__d1", "__d2", "seq", "__dealt"))
     ended: dict[int, bytes] = {}
     used: dict[int, bytes] | None = None
     entering: dict[int, bytes] = {}

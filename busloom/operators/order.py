@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import fixed
+from ..shared import fixed, ranged
 
 MAX_GROUP = 65_536
 #: Microseconds (or ticks) of a bucket of times.
@@ -80,7 +80,7 @@ def _scanned(d: DataFrame, position: tuple[str, ...], by: tuple[str, ...]) -> Da
     where = [*by, *position]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = d.withColumn("__at", F.struct(*(F.col(c) for c in by), F.col("__ts"))).withColumn("__free", F.col("__k").isNull())
-    d = fixed(d.repartitionByRange(parts, *where).sortWithinPartitions(*where).withColumn("__range", F.spark_partition_id()))
+    d = fixed(ranged(d, parts, *where).withColumn("__range", F.spark_partition_id()))
     along = Window.partitionBy("__range").orderBy(*where)
     before = F.lag("__at").over(along)
     d = d.withColumn("__new", (before.isNotNull() & ~F.col("__at").eqNullSafe(before)).cast("long"))

@@ -66,7 +66,7 @@ class Outcome:
 #: What counters above zero say.
 _NOTES = {
     "rejected": "{} record(s) were skipped: their words contradict each other", "status_mismatch": "{} record(s) have a status word of another terminal",
-    "unknown_codes": "{} record(s) have an error code that isn't known", "backward_gaps": "{} record(s) are earlier than the one before of their key: they have no DELTA",
+    "unknown_codes": "{} record(s) have an error code that isn't known",
     "reserved_bits": "{} record(s) have the reserved bit set", "free_running": "{} record(s) were stamped by a free-running clock",
     "wrapped_days": "{} step(s) back to an earlier day: a recording that crosses a year is dated by the year it began in; cut it there and give each part its own year",
     "capped_runs": "{} run(s) of equal times were longer than the sort group: their full groups stay in order of arrival", "capped_survivors": "{} record(s) left the window of duplicates early, for the cap",
@@ -151,11 +151,22 @@ class Analysis:
     monotone: bool
     outcome: Outcome
     arranged: bool = False  # whether rows stand in that order already, partition by partition
+    unfiltered: DataFrame | None = None  # records before the filters
 
     def ordered(self, max_group: int) -> tuple[DataFrame, list]:
         """Records with the columns that give their canonical order, and these."""
         return order.order_rows(self.records, max_group, self.position, self.by, self.monotone), order.sort_columns(self.position)
 
+    def finish(self) -> None:
+        """The outcome's counters, and a warning for each key whose time steps back. Keys are looked up only if some do."""
+        self.outcome.finish()
+        if not self.outcome.counters.get("backward_gaps") or self.unfiltered is None:
+            return
+        back = self.unfiltered.filter("rt is not null and time_us is not null and delta_us is null")
+        keys = back.groupBy("file_index", "rt", "subaddress", "direction").agg(F.count("*").alias("steps"), F.min("file_offset").alias("first"))
+        for r in keys.orderBy("file_index", "rt", "subaddress", "direction").collect():  # 2,048 keys a file
+            self.outcome.warn(f"input {r.file_index}, key {r.rt}:{r.subaddress}[{'T' if r.direction else 'R'}]: {r.steps} step(s) back in time, the first at 0x{r.first:X}: no DELTA there")
+
 
 def analysis(spark: SparkSession, paths: list[str], config: Config | None = None, arrange: bool = False, fields: list[str] | None = None) -> Analysis:
     """Records of one or more files, filtered, and how the files ended.
@@ -220,12 +231,13 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
     if c.output_time_format != "doy":
         recs = outcome.watch(recs, wrapped_days=F.col("back") & (F.floor(F.col("merge_us") / MICROS_PER_DAY) > F.col("day_of_year")))
     recs = outcome.watch(recs, backward_gaps=F.col("rt").isNotNull() & F.col("time_us").isNotNull() & F.col("delta_us").isNull())
+    unfiltered = recs
     if c.filters.active:
         recs = outcome.watch(filters.verdicts(recs, c.filters), filtered=F.col("filtered")).filter("not filtered").drop("filtered")
     recs = outcome.watch(recs, kept=F.lit(1))
     if failed or outcome.left_out:
         outcome.exit_code = SYNC_LOSS if any(s["state"] == "UnrecoverableSyncLoss" for s in failed) or outcome.left_out else SUCCESS
-    return Analysis(recs, position, () if len(paths) > 1 else ("file_index",), monotone, outcome, arrange)
+    return Analysis(recs, position, () if len(paths) > 1 else ("file_index",), monotone, outcome, arrange, unfiltered)
 
 
 def raw_of(spark: SparkSession, found: list[Surveyed], without: list[int], config: Config, body_words: int | None = None) -> DataFrame:
@@ -245,7 +257,7 @@ def _lines(spark: SparkSession, paths: list[str], c: Config, folder: str, split:
         # rows of one time never come apart: not by the pieces of a file, nor by ranges of time
         rows = a.records if a.arranged else a.records.repartitionByRange("merge_us").sortWithinPartitions(*merge.ORDER)
         parts = sink.write_parts(rows, folder, split, c.max_sort_group)
-    a.outcome.finish()
+    a.finish()
     if parts.capped and c.max_sort_group > 1:
         a.outcome.counters["capped_runs"] = parts.capped
         a.outcome.warn(_NOTES["capped_runs"].format(parts.capped))
@@ -293,7 +305,7 @@ def decode_to_folder(spark: SparkSession, paths: list[str], folder: str, config:
     sink.check_calendar(a.records, c.output_time_format, c.year)
     rows, by = a.ordered(c.max_sort_group)
     sink.write_folder(rows, folder, by)
-    a.outcome.finish()
+    a.finish()
     return a.outcome
 
 

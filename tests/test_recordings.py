@@ -635,3 +635,22 @@ def test_standard_input_stands_where_tasks_see_it(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shared, "shared_dir", lambda spark: "hdfs://host/x")
     with pytest.raises(shared.UsageError):
         shared.shared_path(spark)
+
+
+def test_each_key_that_steps_back_is_told_once(spark, tmp_path):
+    steps = [(1, 0), (2, 500), (1, 100), (2, 400), (1, 50), (3, 0), (2, 390), (4, 900), (4, 901)]
+    a = put(tmp_path, "a.rec", b"".join(R.record("receive", R.irig(us), rt=rt, n=2) for rt, us in steps) + R.END)
+    done = plans.decode_to_csv(spark, [a], str(tmp_path / "o.csv"), Config(filters=filters.Filters(exclude_rts=(1,))))
+    told = [w for w in done.warnings if "key" in w]
+    assert len(told) == 2 and done.counters["backward_gaps"] == 3
+    assert "key 1:2[R]: 1 step(s)" in told[0] and "key 2:2[R]: 2 step(s)" in told[1]
+
+
+def test_version_and_the_option_that_became_two(capsys):
+    from busloom import __version__, cli
+
+    assert cli.run(["--version"]) == 0 and __version__ in capsys.readouterr().out
+    for given in (["--time-format", "iso"], ["--time-format=irig"]):
+        assert cli.run(["decode", "x.rec", *given]) == 4
+        said = capsys.readouterr().err
+        assert "--input-time-format" in said and "--output-time-format" in said
