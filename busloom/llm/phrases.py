@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +122,11 @@ class Read:
             x = (x ^ (x >> np.uint64(29))) * step + self.h[at + j]
         return mixed(x)
 
-    def phrase(self, i: int, k: int) -> str:
-        return b" ".join(self.words[p] for p in self.place[i : i + k].tolist()).decode("utf-8", "replace")
+    def phrases(self, at: np.ndarray, k: int) -> tuple[list[str], list[str]]:
+        """Language and text of the k words from each place on."""
+        words, langs = self.words, self.langs
+        columns = [[words[p] for p in self.place[at + j].tolist()] for j in range(k)]
+        return [langs[r] for r in self.row[at].tolist()], [b" ".join(w).decode("utf-8", "replace") for w in zip(*columns, strict=True)]
 
     def totals(self) -> dict[str, int]:
         n = np.bincount(self.row[~self.cut], minlength=len(self.langs))
@@ -170,16 +174,15 @@ def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, Da
         total, second = np.zeros(size, np.int64), np.zeros(size, np.uint64)
         words: dict[str, int] = {}
 
-        def named(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
-            n = len(rows)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string())))], names)
+        def named(slot: np.ndarray, langs: list[str], texts: list[str]) -> pa.RecordBatch:
+            n = len(slot)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(slot, pa.int32()), pa.array(langs, pa.string()), pa.array(texts, pa.string())], names)
 
         names = ["chunk", "places", "counts", "slot", "l", "phrase"]
         for b in pieces(batches, ROWS):
             read = Read(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
             for x, n in read.totals().items():
                 words[x] = words.get(x, 0) + n
-            found: list[tuple[int, str, str]] = []
             before: tuple[np.ndarray, np.ndarray] | None = None
             for k in range(1, LONGEST + 1):
                 at = read.starts(k)
@@ -195,10 +198,10 @@ def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, Da
                 one, first = np.unique(slot[new], return_index=True)
                 second[one] = told[new][first]
                 odd = np.flatnonzero(second[slot] != told)
-                found += [(int(s), read.langs[read.row[i]], read.phrase(i, k)) for s, i in zip([*one.tolist(), *slot[odd].tolist()], [*at[new][first].tolist(), *at[odd].tolist()], strict=True)]
-            if found:
-                yield named(found)
-        yield named([(-1, x, str(n)) for x, n in words.items()])
+                some = np.concatenate([at[new][first], at[odd]])
+                if len(some):
+                    yield named(np.concatenate([one, slot[odd]]), *read.phrases(some, k))
+        yield named(np.full(len(words), -1), list(words), [str(n) for n in words.values()])
         got = counters(total)
         n = got.num_rows
         yield pa.RecordBatch.from_arrays([*got.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names)
@@ -255,8 +258,7 @@ def _by_shuffle(texts: DataFrame, wanted: Bloom, least: int, seed: int) -> tuple
             counts = {(x, "", 0): n for x, n in read.totals().items()}  # no words, for those of the language
             for k in range(1, LONGEST + 1):
                 at = read.starts(k)
-                for i in at[may.has(read.keys(at, k))].tolist():
-                    own = read.langs[read.row[i]], read.phrase(i, k), k
+                for own in zip(*read.phrases(at[may.has(read.keys(at, k))], k), repeat(k)):
                     counts[own] = counts.get(own, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in counts], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))] + [pa.array(list(counts.values()), pa.int64())], ["l", "phrase", "k", "a"])
 
