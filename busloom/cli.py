@@ -105,7 +105,7 @@ def _received(stream, folder: str) -> str:
 
 
 #: What a session of our own is started with. HotSpot does not compile methods over 8,000 bytes, such as a plan's widest would be made in one.
-SESSION = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.session.timeZone": "UTC"}
+SESSION = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.session.timeZone": "UTC", "spark.sql.python.filterPushdown.enabled": "true"}
 
 
 def run(argv: list[str], spark=None, out=None, stdin=None) -> int:

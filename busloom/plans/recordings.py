@@ -23,6 +23,7 @@ from ..schema import MICROS_PER_DAY, SPURIOUS_TYPE
 from ..shared import shared_path
 from ..sources import sink
 from ..sources.recording import Surveyed, read_pieces, read_raw, surveyed
+from ..sources.selection import Selection
 
 log = logging.getLogger("busloom")
 #: Words of a body that tell the commands of a record, and fields that need no more of it.
@@ -168,8 +169,10 @@ class Analysis:
             self.outcome.warn(f"input {r.file_index}, key {r.rt}:{r.subaddress}[{'T' if r.direction else 'R'}]: {r.steps} step(s) back in time, the first at 0x{r.first:X}: no DELTA there")
 
 
-def analysis(spark: SparkSession, paths: list[str], config: Config | None = None, arrange: bool = False, fields: list[str] | None = None) -> Analysis:
-    """Records of one or more files, filtered, and how the files ended.
+def analysis(spark: SparkSession, paths: list[str], config: Config | None = None, arrange: bool = False, fields: list[str] | None = None, push: bool = False, since_us: int | None = None, until_us: int | None = None) -> Analysis:
+    """Records of one or more files, filtered, and how the files ended. since_us, until_us: the range of times (time_us) asked for, its end left out.
+
+    push: have the source leave out what filters and range don't want, wherever nothing else looks at it; what it would tell isn't counted.
 
     arrange: put raw rows in the order of a merge, if nothing between there and the end needs them otherwise. They are narrower than
     records, and all that makes records of them keeps the order. fields: what is asked for of the records; where that needs no
@@ -216,7 +219,9 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
                 outcome.warn(f"{paths[i]}: {f.back} step(s) back in time, the first at record {f.first_back}: the merge isn't in order of time there")
     outcome.left_out = [paths[i] for i in sorted(unusable)]
     head = fields is not None and set(fields) <= HEAD_FIELDS and not c.strict and not c.collapse_duplicates
-    rows = raw_of(spark, found, unusable, c, HEAD_WORDS if head else None)
+    apart = not c.strict and not c.collapse_duplicates and (len(paths) == 1 or c.delta_scope != "global" or fields is not None and "delta" not in fields)
+    select = Selection.of(c.filters, since_us, until_us) if push and apart else None
+    rows = raw_of(spark, found, unusable, c, HEAD_WORDS if head else None, select)
     arrange = arrange and (len(paths) == 1 or monotone and not c.collapse_duplicates and c.delta_scope == "per-file")
     if arrange and len(paths) > 1:
         rows = rows.filter("kind = 'rec'").repartitionByRange("high").sortWithinPartitions("high", "file_index", "seq")
@@ -234,15 +239,17 @@ def analysis(spark: SparkSession, paths: list[str], config: Config | None = None
     unfiltered = recs
     if c.filters.active:
         recs = outcome.watch(filters.verdicts(recs, c.filters), filtered=F.col("filtered")).filter("not filtered").drop("filtered")
+    for side in ([F.col("time_us") >= since_us] if since_us is not None else []) + ([F.col("time_us") < until_us] if until_us is not None else []):
+        recs = recs.filter(side)
     recs = outcome.watch(recs, kept=F.lit(1))
     if failed or outcome.left_out:
         outcome.exit_code = SYNC_LOSS if any(s["state"] == "UnrecoverableSyncLoss" for s in failed) or outcome.left_out else SUCCESS
     return Analysis(recs, position, () if len(paths) > 1 else ("file_index",), monotone, outcome, arrange, unfiltered)
 
 
-def raw_of(spark: SparkSession, found: list[Surveyed], without: list[int], config: Config, body_words: int | None = None) -> DataFrame:
-    """Raw rows of the files that were surveyed, but for some; of their bodies all words, or only the first few."""
-    return read_pieces(spark, [p for i, f in enumerate(found) if i not in without for p in f.pieces], **_source_options(config), body_words=body_words)
+def raw_of(spark: SparkSession, found: list[Surveyed], without: list[int], config: Config, body_words: int | None = None, select: Selection | None = None) -> DataFrame:
+    """Raw rows of the files that were surveyed, but for some, or of those that are selected; of their bodies all words, or only the first few."""
+    return read_pieces(spark, [p for i, f in enumerate(found) if i not in without for p in f.pieces], select, **_source_options(config), body_words=body_words)
 
 
 def _lines(spark: SparkSession, paths: list[str], c: Config, folder: str, split: bool) -> tuple[sink.Parts, Outcome]:
@@ -318,7 +325,8 @@ def count(spark: SparkSession, path: str, config: Config | None = None) -> int:
         raise from_status(status["state"], f"{path}: {status['detail']}")
     if not c.strict and not c.filters.active:
         return found[0].accepted
-    return counted(records(raw_of(spark, found, [], c, None if c.strict else HEAD_WORDS), c), c).first().n
+    select = None if c.strict else Selection.of(c.filters)
+    return counted(records(raw_of(spark, found, [], c, None if c.strict else HEAD_WORDS, select), c), c).first().n
 
 
 def counted(recs: DataFrame, config: Config) -> DataFrame:
@@ -326,9 +334,9 @@ def counted(recs: DataFrame, config: Config) -> DataFrame:
     return filters.apply_filters(recs, config.filters).agg(F.count("*").alias("n"))
 
 
-def table(spark: SparkSession, paths: list[str], fields: list[str] | None = None, config: Config | None = None, **options) -> DataFrame:
-    """Public fields of one or more recordings, in canonical order."""
-    df, by = analysis(spark, paths, config, fields=fields).ordered((config or Config()).max_sort_group)
+def table(spark: SparkSession, paths: list[str], fields: list[str] | None = None, config: Config | None = None, since_us: int | None = None, until_us: int | None = None, **options) -> DataFrame:
+    """Public fields of one or more recordings, in canonical order; of all times, or of a range whose end is left out."""
+    df, by = analysis(spark, paths, config, fields=fields, push=True, since_us=since_us, until_us=until_us).ordered((config or Config()).max_sort_group)
     return columns(df.orderBy(*by), fields, **options)
 
 

@@ -10,21 +10,24 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Iterable, Iterator
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not
 
 from ..errors import EmptyFile, FileMissing, FileUnreadable, UsageError
 from ..schema import RAW
 from .facts import NEVER, Carry, cut_points, facts
 from .framing import BLOCK_BYTES, MOST_TOLD, Framer, Options, Records, Resync
 from .inputs import MAX_FILES, mux_of
+from .selection import KEYS, NONE, Selection, Zone, keys_of
 
 _ARROW = pa.schema([("file_index", pa.int32()), ("source_path", pa.string()), ("seq", pa.int64()), ("file_offset", pa.int64()), ("kind", pa.string()), ("ts_format", pa.string()), ("type_word", pa.int32()), ("t0", pa.int32()), ("t1", pa.int32()), ("t2", pa.int32()), ("body", pa.list_(pa.int32())), ("mux", pa.string()), ("detail", pa.string()), ("parent", pa.list_(pa.int32())), ("stamp", pa.int64()), ("prev_stamp", pa.int64()), ("high", pa.int64()), ("back", pa.bool_())])
+#: Columns that a scan adds, to be filtered by.
+_KEYED = pa.schema([*_ARROW, *((k, pa.int32()) for k in KEYS)])
 BATCH = 50_000
 #: Bytes of a piece of a file: as many as there are cores for, within these bounds.
 LEAST_PIECE, MOST_PIECE = 1 << 20, 32 << 20
@@ -39,57 +42,69 @@ def _options(given: dict[str, str]) -> tuple[Options, dict]:
     return framing, mux
 
 
-def batches(framer: Framer, index: int, path: str, mux: str | None, seq: int = 0, carry: Carry | None = None, stop: int | None = None, status: str | None = "", body_words: int = 64) -> Iterator[pa.RecordBatch]:
+def batches(framer: Framer, index: int, path: str, mux: str | None, seq: int = 0, carry: Carry | None = None, stop: int | None = None, status: str | None = "", body_words: int = 64, select: Selection | None = None, keyed: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows of one file, or of a piece up to the record at stop: records and markers in arrival order, then the status.
 
-    status: what the status row tells, if not the framer's own; None for no such row.
+    status: what the status row tells, if not the framer's own; None for no such row. select: which records become rows; what is told of them
+    is the same as if all did. keyed: whether rows have their keys as columns.
     """
     carry, gap = carry or Carry(), False
 
     def marker(kind: str, offset: int, detail: str) -> pa.RecordBatch:
         row = {"file_index": index, "source_path": path, "seq": seq, "file_offset": offset, "kind": kind, "ts_format": framer.status.ts_format, "mux": mux, "detail": detail}
-        return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+        return pa.RecordBatch.from_pylist([row], schema=_KEYED if keyed else _ARROW)
+
+    markers = not (select and select.tests)
 
     for item in framer:
         if isinstance(item, Resync):
             if stop is not None and item.offset >= stop:
                 break
-            yield marker("resync", item.offset, f"0x{item.resumed:X}: {item.reason}")
+            if markers:
+                yield marker("resync", item.offset, f"0x{item.resumed:X}: {item.reason}")
             seq, gap = seq + 1, True
             continue
         whole = stop is None or item.offsets[-1] < stop
         if not whole:
             item = item.upto(int(np.searchsorted(item.offsets, stop)))
         if len(item.offsets):
-            yield from _record_batches(item, framer.status.ts_format, index, path, mux, seq, carry, gap, body_words)
+            yield from _record_batches(item, framer.status.ts_format, index, path, mux, seq, carry, gap, body_words, select, keyed)
             seq, gap = seq + len(item.offsets), False
         if not whole:
             break
-    if status is not None:
+    if status is not None and markers:
         yield marker("status", framer.status.stop_offset, status or json.dumps(vars(framer.status)))
 
 
-def _record_batches(item: Records, ts: str, index: int, path: str, mux: str | None, seq: int, carry: Carry, gap: bool, body_words: int) -> Iterator[pa.RecordBatch]:
+def _record_batches(item: Records, ts: str, index: int, path: str, mux: str | None, seq: int, carry: Carry, gap: bool, body_words: int, select: Selection | None, keyed: bool) -> Iterator[pa.RecordBatch]:
     width = 3 if ts == "irig" else 2
     told = facts(item.counts, item.words, width, carry, gap)
-    firsts = np.concatenate([[0], np.cumsum(item.counts)])
+    words, firsts = item.words, np.concatenate([[0], np.cumsum(item.counts)])
     follows = np.concatenate([[0], np.cumsum(told.follows)])
     known = lambda v: pa.array(v, mask=v == NEVER)
-    for lo in range(0, len(item.offsets), BATCH):
-        hi = min(lo + BATCH, len(item.offsets))
-        n, at = hi - lo, firsts[lo:hi]
-        words = item.words
-        lengths = np.minimum(item.counts[lo:hi] - 1 - width, body_words)
+    keys = keys_of(words[firsts[:-1]], words[firsts[:-1] + 1 + width]) if select or keyed else {}
+    kept = None
+    if select:
+        parents = np.array([(p[0], p[1 + width]) for p in told.parents], np.int64).reshape(-1, 2)
+        kept = np.flatnonzero(select.wanted(ts, told.stamp, keys, told.follows, keys_of(parents[:, 0], parents[:, 1])))
+    most = len(item.offsets) if kept is None else len(kept)
+    for lo in range(0, most, BATCH):
+        hi = min(lo + BATCH, most)
+        n, i = hi - lo, slice(lo, hi) if kept is None else kept[lo:hi]
+        at = firsts[:-1][i]
+        lengths = np.minimum(item.counts[i] - 1 - width, body_words)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         body = words[np.repeat(at + 1 + width - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32)
         same = lambda v, t: pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), pa.array([v], t)).cast(t) if v is not None else pa.nulls(n, t)
         stamp = [pa.array(words[at + 1 + k].astype(np.int32)) if k < width else pa.nulls(n, pa.int32()) for k in range(3)]
-        parents: list = [None] * n
-        for i, words_of in zip(np.flatnonzero(told.follows[lo:hi]).tolist(), told.parents[follows[lo] : follows[hi]], strict=True):
-            parents[i] = words_of
-        cols = [pa.array(np.full(n, index, np.int32)), same(path, pa.string()), pa.array(np.arange(seq + lo, seq + hi)), pa.array(item.offsets[lo:hi]), same("rec", pa.string()), same(ts, pa.string()), pa.array(words[at].astype(np.int32)), *stamp, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(body)), same(mux, pa.string()), pa.nulls(n, pa.string())]
-        cols += [pa.array(parents, pa.list_(pa.int32())), pa.array(told.stamp[lo:hi]), known(told.prev[lo:hi]), known(told.high[lo:hi]), pa.array(told.back[lo:hi])]
-        yield pa.RecordBatch.from_arrays(cols, schema=_ARROW)
+        parents_of: list = [None] * n
+        for j in np.flatnonzero(told.follows[i]).tolist():
+            parents_of[j] = told.parents[follows[lo + j if kept is None else i[j]]]
+        place = np.arange(seq + lo, seq + hi) if kept is None else seq + i
+        cols = [pa.array(np.full(n, index, np.int32)), same(path, pa.string()), pa.array(place), pa.array(item.offsets[i]), same("rec", pa.string()), same(ts, pa.string()), pa.array(words[at].astype(np.int32)), *stamp, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(body)), same(mux, pa.string()), pa.nulls(n, pa.string())]
+        cols += [pa.array(parents_of, pa.list_(pa.int32())), pa.array(told.stamp[i]), known(told.prev[i]), known(told.high[i]), pa.array(told.back[i])]
+        cols += [pa.array(v[i].astype(np.int32), mask=v[i] == NONE) for v in keys.values()] if keyed else []
+        yield pa.RecordBatch.from_arrays(cols, schema=_KEYED if keyed else _ARROW)
 
 
 @dataclass
@@ -104,6 +119,7 @@ class Piece:
     seq: int
     carry: dict
     status: str | None = None
+    zone: dict | None = None
 
 
 class _Part(InputPartition):
@@ -116,6 +132,7 @@ class _Reader(DataSourceReader):
         self.given = given
         self.framing, self.mux = _options(given)
         self.body_words = int(given.get("body_words", 64))  # the longest record has fewer
+        self.select, self.keyed = Selection.loads(given.get("select")), given.get("keyed") == "true"
         if "pieces" in given:
             self.pieces = json.loads(given["pieces"])
             return
@@ -128,19 +145,68 @@ class _Reader(DataSourceReader):
         self.pieces = [{"file_index": i, "path": p} for i, p in enumerate(paths)]
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in self.pieces]
+        return [_Part(p) for p in self.pieces if self._wanted(p)]
+
+    def _wanted(self, p: dict) -> bool:
+        if not self.select or "start" not in p:
+            return True
+        if p["start"] < 0:
+            return not self.select.tests
+        return p["zone"] is None or self.select.may_hold(Zone(**p["zone"]), p["ts_format"])
 
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        p = part.piece
+    def read(self, part: _Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no piece holds what is wanted
+            return
+        p, more = part.piece, {"select": self.select, "keyed": self.keyed}
         mux = mux_of(p["path"], **self.mux)
         with _opened(p["path"]) as (fetch, size):
             if "start" not in p:
-                yield from batches(Framer(fetch, size, self.framing), p["file_index"], p["path"], mux)
+                yield from batches(Framer(fetch, size, self.framing), p["file_index"], p["path"], mux, **more)
             elif p["start"] < 0:  # a file without records
-                yield from batches(Framer(fetch, 0), p["file_index"], p["path"], mux, status=p["status"])
+                yield from batches(Framer(fetch, 0), p["file_index"], p["path"], mux, status=p["status"], **more)
             else:
                 framer = Framer(fetch, size, self.framing, min(BLOCK_BYTES, (p["stop"] or size) - p["start"]), p["start"], p["ts_format"])
-                yield from batches(framer, p["file_index"], p["path"], mux, p["seq"], Carry.unpacked(p["carry"]), p["stop"], p["status"], self.body_words)
+                yield from batches(framer, p["file_index"], p["path"], mux, p["seq"], Carry.unpacked(p["carry"]), p["stop"], p["status"], self.body_words, **more)
+
+
+class _PushingReader(_Reader):
+    """Takes plain filters on keys and stamps from Spark, which then doesn't look at them again."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            tests = _tests(f)
+            if tests is None:
+                yield f
+            else:
+                self.select = self.select.also(tests)
+
+
+def _tests(f: Filter) -> list[tuple[str, str, tuple[int, ...]]] | None:
+    """A filter of Spark as tests of a selection; None if it has none that are equal to it."""
+    negated = isinstance(f, Not)
+    f = f.child if negated else f
+    if len(f.attribute) != 1 if hasattr(f, "attribute") else True:
+        return None
+    column = f.attribute[0]
+    if column == "kind" and isinstance(f, EqualTo) and f.value == "rec" and not negated:
+        return [("stamp", ">=", (NEVER,))]
+    if column not in (*KEYS, "stamp"):
+        return None
+    if isinstance(f, IsNotNull):
+        return None if negated else [(column, ">=", (NEVER,))]
+    values = tuple(f.value) if isinstance(f, In) else (f.value,) if hasattr(f, "value") else ()
+    if not values or any(type(v) is not int for v in values):
+        return None
+    if isinstance(f, (EqualTo, In)):
+        return [(column, "not in" if negated else "in", values)]
+    least = {GreaterThan: 1, GreaterThanOrEqual: 0}.get(type(f))
+    most = {LessThan: -1, LessThanOrEqual: 0}.get(type(f))
+    if least is None and most is None:
+        return None
+    v = values[0]
+    if least is not None:
+        return [(column, "<=", (v + least - 1,)) if negated else (column, ">=", (v + least,))]
+    return [(column, ">=", (v + most + 1,)) if negated else (column, "<=", (v + most,))]
 
 
 class _opened:
@@ -175,10 +241,10 @@ class RecordingSource(DataSource):
         return "recording"
 
     def schema(self):
-        return RAW
+        return RAW + "".join(f", {k} int" for k in KEYS) if self.options.get("keyed") == "true" else RAW
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return (_PushingReader if self.options.get("pushing") == "true" else _Reader)(dict(self.options))
 
 
 def survey(path: str, start: int, border: int | None, framing: Options, sure: bool) -> dict:
@@ -203,6 +269,7 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
         carry, gap, width = Carry(), False, 3 if ts == "irig" else 2
         out = {"start": at if sure or start == 0 else None, "stop": None, "records": 0, "resyncs": 0, "ts_format": ts, "back": 0, "first_back": None, "first": None, "accepted": 0}
         seq = passed = 0
+        zone = Zone()
         losses: list[str] = []
         for item in framer:
             if isinstance(item, Resync):
@@ -235,6 +302,8 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
                 f = facts(item.counts, item.words, width, before, gap and not lo) if len(item.offsets) else None
             carry, gap = before, False
             if f is not None and len(item.offsets):
+                begin = np.concatenate([[0], np.cumsum(item.counts)[:-1]])
+                zone.add(f.stamp, f.follows, keys_of(item.words[begin], item.words[begin + 1 + width]))
                 good = np.flatnonzero(f.accepted)
                 out["accepted"] += len(good)
                 if out["first"] is None and len(good):
@@ -260,7 +329,7 @@ def survey(path: str, start: int, border: int | None, framing: Options, sure: bo
         if own.state == "truncated-tail" and out["resyncs"]:
             state = "partial-recovered"
         status = vars(own) | {"records": out["records"], "sync_losses": out["resyncs"] + last, "warnings": (told["warnings"] if start == 0 else []) + losses[:MOST_TOLD] + others, "state": state}
-        return out | {"status": status, "carry": carry.packed(), "again": lenient and state != "complete"}
+        return out | {"status": status, "carry": carry.packed(), "zone": asdict(zone), "again": lenient and state != "complete"}
 
 
 @dataclass
@@ -345,7 +414,7 @@ def _stitched(index: int, path: str, parts: list[tuple[dict, dict]]) -> Surveyed
             out.status = s
             out.pieces = [Piece(index, path, -1, None, s["ts_format"], 0, carry.packed(), json.dumps(s))]
             return out
-        out.pieces.append(Piece(index, path, got["start"], got["stop"], got["ts_format"], seq, carry.packed()))
+        out.pieces.append(Piece(index, path, got["start"], got["stop"], got["ts_format"], seq, carry.packed(), zone=got["zone"]))
         first = got["first"]
         if first is not None:
             step = carry.now > NEVER and first["stamp"] < carry.now
@@ -385,7 +454,7 @@ def check_inputs(paths: list[str]) -> None:
 
 
 def _given(options: dict) -> dict[str, str]:
-    return {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}
+    return {k: str(v).lower() if isinstance(v, bool) else v if isinstance(v, str) else str(v) for k, v in options.items() if v is not None}
 
 
 def surveyed(spark: SparkSession, paths: list[str], **options) -> list[Surveyed]:
@@ -393,9 +462,11 @@ def surveyed(spark: SparkSession, paths: list[str], **options) -> list[Surveyed]
     return survey_files(spark, list(paths), _options(_given(options))[0])
 
 
-def read_pieces(spark: SparkSession, pieces: list[Piece], **options) -> DataFrame:
-    """Raw rows of pieces, in their order; a task for each."""
+def read_pieces(spark: SparkSession, pieces: list[Piece], select: Selection | None = None, **options) -> DataFrame:
+    """Raw rows of pieces, in their order; a task for each that may hold a record that is wanted."""
     spark.dataSource.register(RecordingSource)
+    if select:
+        options["select"] = select.dumps()
     return spark.read.format("recording").options(pieces=json.dumps([vars(p) for p in pieces]), **_given(options)).load()
 
 
@@ -404,6 +475,19 @@ def read_raw(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     return read_pieces(spark, [p for f in surveyed(spark, paths, **options) for p in f.pieces], **options)
 
 
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
+
+def scan(spark: SparkSession, pieces: list[Piece], **options) -> DataFrame:
+    """Raw rows with their message_type, bus, rt and subaddress as columns, to be filtered by.
+
+    Where the session has PUSHDOWN on, plain filters on these columns, on stamp and on kind reach the source: pieces that can't hold what they ask for are
+    not opened, and other records never become rows. Without it Spark filters, with the same result.
+    """
+    pushing = spark.conf.get(PUSHDOWN, "false").lower() == "true"
+    return read_pieces(spark, pieces, keyed=True, pushing=pushing, **options)
+
+
 def read_bytes(contents: DataFrame, **options) -> DataFrame:
     """The same from a table (file_index, name, content), such as the binaryFile source or a stream read to its end gives.
 
