@@ -7,9 +7,15 @@ each record, whatever is put between them. Built-in expressions pack the words i
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_path
 from .busview import events
 
 EVENTS_OF_FILE = 40
@@ -75,8 +81,43 @@ def files(rows: DataFrame, words: Column, tail: Column | str = "", name: Column
     return made.select(F.col("f").alias("file_index"), (name if name is not None else F.lit("x.rec")).alias("name"), F.unhex(text).alias("content"))
 
 
+#: Events of a longer recording: a minute apart, in the hours from 0 to 19 of a day.
+EVENTS_OF_LONG = 1200
+
+
+def long_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of recordings that are long enough to be read in pieces."""
+    place = F.col("e") % EVENTS_OF_LONG
+    return clips(spark, sf_dir).withColumns({"f": F.expr(f"cast(e div {EVENTS_OF_LONG} as int)"), "p": place.cast("int"), "hour": F.floor(place / 60).cast("int"), "minute": (place % 60).cast("int")})
+
+
+def put(contents: DataFrame) -> list[str]:
+    """Recordings of a table (file_index, name, content) as files in the shared folder, written by the tasks that hold them; their paths by file_index.
+
+    A task that runs again writes the same bytes under the same name.
+    """
+    folder = os.path.join(shared_path(contents.sparkSession), f"recordings-{uuid.uuid4().hex}")
+
+    def write(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for b in found:
+            index, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, raw in zip(index, raws, strict=True):
+                own = os.path.join(folder, f".{i}.{uuid.uuid4().hex}")
+                with open(own, "wb") as f:
+                    f.write(raw)
+                os.replace(own, os.path.join(folder, f"{i:06d}.rec"))
+            yield pa.RecordBatch.from_arrays([pa.array(index, pa.int32())], ["i"])
+
+    indexes = sorted(r.i for r in contents.select("file_index", "content").mapInArrow(write, "i int").collect())  # a number for each file, as a run has of its inputs
+    return [os.path.join(folder, f"{i:06d}.rec") for i in indexes]
+
+
 #: The same fields in DuckDB's SQL.
 SQL_CLIPS = f"""c as (select event_id e, cast(event_id // {EVENTS_OF_FILE} as integer) f, cast(event_id % {EVENTS_OF_FILE} as integer) p, cast(2 + event_id % 7 as integer) n, cast(user_id % 31 as integer) rt,
   cast((event_id % 7) * 4 + 3 as integer) sa, cast(event_id % 2 as integer) dir, cast((event_id % 7) * 8 as integer) "second", cast((event_id % 500) * 128 + 127 as integer) micro from events),
 t as (select *, cast(case when dir = 0 then 2 else 4 end + (e % 2) * 128 + (n + 6) * 256 as integer) tw, rt * 2048 + dir * 1024 + sa * 32 + n cmd,
   cast(10 as bigint) * 86400000000 + cast(3 as bigint) * 3600000000 + cast(p as bigint) * 60000000 + "second" * 1000000 + micro us from c)"""
+SQL_LONG = f"""{SQL_CLIPS.split(chr(10) + "t as")[0]}
+l as (select * exclude (f, p), cast(e // {EVENTS_OF_LONG} as integer) f, cast(e % {EVENTS_OF_LONG} as integer) p, cast(case when dir = 0 then 2 else 4 end as integer) code, rt * 2048 + dir * 1024 + sa * 32 + n cmd,
+  cast(10 as bigint) * 86400000000 + (e % {EVENTS_OF_LONG} // 60) * 3600000000 + (e % 60) * 60000000 + "second" * 1000000 + micro us from c)"""

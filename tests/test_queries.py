@@ -38,7 +38,7 @@ sys.path.insert(0, {ROOT!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
 import __spark_entry__ as e
-for q in ('collapse_window', 'frame_records', 'dump_limit'):
+for q in ('collapse_window', 'frame_records', 'dump_limit', 'pieces_filtered'):
     assert e.queries()[q](spark, {SF!r}).count() > 0
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}

@@ -1,17 +1,19 @@
 import random
 
 import pytest
-from tests import recordings as R
 from pyspark.sql import functions as F
-from tests.test_recordings import put
 
 from busloom.config import Config
 from busloom.operators import filters
 from busloom.operators.filters import Filters
 from busloom.plans import recordings as plans
 from busloom.sources import recording
+from busloom.sources.framing import Options
 from busloom.sources.selection import Selection
 
+from . import recordings as R
+from .test_recordings import put
+
 MARKS = ("file_index", "seq")
 
 
@@ -21,9 +23,29 @@ def small(monkeypatch):
     monkeypatch.setattr(recording, "MOST_PIECE", 2000)
 
 
-@pytest.fixture
-def files(tmp_path, small):
-    return [put(tmp_path, f"s{i}", R.random_recording(700 + i, 500, damage)) for i, damage in enumerate((0, 3, 9))]
+@pytest.fixture(scope="module")
+def files(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("files")
+    return [put(folder, f"s{i}", R.random_recording(700 + i, 300, damage)) for i, damage in enumerate((0, 3, 9))]
+
+
+@pytest.fixture(scope="module")
+def pieces(spark, files):
+    return [p for f in recording.survey_files(spark, files, Options("irig"), 4000) for p in f.pieces]
+
+
+@pytest.fixture(scope="module")
+def every(spark, pieces):
+    out = plans.records(recording.read_pieces(spark, pieces)).persist()
+    yield out
+    out.unpersist()
+
+
+@pytest.fixture(scope="module")
+def scanned(spark, pieces):
+    out = recording.scan(spark, pieces).persist()
+    yield out
+    out.unpersist()
 
 
 def pieces_of(spark, files, **options):
@@ -41,18 +63,17 @@ SOME = [
 
 
 @pytest.mark.parametrize("which", range(len(SOME)))
-def test_what_the_source_leaves_is_what_filters_leave(spark, files, which):
+def test_what_the_source_leaves_is_what_filters_leave(spark, pieces, every, which):
     """Continuations go with their parents, and what is told of earlier records is told as if all were there."""
-    f, pieces = SOME[which], pieces_of(spark, files)
+    f = SOME[which]
     at_source = plans.records(recording.read_pieces(spark, pieces, Selection.of(f)))
-    after = filters.apply_filters(plans.records(recording.read_pieces(spark, pieces)), f)
+    after = filters.apply_filters(every, f)
     columns = (*MARKS, "time_us", "message_type", "rt", "data_words", "error_word", "delta_us", "merge_us", "back")
     assert told(at_source, *columns) == told(after, *columns)
 
 
-def test_random_filters(spark, files):
-    r, pieces = random.Random(4), pieces_of(spark, files)
-    every = plans.records(recording.read_pieces(spark, pieces)).persist()
+def test_random_filters(spark, pieces, every):
+    r = random.Random(4)
     some = lambda top, most: tuple(r.sample(range(top), r.randrange(1, most)))
     for _ in range(8):
         f = Filters(**{k: v for k, v in {
@@ -61,7 +82,6 @@ def test_random_filters(spark, files):
         }.items() if r.random() < 0.35})
         if f.active:
             assert told(plans.records(recording.read_pieces(spark, pieces, Selection.of(f))), *MARKS, "delta_us") == told(filters.apply_filters(every, f), *MARKS, "delta_us")
-    every.unpersist()
 
 
 def opened(df):
@@ -96,11 +116,9 @@ def test_counters_have_no_range_at_the_source(spark, tmp_path, small):
     "kind = 'rec'", "rt = 3", "rt in (1, 2, 40)", "not rt = 3", "rt not in (1, 2)", "rt > 3 and rt <= 9", "not rt < 4", "message_type = 32 and kind = 'rec'", "bus <> 1", "subaddress >= 30",
     "rt is null", "rt is not null", "stamp between 0 and 9223372036854775806", "rt = 3 or bus = 1", "rt + 1 = 4", "rt <=> 3", "rt in (1, null)", "kind = 'resync'", "rt = -5", "subaddress < 0", "rt = 3 and size(body) > 4",
 ])
-def test_plain_filters_reach_the_source(spark, files, where):
-    pieces = pieces_of(spark, files)
-    slow = recording.scan(spark, pieces).filter(where)
+def test_plain_filters_reach_the_source(spark, pieces, scanned, where):
     columns = (*MARKS, "kind", "detail", "rt", "bus", "subaddress", "message_type", "prev_stamp", "high", "body")
-    want = told(slow, *columns)
+    want = told(scanned.filter(where), *columns)
     spark.conf.set(recording.PUSHDOWN, "true")
     try:
         fast = recording.scan(spark, pieces).filter(where)
@@ -108,7 +126,7 @@ def test_plain_filters_reach_the_source(spark, files, where):
         plan = fast._jdf.queryExecution().executedPlan().toString()
         if where in ("rt = 3", "rt in (1, 2, 40)", "kind = 'rec'", "not rt = 3", "rt > 3 and rt <= 9"):
             assert "Filter (" not in plan.replace("PushedFilters", "")  # nothing is left for Spark to look at
-        early = recording.scan(spark, pieces).agg(F.min("stamp")).first()[0]
+        early = min(p.zone["low"] for p in pieces if p.zone)
         assert opened(recording.scan(spark, pieces).filter(F.col("stamp") < early + 3000)) < len(pieces)
     finally:
         spark.conf.unset(recording.PUSHDOWN)
