@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import decode as decoding
 from ..operators import delta, dump, filters, merge, pairing
+from ..shared import shared_dir
+from ..sources import index
 from ..sources.framing import Options
 from ..sources.recording import read_bytes, read_pieces, survey_files
 from ..sources.selection import Selection
@@ -265,3 +269,12 @@ def _layouts(query, sql: str, end) -> None:
         """Message filters at the source: what they drop never becomes a row."""
         got = delta.with_delta(pairing.pair(decoding.decode(read_pieces(spark, pieces(spark, sf_dir), Selection.of(asked)))))
         return got.select("file_index", "seq", "time_us", "rt", "subaddress", "delta_us")
+
+    @query(f"with {long}, o as (select *, 2 * (coalesce(sum(n + 6) over (partition by f order by e rows between unbounded preceding and 1 preceding), 0))::bigint o from l) select f file_index, cast(p as bigint) seq, o file_offset, us stamp, cast(rt as integer) rt from o where p between 700 and 719")
+    def index_window(spark, sf_dir):
+        """Twenty records from number 700 on of each recording, found by a kept index: the other pieces aren't opened."""
+        paths = V.put(V.files(V.long_clips(spark, sf_dir), V.record(), end))
+        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        index.write_index(spark, paths, folder, 4096, input_time_format="irig")
+        got = _recs(index.read_indexed(spark, folder, paths=paths, first=700, until=720))
+        return decoding.decode(got.withColumn("at", F.col("stamp"))).select("file_index", "seq", "file_offset", F.col("at").alias("stamp"), "rt")

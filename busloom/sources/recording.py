@@ -457,9 +457,13 @@ def _given(options: dict) -> dict[str, str]:
     return {k: str(v).lower() if isinstance(v, bool) else v if isinstance(v, str) else str(v) for k, v in options.items() if v is not None}
 
 
+def framing_of(options: dict) -> Options:
+    return _options(_given(options))[0]
+
+
 def surveyed(spark: SparkSession, paths: list[str], **options) -> list[Surveyed]:
     check_inputs(paths)
-    return survey_files(spark, list(paths), _options(_given(options))[0])
+    return survey_files(spark, list(paths), framing_of(options))
 
 
 def read_pieces(spark: SparkSession, pieces: list[Piece], select: Selection | None = None, **options) -> DataFrame:
