@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COUNTERS, LOWER_BYTES, Bloom, bloom, cached, counters, hot_keys, map_texts, mixed, pieces, spread_join, tree_sum, word_hashes, written
+from .common import COUNTERS, LOWER_BYTES, Bloom, bloom, cached, counters, dropped, hot_keys, map_texts, mixed, pieces, spread_join, tree_sum, word_hashes, written
 from .simhash import components
 
 WIDTH, PERCENT = 5, 80
@@ -107,8 +107,8 @@ def prefixes(documents: DataFrame, text: str, keys: list[str], rare: np.ndarray,
 
 
 def _verify(documents: DataFrame, text: str, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (p, x) of nodes whose sets link. A set is made from its text and moves once for each of its pairs, straight to where they are
-    verified; p moves to a task for each PAIRS of its pairs."""
+    """The pairs (p, x) of nodes whose sets link. A text moves once for each of its pairs, straight to where they are verified, and its set is made
+    there: packed text has a third of the bytes of its hashes. p moves to a task for each PAIRS of its pairs."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lanes = written(pairs.groupBy("p").agg(F.expr(f"cast(ceil(count(*) / {PAIRS}) as int)").alias("lanes")))
     many = lanes.filter("lanes > 1").select(F.col("p").alias("hot"), "lanes")
@@ -131,18 +131,20 @@ def _verify(documents: DataFrame, text: str, classes: DataFrame, pairs: DataFram
             b = b.take(pa.array(new))
             at = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy(zero_copy_only=False))
             way = b.column(3).flatten()
-            tokens = pa.array([h.tobytes() for h in shingles(b.column(1).to_pylist(), width)], pa.binary()).take(pa.array(at))
+            texts = [t.encode("utf-8", "replace") for t in b.column(1).to_pylist()]
+            size = pa.array([len(t) for t in texts], pa.int32()).take(pa.array(at))
+            packed = pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary()).take(pa.array(at))
             x = b.column(2).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([way.field(0), way.field(1), way.field(2), x, tokens], ["p", "lane", "member", "x", "tokens"])
+            yield pa.RecordBatch.from_arrays([way.field(0), way.field(1), way.field(2), x, size, packed], ["p", "lane", "member", "x", "size", "packed"])
 
-    together = texts.mapInArrow(ship, f"p {kind}, lane int, member boolean, x {kind}, tokens binary").repartition(parts, "p", "lane").sortWithinPartitions("p", "lane", "member")
+    together = texts.mapInArrow(ship, f"p {kind}, lane int, member boolean, x {kind}, size int, packed binary").repartition(parts, "p", "lane").sortWithinPartitions("p", "lane", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = np.zeros(0, np.uint64)
-        for b in batches:
+        for b in pieces(batches, 128):
             keep = []
-            for member, tokens in zip(b.column(2).to_pylist(), b.column(4), strict=True):
-                t = np.frombuffer(tokens.as_buffer(), np.uint64)
+            own = shingles([pa.decompress(t.as_buffer(), n, codec="zstd", asbytes=True).decode() for t, n in zip(b.column(5), b.column(4).to_pylist(), strict=True)], width)
+            for member, t in zip(b.column(2).to_pylist(), own, strict=True):
                 if not member:
                     pivot = t
                 keep.append(member and linked(len(np.intersect1d(pivot, t, assume_unique=True)), len(pivot), len(t), percent))
@@ -182,7 +184,8 @@ def components_of(documents: DataFrame, key: str = "doc_id", text: str = "text",
     picked = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__t"))
     picked = picked.withColumn("__id1", F.xxhash64("__key", F.lit(13), "__t"))
     rare = rarity(picked, "__t", width)
-    rows = written(prefixes(picked, "__t", ["__key", "__id1"], rare, width, percent))
+    wide = written(prefixes(picked, "__t", ["__key", "__id1"], rare, width, percent))
+    rows = written(wide.drop("prefix"))
     full = rows.filter("n > 0")
     node = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col("c").alias("c"))
     classes = full.groupBy("c").agg(F.min("__key").alias("least"), F.min("__id1").alias("id1"), F.min("n").alias("n"), F.min("g").alias("g"), F.count("*").alias("copies"))
@@ -190,11 +193,13 @@ def components_of(documents: DataFrame, key: str = "doc_id", text: str = "text",
     groups = written(classes.groupBy("g", "n").agg(F.min("node").alias("rep"), F.count("*").alias("members")))
 
     # the index: entries of shingles at which two groups meet
-    entries = _index(full).withColumn("place", F.expr("shiftleft(cast(least(pos, 4095) as bigint), 51) | shiftrightunsigned(g, 13)"))
+    entries = _index(wide.filter("n > 0")).withColumn("place", F.expr("shiftleft(cast(least(pos, 4095) as bigint), 51) | shiftrightunsigned(g, 13)"))
     entries = written(entries)
     met = written(entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"))
     total = met.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     index = written(spread_join(entries, met.select("token"), "token", hot_keys(met, "token", "m", total)).select("token", "g", "n", "pos", "place"))
+    for done in (wide, entries):  # the largest tables; nothing that follows reads them
+        dropped(done)
 
     def verified(pairs: DataFrame) -> DataFrame:
         return written(_verify(picked, "__t", classes, written(pairs), width, percent).select(F.col("p").alias("a"), F.col("x").alias("b")))

@@ -1,8 +1,10 @@
+import os
 import random
 
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
-from busloom.llm import jaccard
+from busloom.llm import common, jaccard
 from busloom.llm.jaccard import components_of, linked, prefix_length, shingles
 
 from .cases import EXTRA, SCHEMA, documents, nothing, prose
@@ -126,3 +128,12 @@ def test_shingles_of_a_batch_are_those_of_each_text():
     one = [shingles([t])[0] for t in texts]
     assert all((a == b).all() for a, b in zip(shingles(texts), one, strict=True))
     assert [len(x) for x in one[:5]] == [0, 0, 1, 1, 6] and len(set(np.concatenate(one))) == sum(map(len, one))
+
+
+def test_what_no_step_reads_again_is_gone(spark, tmp_path, monkeypatch):
+    """Prefixes and entries, the largest tables, stand no longer than they are needed; sets don't travel as hashes, which no codec makes smaller."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    found = got(spark.createDataFrame(crowd(2), SCHEMA))
+    tables = [ds.dataset(os.path.join(tmp_path, t), format="parquet").schema.names for t in os.listdir(tmp_path) if t.startswith("table-")]
+    assert found and tables and not any("prefix" in t or "tokens" in t for t in tables)
+    assert sum(t == ["token", "g", "n", "pos", "place"] for t in tables) == 1  # the index, and not the entries it came from
