@@ -4,6 +4,7 @@ import sys
 
 import pytest
 
+from busloom.operators import pairing
 from busloom.plans.queries import QUERIES, SQL
 
 from .oracle import connect, compare
@@ -25,6 +26,14 @@ def test_query(spark, duck, name):
     compare(df, duck, SQL[name])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("span", [1, 7])
+def test_pairs_across_spans(spark, duck, monkeypatch, span):
+    """A file is no group of its own: spans of its records are, and what stands before the first of each is known."""
+    monkeypatch.setattr(pairing, "SPAN", span)
+    compare(QUERIES["continuation_pairing"](spark, SF), duck, SQL["continuation_pairing"])
+
+
 def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; assert len(e.queries()) >= 50 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
