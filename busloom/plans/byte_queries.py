@@ -11,8 +11,7 @@ from ..operators import decode as decoding
 from ..operators import delta, dump, filters, merge, pairing
 from ..shared import shared_dir
 from ..sources import index
-from ..sources.framing import Options
-from ..sources.recording import read_bytes, read_pieces, survey_files
+from ..sources.recording import read_bytes, read_files
 from ..sources.selection import Selection
 from . import byteview as V
 
@@ -239,17 +238,17 @@ def _layouts(query, sql: str, end) -> None:
         """Gaps since a key was last seen, rejected records aside, as the framer tells them."""
         return delta.with_delta(pairing.pair(layouts(spark, sf_dir))).filter("rt is not null").select("file_index", "seq", "delta_us")
 
-    def pieces(spark, sf_dir):
-        """Recordings in files, cut into pieces of 4 kB."""
+    def pieces(spark, sf_dir, select=None):
+        """Recordings in files, read in pieces of 4 kB."""
         paths = V.put(V.files(V.long_clips(spark, sf_dir), V.record(), end))
-        return [p for f in survey_files(spark, paths, Options("irig"), 4096) for p in f.pieces]
+        return read_files(spark, paths, 4096, select, input_time_format="irig")
 
     long = V.SQL_LONG
 
     @query(f"with {long} select f file_index, cast(p as bigint) seq, 2 * (coalesce(sum(n + 6) over w, 0))::bigint file_offset, cast(code + (e % 2) * 128 + (n + 6) * 256 as integer) type_word, us stamp from l window w as (partition by f order by e rows between unbounded preceding and 1 preceding)")
     def pieces_records(spark, sf_dir):
-        """Files read in pieces, a task for each: numbers and offsets go on from piece to piece."""
-        return _recs(read_pieces(spark, pieces(spark, sf_dir))).select("file_index", "seq", "file_offset", "type_word", "stamp")
+        """Files read in pieces: numbers and offsets go on from piece to piece."""
+        return _recs(pieces(spark, sf_dir)).select("file_index", "seq", "file_offset", "type_word", "stamp")
 
     day = 10 * 86_400_000_000
     since, until = day + 5 * 3_600_000_000, day + 7 * 3_600_000_000 + 90_000_000
@@ -258,7 +257,7 @@ def _layouts(query, sql: str, end) -> None:
     @query(f"{gaps} select f file_index, cast(p as bigint) seq, us time_us, cast(rt as integer) rt, cast(coalesce(gap, 0) as bigint) delta_us from g where us >= {since} and us < {until}")
     def pieces_time_range(spark, sf_dir):
         """A range of time: only pieces that overlap it are opened. Gaps go back to records that aren't read."""
-        chosen = read_pieces(spark, pieces(spark, sf_dir), Selection.of(None, since, until))
+        chosen = pieces(spark, sf_dir, Selection.of(None, since, until))
         got = delta.with_delta(pairing.pair(decoding.decode(chosen))).filter(F.col("time_us").between(since, until - 1))
         return got.select("file_index", "seq", "time_us", "rt", "delta_us")
 
@@ -267,7 +266,7 @@ def _layouts(query, sql: str, end) -> None:
     @query(f"{gaps} select f file_index, cast(p as bigint) seq, us time_us, cast(rt as integer) rt, cast(sa as integer) subaddress, cast(coalesce(gap, 0) as bigint) delta_us from g where code <> 4 and rt in (3, 5, 8, 13, 21) and sa not in (7, 11)")
     def pieces_filtered(spark, sf_dir):
         """Message filters at the source: what they drop never becomes a row."""
-        got = delta.with_delta(pairing.pair(decoding.decode(read_pieces(spark, pieces(spark, sf_dir), Selection.of(asked)))))
+        got = delta.with_delta(pairing.pair(decoding.decode(pieces(spark, sf_dir, Selection.of(asked)))))
         return got.select("file_index", "seq", "time_us", "rt", "subaddress", "delta_us")
 
     @query(f"with {long}, o as (select *, 2 * (coalesce(sum(n + 6) over (partition by f order by e rows between unbounded preceding and 1 preceding), 0))::bigint o from l) select f file_index, cast(p as bigint) seq, o file_offset, us stamp, cast(rt as integer) rt from o where p between 700 and 719")

@@ -86,3 +86,21 @@ def test_a_changed_file_is_refused(spark, tmp_path):
     os.remove(path)
     with pytest.raises(UsageError):
         index.find(spark, folder)
+
+
+def test_many_small_files_are_few_tasks(spark, files):
+    """Pieces of a file that one task surveys are those of many tasks; neither tasks nor the driver's rows grow with pieces."""
+    whole = recording.survey_files(spark, files, Options(), 4000)
+    for i, f in enumerate(whole):
+        own = recording.survey_file(i, files[i], Options(), 4000)
+        assert own.pieces == f.pieces and own.status == f.status and (own.back, own.first_back, own.accepted) == (f.back, f.first_back, f.accepted)
+    got = recording.read_files(spark, files * 40, 4000)
+    assert got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < 40 * sum(len(f.pieces) for f in whole)
+    assert rows(got.filter("file_index < 3")) == rows(recording.read_pieces(spark, [p for f in whole for p in f.pieces]))
+
+
+def test_small_and_large_files_together(spark, files, monkeypatch):
+    monkeypatch.setattr(recording, "WHOLE", os.path.getsize(files[1]))
+    got = recording.read_files(spark, files, 4000)
+    whole = recording.read_raw(spark, files)
+    assert sorted(map(str, got.filter("kind = 'rec'").collect())) == sorted(map(str, whole.filter("kind = 'rec'").collect()))
