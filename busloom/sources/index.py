@@ -1,7 +1,7 @@
 """A kept index of recordings: a table with a row for each piece of a file, so that readers go to what they ask for.
 
 A row tells where a piece starts and stops, the number of its first row, what the pieces before it leave to it, and its zone. Spark filters
-the table; only the pieces that are asked for come to the driver, and only they are opened. Files are surveyed in groups, so the driver
+the table; only the pieces that are asked for are opened. Small files are surveyed in tasks that write their rows, large ones in groups, so the driver
 never holds more of an index than one group's. A file that has changed since (size or time of change) is refused.
 """
 
@@ -12,11 +12,15 @@ import os
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..errors import UsageError
-from .recording import Piece, Surveyed, check_inputs, framing_of, read_pieces, survey_files
+from ..schema import RAW
+from .recording import WHOLE, Piece, Surveyed, _Part, check_inputs, dealt, few_tasks, framing_of, joined, pieces_reader, survey_file, survey_files
 from .selection import KEYS, LISTS, Selection
 
 #: Bytes of a piece, and how many are surveyed in one go: a row is some hundred bytes, and up to 30 kB with two thousand keys.
@@ -29,7 +33,19 @@ def write_index(spark: SparkSession, paths: list[str], folder: str, piece: int =
     check_inputs(paths)
     framing = framing_of(options)
     spark.createDataFrame([], SCHEMA).write.mode("error").parquet(folder)
-    for group in _groups(paths, piece):
+    sizes = {p: os.path.getsize(p) for p in paths}
+    small = [p for p in paths if sizes[p] <= WHOLE]
+    if small:  # surveyed and written where their task is, many to a task
+
+        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in found:
+                for path in b.column(1).to_pylist():
+                    rows = list(_rows(path, survey_file(0, path, framing, piece)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        names, types = zip(*((f.name, f.type) for f in to_arrow_schema(StructType.fromDDL(SCHEMA))), strict=True)
+        dealt(spark, list(enumerate(small)), [sizes[p] for p in small]).mapInArrow(run, SCHEMA).write.mode("append").parquet(folder)
+    for group in _groups([p for p in paths if sizes[p] > WHOLE], piece):
         found = survey_files(spark, group, framing, piece)
         rows = [r for path, f in zip(group, found, strict=True) for r in _rows(path, f)]
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
@@ -81,32 +97,64 @@ def find(spark: SparkSession, folder: str, select: Selection | None = None, path
 
     file_index counts the files in the order of paths, or of their names.
     """
+    index = _asked(spark, folder, select, paths, first, until)
+    found = index.orderBy("file_index", "place").collect()  # pieces that are opened, a row for each
+    _unchanged(found)
+    return [Piece(**_piece(r.asDict())) for r in found]
+
+
+def _asked(spark: SparkSession, folder: str, select: Selection | None, paths: list[str] | None, first: int | None, until: int | None) -> DataFrame:
+    """The rows of an index that may hold what is asked for, with file_index."""
     index = spark.read.schema(SCHEMA).parquet(folder)
     if paths is None:
         paths = [r.path for r in index.select("path").distinct().orderBy("path").collect()]
-    else:
-        index = index.filter(F.col("path").isin(*paths))
-    order = {p: i for i, p in enumerate(paths)}
+    order = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "__path string, file_index int")
+    index = index.join(order, F.col("path") == F.col("__path")).drop("__path")
     if select:
         index = index.filter(_may_hold(select))
     if until is not None:
         index = index.filter(F.col("seq") < until)
     if first is not None:
         index = index.filter(F.col("until_seq").isNull() | (F.col("until_seq") > first))
-    found = sorted(index.collect(), key=lambda r: (order[r.path], r.place))  # pieces that are opened, a row for each
-    _unchanged(found)
-    return [Piece(order[r.path], r.path, r.start, r.stop, r.ts_format, r.seq, json.loads(r.carry), r.status, {"low": r.low, "high": r.high, "bits": {k: r[f"{k}_bits"] for k in KEYS}, "bare": r.bare}) for r in found]
+    return index
+
+
+def _piece(r: dict) -> dict:
+    """The fields of a Piece, of a row."""
+    return {k: r[k] for k in ("file_index", "path", "start", "stop", "ts_format", "seq", "status")} | {"carry": json.loads(r["carry"]), "zone": {"low": r["low"], "high": r["high"], "bits": {k: r[f"{k}_bits"] for k in KEYS}, "bare": r["bare"]}}
+
+
+def _changed(path: str, size: int, changed: int) -> bool:
+    st = os.stat(path) if os.path.exists(path) else None
+    return st is None or (st.st_size, st.st_mtime_ns) != (size, changed)
 
 
 def _unchanged(rows: Iterable) -> None:
     for path, size, changed in {(r.path, r.size, r.changed) for r in rows}:
-        st = os.stat(path) if os.path.exists(path) else None
-        if st is None or (st.st_size, st.st_mtime_ns) != (size, changed):
+        if _changed(path, size, changed):
             raise UsageError(f"{path} has changed since it was indexed")
 
 
 def read_indexed(spark: SparkSession, folder: str, select: Selection | None = None, paths: list[str] | None = None, first: int | None = None, until: int | None = None, **options) -> DataFrame:
-    """Raw rows of indexed recordings: those selected, with numbers (seq) from first up to until. Options are those of reading."""
-    rows = read_pieces(spark, find(spark, folder, select, paths, first, until), select, **options)
+    """Raw rows of indexed recordings: those selected, with numbers (seq) from first up to until. Options are those of reading.
+
+    Rows of the index go to the tasks that read their pieces, many to a task where pieces are small; none comes to the driver.
+    """
+    asked = _asked(spark, folder, select, paths, first, until)
+
+    def look(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield b.filter(pa.array([_changed(*r.values()) for r in b.to_pylist()], pa.bool_()))
+
+    bad = asked.select("path", "size", "changed").distinct().mapInArrow(look, "path string, size bigint, changed bigint").select(F.min("path")).first()[0]
+    if bad is not None:
+        raise UsageError(f"{bad} has changed since it was indexed")
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.coalesce("stop", "size") - F.greatest("start", F.lit(0))), F.lit(0))).first()
+    reader = pieces_reader(select, **options)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from joined(rows for b in found for r in b.to_pylist() if reader._wanted(p := _piece(r)) for rows in reader.read(_Part(p)))
+
+    rows = asked.repartitionByRange(few_tasks(spark, n, size), "file_index", "place").sortWithinPartitions("file_index", "place").mapInArrow(run, RAW)
     rows = rows if first is None else rows.filter(F.col("seq") >= first)
     return rows if until is None else rows.filter(F.col("seq") < until)
