@@ -20,12 +20,12 @@ def _recs(df: DataFrame) -> DataFrame:
     return df.filter("kind = 'rec'")
 
 
-def _status(df: DataFrame) -> DataFrame:
-    """How each file ended."""
+def _status(df: DataFrame, *more: str) -> DataFrame:
+    """How each file ended, and more columns of df."""
     get = lambda k: F.get_json_object("detail", f"$.{k}")
     told = F.size(F.from_json(get("warnings"), "array<string>"))
     s = df.filter("kind = 'status'")
-    return s.select("file_index", get("state").alias("state"), get("records").cast("long").alias("records"), get("sync_losses").cast("long").alias("sync_losses"), get("ts_format").alias("ts_format"), get("stop_offset").cast("long").alias("stop_offset"), told.cast("long").alias("n_warnings"))
+    return s.select("file_index", get("state").alias("state"), get("records").cast("long").alias("records"), get("sync_losses").cast("long").alias("sync_losses"), get("ts_format").alias("ts_format"), get("stop_offset").cast("long").alias("stop_offset"), told.cast("long").alias("n_warnings"), *more)
 
 
 def register(query) -> None:
@@ -111,8 +111,11 @@ def register(query) -> None:
         mid = F.when(p == 30, 30 * 1024 + 15).otherwise(mid)
         low = F.when(p == 30, 65535).otherwise(F.col("micro"))
         raw = read_bytes(V.files(rows, V.record(time=F.concat(V.word(up), V.word(mid), V.word(low))), end))
-        found = _recs(raw).groupBy("file_index").agg(F.sum("file_offset").alias("offsets"))
-        return _status(raw).join(found, "file_index").select("file_index", "records", "sync_losses", "offsets")
+        # one pass over the rows: files would be framed twice for a join
+        told = F.max(F.when(F.col("kind") == "status", F.col("detail")))
+        got = raw.groupBy("file_index").agg(F.sum(F.when(F.col("kind") == "rec", F.col("file_offset"))).alias("offsets"), told.alias("detail"))
+        status = _status(got.withColumn("kind", F.lit("status")), "offsets")
+        return status.filter("offsets is not null").select("file_index", "records", "sync_losses", "offsets")
 
     @query(f"""{sizes} select f file_index, case f % 4 when 0 then 'UnknownTypeWord' when 1 then 'InvalidTypeWord' when 2 then 'RecordTruncated' else 'PayloadError' end state, case when f % 4 = 2 then k - 1 else k end records, cast(1 as bigint) sync_losses,
       case when f % 4 = 2 then size - last else size end stop_offset from z""")
