@@ -136,8 +136,7 @@ def register(query) -> None:
     def counters(spark, sf_dir, **options):
         """Files with counters and with calendar times, in turn."""
         odd = F.col("f") % 2 == 1
-        ticks = F.col("e") * 1280 + 127
-        time = F.when(odd, F.concat(V.word(F.floor(ticks / 65536)), V.word(ticks % 65536))).otherwise(V.stamp())
+        time = F.when(odd, V.counter()).otherwise(V.stamp())
         return read_bytes(V.files(V.clips(spark, sf_dir), V.record(time=time), end), **options)
 
     @query(f"{probes} select f file_index, case when f % 2 = 1 then 'standard' else 'irig' end ts_format, k records, cast(0 as bigint) n_warnings from z")
@@ -157,15 +156,15 @@ def register(query) -> None:
 
     @query(f"with {sql} select f file_index, cast(p as bigint) seq, case when f % 2 = 1 then e * 1280 + 127 end ticks, case when f % 2 = 1 then cast(round((e * 1280 + 127) * 1e6 / 500000.0::double) as bigint) else us end time_us from t")
     def counter_times(spark, sf_dir):
-        """Counters and calendar times side by side, with a rate for the former."""
-        return pairing.pair(decoding.decode(counters(spark, sf_dir), tick_rate_hz=500_000.0)).select("file_index", "seq", "ticks", "time_us")
+        """Counters and calendar times side by side, with a rate for the former. Counters wrap every 3.4 million events; files are known to begin at a tick."""
+        began = F.col("file_index").cast("long") * (V.EVENTS_OF_FILE * V.TICKS)
+        return pairing.pair(decoding.decode(counters(spark, sf_dir), tick_rate_hz=500_000.0, began=began)).select("file_index", "seq", "ticks", "time_us")
 
     @query(f"""with {sql}, q as (select f, case when f % 3 = 0 and f % 2 = 0 then true else false end free, case when f % 2 = 1 then 'standard' else 'irig' end ts from t group by all) select f file_index, ts ts_format, case when ts = 'irig' then free end freerun from q where ts <> 'irig' or free""")
     def merge_incompatible(spark, sf_dir):
         """Files that no merge can take: they open with a counter, or with a clock that runs free."""
         odd = F.col("f") % 2 == 1
-        ticks = F.col("e") * 1280 + 127
-        time = F.when(odd, F.concat(V.word(F.floor(ticks / 65536)), V.word(ticks % 65536))).otherwise(V.stamp((F.col("f") % 3 == 0) & (F.col("p") < 5)))
+        time = F.when(odd, V.counter()).otherwise(V.stamp((F.col("f") % 3 == 0) & (F.col("p") < 5)))
         raw = read_bytes(V.files(V.clips(spark, sf_dir), V.record(time=time), end))
         return merge.incompatible(pairing.pair(decoding.decode(raw)))
 

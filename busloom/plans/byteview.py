@@ -50,6 +50,16 @@ def stamp(free: Column | bool = False) -> Column:
     return F.concat(word(up), word(F.col("minute") * 1024 + F.col("second") * 16 + F.floor(F.col("micro") / 65536)), word(F.col("micro") % 65536))
 
 
+#: Ticks from one event to the next.
+TICKS = 1280
+
+
+def counter() -> Column:
+    """The two words of a counter of 32 bits, which wraps."""
+    ticks = F.col("e") * TICKS + 127
+    return F.concat(word(F.floor(ticks / 65536) % 65536), word(ticks % 65536))
+
+
 def body() -> Column:
     """Command, data and status words of a plain message in either direction."""
     status = word(F.col("rt") * 2048)

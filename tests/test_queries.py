@@ -3,6 +3,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from busloom.operators import pairing
 from busloom.plans.queries import QUERIES, SQL
@@ -34,6 +35,18 @@ def test_pairs_across_spans(spark, duck, monkeypatch, span):
     compare(QUERIES["continuation_pairing"](spark, SF), duck, SQL["continuation_pairing"])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("first", [3_355_200, 33_554_400])
+def test_counters_that_wrap(spark, tmp_path, first):
+    """Events so late that a counter of 32 bits wraps inside a file, or has done so several times."""
+    import duckdb
+
+    spark.read.parquet(f"{SF}/events.parquet").withColumn("event_id", F.col("event_id") + first).write.parquet(f"{tmp_path}/events.parquet")
+    own = duckdb.connect()
+    own.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    compare(QUERIES["counter_times"](spark, str(tmp_path)), own, SQL["counter_times"])
+
+
 def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; assert len(e.queries()) >= 50 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
