@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -290,11 +292,15 @@ def tree_sum(rows: DataFrame, size: int, lanes: int = 16) -> np.ndarray:
     return out
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word; each word of the list is hashed once."""
-    ids: dict[bytes, int] = {}
-    at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))[at]
+def distinct(words: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
+    """The distinct words with their numbers, and the number of each word of the list."""
+    ids: dict[bytes, int] = defaultdict(count().__next__)
+    return ids, np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+
+
+def word_hashes(ids: dict[bytes, int], seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each of the distinct words, by number."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ids, repeat(seed)), np.uint64, len(ids))
 
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)

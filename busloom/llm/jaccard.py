@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COUNTERS, LOWER_BYTES, Bloom, bloom, cached, counters, dropped, hot_keys, map_texts, mixed, pieces, spread_join, tree_sum, word_hashes, written
+from .common import COUNTERS, LOWER_BYTES, Bloom, bloom, cached, counters, distinct, dropped, hot_keys, map_texts, mixed, pieces, spread_join, tree_sum, word_hashes, written
 from .simhash import components
 
 WIDTH, PERCENT = 5, 80
@@ -46,7 +46,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def shingles(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, in order of hash."""
     words = [t.encode("utf-8", "replace").translate(LOWER_BYTES).split() if t else [] for t in texts]
-    hashes = word_hashes([w for own in words for w in own])
+    ids, numbers = distinct([w for own in words for w in own])
+    hashes = word_hashes(ids)[numbers]
     out, at = [], 0
     for own in words:
         w = hashes[at : at + len(own)]

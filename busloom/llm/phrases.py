@@ -7,10 +7,14 @@ is a candidate. The candidates below a level come to the tasks as a Bloom filter
 Then the candidates of all levels get slots of a minimal perfect hash (bit arrays in levels, ranked by popcount), and the key of a slot is stored
 beside it, so that what isn't a candidate is told. One pass over the texts counts by slot: each task has one array, filled with
 bincount; the arrays are added up in a tree; and the counts of a phrase's parts are read by their slots. This takes SLOTS candidates, whose
-broadcast is 20 MB; if there are more, tasks send their counts of what passes a Bloom filter of the candidates, which are added by phrase in a
+broadcast is 22 MB; if there are more, tasks send their counts of what passes a Bloom filter of the candidates, which are added by phrase in a
 shuffle, and parts are found by joins. Results are equal.
 
-A slot is told by 64 bits. Texts of slots are gathered with a second hash for each, so two phrases of one hash are noticed; then all is done again with
+The text of a slot is sent by one of the tasks that meet it, not by all of them: the levels note for each key in which lanes (tasks by their number) it
+stood, at no cost in the shuffle, as a task has one lane. Should tasks have other rows in the last pass, what is left without a name is looked for once more.
+
+A slot is told by 64 bits. Tasks also add up a second hash, from other hashes of the words, over all that they count; it must come to that of the named
+texts times their counts. So two phrases of one hash are noticed; then all is done again with
 another seed. A null or empty text has no words, a null language is "und", repeated rows count as often as they stand. Columns other than the named ones are
 not read. Text is cut into pieces at . , ; : ! ? and line ends, pieces into words at spaces and tabs; phrases don't cross pieces. A-Z
 are lower-cased, nothing else.
@@ -27,23 +31,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
-from .common import COUNTERS, LOWER_BYTES, Bloom, bloom, cached, counters, mixed, pieces, tree_sum, word_hashes, written
+from .common import COUNTERS, LOWER_BYTES, Bloom, bloom, cached, counters, distinct, mixed, pieces, tree_sum, word_hashes, written
 
 LEAST, LONGEST, TOP, COVER_PERCENT = 10, 3, 2000, 50
 #: Candidates that are counted by slots.
 SLOTS = 1 << 21
 #: Texts that a task reads together. Spark adds up the counts of a task before it shuffles them.
 ROWS = 64
+#: Lanes of tasks, bits of a mask. A slot is named by the tasks of one lane: of ANY, by each that meets it; of NONE, by none.
+LANES, ANY, NONE = 62, 62, 63
 _CUT = b"\xff"  # in no UTF-8 text
 _TABLE = bytes(255 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c in b"\x09\x20" else c for c in LOWER_BYTES)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Slots:
-    """A minimal perfect hash of distinct 64-bit keys, with the key of each slot."""
+    """A minimal perfect hash of distinct 64-bit keys, with the key of each slot, and the lane that names it."""
 
-    def __init__(self, keys: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, lanes: np.ndarray | None = None) -> None:
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
         rest, taken = keys, 0
         while len(rest):
@@ -55,8 +62,11 @@ class Slots:
             self.levels.append((size, words, before[:-1]))
             taken = int(before[-1])
             rest = rest[~alone[at]]
-        self.keys = np.zeros(taken, np.uint64)
-        self.keys[self._find(keys)] = keys
+        self.keys, self.lanes = np.zeros(taken, np.uint64), np.full(taken, ANY, np.uint8)
+        at = self._find(keys)
+        self.keys[at] = keys
+        if lanes is not None:
+            self.lanes[at] = lanes
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -86,6 +96,14 @@ class Slots:
         return at
 
 
+def _joined(h: np.ndarray, lang: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words from each place on, and of their language."""
+    x = lang[at] + np.uint64(k)
+    for j in range(k):
+        x = (x ^ (x >> np.uint64(29))) * _STEP + h[at + j]
+    return mixed(x)
+
+
 class Read:
     """The words of some texts, one after the other: hashes, which are ends of pieces, and the language of each."""
 
@@ -98,16 +116,25 @@ class Read:
                 self.words += t.encode("utf-8", "replace").translate(_TABLE).replace(_CUT, b" \xff ").split(b" ")
             self.words.append(_CUT)
             sizes.append(len(self.words) - before)
-        h = word_hashes(self.words) if self.words else np.zeros(0, np.uint64)
-        empty, cut = (np.uint64(xxhash.xxh3_64_intdigest(w)) for w in (b"", _CUT))
-        full = np.flatnonzero(h != empty)  # two spaces make an empty word
+        self.seed = seed
+        self.ids, at = distinct(self.words)
+        full = np.flatnonzero(at != self.ids.get(b"", -1))  # two spaces make an empty word
         self.place = full
-        self.h = h[full]
-        self.cut = self.h == cut
+        self.at = at[full]
+        self.h = word_hashes(self.ids, seed)[self.at]
+        self.cut = self.at == self.ids.get(_CUT, -1)
         self.langs = ["und" if x is None else x for x in langs]
         self.row = np.repeat(np.arange(len(texts)), sizes)[full]
+        self.lang = self._lang(seed)
+
+    def _lang(self, seed: int) -> np.ndarray:
         of = {x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace"), seed=seed) for x in set(self.langs)}
-        self.lang = np.array([of[x] for x in self.langs], np.uint64)[self.row] if len(texts) else np.zeros(0, np.uint64)
+        return np.array([of[x] for x in self.langs], np.uint64)[self.row] if self.langs else np.zeros(0, np.uint64)
+
+    def second(self) -> tuple[np.ndarray, np.ndarray]:
+        """Other hashes of the words and their languages."""
+        seed = self.seed + (1 << 32)
+        return word_hashes(self.ids, seed)[self.at], self._lang(seed)
 
     def starts(self, k: int) -> np.ndarray:
         """Where k words of one piece start."""
@@ -116,11 +143,8 @@ class Read:
             return np.zeros(0, np.int64)
         return np.flatnonzero(~reduce(np.logical_or, [self.cut[j : j + n] for j in range(k)]))
 
-    def keys(self, at: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
-        x = self.lang[at] + np.uint64(k)
-        for j in range(k):
-            x = (x ^ (x >> np.uint64(29))) * step + self.h[at + j]
-        return mixed(x)
+    def keys(self, at: np.ndarray, k: int) -> np.ndarray:
+        return _joined(self.h, self.lang, at, k)
 
     def phrases(self, at: np.ndarray, k: int) -> tuple[list[str], list[str]]:
         """Language and text of the k words from each place on."""
@@ -148,7 +172,7 @@ def _texts(documents: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _level(texts: DataFrame, k: int, below: Bloom | None, least: int, seed: int) -> DataFrame:
-    """key, n: the hashes of k words that reach the least count."""
+    """key, n, lane: the hashes of k words that reach the least count, and a lane of tasks in which each stands."""
     shared = texts.sparkSession.sparkContext.broadcast((below.words, below.bits)) if below is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,28 +185,74 @@ def _level(texts: DataFrame, k: int, below: Bloom | None, least: int, seed: int)
             key, n = np.unique(read.keys(at, k), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
-    return written(texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    # The mask is the same for all that a task sends, so it takes no room there once compressed.
+    lane = F.expr(f"shiftleft(1L, cast(pmod(spark_partition_id(), {LANES}) as int))")
+    counted = texts.mapInArrow(run, "key bigint, n bigint").withColumn("lanes", lane).groupBy("key").agg(F.sum("n").alias("n"), F.bit_or("lanes").alias("lanes")).filter(F.col("n") >= least)
+    # The first of its lanes from one on that the key chooses, so that these names are spread over the lanes.
+    chosen = f"cast(pmod(key, {LANES}) as int)"
+    some = f"coalesce(nullif(shiftleft(shiftright(lanes, {chosen}), {chosen}), 0L), lanes)"
+    return written(counted.withColumn("some", F.expr(some)).select("key", "n", F.expr("cast(bit_count(some ^ (some - 1)) - 1 as int)").alias("lane")))
+
+
+def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, DataFrame, DataFrame] | None:
+    """The count of each slot; slot, l, phrase of each that occurs; and the words of each language. None if two phrases have one hash."""
+    rows = _read_slots(texts, slots, seed)
+    total = tree_sum(rows.filter("chunk is not null").select("chunk", "places", "counts"), len(slots.keys))
+    words = rows.filter("slot = -1").groupBy(F.col("l").alias("lang")).agg(F.sum("second").alias("n"))
+    named = _names(rows)
+    if named.count() < (occur := np.count_nonzero(total)):
+        rest = Slots(slots.keys[:0])
+        rest.levels, rest.keys, rest.lanes = slots.levels, slots.keys, np.full(len(total), ANY, np.uint8)
+        rest.lanes[named.select("slot").toArrow().column("slot").to_numpy()] = NONE  # SLOTS numbers at most
+        named = _names(rows.unionByName(_read_slots(texts, rest, seed).filter("slot >= 0")))
+    told = rows.filter("slot = -2").agg(F.sum(F.col("second").cast("decimal(38,0)"))).first()[0]
+    if named.count() != occur or (int(told or 0) - _told(named, total)) % (1 << 64):
+        return None
+    return total, named, words
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    """slot, l, phrase, second: lanes of several tasks have sent some more than once."""
+    return written(rows.filter("slot >= 0").groupBy("slot", "l", "phrase").agg(F.first("second").alias("second")))
+
+
+def _told(named: DataFrame, total: np.ndarray) -> int:
+    """The second hashes of what is named times their counts, all together (their lower 64 bits)."""
+    shared = named.sparkSession.sparkContext.broadcast(total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sum(int((shared.value[b.column(0).to_numpy()].view(np.uint64) * b.column(1).to_numpy().view(np.uint64)).sum(dtype=np.uint64)) for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([own % (1 << 64)], np.uint64).view(np.int64))], ["told"])
+
+    return int(named.select("slot", "second").mapInArrow(run, "told bigint").agg(F.sum(F.col("told").cast("decimal(38,0)"))).first()[0] or 0)
 
 
-def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
-    """The count of each slot; slot, l, phrase of each that occurs, twice if two phrases have one hash; and the words of each language."""
+def _read_slots(texts: DataFrame, slots: Slots, seed: int) -> DataFrame:
+    """Counters of slots by task; l, phrase and second hash of each slot from tasks of its lane; words by language (slot -1); all second hashes (-2)."""
     shared = texts.sparkSession.sparkContext.broadcast(slots)
     size = len(slots.keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
-        total, second = np.zeros(size, np.int64), np.zeros(size, np.uint64)
+        total = np.zeros(size, np.int64)
+        unnamed = (slots.lanes == TaskContext.get().partitionId() % LANES) | (slots.lanes == ANY)
         words: dict[str, int] = {}
+        every = 0
+        met: list[np.ndarray] = []  # slots that are not counted yet
 
-        def named(slot: np.ndarray, langs: list[str], texts: list[str]) -> pa.RecordBatch:
+        def named(slot: np.ndarray, langs: list[str | None], texts: list[str | None], second: np.ndarray) -> pa.RecordBatch:
             n = len(slot)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(slot, pa.int32()), pa.array(langs, pa.string()), pa.array(texts, pa.string())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(slot, pa.int32()), pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(second.view(np.int64))], names)
 
-        names = ["chunk", "places", "counts", "slot", "l", "phrase"]
+        names = ["chunk", "places", "counts", "slot", "l", "phrase", "second"]
         for b in pieces(batches, ROWS):
+            if sum(map(len, met)) > SLOTS // 2:
+                total += np.bincount(np.concatenate(met), minlength=size)
+                met.clear()
             read = Read(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
             for x, n in read.totals().items():
                 words[x] = words.get(x, 0) + n
+            second = read.second()
             before: tuple[np.ndarray, np.ndarray] | None = None
             for k in range(1, LONGEST + 1):
                 at = read.starts(k)
@@ -191,25 +261,23 @@ def _by_slots(texts: DataFrame, slots: Slots, seed: int) -> tuple[np.ndarray, Da
                 slot = slots.of(read.keys(at, k))
                 before = at, slot
                 at, slot = at[slot >= 0], slot[slot >= 0]
-                some, local = np.unique(slot, return_inverse=True)  # a bincount over the slots that occur
-                total[some] += np.bincount(local, minlength=len(some))
-                told = read.keys(at, k, _STEP + np.uint64(2)) | np.uint64(1)
-                new = second[slot] == 0
+                met.append(slot.astype(np.int32))
+                told = _joined(*second, at, k)
+                every = (every + int(told.sum(dtype=np.uint64))) % (1 << 64)
+                new = np.flatnonzero(unnamed[slot])
                 one, first = np.unique(slot[new], return_index=True)
-                second[one] = told[new][first]
-                odd = np.flatnonzero(second[slot] != told)
-                some = np.concatenate([at[new][first], at[odd]])
-                if len(some):
-                    yield named(np.concatenate([one, slot[odd]]), *read.phrases(some, k))
-        yield named(np.full(len(words), -1), list(words), [str(n) for n in words.values()])
+                unnamed[one] = False
+                if len(one):
+                    yield named(one, *read.phrases(at[new[first]], k), told[new[first]])
+        if met:
+            total += np.bincount(np.concatenate(met), minlength=size)
+        yield named(np.full(len(words), -1), list(words), [None] * len(words), np.array(list(words.values()), np.int64))
+        yield named(np.array([-2]), [None], [None], np.array([every], np.uint64))
         got = counters(total)
         n = got.num_rows
-        yield pa.RecordBatch.from_arrays([*got.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names)
+        yield pa.RecordBatch.from_arrays([*got.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
 
-    rows = written(texts.mapInArrow(run, f"{COUNTERS}, slot int, l string, phrase string"))
-    every = rows.filter("slot >= 0").groupBy("slot", "l", "phrase").agg(F.count("*").alias("tasks")).drop("tasks")
-    words = rows.filter("slot = -1").groupBy(F.col("l").alias("lang")).agg(F.sum(F.col("phrase").cast("long")).alias("n"))
-    return tree_sum(rows.filter("chunk is not null").select("chunk", "places", "counts"), size), written(every), words
+    return written(texts.mapInArrow(run, f"{COUNTERS}, slot int, l string, phrase string, second bigint"))
 
 
 _PARTS = "l string, phrase string, k int, a bigint, l1 bigint, r1 bigint, l2 bigint, r2 bigint"
@@ -224,7 +292,8 @@ def _cuts(total: np.ndarray, named: DataFrame, slots: Slots, least: int, seed: i
 
         def read(phrases: list[str], langs: list[str], k: int) -> np.ndarray:
             own = Read([], [], seed)
-            own.h = word_hashes([w for p in phrases for w in p.encode().split(b" ")])
+            ids, places = distinct([w for p in phrases for w in p.encode().split(b" ")])
+            own.h = word_hashes(ids, seed)[places]
             of = {x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace"), seed=seed) for x in set(langs)}
             own.lang = np.repeat(np.array([of[x] for x in langs], np.uint64), k)
             return own
@@ -295,15 +364,17 @@ def phrases(documents: DataFrame, text: str = "text", lang: str = "lang", least:
     for k in range(1, LONGEST + 1):
         below = levels[-1] if levels else None
         levels.append(_level(texts, k, bloom(below, "key", below.count()) if below is not None else None, least, seed))
-    keys = reduce(DataFrame.unionByName, [x.select("key") for x in levels]).distinct()
+    keys = reduce(DataFrame.unionByName, [x.select("key", "lane") for x in levels]).groupBy("key").agg(F.min("lane").alias("lane"))
     n = keys.count()
     if n > slots:
         cuts, totals = _by_shuffle(texts, bloom(keys, "key", n), least, seed)
         return written(_scored(cuts)), totals
-    own = Slots(keys.toArrow().column("key").to_numpy().view(np.uint64))  # SLOTS numbers at most
-    count, named, totals = _by_slots(texts, own, seed)
-    if named.groupBy("slot").count().filter("count > 1").limit(1).count():
+    got = keys.toArrow()  # SLOTS rows at most
+    own = Slots(got.column("key").to_numpy().view(np.uint64), got.column("lane").to_numpy())
+    found = _by_slots(texts, own, seed)
+    if found is None:
         return phrases(documents, text, lang, least, slots, seed + 1)
+    count, named, totals = found
     return written(_scored(_cuts(count, named, own, least, seed))), totals
 
 

@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from busloom.llm import phrases as module
 from busloom.llm.common import Bloom, bloom
-from busloom.llm.phrases import Slots, mine
+from busloom.llm.phrases import Read, Slots, mine
 
 from .cases import SCHEMA, documents, nothing, rows
 
@@ -88,3 +89,52 @@ def test_a_bloom_filter_loses_nothing(spark):
     assert f.has(np.random.default_rng(6).integers(0, 1 << 64, 20_000, dtype=np.uint64)).mean() < 0.05
     full = Bloom(np.full(16, 0xFFFFFFFFFFFFFFFF, np.uint64), 10)
     assert int(h.view(np.uint64)[0]) in full
+
+
+def sent(monkeypatch):
+    """The tables of slots that tasks write from now on."""
+    tables, write = [], module.written
+
+    def noted(df):
+        out = write(df)
+        if {"chunk", "phrase"} <= set(out.columns):
+            tables.append(out)
+        return out
+
+    monkeypatch.setattr(module, "written", noted)
+    return tables
+
+
+def in_tasks(spark, own, n):
+    return spark.createDataFrame(spark.sparkContext.parallelize(own, n), SCHEMA)
+
+
+def test_the_text_of_a_slot_is_sent_by_one_task(spark, monkeypatch):
+    """Not by each that meets it: that grows with the tasks times the candidates."""
+    own = crowd(4, 60) * 8  # all tasks meet the same phrases
+    tables = sent(monkeypatch)
+    assert got(in_tasks(spark, own, 8)) == slow(own)
+    texts = [r for t in tables for r in t.filter("slot >= 0").select("slot", "phrase").collect()]
+    assert len(texts) > 100 and len(texts) == len(set(texts))
+
+
+def test_slots_whose_lane_does_not_meet_them_are_named_all_the_same(spark, monkeypatch):
+    own = crowd(5)
+    tables = sent(monkeypatch)
+    make = Slots.__init__
+    monkeypatch.setattr(Slots, "__init__", lambda own, keys, lanes=None: make(own, keys, None if lanes is None else np.where(np.arange(len(keys)) % 3, 61, lanes)))
+    assert got(in_tasks(spark, own, 5)) == slow(own)
+    assert len(tables) == 2
+
+
+def test_phrases_of_one_hash_are_noticed(spark, monkeypatch):
+    class Clashing(Read):
+        def keys(self, at, k):
+            x = super().keys(at, k)
+            return x >> np.uint64(54) << np.uint64(54) if self.seed == 11 else x
+
+    own, found, by_slots = crowd(6), [], module._by_slots
+    monkeypatch.setattr(module, "Read", Clashing)
+    monkeypatch.setattr(module, "_by_slots", lambda *a: found.append(by_slots(*a)) or found[-1])
+    assert got(in_tasks(spark, own, 3)) == slow(own)
+    assert [f is None for f in found] == [True, False]
