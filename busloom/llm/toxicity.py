@@ -9,7 +9,8 @@ with the feature. GAIN, DOUBT and DECAY were chosen by cross-validation among th
 
 The classifier is fitted on at most MAX_PER_CLASS labelled documents of either label, those with the smallest hash of the
 id, as far as they have MAX_CLASS_BYTES of text together; each class weighs as much as all its labelled ids (held-out ones aside).
-Everything else reads all rows. Labelled ids with crc32(id) mod 3 = 1 are held out. Null labels and ids are not learned
+Everything else reads all rows. The texts of the sample stay on the executors: tasks count their features, and once it is known which
+of these tell, tasks leave of each text the words that do, by sentence; the driver gets these alone and fits the weights. Labelled ids with crc32(id) mod 3 = 1 are held out. Null labels and ids are not learned
 from; an id with several labels counts as toxic if half of them say so; one with several texts is learned by its smallest
 text, and equal texts once. Without labelled toxic documents all scores are the (small) base rate. A null or empty text scores as one sentence
 without evidence. Columns other than the named ones are not read.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ _END = re.compile(r"[.!?\n]")
 #: Word bytes after lower-casing, line feeds for the ends of sentences, and spaces for the rest.
 _BYTES = bytes(10 if chr(i) in ".!?\n" else b for i, b in enumerate(WORD_BYTES))
 _CACHE = 200_000
+#: Tasks that read the sample, at most, and features that one of them counts before it passes them on.
+_LANES, _COUNTED = 32, 200_000
 
 
 def held_out(key: str) -> Column:
@@ -90,18 +94,23 @@ class Model:
         self.seen |= new
         return not words.isdisjoint(self.telling)
 
-    def told(self, raw: bytes) -> tuple[int, list[tuple[int, set[str]]]]:
-        """How many sentences a text has, empty ones included, and the features of those that have any, by number."""
+    def heard(self, raw: bytes) -> tuple[int, list[tuple[int, set[bytes]]]]:
+        """How many sentences a text has, empty ones included, and the words that tell of those that have any, by number."""
         words = set(raw.split())
-        silent = 1 + raw.count(b"\n")
+        slots = 1 + raw.count(b"\n")
         if not self._meet(words):
-            return silent, []
+            return slots, []
         hits = words & self.telling.keys()
         found = []
         for i, part in enumerate(raw.split(b"\n")):
             if not hits.isdisjoint(own := part.split()):
-                found.append((i, {self.telling[w] for w in hits.intersection(own)}))
-        return silent, found
+                found.append((i, hits.intersection(own)))
+        return slots, found
+
+    def told(self, raw: bytes) -> tuple[int, list[tuple[int, set[str]]]]:
+        """The same with features in place of words."""
+        slots, found = self.heard(raw)
+        return slots, [(i, {self.telling[w] for w in own}) for i, own in found]
 
     def score(self, text: str | None, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
         """P of a text, and its sentences with p of at least least: start, end (code points) and p."""
@@ -124,67 +133,108 @@ def _lower(share: float, n: int, doubt: float) -> float:
     return (share + d / 2 - math.sqrt(d * (share * (1 - share) + d / 4))) / (1 + d)
 
 
-def evidence(rows: list[tuple[str, int]], words: list[set[bytes]], weights: tuple[float, float], gain: float, doubt: float) -> dict[str, float]:
-    """The lower bound of the share of toxic documents among those with a feature, for features that tell enough.
+def _tells(a: int, b: int, n1: int, n0: int, weights: tuple[float, float], gain: float, doubt: float) -> float | None:
+    """The lower bound of the share of toxic documents among those with a feature (a toxic and b clean ones), if it tells enough."""
+    if a < 3 or a / n1 < 4 * b / max(n0, 1):
+        return None
+    rate = n1 / (n1 + n0)
+    # what a feature tells, and how sure that is, is a matter of the texts at hand; what they stand for only moves the odds
+    share = a / (a + b)
+    if 2 * (a * math.log(share / rate) + (b * math.log((1 - share) / max(1 - rate, 1e-9)) if b else 0.0)) < gain:
+        return None
+    low = _lower(share, a + b, doubt)
+    return low * weights[1] / (low * weights[1] + (1 - low) * weights[0])
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """f, a and b: how many toxic and how many clean ones of the texts (t, y) have a feature, for features of at least three toxic ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for y, own in enumerate(counts):
+                n = pa.array(own.values(), pa.int64())
+                none = pa.array(np.zeros(len(n), np.int64))
+                for b in pieces([pa.RecordBatch.from_arrays([pa.array(own, pa.string()), n if y else none, none if y else n], ["f", "a", "b"])], 1 << 14):
+                    yield b
+                own.clear()
+
+        for batch in pieces(batches):
+            for t, y in zip(batch.column(0), batch.column(1), strict=True):
+                counts[y.as_py()].update({f for w in set(plain(t.as_py()).split()) for f in features(w)})
+                if len(counts[0]) + len(counts[1]) > _COUNTED:
+                    yield from passed_on()
+        yield from passed_on()
+
+    return texts.select("t", "y").mapInArrow(run, "f string, a bigint, b bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a >= 3")
+
+
+def _first(counted: DataFrame, n1: int, n0: int, weights: tuple[float, float], gain: float, doubt: float) -> dict[str, float]:
+    """The evidence of the features that tell enough, when all features of a word count."""
 
-    All features of a word are counted first; then each word counts for its best feature alone, until no feature leaves: a
-    beginning isn't to get its evidence from one word that tells by itself.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = [_tells(a.as_py(), b.as_py(), n1, n0, weights, gain, doubt) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e, pa.float64())], ["f", "e"]).filter(pa.array([x is not None for x in e], pa.bool_()))
+
+    return dict(sorted((r.f, r.e) for r in counted.select("f", "a", "b").mapInArrow(run, "f string, e double").collect()))
+
+
+def _heard(texts: DataFrame, found: dict[str, float]) -> list[tuple[bytes, int, int]]:
+    """What is left of each text (t, y): the words that tell, a line for each sentence that has any; how many sentences it has; its label.
+
+    In an order that depends on the texts alone. Words that tell are few, as they are rare in clean texts.
     """
-    n1 = sum(y for _, y in rows)
-    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for own, (_, y) in zip(words, rows, strict=True):
-        if y:
-            counts[1].update({f for w in own for f in features(w)})
-    some = {f for f, a in counts[1].items() if a >= 3}
-    for own, (_, y) in zip(words, rows, strict=True):
-        if not y:
-            counts[0].update({f for w in own for f in features(w) if f in some})
-    gain = max(gain, 2 * math.log(max(len(some), 1) / BY_CHANCE))
-    found = _judged(counts, n1, len(rows) - n1, weights, gain, doubt)
+    shared = texts.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Model(_BIAS, {f: (e, 0.0) for f, e in shared.value.items()})
+        for batch in pieces(batches):
+            got = [reader.heard(plain(t.as_py())) for t in batch.column(0)]
+            lines = [b"\n".join(b" ".join(sorted(own)) for _, own in told) for _, told in got]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array([n for n, _ in got], pa.int64()), batch.column(1), batch.column(2)], ["left", "slots", "y", "h"])
+
+    rows = texts.select("t", "y", F.xxhash64("t").alias("h")).mapInArrow(run, "left binary, slots bigint, y int, h bigint").collect()
+    return [(left, slots, y) for _, left, slots, y in sorted((r.h, bytes(r.left), r.slots, r.y) for r in rows)]
+
+
+def _settled(found: dict[str, float], rows: list[tuple[bytes, int, int]], n1: int, n0: int, weights: tuple[float, float], gain: float, doubt: float) -> dict[str, float]:
+    """The evidence when each word counts for its best feature alone, until no feature leaves: a beginning isn't to get its
+    evidence from one word that tells by itself."""
+    words = [set(left.split()) for left, _, _ in rows]
     for _ in range(5):
         reader = Model(_BIAS, {f: (e, 0.0) for f, e in found.items()})
-        counts = (Counter(), Counter())
-        for own, (_, y) in zip(words, rows, strict=True):
+        counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        for own, (_, _, y) in zip(words, rows, strict=True):
             reader._meet(own)
             counts[y].update({reader.telling[w] for w in own & reader.telling.keys()})
-        left = _judged(counts, n1, len(rows) - n1, weights, gain, doubt)
+        left = {f: e for f, a in sorted(counts[1].items()) if (e := _tells(a, counts[0][f], n1, n0, weights, gain, doubt)) is not None}
         if left.keys() == found.keys():
             return left
         found = left
     return found
 
 
-def _judged(counts: tuple[Counter[str], Counter[str]], n1: int, n0: int, weights: tuple[float, float], gain: float, doubt: float) -> dict[str, float]:
-    rate = n1 / (n1 + n0)
-    found = {}
-    for f, a in sorted(counts[1].items()):
-        b = counts[0][f]
-        if a < 3 or a / n1 < 4 * b / max(n0, 1):
-            continue
-        # what a feature tells, and how sure that is, is a matter of the texts at hand; what they stand for only moves the odds
-        share = a / (a + b)
-        if 2 * (a * math.log(share / rate) + (b * math.log((1 - share) / max(1 - rate, 1e-9)) if b else 0.0)) >= gain:
-            low = _lower(share, a + b, doubt)
-            found[f] = low * weights[1] / (low * weights[1] + (1 - low) * weights[0])
-    return found
-
-
-def fit(rows: list[tuple[str | None, int]], rounds: int = 300, decay: float = DECAY, weights: tuple[float, float] = (1.0, 1.0), gain: float = GAIN, doubt: float = DOUBT) -> Model:
-    """The noisy-or model of labelled texts. weights: how many labelled documents a clean and a toxic text stands for."""
-    rows = list({t or "": (t or "", int(y)) for t, y in sorted(rows, key=lambda r: (r[0] or "", r[1]))}.values())
-    if not any(y for _, y in rows):
+def fit(texts: DataFrame, rounds: int = 300, decay: float = DECAY, weights: tuple[float, float] = (1.0, 1.0), gain: float = GAIN, doubt: float = DOUBT) -> Model:
+    """The noisy-or model of labelled texts (t, y), each once. weights: how many labelled documents a clean and a toxic text stands for."""
+    n = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    if not n1:
         return Model(math.log(0.01), {})
-    raws = [plain(t) for t, _ in rows]
-    words = [set(r.split()) for r in raws]
-    found = evidence(rows, words, weights, gain, doubt)
+    counted = checkpointed(_counted(texts))
+    gain = max(gain, 2 * math.log(max(counted.count(), 1) / BY_CHANCE))
+    found = _first(counted, n1, n0, weights, gain, doubt)
+    rows = _heard(texts, found)
+    found = _settled(found, rows, n1, n0, weights, gain, doubt)
     reader = Model(_BIAS, {f: (e, 0.0) for f, e in found.items()})
     kept = {f: i for i, f in enumerate(found)}
     drawn = np.array([max(0.0, math.log(e / (1 - e)) - _BIAS) for e in found.values()])
     sent_doc, feat_sent, feat_id = [], [], []
     silent = np.zeros(len(rows))
-    y = np.array([r[1] for r in rows], dtype=float)
-    for d, raw in enumerate(raws):
-        slots, told = reader.told(raw)
+    y = np.array([r[2] for r in rows], dtype=float)
+    for d, (left, slots, _) in enumerate(rows):
+        _, told = reader.told(left)
         for _, got in told:
             feat_sent += [len(sent_doc)] * len(got)
             feat_id += sorted(kept[f] for f in got)
@@ -215,13 +265,15 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     n = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
     picked = smallest(ids.filter("y = 1"), "k", max_per_class, n.get(1, 0)).unionAll(smallest(ids.filter("y = 0"), "k", max_per_class, n.get(0, 0)))
     texts = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k")  # 2 * max_per_class rows at most
-    texts = texts.groupBy("k", "y").agg(F.min("t").alias("t"))
+    texts = checkpointed(texts.groupBy("k", "y").agg(F.min("t").alias("t")))
     # texts of over a sixteenth of the bytes come last, so that one of them takes no other's place
-    size = F.coalesce(F.octet_length("t"), F.lit(0))
-    running = Window.partitionBy("y").orderBy(size > max_class_bytes // 16, F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0)  # max_per_class rows at most
-    sample = texts.withColumn("bytes", F.sum(size).over(running)).filter(F.col("bytes") <= max_class_bytes).collect()
-    stands = tuple(max(1.0, n.get(y, 0) / max(1, sum(r.y == y for r in sample))) for y in (0, 1))
-    return fit([(r.t, r.y) for r in sample], weights=stands)
+    sizes = texts.select("k", "y", F.coalesce(F.octet_length("t"), F.lit(0)).alias("size"))
+    running = Window.partitionBy("y").orderBy(F.col("size") > max_class_bytes // 16, F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0)  # max_per_class rows at most, without texts
+    sample = texts.join(F.broadcast(sizes.withColumn("bytes", F.sum("size").over(running)).filter(F.col("bytes") <= max_class_bytes).select("k")), "k")
+    own = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    stands = tuple(max(1.0, n.get(y, 0) / max(1, own.get(y, 0))) for y in (0, 1))
+    lanes = min(_LANES, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return fit(checkpointed(sample.select(F.coalesce("t", F.lit("")).alias("t"), "y").repartition(lanes, "t").groupBy("t").agg(F.max("y").alias("y"))), weights=stands)
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 from busloom.llm import toxicity as X
@@ -87,3 +88,20 @@ def test_one_long_text_takes_no_other_ones_place(spark):
     schema = "doc_id long, text string"
     model = X.train(spark.createDataFrame(docs + long, schema), lab, max_class_bytes=90_000)
     assert {f.strip("=") for f in model.weights} >= {"badword", "vilex"}
+
+
+def test_the_driver_holds_no_texts_while_it_trains(spark):
+    """Texts of the sample are read and counted in tasks: the driver's Python needs less than they have bytes, let alone their words as objects."""
+    r = random.Random(5)
+    docs = [(i, ". ".join(" ".join(f"w{r.randrange(100_000)}" for _ in range(20)) for _ in range(50)) + " badword" * (i % 3 == 0)) for i in range(900)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    learned = sum(len(t) for i, t in docs if zlib.crc32(str(i).encode()) % 3 != 1)
+    tracemalloc.start()
+    try:
+        model = X.train(d, lab)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {f.strip("=") for f in model.weights} == {"badword"}
+    assert peak < learned / 2, (peak, learned)
