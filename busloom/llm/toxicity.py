@@ -178,7 +178,7 @@ def _first(counted: DataFrame, n1: int, n0: int, weights: tuple[float, float], g
             e = [_tells(a.as_py(), b.as_py(), n1, n0, weights, gain, doubt) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e, pa.float64())], ["f", "e"]).filter(pa.array([x is not None for x in e], pa.bool_()))
 
-    return dict(sorted((r.f, r.e) for r in counted.select("f", "a", "b").mapInArrow(run, "f string, e double").collect()))
+    return dict(sorted((r.f, r.e) for r in counted.select("f", "a", "b").coalesce(_LANES).mapInArrow(run, "f string, e double").collect()))
 
 
 def _heard(texts: DataFrame, found: dict[str, float]) -> list[tuple[bytes, int, int]]:
@@ -273,7 +273,8 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     own = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     stands = tuple(max(1.0, n.get(y, 0) / max(1, own.get(y, 0))) for y in (0, 1))
     lanes = min(_LANES, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return fit(checkpointed(sample.select(F.coalesce("t", F.lit("")).alias("t"), "y").repartition(lanes, "t").groupBy("t").agg(F.max("y").alias("y"))), weights=stands)
+    once = sample.select(F.coalesce("t", F.lit("")).alias("t"), "y").repartition(lanes, "t").groupBy("t").agg(F.max("y").alias("y"))
+    return fit(checkpointed(once.coalesce(lanes)), weights=stands)
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
